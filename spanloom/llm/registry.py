@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from spanloom.llm.quality import op7_quality_rules
 from spanloom.llm.simhash import op8_simhash
+from spanloom.llm.substring import op10_substring_dedup
 
 QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
