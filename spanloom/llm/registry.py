@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from spanloom.llm.pieces import op6_sentencepiece
 from spanloom.llm.quality import op7_quality_rules
 from spanloom.llm.simhash import op8_simhash
 from spanloom.llm.substring import op10_substring_dedup
+from spanloom.llm.tokencount import op9_token_counts
 
 QUERIES = {
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
+    "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
