@@ -7,8 +7,10 @@ from spanloom.llm.quality import op7_quality_rules
 from spanloom.llm.simhash import op8_simhash
 from spanloom.llm.substring import op10_substring_dedup
 from spanloom.llm.tokencount import op9_token_counts
+from spanloom.llm.warc import op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
