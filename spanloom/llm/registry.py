@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spanloom.llm.extract import op3_html_extraction
 from spanloom.llm.pieces import op6_sentencepiece
 from spanloom.llm.quality import op7_quality_rules
 from spanloom.llm.simhash import op8_simhash
@@ -11,6 +12,7 @@ from spanloom.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op3_html_extraction": op3_html_extraction,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
