@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from spanloom.llm.extract import op3_html_extraction
+from spanloom.llm.mixing import op4_source_mixing
 from spanloom.llm.pieces import op6_sentencepiece
+from spanloom.llm.pii import op5_pii_surrogates
 from spanloom.llm.quality import op7_quality_rules
 from spanloom.llm.simhash import op8_simhash
 from spanloom.llm.substring import op10_substring_dedup
@@ -13,6 +15,8 @@ from spanloom.llm.warc import op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_html_extraction": op3_html_extraction,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
