@@ -30,14 +30,16 @@ from spanloom.llm.common import slices, table
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Distinct chunks whose pieces a worker remembers, and characters above which a chunk is cut further.
-REMEMBERED, LONG = 300_000, 32
+REMEMBERED, LONG = 200_000, 32
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
 class PieceCodec:
-    def __init__(self, path: str):
+    """Encoder and decoder of one model file; without ``encoding`` it decodes only and stays small."""
+
+    def __init__(self, path: str, encoding: bool = True):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -51,13 +53,6 @@ class PieceCodec:
         texts = [p.piece for p in model.pieces]
         if any(SPACE in t.lstrip(SPACE) for p, t in zip(model.pieces, texts, strict=True) if p.type == NORMAL):
             raise ValueError("pieces that go on after a space sign are not supported")
-        score = {p.piece: -p.score for p in model.pieces if p.type == NORMAL}
-        letters = sorted({ord(c) for t in score for c in t})
-        self.letters = np.array(letters, np.int64)
-        number = {c: i for i, c in enumerate(letters)}
-        pieces = [([number[ord(c)] for c in p.piece], i, False) for i, p in enumerate(model.pieces) if p.type == NORMAL]
-        pairs = {(ord(a), ord(b)) for t in score for a, b in zip(t, t[1:], strict=False)}
-        self.pairs = np.sort(np.array([a << 21 | b for a, b in pairs], np.int64))
         self.byte_ids = [0] * 256
         self.raw = []
         for i, p in enumerate(model.pieces):
@@ -67,13 +62,21 @@ class PieceCodec:
             else:
                 self.raw.append(p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else model.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else b"")
         self.normal = [p.type == NORMAL for p in model.pieces]
-
+        score = {p.piece: -p.score for p in model.pieces if p.type == NORMAL}
+        self.known: dict[str, bytes] = {}
+        if not encoding:
+            return
+        letters = sorted({ord(c) for t in score for c in t})
+        self.letters = np.array(letters, np.int64)
+        number = {c: i for i, c in enumerate(letters)}
+        pieces = [([number[ord(c)] for c in p.piece], i, False) for i, p in enumerate(model.pieces) if p.type == NORMAL]
+        pairs = {(ord(a), ord(b)) for t in score for a, b in zip(t, t[1:], strict=False)}
+        self.pairs = np.sort(np.array([a << 21 | b for a, b in pairs], np.int64))
         def compatible(a: int, b: int) -> bool:
             parts = [texts[a], texts[b]] if a >= 0 else [texts[b]]
             return merge("".join(parts), lambda x, y: score.get(x + y)) == parts
 
         self.encoder = PrefixEncoder(Automaton(pieces, len(letters)), compatible)
-        self.known: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
         return CHUNK.findall(self.prefix + text.replace(" ", SPACE)) if text else []
@@ -146,8 +149,8 @@ class PieceCodec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+def codec(path: str, encoding: bool = True) -> PieceCodec:
+    return PieceCodec(path, encoding)
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "piece_ids") -> DataFrame:
@@ -177,7 +180,7 @@ def decoded(rows: DataFrame, path: str, ids: str = "piece_ids", into: str = "dec
     schema = T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = codec(path)
+        by = codec(path, False)
         for batch in batches:
             column = batch.column(at)
             values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
