@@ -5,8 +5,8 @@ links list the pieces that end there, and the best one is kept (Viterbi). For a
 the summed scores would not give the library's result, so a piece may only follow a piece with which
 it is compatible (see ``bpe``); then one path is left and it is the library's encoding.
 
-No piece holds a space sign after another character, so texts are cut before runs of space signs
-and each distinct chunk is encoded once per worker.
+No piece holds a space sign after another character, nor (if the model allows) a letter beside any
+other character, so texts are cut there and each distinct chunk is encoded once per worker.
 
 Defined results: null and empty texts have no pieces and decode to an empty text; repeated rows are
 encoded one by one; characters unknown to the model become their UTF-8 bytes.
@@ -28,7 +28,6 @@ from spanloom.llm.bpe import Automaton, PrefixEncoder, merge
 from spanloom.llm.common import slices, table
 
 SPACE = "▁"
-CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Distinct chunks whose pieces a worker remembers, and characters above which a chunk is cut further.
 REMEMBERED, LONG = 200_000, 32
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -36,6 +35,21 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
+def chunk_pattern(pairs: set[tuple[str, str]]) -> re.Pattern:
+    """Chunks that no piece spans: space signs with letters or with other characters after them.
+
+    ``pairs``: neighbours inside pieces. Letters that stand beside other characters count as such.
+    """
+    letter = re.compile(r"[^\W\d_]")
+    beside = {x for a, b in pairs if a != SPACE and bool(letter.match(a)) != bool(letter.match(b)) for x in (a, b) if letter.match(x)}
+    odd = "".join(map(re.escape, sorted(beside)))
+    # an odd letter splits the others from its own neighbours only if it is no part of their words
+    if any((a in beside) != (b in beside) and letter.match(a) and letter.match(b) for a, b in pairs):
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    other = rf"[\d_{odd}]+|[^\w{SPACE}]+"
+    return re.compile(rf"{SPACE}*[^\W\d_{odd}]+|{SPACE}*(?:{other})+|{SPACE}+")
+
+
 class PieceCodec:
     """Encoder and decoder of one model file; without ``encoding`` it decodes only and stays small."""
 
@@ -71,6 +85,7 @@ class PieceCodec:
         number = {c: i for i, c in enumerate(letters)}
         pieces = [([number[ord(c)] for c in p.piece], i, False) for i, p in enumerate(model.pieces) if p.type == NORMAL]
         pairs = {(ord(a), ord(b)) for t in score for a, b in zip(t, t[1:], strict=False)}
+        self.cut = chunk_pattern({(chr(a), chr(b)) for a, b in pairs}).findall
         self.pairs = np.sort(np.array([a << 21 | b for a, b in pairs], np.int64))
         def compatible(a: int, b: int) -> bool:
             parts = [texts[a], texts[b]] if a >= 0 else [texts[b]]
@@ -79,7 +94,7 @@ class PieceCodec:
         self.encoder = PrefixEncoder(Automaton(pieces, len(letters)), compatible)
 
     def chunks(self, text: str) -> list[str]:
-        return CHUNK.findall(self.prefix + text.replace(" ", SPACE)) if text else []
+        return self.cut(self.prefix + text.replace(" ", SPACE)) if text else []
 
     def learn(self, chunks: set[str]) -> None:
         """Remember the pieces (little-endian 32-bit numbers) of these chunks."""
@@ -196,9 +211,24 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def round_trips(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, n_pieces, pieces_sha256, round_trip)``: encoded and decoded again in one task, so that
+    the numbers of the pieces need not leave it. The hash is over the decimal numbers, spaced."""
+    import hashlib
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = codec(path)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                rows = [(len(x), hashlib.sha256(" ".join(map(str, x.tolist())).encode()).hexdigest(), by.decode(x) == t) for x, t in zip(by.encode(texts), texts, strict=True)]
+                n, digest, same = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest), pa.array(same)], ["doc_id", "n_pieces", "pieces_sha256", "round_trip"])
+
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, n_pieces long, pieces_sha256 string, round_trip boolean")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every whole document, and whether they decode to the text again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = decoded(encoded(docs, model_path()), model_path())
-    joined = F.concat_ws(" ", F.col("piece_ids").cast("array<string>"))
-    return both.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.sha2(joined, 256).alias("pieces_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    return round_trips(table(spark, sf_dir, "documents"), model_path())
