@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanloom.llm.extract import op3_html_extraction
+from spanloom.llm.hamming import op2_top_k_search
 from spanloom.llm.mixing import op4_source_mixing
 from spanloom.llm.pieces import op6_sentencepiece
 from spanloom.llm.pii import op5_pii_surrogates
@@ -14,6 +15,7 @@ from spanloom.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_top_k_search": op2_top_k_search,
     "op3_html_extraction": op3_html_extraction,
     "op4_source_mixing": op4_source_mixing,
     "op5_pii_surrogates": op5_pii_surrogates,
