@@ -1 +1 @@
-""""""
+"""Column functions of the annotation layers."""

@@ -1 +1 @@
-""""""
+"""Relational operators over position-keyed layers."""

@@ -1 +1 @@
-""""""
+"""Layers derived from the given tables, and the queries over them."""
