@@ -13,10 +13,12 @@ def marks(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
     """``(keys, line, col, mark, opens, depth)``: every quotation mark with the depth of its quote."""
     each = docs.select(*keys, F.posexplode(F.split(text, "\n")).alias("at", "line_text"))
     either = "".join([*MARKS, *MARKS.values()])
-    # the k-th mark of a line stands after the text of the k parts before it
     cut = each.filter(F.col("line_text").rlike(f"[{either}]")).select(*keys, (F.col("at") + 1).alias("line"), F.split("line_text", f"[{either}]").alias("rest"), F.regexp_extract_all("line_text", F.lit(f"[{either}]"), F.lit(0)).alias("signs"))
-    ends = F.aggregate(F.slice("rest", F.lit(1), F.size("signs")), F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)) + 1, F.lit(0)) + F.length(x))))
-    flat = cut.select(*keys, "line", F.explode(F.arrays_zip(ends.alias("col"), F.col("signs").alias("mark"))).alias("m")).select(*keys, "line", F.col("m.col").alias("col"), F.col("m.mark").alias("mark"))
+    # a mark stands after the parts of the line before it and the marks between them
+    pairs = cut.select(*keys, "line", F.posexplode(F.arrays_zip(F.slice("rest", F.lit(1), F.size("signs")).alias("part"), F.col("signs").alias("mark"))).alias("k", "m"))
+    before = Window.partitionBy(*keys, "line").orderBy("k")
+    col = (F.sum(F.length("m.part") + 1).over(before) - 1).cast("int")
+    flat = pairs.select(*keys, "line", col.alias("col"), F.col("m.mark").alias("mark"))
     opens = F.col("mark").isin(list(MARKS))
     upto = Window.partitionBy(*keys).orderBy("line", "col")
     level = F.sum(F.when(opens, 1).otherwise(-1)).over(upto)
@@ -44,7 +46,8 @@ def overlapping(quotes: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("
 
 
 def ids(quotes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds ``quote_id``: the line, with a letter where several quotes open in it."""
+    """Adds ``quote_id``: the line, with a letter (after ``z``: a number) where several quotes open in it."""
     by = Window.partitionBy(*keys, "line")
-    letter = F.when(F.count("*").over(by) > 1, F.chr(F.lit(96) + F.row_number().over(by.orderBy("col")))).otherwise("")
-    return quotes.withColumn("quote_id", F.concat(F.col("line").cast("string"), letter))
+    k = F.row_number().over(by.orderBy("col"))
+    letter = F.when(k <= 26, F.chr(F.lit(96) + k)).otherwise(F.concat(F.lit("."), k.cast("string")))
+    return quotes.withColumn("quote_id", F.concat(F.col("line").cast("string"), F.when(F.count("*").over(by) > 1, letter).otherwise("")))

@@ -164,9 +164,8 @@ SQL: dict[str, str] = {
         SELECT doc_id, CASE WHEN surface = word OR (starts_with(surface, word) AND NOT regexp_matches(substr(surface, length(word) + 1), '[\\p{{L}}'']')) OR word = surface || '''' OR word = '''' || surface
             OR surface = word || '''' OR surface = '''' || word THEN 'same' ELSE 'other' END AS verdict, count(*) AS n FROM surfaces JOIN numbered USING (doc_id, line, token) GROUP BY ALL""",
     "quote_forest": f"WITH {QUOTES} SELECT * FROM forest",
-    "quote_ids": f"""WITH {QUOTES}, named AS (SELECT doc_id, quote, line::VARCHAR || CASE WHEN count(*) OVER (PARTITION BY doc_id, line) > 1
-        THEN chr((96 + row_number() OVER (PARTITION BY doc_id, line ORDER BY col) % 256)::INT) ELSE '' END AS quote_id FROM forest)
-        SELECT * FROM named WHERE regexp_matches(quote_id, '^[0-9]+[a-z]?$')""",
+    "quote_ids": f"""WITH {QUOTES}, counted AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY col) AS k, count(*) OVER (PARTITION BY doc_id, line) AS n FROM forest)
+        SELECT doc_id, quote, line || CASE WHEN n = 1 THEN '' WHEN k <= 26 THEN substr('abcdefghijklmnopqrstuvwxyz', k, 1) ELSE '.' || k END AS quote_id FROM counted""",
     "quote_overlap": f"WITH {QUOTES} SELECT doc_id, quote, line, end_line FROM forest WHERE error = '' AND line <= 3 AND end_line >= 2",
     "pos_census": f"""WITH {MORPH} SELECT pos, count(*) AS n, sum(CASE WHEN pos LIKE '%pronoun' THEN 1 ELSE 0 END)::BIGINT AS slots, count(*) FILTER (pos LIKE 'verb%') AS verbs,
         count(*) FILTER (pos LIKE '%noun%' AND note = '') AS content FROM morph GROUP BY pos""",

@@ -168,7 +168,7 @@ def quote_forest(spark, sf):
 
 @query
 def quote_ids(spark, sf):
-    return qt.ids(qt.forest(qt.marks(quoted(spark, sf)))).filter("quote_id rlike '^[0-9]+[a-z]?$'").select("doc_id", "quote", "quote_id")
+    return qt.ids(qt.forest(qt.marks(quoted(spark, sf)))).select("doc_id", "quote", "quote_id")
 
 
 @query
