@@ -30,6 +30,8 @@ INLINE = frozenset(
 )
 
 PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 256, 64, 8
+#: Characters above which a block looks no longer to the labeller; its text is kept whole.
+LONG = 900
 DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
 
 
@@ -162,9 +164,9 @@ def features(page: list[Block], first: int = 0, last: int | None = None) -> np.n
         words = b.text.lower().split()
         x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount([WORDS[w] for w in words], minlength=WORD_DIMS)
         n, m = len(b.text), len(words)
-        x[i, -SHAPE_DIMS:] = (np.log1p(n) / 8, np.log1p(m) / 6, b.linked / n, b.text[-1] in ".!?…", b.text.count(",") / m, (first + i + 1) / len(page), len(DIGIT.findall(b.text)) / n, 1)
+        x[i, -SHAPE_DIMS:] = (np.log1p(min(n, LONG)) / 8, np.log1p(min(m, LONG // 6)) / 6, b.linked / n, b.text[-1] in ".!?…", b.text.count(",") / m, (first + i + 1) / len(page), len(DIGIT.findall(b.text)) / n, 1)
     words = x[:, PATH_DIMS : PATH_DIMS + WORD_DIMS]
-    words[:] = np.log1p(np.minimum(words, 4)) / 4
+    words[:] = np.minimum(words, 1) / 4
     return x
 
 

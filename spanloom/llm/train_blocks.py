@@ -110,7 +110,7 @@ class Pages:
             out.append((f"<h1>{self.prose(1, 12)}</h1>", 1))
         for _ in range(r.choice((1, 2, 3, 5, 8, 13, 25))):
             x = r.random()
-            text = self.prose(1, r.choice((3, 20, 60, 120)))
+            text = self.prose(1, r.choice((3, 20, 60, 120))) if r.random() < 0.96 else self.prose(200, 700)
             if x < 0.72:
                 out.append((f"<p>{text}</p>", 1))
             elif x < 0.8:
