@@ -1,0 +1,140 @@
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from spanloom.llm import mixing, pii
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    rows = [(i, "a" if i % 3 == 0 else f"b{i % 7}" if i % 5 else None, "w " * (i % 50)) for i in range(3000)]
+    return spark.createDataFrame(rows, "doc_id long, source string, text string")
+
+
+def shares(df):
+    sizes = mixing.prepared(df).select("__mix_source", "__mix_doc", mixing.tokens(F.col("text")).alias("__mix_tokens"))
+    return mixing.source_tokens(sizes, "__mix_source", "__mix_tokens")
+
+
+def test_exponent_meets_its_target(skewed):
+    s = shares(skewed)
+    p = [r.share for r in s.collect()]
+    n = len(p)
+
+    def entropy(a):
+        w = [x**a for x in p]
+        return -sum(x / sum(w) * math.log(x / sum(w)) for x in w)
+
+    a = mixing.exponent(s, 0.95, None)
+    assert 0 < a < 1 and abs(entropy(a) - 0.95 * math.log(n)) < 1e-6
+    a = mixing.exponent(s, 1.0, 1.2)
+    z = sum(x**a for x in p)
+    assert abs(max(x ** (a - 1) / z for x in p) - 1.2) < 1e-6
+    assert mixing.exponent(s, None, 4.0) == 1.0
+
+
+def test_weights_are_realised(skewed):
+    out = mixing.remixed(skewed, entropy=0.97, max_repeats=None, block_tokens=200)
+    w = {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.tokens(F.col("text"))).alias("n")).collect()}
+    total = sum(w.values())
+    base = {r.source: r.n for r in skewed.groupBy("source").agg(F.sum(mixing.tokens(F.col("text"))).alias("n")).collect()}
+    a = mixing.exponent(shares(skewed), 0.97, None)
+    z = sum((v / sum(base.values())) ** a for v in base.values())
+    for k, v in base.items():
+        assert abs(w[k] / total - (v / sum(base.values())) ** a / z) < 0.005
+    assert abs(total - sum(base.values())) / total < 0.01
+    # whole readings take every document; the last one takes each at most once
+    times = out.groupBy("doc_id").count()
+    assert times.agg(F.max("count")).first()[0] <= 3
+
+
+def test_as_they_are(skewed):
+    out = mixing.remixed(skewed, entropy=None, max_repeats=None)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, skewed.collect()), key=repr)
+
+
+def test_places_interleave(spark):
+    got = mixing.op4_source_mixing(spark, "/root/testdata/sf0.01")
+    assert got.filter("place < 0 or place >= 1").count() == 0
+    assert got.groupBy("doc_id", "epoch").count().filter("count > 1").count() == 0
+
+
+def test_odd_mixes(odd_docs, no_docs):
+    out = mixing.remixed(odd_docs, entropy=None, max_repeats=None)
+    assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
+    assert mixing.remixed(no_docs).collect() == []
+
+
+ROWS = [
+    (1, "mail Foo.Bar12@mail5.example.com, FOO.BAR12@MAIL5.EXAMPLE.COM. call +1 (523) 555-1055 or +1-523-555-1055 end"),
+    (2, "ip 8.196.197.208, card 4111 1111 1111 1111 / 4111111111111111 x"),
+    (3, None),
+    (4, "nothing here, version 1.2.3 of 2024-01-02"),
+    (5, 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6" TOKEN = "1EB9C654E721B4F812088970E66A6345CEE33DD6"'),
+    (6, "Mr. John Smith met Mary Smith; Dr Smith said. Иван Петров и Анна Петрова"),
+    (7, "GB29 NWBK 6016 1331 9268 19 ssn 123-45-6789 éa.07@mail1.example.com"),
+    (7, "GB29 NWBK 6016 1331 9268 19 ssn 123-45-6789 éa.07@mail1.example.com"),
+    (None, "x@y.zz"),
+]
+
+
+@pytest.fixture(scope="module")
+def replaced(spark):
+    df = spark.createDataFrame([(*r, "k", 1, 2) for r in ROWS], "doc_id long, text string, kind string, name long, at long")
+    out = pii.replaced(df, count="found")
+    assert out.columns == [*df.columns, "found"]
+    return {r.doc_id: r for r in out.collect()}
+
+
+def test_formats_and_coreference(replaced):
+    text = replaced[1].text
+    low, up, phone, dashed = re.fullmatch(r"mail (\S+), (\S+)\. call (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1-\d{3}-\d{3}-\d{4}) end", text).groups()
+    assert low.upper() == up and re.fullmatch(r"[a-z]{3}\.[a-z]{3}\d\d@[a-z]{4}\d\.example\.(com|org|net)", low)
+    assert re.sub(r"\D", "", phone) == re.sub(r"\D", "", dashed) != "15235551055"
+    ip, spaced, plain = re.fullmatch(r"ip (\S+), card ([\d ]+) / (\d+) x", replaced[2].text).groups()
+    assert ip != "8.196.197.208" and all(0 <= int(x) < 256 for x in ip.split("."))
+    assert spaced.replace(" ", "") == plain != "4111111111111111"
+    digits = [int(c) for c in reversed(plain)]
+    assert sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
+    one, two = re.findall('"(.*?)"', replaced[5].text)
+    assert one.upper() == two and re.fullmatch("[0-9a-f]{40}", one)
+
+
+def test_names_keep_gender_script_and_family(replaced):
+    mr, first, mary, second, third, ivan, petrov, anna, petrova = re.fullmatch(r"(Mr)\. (\S+ \S+) met (\S+) (\S+); Dr (\S+) said\. (\S+) (\S+) и (\S+) (\S+)", replaced[6].text).groups()
+    given, family = first.split()
+    assert family == second == third != "Smith"
+    assert given in pii.GIVEN["m", "latin"] and given != "John"
+    assert mary in pii.GIVEN["f", "latin"] and mary != "Mary"
+    assert ivan in pii.GIVEN["m", "cyrillic"] and anna in pii.GIVEN["f", "cyrillic"]
+    assert petrov.endswith("ов") and petrova.endswith("ова")
+
+
+def test_untouched_and_repeated(replaced):
+    assert replaced[3].text is None and replaced[3].found == 0
+    assert replaced[4].text == ROWS[3][1] and replaced[4].found == 0
+    assert replaced[7].found == 3 and "123-45-6789" not in replaced[7].text
+    assert re.fullmatch(r"[a-z]@example\.(com|org|net)", replaced[None].text)
+
+
+def test_collisions_are_drawn_again(spark):
+    """Two-letter addresses: most of the space is taken, and nobody gets another's."""
+    names = [(("email", f"{a}{b}@q.zz")) for a in "abcdefgh" for b in "abcdefghijklm"]
+    got = pii.distinct_surrogates(spark.createDataFrame(names, "kind string, name string")).collect()
+    assert len(got) == len({r.plain for r in got}) == len(names)
+    assert not {r.plain for r in got} & {n for _, n in names}
+
+
+def test_whole_table(spark, small):
+    out = {r.doc_id: r.text for r in pii.op5_pii_surrogates(spark, "/root/testdata/sf0.001").collect()}
+    pattern = re.compile(r"[\w.]+@\S+?\.(?:com|org|net)\b|\b\d{13,}\b|\b\d+\.\d+\.\d+\.\d+\b|\+1 \(\d+\) \d+-\d+|\b[0-9a-f]{40}\b|\b[0-9A-F]{40}\b")
+    real = {m for _, t in small for m in pattern.findall(t)}
+    assert real and not [m for t in out.values() for m in pattern.findall(t) if m in real]
+    for i, t in small:
+        assert [pattern.sub("", x) for x in (t,)] == [pattern.sub("", out[i])]
+
+
+def test_empty(no_docs):
+    assert pii.replaced(no_docs).collect() == []
