@@ -193,11 +193,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     most = rows.select("id").distinct().count()
     found = staged(nearest(index, queries, k + 1, most), "nearest") if most else None
     if found is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, neighbor_id long, distance long")
+        return rows.sparkSession.createDataFrame([], "query_id long, rank long, neighbor_id long, distance long")
     pairs = queries.distinct().join(found, queries.code == found["query"]).filter(queries.id != found.id)
     order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     named = pairs.select(queries.id.alias("query_id"), found.id.alias("neighbor_id"), "distance")
-    return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    return named.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
 
 
 def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:

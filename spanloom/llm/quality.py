@@ -158,4 +158,4 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> Data
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(table(spark, sf_dir, "documents"))
+    return quality_report(table(spark, sf_dir, "documents")).drop("host_rate")

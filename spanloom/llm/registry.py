@@ -5,6 +5,7 @@ from __future__ import annotations
 from spanloom.llm.extract import op3_html_extraction
 from spanloom.llm.hamming import op2_top_k_search
 from spanloom.llm.mixing import op4_source_mixing
+from spanloom.llm.oracle import SQL
 from spanloom.llm.pieces import op6_sentencepiece
 from spanloom.llm.pii import op5_pii_surrogates
 from spanloom.llm.quality import op7_quality_rules
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(SQL)
