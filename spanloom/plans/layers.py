@@ -15,8 +15,11 @@ from spanloom.operators.edges import UNIT
 from spanloom.sources.text import lines, read_table
 
 #: Fixed values of the arithmetic; the SQL counterparts state the same lists.
-POS = ("noun", "noun", "verb", "adjective", "pronoun", "preposition", "article", "noun", "adverb", "verb + pronoun")
-RELS = ("nsubj", "obj", "obl", "case", "conj", "aux", "cop", "amod", "acl:relcl", "xcomp", "ccomp", "fixed")
+POS = ("noun", "conjunction", "verb", "adjective", "pronoun", "preposition", "article", "noun", "adverb", "verb + pronoun", "pronoun + pronoun")
+RELS = (
+    "nsubj", "obj", "obl", "case", "conj", "aux", "cop", "amod", "acl:relcl", "xcomp", "ccomp", "fixed",
+    "advmod", "nmod", "advcl", "expl", "mark", "attr", "obl", "nsubj", "obj", "parataxis", "orphan",
+)
 CASES = ("nom", "acc.", "*dat*", "oblique", "expletive", "genitive+acc", "unheard", "ablative")
 
 
@@ -41,12 +44,12 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def morph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir).withColumn("pos", pick(POS, F.col("h")))
+    w = words(spark, sf_dir).withColumn("pos", pick(POS, F.col("h") + F.col("u")))
     verbal = F.col("pos").startswith("verb")
     a = F.ascii(F.lower("word"))
     return w.select(
         "*",
-        F.concat(F.lower("word"), F.when(F.col("pos") == "verb + pronoun", " + si").otherwise("")).alias("lemma"),
+        F.when((F.col("pos") == "verb") & (F.col("h") % 17 == 0), "essere").otherwise(F.concat(F.lower("word"), F.when(F.col("pos") == "verb + pronoun", " + si").otherwise(""))).alias("lemma"),
         pick(("m.", "f.", ""), F.col("h")).alias("gender"),
         pick(("sg.", "pl."), F.length("word")).alias("number"),
         F.when(verbal | (F.col("pos") == "pronoun"), pick(("1", "2", "3", ""), a)).otherwise("").alias("person"),
@@ -79,11 +82,31 @@ def case_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived frames and given ones (``given``): the latter miss, add and rename some arguments."""
-    wanted = frames.derived(edges(spark, sf_dir))
+    """Derived frames and given ones (``given``): the latter miss, add and rename some arguments, and
+    list dependents of predicates that are no arguments."""
+    e = edges(spark, sf_dir)
+    tokens = frames.with_children(e)
+    preps = tokens.filter(F.col("prep").isNotNull()).select(*UNIT, F.col("u").alias("arg"), F.concat(F.lit("obl:"), "prep").alias("marked"))
+    wanted = frames.derived(e).join(preps, [*UNIT, "arg"], "left")
     k = (F.col("doc_id") + F.col("unit") * 3 + F.col("pred") * 5 + F.col("arg") * 11) % 30
     row = lambda given, role, arg: F.struct(F.lit(given).alias("given"), role.alias("role"), arg.cast("int").alias("arg"))
     role, arg = F.col("role"), F.col("arg")
-    changed = row(True, F.when((k == 7) & (role == "obj"), "iobj").otherwise(role), F.when((k == 9) & (role == "subj"), 0).otherwise(arg))
+    other = (
+        F.when((k == 7) & (role == "obj"), "iobj")
+        .when((k == 8) & role.isin("obj", "obl"), "xcomp")
+        .when((k == 14) & (role == "obj"), "ccomp")
+        .when((k == 15) & (role == "ccomp"), "xcomp")
+        .when((k == 16) & (role == "obl"), "obl:a")
+        .when((k == 17) & (role == "subj"), "obj")
+        .when((k > 17) & role.isin("subj", "obj", "xcomp") & F.col("marked").isNotNull(), F.col("marked"))
+        .otherwise(role)
+    )
+    changed = row(True, other, F.when((k == 9) & (role == "subj"), 0).otherwise(arg))
     sides = F.array(row(False, role, arg), F.when(k != 4, changed), F.when((k == 12) & (arg > 0), row(True, F.lit("obl"), arg)))
-    return wanted.select(*UNIT, "pred", F.inline(F.filter(sides, lambda x: x.isNotNull()))).select(*UNIT, "pred", "role", "arg", "given")
+    both = wanted.select(*UNIT, "pred", F.inline(F.filter(sides, lambda x: x.isNotNull()))).select(*UNIT, "pred", "role", "arg", "given")
+    loose = tokens.filter((F.col("head") > 0) & ~F.col("deprel").isin(*frames.ROLES) & (F.col("u") % 3 == 0))
+    named = F.when(F.col("prep").isNotNull() & (F.col("h") % 2 == 0), F.concat(F.lit("obl:"), "prep")).otherwise(pick(("obl", "xcomp", "obl:a", "iobj"), F.col("h") + F.col("u")))
+    listed = loose.select(*UNIT, F.col("head").alias("pred"), named.alias("role"), F.col("u").alias("arg"))
+    listed = listed.join(tokens.filter("pred").select(*UNIT, F.col("u").alias("pred")), [*UNIT, "pred"], "left_semi")
+    others = tokens.filter(~F.col("pred") & (F.col("h") % 9 == 0)).select(*UNIT, F.col("u").alias("pred"), F.lit("subj").alias("role"), F.lit(0).alias("arg"))
+    return both.union(listed.union(others).withColumn("given", F.lit(True)))

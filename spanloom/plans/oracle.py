@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from spanloom.operators.rules import CONDITIONS
+
 LINES = """
 raw_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
 lines AS (SELECT doc_id, line, text FROM raw_lines WHERE trim(text) <> '')"""
@@ -20,8 +22,8 @@ each AS (SELECT doc_id, unit, line, unnest(ws) AS word, generate_subscripts(ws,
     FROM (SELECT *, regexp_extract_all(text, '''?\\p{L}+''?') AS ws FROM grouped)),
 numbered AS (SELECT *, (doc_id * 7 + line * 31 + token * 17 + length(word) * 13 + ascii(lower(word)) * 5) % 101 AS h,
     row_number() OVER (PARTITION BY doc_id, unit ORDER BY line, token) AS u, count(*) OVER (PARTITION BY doc_id, unit) AS n FROM each),
-placed AS (SELECT *, ['noun', 'noun', 'verb', 'adjective', 'pronoun', 'preposition', 'article', 'noun', 'adverb', 'verb + pronoun'][h % 10 + 1] AS pos FROM numbered),
-morph AS (SELECT *, lower(word) || CASE WHEN pos = 'verb + pronoun' THEN ' + si' ELSE '' END AS lemma, ['m.', 'f.', ''][h % 3 + 1] AS gender,
+placed AS (SELECT *, ['noun', 'conjunction', 'verb', 'adjective', 'pronoun', 'preposition', 'article', 'noun', 'adverb', 'verb + pronoun', 'pronoun + pronoun'][(h + u) % 11 + 1] AS pos FROM numbered),
+morph AS (SELECT *, CASE WHEN pos = 'verb' AND h % 17 = 0 THEN 'essere' WHEN pos = 'verb + pronoun' THEN lower(word) || ' + si' ELSE lower(word) END AS lemma, ['m.', 'f.', ''][h % 3 + 1] AS gender,
     ['sg.', 'pl.'][length(word) % 2 + 1] AS number,
     CASE WHEN pos IN ('verb', 'pronoun', 'verb + pronoun') THEN ['1', '2', '3', ''][ascii(lower(word)) % 4 + 1] ELSE '' END AS person,
     CASE WHEN h % 143 = 0 THEN 'NO_NP, CONT_NEXT' WHEN h % 11 = 0 THEN 'NO_NP' WHEN h % 13 = 0 THEN 'CONT_NEXT' ELSE '' END AS note FROM placed)"""
@@ -33,7 +35,8 @@ EDGES = (
 aimed AS (SELECT *, CASE WHEN h = 100 THEN u WHEN h % 7 = 0 THEN u + 1 + h % 2 ELSE u - 1 - h % 3 END AS aim FROM morph),
 headed AS (SELECT *, CASE WHEN aim < 1 OR aim > n THEN 0 ELSE aim END AS head FROM aimed),
 edges AS (SELECT *, CASE WHEN head = 0 AND h % 10 <> 9 THEN 'root'
-    ELSE ['nsubj', 'obj', 'obl', 'case', 'conj', 'aux', 'cop', 'amod', 'acl:relcl', 'xcomp', 'ccomp', 'fixed'][h % 12 + 1] END AS deprel FROM headed)"""
+    ELSE ['nsubj', 'obj', 'obl', 'case', 'conj', 'aux', 'cop', 'amod', 'acl:relcl', 'xcomp', 'ccomp', 'fixed',
+        'advmod', 'nmod', 'advcl', 'expl', 'mark', 'attr', 'obl', 'nsubj', 'obj', 'parataxis', 'orphan'][h % 23 + 1] END AS deprel FROM headed)"""
 )
 
 SPANS = """,
@@ -67,9 +70,15 @@ dropped AS (SELECT p.doc_id, p.unit, p.u AS pred, 'subj' AS role, 0 AS arg FROM
 filled AS (SELECT * FROM args UNION ALL SELECT * FROM dropped),
 derived AS (SELECT * FROM filled UNION ALL SELECT doc_id, unit, u, '', 0 FROM preds WHERE (doc_id, unit, u) NOT IN (SELECT doc_id, unit, pred FROM filled)),
 marked AS (SELECT *, (doc_id + unit * 3 + pred * 5 + arg * 11) % 30 AS k FROM derived),
-given AS (SELECT doc_id, unit, pred, CASE WHEN k = 7 AND role = 'obj' THEN 'iobj' ELSE role END AS role,
-        CASE WHEN k = 9 AND role = 'subj' THEN 0 ELSE arg END AS arg FROM marked WHERE k <> 4
-    UNION ALL SELECT doc_id, unit, pred, 'obl', arg FROM marked WHERE k = 12 AND arg > 0)"""
+given AS (SELECT m.doc_id, m.unit, pred, CASE WHEN role = 'obj' AND k = 7 THEN 'iobj' WHEN role IN ('obj', 'obl') AND k = 8 THEN 'xcomp' WHEN role = 'obj' AND k = 14 THEN 'ccomp'
+            WHEN role = 'ccomp' AND k = 15 THEN 'xcomp' WHEN role = 'obl' AND k = 16 THEN 'obl:a' WHEN role = 'subj' AND k = 17 THEN 'obj'
+            WHEN role IN ('subj', 'obj', 'xcomp') AND k > 17 AND prep IS NOT NULL THEN 'obl:' || prep ELSE role END AS role,
+        CASE WHEN k = 9 AND role = 'subj' THEN 0 ELSE arg END AS arg FROM marked m LEFT JOIN preps q ON m.doc_id = q.doc_id AND m.unit = q.unit AND m.arg = q.u WHERE k <> 4
+    UNION ALL SELECT doc_id, unit, pred, 'obl', arg FROM marked WHERE k = 12 AND arg > 0
+    UNION ALL SELECT e.doc_id, e.unit, e.head, CASE WHEN prep IS NOT NULL AND e.h % 2 = 0 THEN 'obl:' || prep ELSE ['obl', 'xcomp', 'obl:a', 'iobj'][(e.h + e.u) % 4 + 1] END, e.u
+        FROM edges e JOIN preds p ON e.doc_id = p.doc_id AND e.unit = p.unit AND e.head = p.u LEFT JOIN preps q ON e.doc_id = q.doc_id AND e.unit = q.unit AND e.u = q.u
+        WHERE e.deprel NOT IN ('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl') AND e.u % 3 = 0
+    UNION ALL SELECT e.doc_id, e.unit, e.u, 'subj', 0 FROM edges e WHERE e.h % 9 = 0 AND (doc_id, unit, u) NOT IN (SELECT doc_id, unit, u FROM preds))"""
 )
 
 RANK = "(CASE role WHEN '' THEN -1 WHEN 'subj' THEN 0 WHEN 'obj' THEN 1 WHEN 'iobj' THEN 2 WHEN 'attr' THEN 3 WHEN 'xcomp' THEN 4 WHEN 'ccomp' THEN 5 ELSE 6 END)"
@@ -124,7 +133,41 @@ def _walk(name: str, over: str) -> str:
     WHERE w.steps < 8 AND e.deprel IN ({over}) AND e.head > 0)"""
 
 
+CONTEXT = (
+    DIVERGENCE
+    + CASES
+    + _walk("a", "'aux', 'aux:pass', 'cop'")
+    + """,
+ends AS (SELECT doc_id, unit, u, arg_max(place, steps) AS aux_head FROM a GROUP BY ALL),
+bundles AS (SELECT doc_id, unit, head AS u, '|' || coalesce(string_agg(lemma, '|' ORDER BY lemma) FILTER (deprel = 'case'), '') || '|' AS cases,
+    '|' || coalesce(string_agg(lemma, '|' ORDER BY lemma) FILTER (deprel = 'mark'), '') || '|' AS marks,
+    count(*) FILTER (deprel = 'case') AS n_case, count(*) FILTER (deprel = 'cop') AS n_cop, count(*) FILTER (deprel IN ('obl', 'ccomp', 'xcomp', 'advcl')) AS n_complement, count(*) FILTER (deprel = 'orphan') AS n_orphan
+    FROM edges WHERE head > 0 GROUP BY ALL),
+wide AS (SELECT e.doc_id, e.unit, e.u, e.pos, e.lemma, e.deprel, e.head, CASE WHEN e.head = 0 THEN 0 ELSE h.aux_head END AS host, x.aux_head,
+    coalesce(b.cases, '||') AS cases, coalesce(b.marks, '||') AS marks, coalesce(b.n_case, 0) AS n_case, coalesce(b.n_cop, 0) AS n_cop, coalesce(b.n_complement, 0) AS n_complement, coalesce(b.n_orphan, 0) AS n_orphan,
+    '|' || coalesce(replace(CANON, '+', '|'), '') || '|' AS slots, (e.doc_id, e.unit, e.u) IN (SELECT doc_id, unit, u FROM preds) AS is_pred
+    FROM edges e JOIN ends x USING (doc_id, unit, u) LEFT JOIN ends h ON e.doc_id = h.doc_id AND e.unit = h.unit AND e.head = h.u
+    LEFT JOIN bundles b ON e.doc_id = b.doc_id AND e.unit = b.unit AND e.u = b.u LEFT JOIN cases c ON e.doc_id = c.doc_id AND e.unit = c.unit AND e.u = c.u),
+sides AS (SELECT doc_id, unit, pred, bool_and(role = '') AS derived_empty, count(*) FILTER (role = 'subj') AS n_subj FROM derived GROUP BY ALL),
+named AS (SELECT DISTINCT doc_id, unit, pred FROM given),
+context AS (SELECT d.*, coalesce(a.deprel, '') AS a_deprel, coalesce(a.pos, '') AS a_pos, coalesce(a.lemma, '') AS a_lemma, coalesce(a.cases, '||') AS a_cases, coalesce(a.marks, '||') AS a_marks,
+    coalesce(a.n_case, 0) AS a_n_case, coalesce(a.slots, '||') AS a_slots, coalesce(a.n_orphan, 0) AS a_n_orphan, coalesce(a.head = d.pred OR a.host = d.pred, false) AS hosted,
+    p.deprel AS p_deprel, p.pos AS p_pos, p.lemma AS p_lemma, p.n_cop AS p_n_cop, p.n_complement AS p_n_complement, p.aux_head <> d.pred AND coalesce(q.is_pred, false) AS p_aux_pred,
+    coalesce(s.derived_empty, false) AS derived_empty, coalesce(s.n_subj, 0) AS n_subj, n.pred IS NOT NULL AS arg_given
+    FROM divergence d LEFT JOIN wide a ON d.doc_id = a.doc_id AND d.unit = a.unit AND d.arg = a.u JOIN wide p ON d.doc_id = p.doc_id AND d.unit = p.unit AND d.pred = p.u
+    LEFT JOIN wide q ON d.doc_id = q.doc_id AND d.unit = q.unit AND p.aux_head = q.u LEFT JOIN sides s ON d.doc_id = s.doc_id AND d.unit = s.unit AND d.pred = s.pred
+    LEFT JOIN named n ON d.doc_id = n.doc_id AND d.unit = n.unit AND d.arg = n.pred)""".replace("CANON", CANON)
+)
+
+HITS = "[" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in CONDITIONS.items()) + "]"
+
 SQL: dict[str, str] = {
+    "rule_census": f"""WITH RECURSIVE {CONTEXT}, hits AS (SELECT list_filter({HITS}, lambda x: x IS NOT NULL) AS rs FROM context),
+        counts AS (SELECT unnest(rs) AS rule_id, len(rs) = 1 AS sole FROM hits)
+        SELECT rule_id, count(counts.rule_id) AS hits, count(*) FILTER (sole) AS sole FROM (SELECT unnest({list(CONDITIONS)}) AS rule_id) LEFT JOIN counts USING (rule_id) GROUP BY rule_id""",
+    "residual_violations": f"""WITH RECURSIVE {CONTEXT} SELECT doc_id, unit, pred, arg, kind, role, given_role FROM context WHERE len(list_filter({HITS}, lambda x: x IS NOT NULL)) = 0""",
+    "rule_ablation": f"""WITH RECURSIVE {CONTEXT}, hits AS (SELECT kind, list_filter({HITS}, lambda x: x IS NOT NULL) AS rs FROM context),
+        off AS (SELECT unnest({['', *CONDITIONS]}) AS disabled) SELECT disabled, kind, count(*) AS n FROM hits, off WHERE len(list_filter(rs, lambda x: x <> disabled)) = 0 GROUP BY ALL""",
     "lines_scan": f"WITH {LINES} SELECT doc_id, line, text FROM lines",
     "tokens_alpha": f"WITH {MORPH} SELECT doc_id, line, token, word FROM numbered",
     "tokens_full_elision": f"""WITH {LINES} SELECT doc_id, token, count(*) AS n FROM
@@ -167,7 +210,7 @@ SQL: dict[str, str] = {
     "quote_ids": f"""WITH {QUOTES}, counted AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY col) AS k, count(*) OVER (PARTITION BY doc_id, line) AS n FROM forest)
         SELECT doc_id, quote, line || CASE WHEN n = 1 THEN '' WHEN k <= 26 THEN substr('abcdefghijklmnopqrstuvwxyz', k, 1) ELSE '.' || k END AS quote_id FROM counted""",
     "quote_overlap": f"WITH {QUOTES} SELECT doc_id, quote, line, end_line FROM forest WHERE error = '' AND line <= 3 AND end_line >= 2",
-    "pos_census": f"""WITH {MORPH} SELECT pos, count(*) AS n, sum(CASE WHEN pos LIKE '%pronoun' THEN 1 ELSE 0 END)::BIGINT AS slots, count(*) FILTER (pos LIKE 'verb%') AS verbs,
+    "pos_census": f"""WITH {MORPH} SELECT pos, count(*) AS n, sum(CASE WHEN pos = 'pronoun + pronoun' THEN 2 WHEN pos LIKE '%pronoun' THEN 1 ELSE 0 END)::BIGINT AS slots, count(*) FILTER (pos LIKE 'verb%') AS verbs,
         count(*) FILTER (pos LIKE '%noun%' AND note = '') AS content FROM morph GROUP BY pos""",
     "case_canon": f'WITH {MORPH}{CASES} SELECT "case", {CANON} AS canonical, count(*) AS n FROM cases GROUP BY ALL',
     "case_value_census": f"WITH {MORPH}{CASES} SELECT word, value, count(*) AS n FROM (SELECT word, unnest(string_split({CANON}, '+')) AS value FROM cases) GROUP BY ALL",

@@ -12,7 +12,7 @@ from spanloom.functions import text as fn
 from spanloom.operators import edges as eg
 from spanloom.operators import frames as fr
 from spanloom.operators import quotes as qt
-from spanloom.operators import score, spans, units
+from spanloom.operators import rules, score, spans, units
 from spanloom.plans import layers
 from spanloom.sources import text as src
 
@@ -265,7 +265,7 @@ def dep_violations(spark, sf):
 
 @query
 def bounded_walks(spark, sf):
-    return eg.walks(layers.edges(spark, sf))
+    return eg.walks(layers.edges(spark, sf)).drop("host")
 
 
 @query
@@ -351,6 +351,34 @@ def role_canon(spark, sf):
     return counted.select("role", fn.canonical_role(F.col("role")).alias("canonical"), fn.role_rank(F.col("role")).alias("rank"), fn.valid_role(F.col("role")).alias("valid"), "n")
 
 
+# rules
+
+
+def differences(spark, sf):
+    e = layers.edges(spark, sf)
+    frames = layers.frames_of(spark, sf)
+    return rules.context(fr.divergence(frames), frames, e, layers.case_rows(spark, sf))
+
+
+@query
+def rule_census(spark, sf):
+    """How many differences each rule accepts, and how many it alone does."""
+    return rules.census(differences(spark, sf))
+
+
+@query
+def residual_violations(spark, sf):
+    """Differences that no rule accepts."""
+    rest = rules.judged(differences(spark, sf)).filter("rule_id = ''")
+    return rest.select(*UNIT, "pred", "arg", "kind", "role", "given_role")
+
+
+@query
+def rule_ablation(spark, sf):
+    """Open differences by kind, with all rules and with each rule off."""
+    return rules.ablation(differences(spark, sf))
+
+
 # search, resumption, scores
 
 
