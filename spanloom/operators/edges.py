@@ -75,3 +75,34 @@ def structure_violations(edges: DataFrame) -> DataFrame:
     cycles = reaches_root(edges).filter(~F.col("rooted")).select(*UNIT, "u", F.lit("cycle").alias("kind"))
     doubles = children(edges).filter("n_obj > 1").select(*UNIT, "u", F.lit("double_obj").alias("kind"))
     return counted.union(labels).union(selves).union(cycles).union(doubles)
+
+
+def subtree_starts(edges: DataFrame, depth: int = 64) -> DataFrame:
+    """``(unit keys, u, first, size)``: smallest token and number of tokens at or below each token, down
+    to ``depth`` edges."""
+    packed = unit_arrays(edges)
+    each = packed.select(*UNIT, "heads", F.explode(F.sequence(F.lit(1), F.size("heads"))).alias("u"))
+
+    def step(path: Column, _: Column) -> Column:
+        above = F.when(F.element_at(path, -1) > 0, F.element_at("heads", F.greatest(F.element_at(path, -1), F.lit(1)))).otherwise(0)
+        return F.when((above == 0) | F.array_contains(path, above), path).otherwise(F.concat(path, F.array(above)))
+
+    path = F.aggregate(F.sequence(F.lit(1), F.least(F.size("heads"), F.lit(depth))), F.array("u"), step)
+    return each.select(*UNIT, "u", F.explode(path).alias("top")).groupBy(*UNIT, F.col("top").alias("u")).agg(F.min("u").alias("first"), F.count("*").alias("size"))
+
+
+def finite_features(edges: DataFrame) -> DataFrame:
+    """``(unit keys, u, person, number)`` of a token, from itself or from its first finite function word."""
+    child = edges.filter(F.col("deprel").isin(*FUNCTION) & (F.col("head") > 0) & (F.col("person") != ""))
+    first = child.groupBy(*UNIT, F.col("head").alias("u")).agg(F.min_by(F.struct("person", "number"), "u").alias("aux"))
+    own = F.col("person") != ""
+    picked = lambda c: F.when(own, F.col(c)).otherwise(F.coalesce(F.col(f"aux.{c}"), F.lit("")))
+    return edges.join(first, [*UNIT, "u"], "left").select(*UNIT, "u", picked("person").alias("person"), picked("number").alias("number"))
+
+
+def resolved(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows that name a head by number and word: ``status`` is root, ok, no_such_token or word_differs."""
+    named = words.select(*UNIT, F.col("u").alias("head"), F.col("word").alias("there"))
+    joined = rows.join(named, [*UNIT, "head"], "left")
+    status = F.when(F.col("head") == 0, "root").when(F.col("there").isNull(), "no_such_token").when(F.lower("there") == F.lower("head_word"), "ok").otherwise("word_differs")
+    return joined.withColumn("status", status).drop("there")

@@ -51,3 +51,12 @@ def ids(quotes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     k = F.row_number().over(by.orderBy("col"))
     letter = F.when(k <= 26, F.chr(F.lit(96) + k)).otherwise(F.concat(F.lit("."), k.cast("string")))
     return quotes.withColumn("quote_id", F.concat(F.col("line").cast("string"), F.when(F.count("*").over(by) > 1, letter).otherwise("")))
+
+
+def as_xml(quotes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(keys, xml)``: well-formed quotes of a document as nested ``q`` elements in text order."""
+    good = quotes.filter("error = ''")
+    head = F.concat(F.lit('<q line="'), F.concat_ws("-", "line", F.when(F.col("end_line") != F.col("line"), F.col("end_line"))), F.lit('" col="'), F.concat_ws("-", "col", "end_col"), F.lit('">'))
+    tags = good.select(*keys, F.inline(F.array(F.struct(F.col("line").alias("l"), F.col("col").alias("c"), head.alias("tag")), F.struct(F.col("end_line").alias("l"), F.col("end_col").alias("c"), F.lit("</q>").alias("tag")))))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l", "c", "tag"))), lambda x: x["tag"]), "")
+    return tags.groupBy(*keys).agg(joined.alias("xml"))

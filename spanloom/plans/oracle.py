@@ -162,6 +162,37 @@ context AS (SELECT d.*, coalesce(a.deprel, '') AS a_deprel, coalesce(a.pos, '')
 HITS = "[" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in CONDITIONS.items()) + "]"
 
 SQL: dict[str, str] = {
+    "subtree_starts": f"""WITH RECURSIVE {EDGES}, below AS (SELECT doc_id, unit, u AS top, u, 0 AS steps FROM edges
+        UNION ALL SELECT b.doc_id, b.unit, e.head, b.u, b.steps + 1 FROM below b JOIN edges e ON e.doc_id = b.doc_id AND e.unit = b.unit AND e.u = b.top WHERE e.head > 0 AND b.steps < 16)
+        SELECT doc_id, unit, top AS u, min(u) AS first, count(DISTINCT u) AS size FROM below GROUP BY ALL""",
+    "pro_drop_features": f"""WITH {EDGES}, aux AS (SELECT doc_id, unit, head AS u, arg_min(person, u) AS ap, arg_min(number, u) AS an FROM edges
+            WHERE deprel IN ('aux', 'aux:pass', 'cop') AND head > 0 AND person <> '' GROUP BY ALL)
+        SELECT CASE WHEN person <> '' THEN person ELSE coalesce(ap, '') END AS person, CASE WHEN person <> '' THEN number ELSE coalesce(an, '') END AS number, count(*) AS n
+        FROM edges LEFT JOIN aux USING (doc_id, unit, u) GROUP BY ALL""",
+    "resolve_rows": f"""WITH {EDGES}, worded AS (SELECT a.*, coalesce(b.word, '') AS head_word FROM edges a LEFT JOIN edges b ON a.doc_id = b.doc_id AND a.unit = b.unit AND a.head = b.u),
+        claimed AS (SELECT doc_id, unit, CASE WHEN h % 40 = 0 THEN head + 500 ELSE head END AS head, CASE WHEN h % 9 = 0 THEN reverse(head_word) ELSE lower(head_word) END AS head_word FROM worded)
+        SELECT c.doc_id, CASE WHEN c.head = 0 THEN 'root' WHEN e.word IS NULL THEN 'no_such_token' WHEN lower(e.word) = lower(c.head_word) THEN 'ok' ELSE 'word_differs' END AS status, count(*) AS n
+        FROM claimed c LEFT JOIN edges e ON c.doc_id = e.doc_id AND c.unit = e.unit AND c.head = e.u GROUP BY ALL""",
+    "membership": f"""WITH {FRAMES}{SPANS} SELECT g.doc_id, count(*) AS n FROM given g JOIN edges e ON g.doc_id = e.doc_id AND g.unit = e.unit AND g.arg = e.u WHERE g.arg > 0 AND e.pos NOT LIKE '%pronoun%'
+        AND e.deprel NOT IN ('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl') AND (e.doc_id, e.unit, e.u) NOT IN (SELECT doc_id, unit, u FROM preds)
+        AND (e.doc_id, e.line, e.token) NOT IN (SELECT doc_id, line, head FROM spans) GROUP BY ALL""",
+    "quote_xml": f"""WITH {QUOTES}, tags AS (SELECT doc_id, line AS l, col AS c, '<q line="' || line || CASE WHEN end_line <> line THEN '-' || end_line ELSE '' END || '" col="' || col || '-' || end_col || '">' AS tag
+        FROM forest WHERE error = '' UNION ALL SELECT doc_id, end_line, end_col, '</q>' FROM forest WHERE error = '') SELECT doc_id, string_agg(tag, '' ORDER BY l, c) AS xml FROM tags GROUP BY doc_id""",
+    "section_lines": f"""WITH {LINES}, marked AS (SELECT *, length(text) < 40 AS is_header, max(CASE WHEN length(text) < 40 THEN line END) OVER (PARTITION BY doc_id ORDER BY line) AS header_line FROM lines)
+        SELECT m.doc_id, m.line, m.header_line, h.text AS title, row_number() OVER (PARTITION BY m.doc_id, m.header_line ORDER BY m.line) AS place
+        FROM marked m JOIN lines h ON m.doc_id = h.doc_id AND m.header_line = h.line WHERE NOT m.is_header""",
+    "context_lines": f"WITH {LINES} SELECT doc_id, line, coalesce(lag(md5(text)) OVER (PARTITION BY doc_id ORDER BY line), '') AS before, md5(text) AS here FROM lines",
+    "document_sample": "SELECT doc_id, lang FROM documents ORDER BY sha256('s' || doc_id), doc_id LIMIT 50",
+    "span_violations": f"""WITH {MORPH}{SPANS}, moved AS (SELECT doc_id, line, start - CASE WHEN start % 5 = 1 THEN 1 ELSE 0 END AS start, "end" + CASE WHEN head % 4 = 0 THEN 2 ELSE 0 END AS "end",
+            head + CASE WHEN start % 7 = 0 THEN 9 ELSE 0 END AS head FROM spans), per_line AS (SELECT doc_id, line, count(*) AS size FROM numbered GROUP BY ALL)
+        SELECT doc_id, CASE WHEN start < 1 THEN 'start_out_of_line' WHEN "end" > size THEN 'end_out_of_line' ELSE 'head_outside' END AS kind, count(*) AS n FROM moved JOIN per_line USING (doc_id, line)
+        WHERE start < 1 OR "end" > size OR head < start OR head > "end" GROUP BY ALL""",
+    "span_occurrences": f"""WITH {MORPH}{SPANS}, worded AS (SELECT o.doc_id, o.line, o.ord, o.start, string_agg(n.word, ' ' ORDER BY n.token) AS words FROM ordered o JOIN numbered n
+            ON o.doc_id = n.doc_id AND o.line = n.line AND n.token BETWEEN o.start AND o."end" GROUP BY ALL)
+        SELECT doc_id, line, ord, words, row_number() OVER (PARTITION BY doc_id, line, words ORDER BY start, ord) AS occurrence FROM worded""",
+    "violation_totals": f"""WITH {DIVERGENCE} SELECT kind, count(*) AS n, count(*) FILTER (arg = 0) AS n_empty FROM divergence GROUP BY kind
+        UNION ALL SELECT 'TOTAL', count(*), count(*) FILTER (arg = 0) FROM divergence""",
+    "call_round_trip": "SELECT conv_id, turn, role AS name, true AS same FROM conversations",
     "rule_census": f"""WITH RECURSIVE {CONTEXT}, hits AS (SELECT list_filter({HITS}, lambda x: x IS NOT NULL) AS rs FROM context),
         counts AS (SELECT unnest(rs) AS rule_id, len(rs) = 1 AS sole FROM hits)
         SELECT rule_id, count(counts.rule_id) AS hits, count(*) FILTER (sole) AS sole FROM (SELECT unnest({list(CONDITIONS)}) AS rule_id) LEFT JOIN counts USING (rule_id) GROUP BY rule_id""",

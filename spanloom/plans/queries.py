@@ -177,6 +177,29 @@ def quote_overlap(spark, sf):
     return qt.overlapping(qt.forest(qt.marks(quoted(spark, sf))).filter("error = ''"), ranges).select("doc_id", "quote", "line", "end_line")
 
 
+@query
+def quote_xml(spark, sf):
+    return qt.as_xml(qt.forest(qt.marks(quoted(spark, sf))))
+
+
+@query
+def section_lines(spark, sf):
+    """Short lines are headers of what follows."""
+    return src.sections(src.lines(docs(spark, sf)), F.length("text") < 40).select("doc_id", "line", "header_line", "title", "place")
+
+
+@query
+def context_lines(spark, sf):
+    """Every line with the one before it."""
+    w = Window.partitionBy("doc_id").orderBy("line")
+    return src.lines(docs(spark, sf)).select("doc_id", "line", F.coalesce(F.lag(F.md5("text")).over(w), F.lit("")).alias("before"), F.md5("text").alias("here"))
+
+
+@query
+def document_sample(spark, sf):
+    return score.hash_sample(docs(spark, sf).select("doc_id", "lang"), "doc_id", 50, "s")
+
+
 # features and cases
 
 
@@ -229,6 +252,19 @@ def np_first_head(spark, sf):
     return spans.first_of_head(layers.spans(spark, sf)).select("doc_id", "line", "head", "start", "end")
 
 
+@query
+def span_violations(spark, sf):
+    """Faults of spans of which some are moved out of their line or lose their head."""
+    sizes = src.tokens(src.lines(docs(spark, sf))).groupBy("doc_id", "line").agg(F.count("*").alias("size"))
+    moved = layers.spans(spark, sf).select("doc_id", "line", (F.col("start") - F.when(F.col("start") % 5 == 1, 1).otherwise(0)).alias("start"), (F.col("end") + F.when(F.col("head") % 4 == 0, 2).otherwise(0)).alias("end"), (F.col("head") + F.when(F.col("start") % 7 == 0, 9).otherwise(0)).alias("head"))
+    return spans.checked(moved, sizes).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query
+def span_occurrences(spark, sf):
+    return spans.occurrences(layers.spans(spark, sf), src.tokens(src.lines(docs(spark, sf)))).select("doc_id", "line", "ord", "words", "occurrence")
+
+
 @query
 def np_role_join(spark, sf):
     joined = spans.with_role(layers.spans(spark, sf), layers.edges(spark, sf))
@@ -320,6 +356,13 @@ def violation_stats(spark, sf):
     return rows.groupBy("kind", "role", "given_role").agg(F.count("*").alias("n"), F.count_if(F.col("arg") == 0).alias("n_empty"))
 
 
+@query
+def violation_totals(spark, sf):
+    """Differences by kind and in all."""
+    counts = fr.divergence(layers.frames_of(spark, sf)).select("kind", F.lit(1).alias("n"), (F.col("arg") == 0).cast("long").alias("n_empty"))
+    return score.with_total(counts, "kind", ["n", "n_empty"])
+
+
 @query
 def null_subject_repair(spark, sf):
     return fr.null_subject_repairs(fr.divergence(layers.frames_of(spark, sf)))
@@ -351,6 +394,37 @@ def role_canon(spark, sf):
     return counted.select("role", fn.canonical_role(F.col("role")).alias("canonical"), fn.role_rank(F.col("role")).alias("rank"), fn.valid_role(F.col("role")).alias("valid"), "n")
 
 
+@query
+def subtree_starts(spark, sf):
+    """Smallest token and number of tokens up to sixteen edges below each token."""
+    return eg.subtree_starts(layers.edges(spark, sf), 16)
+
+
+@query
+def pro_drop_features(spark, sf):
+    return eg.finite_features(layers.edges(spark, sf)).groupBy("person", "number").agg(F.count("*").alias("n"))
+
+
+@query
+def resolve_rows(spark, sf):
+    """Edges that name their head by word, some of them wrongly."""
+    e = eg.with_head_word(layers.edges(spark, sf))
+    claimed = e.select(*UNIT, "u", F.when(F.col("h") % 40 == 0, F.col("head") + 500).otherwise(F.col("head")).alias("head"), F.when(F.col("h") % 9 == 0, F.reverse("head_word")).otherwise(F.lower("head_word")).alias("head_word"))
+    return eg.resolved(claimed, e.select(*UNIT, "u", "word")).groupBy("doc_id", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def membership(spark, sf):
+    """Arguments of given frames that are neither a head of a span, nor a pronoun, a predicate or an argument."""
+    e = layers.edges(spark, sf)
+    frames = layers.frames_of(spark, sf).filter("given and arg > 0").select(*UNIT, "pred", F.col("arg").alias("u"))
+    heads = layers.spans(spark, sf).select("doc_id", "line", F.col("head").alias("token")).distinct().withColumn("span_head", F.lit(True))
+    member = F.col("pos").contains("pronoun") | F.col("deprel").isin(*fr.ROLES) | F.coalesce("span_head", F.lit(False))
+    known = e.join(heads, ["doc_id", "line", "token"], "left").select(*UNIT, "u", member.alias("member")).join(fr.predicates(e).withColumn("is_pred", F.lit(True)), [*UNIT, "u"], "left")
+    odd = frames.join(known, [*UNIT, "u"]).filter(~F.col("member") & F.col("is_pred").isNull())
+    return odd.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 # rules
 
 
@@ -467,6 +541,15 @@ def toolcall_parse(spark, sf):
     return rows.select("conv_id", "turn", "block", F.coalesce("name", F.lit("")).alias("name"), F.coalesce(F.get_json_object("arguments", "$.n").cast("long"), F.lit(-1)).alias("n"), F.coalesce("error", F.lit("")).alias("error"))
 
 
+@query
+def call_round_trip(spark, sf):
+    """Whether a call written as a block reads back as the same call."""
+    c = src.read_table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("name"), F.length("text").alias("n"))
+    text = F.concat(F.lit("<tool_call>"), F.to_json(F.struct("name", F.struct("n").alias("arguments"))), F.lit("</tool_call>"))
+    back = src.call_blocks(c.withColumn("text", text), "text", ("conv_id", "turn", "n"))
+    return back.select("conv_id", "turn", "name", (F.get_json_object("arguments", "$.n").cast("int") == F.col("n")).alias("same"))
+
+
 @query
 def turn_classification(spark, sf):
     """A turn without a good call is a recovery problem only after an earlier good one."""

@@ -85,3 +85,21 @@ def read_layer(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 def write_layer(rows: DataFrame, path: str, order: list[str | Column], keys: list[str]) -> None:
     """A tab-separated layer with a header, one folder per key, rows in order."""
     rows.repartition(*keys).sortWithinPartitions(*keys, *order).write.partitionBy(*keys).option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").mode("overwrite").csv(path)
+
+
+def sections(scanned: DataFrame, is_header: Column, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Lines under headers: the header line before each line and the place below it; lines before the
+    first header go. One window per document."""
+    from pyspark.sql import Window
+
+    upto = Window.partitionBy(*keys).orderBy("line")
+    header = F.last(F.when(is_header, F.struct(F.col("line").alias("at"), F.col("text").alias("title"))), ignorenulls=True).over(upto)
+    marked = scanned.withColumn("header", header).withColumn("is_header", is_header).filter("header is not null and not is_header")
+    place = F.row_number().over(Window.partitionBy(*keys, "header_line").orderBy("line"))
+    return marked.select(*keys, "line", "text", F.col("header.at").alias("header_line"), F.col("header.title").alias("title")).withColumn("place", place)
+
+
+def read_votes(spark: SparkSession, path: str) -> DataFrame:
+    """Answers as JSON lines: one row per id, one column per run."""
+    rows = spark.read.schema("id string, run int, answer string").json(path).filter("id is not null")
+    return rows.groupBy("id").pivot("run").agg(F.first("answer"))
