@@ -1 +1 @@
-""""""
+"""No streaming operators: the annotation layers are batch relations."""

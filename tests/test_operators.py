@@ -108,7 +108,8 @@ def test_frames(spark):
 def test_divergence_and_repair(spark):
     columns = "doc_id long, unit int, pred int, role string, arg int, given boolean"
     rows = [(2, "subj", 0, True), (2, "obj", 4, True), (2, "subj", 1, False), (2, "obl", 4, False), (3, "obj", 1, True), (4, "obj", 1, False)]
-    found = frames.divergence(spark.createDataFrame([(1, 1, *r) for r in rows], columns))
+    both = spark.createDataFrame([(1, 1, *r) for r in rows], columns)
+    found = frames.divergence(frames.sided(both.filter("given"), both.filter("not given")))
     assert values(found, "pred", "arg", "kind", "role", "given_role") == [
         (2, 0, "extra_arg", "", "subj"),
         (2, 1, "missing_arg", "subj", ""),
