@@ -48,16 +48,17 @@ def fingerprint(raw: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` of whole texts, without a shuffle; fp is the 64 bits as a signed long."""
+    """``(doc_id, mark, fp)`` of whole texts, without a shuffle; mark is the hash of the text, fp the 64
+    bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 8_000_000):
-                made = [fingerprint(x) for x in text_bytes(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], ["doc_id", "fp"])
+                made = [fingerprint(x) for x in text_bytes(batch.column(2))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.int64())], ["doc_id", "mark", "fp"])
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -223,31 +224,45 @@ def _free(fp, taken, width: int) -> list:
     return [_cut(rest, 9 * b, 9) for b in range(4)]
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, hot_key: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, mark, fp)``, and for each fingerprint ``(fp, group, component_id)``.
+
+    Fingerprints are linked as such, so those that only rows without an id have join groups too.
+    """
+    marks = staged(fingerprints(docs, doc_id, text), "fingerprints")
+    reps = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(reps.select("fp", F.col("fp").alias("rep")), hot_key))
+    grouped = staged(reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("group")), "grouped")
+    named = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    return marks, staged(grouped.join(named, "group").select("fp", "group", "component_id"), "named")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
     """``(doc_id, fp, component_id)`` per row of ``docs``."""
-    marks = staged(fingerprints(docs, doc_id, text), "fingerprints")
-    reps = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = components(links(reps.filter("rep is not null"), hot_key))
-    named = staged(reps.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "named")
+    marks, named = _grouped(docs, doc_id, text, hot_key)
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id; columns of ``docs``.
+def one_of_each(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component in ``groups(doc_id, mark, component)``, the one with the smallest id; columns of ``docs``.
 
-    Rows that share an id count as one document; rows without an id all stay.
+    A row is known by its id and the hash of its text, so different texts under one id are judged each
+    for itself and a row without an id stays only where no other row of its component has one.
     """
-    groups = near_duplicates(docs, doc_id, text)
-    gone = staged(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    left = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    if not _repeats(groups):
+    row = F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("best_id"), F.col("mark").alias("best_mark"))
+    best = groups.groupBy("component").agg(F.min(row).alias("best")).select("component", "best.*")
+    same = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark"))
+    gone = staged(groups.join(best, "component").filter(~same).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__gone")).distinct(), "gone")
+    left = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__gone")), "left_anti")
+    if groups.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
         return left
-    return left.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(left.filter(F.col(doc_id).isNull()))
+    return left.withColumn("__mark", F.xxhash64(text)).dropDuplicates([doc_id, "__mark"]).drop("__mark")
 
 
-def _repeats(groups: DataFrame) -> bool:
-    """Whether any document id stands more than once."""
-    return not groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component; columns of ``docs``."""
+    marks, named = _grouped(docs, doc_id, text, HOT_KEY)
+    return one_of_each(docs, staged(marks.join(named, "fp").select("doc_id", "mark", F.col("group").alias("component")), "groups"), doc_id, text)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,17 @@ def test_odd_rows(spark, odd_docs, no_docs):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(0) == 1 and 1 not in ids and 7 not in ids and None in ids and 2 in ids and 4 not in ids
     assert simhash.near_duplicates(no_docs).collect() == [] and simhash.keep_one(no_docs).collect() == []
+
+
+def test_ids_that_repeat_or_are_missing(spark):
+    """Groups joined only through a row without an id; texts under one id; copies without any."""
+    words = [f"w{i}" for i in range(400)]
+    chain = [" ".join([*words[:400 - k], *(f"v{i}" for i in range(k))]) for k in range(40)]
+    fps = np.array([brute_fp(t) for t in chain], np.uint64)
+    far = next((i, j, k) for i in range(40) for j in range(40) for k in range(40) if (fps[i] ^ fps[k]).item().bit_count() > 3 >= max((fps[i] ^ fps[j]).item().bit_count(), (fps[j] ^ fps[k]).item().bit_count()))
+    a, bridge, c = (chain[i] for i in far)
+    rows = [(1, a), (2, c), (None, bridge), (5, "quite another text"), (5, "and one more under five"), (None, "no id"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.component_id for r in simhash.near_duplicates(df).collect() if r.doc_id in (1, 2)} == {1}
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(1, a), (5, "quite another text"), (5, "and one more under five"), (None, "no id")], key=repr)
