@@ -6,6 +6,9 @@ run over the unit's array of heads, so they need one grouping and no join per st
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,18 +80,50 @@ def structure_violations(edges: DataFrame) -> DataFrame:
     return counted.union(labels).union(selves).union(cycles).union(doubles)
 
 
-def subtree_starts(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """``(unit keys, u, first, size)``: smallest token and number of tokens at or below each token, down
-    to ``depth`` edges."""
-    packed = unit_arrays(edges)
-    each = packed.select(*UNIT, "heads", F.explode(F.sequence(F.lit(1), F.size("heads"))).alias("u"))
+def subtree_starts(edges: DataFrame) -> DataFrame:
+    """``(unit keys, u, first, size)``: smallest token and number of tokens at or below each token.
 
-    def step(path: Column, _: Column) -> Column:
-        above = F.when(F.element_at(path, -1) > 0, F.element_at("heads", F.greatest(F.element_at(path, -1), F.lit(1)))).otherwise(0)
-        return F.when((above == 0) | F.array_contains(path, above), path).otherwise(F.concat(path, F.array(above)))
+    Leaves hand what is below them to their heads until only cycles are left, so a unit takes time in
+    proportion to its length. All tokens of a cycle are below each other.
+    """
 
-    path = F.aggregate(F.sequence(F.lit(1), F.least(F.size("heads"), F.lit(depth))), F.array("u"), step)
-    return each.select(*UNIT, "u", F.explode(path).alias("top")).groupBy(*UNIT, F.col("top").alias("u")).agg(F.min("u").alias("first"), F.count("*").alias("size"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for doc, unit, heads in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                first, size = below(heads)
+                n = len(heads)
+                for column, values in zip(out, ([doc] * n, [unit] * n, range(1, n + 1), first, size), strict=True):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "unit", "u", "first", "size"])
+
+    packed = unit_arrays(edges).select(*(F.col(c).cast("long") for c in UNIT), "heads")
+    return packed.mapInArrow(run, "doc_id long, unit long, u long, first long, size long")
+
+
+def below(heads: list[int]) -> tuple[list[int], list[int]]:
+    """Smallest token and number of tokens at or below each token, by place."""
+    n = len(heads)
+    first, size, waits = list(range(1, n + 1)), [1] * n, [0] * n
+    for h in heads:
+        if h:
+            waits[h - 1] += 1
+    ready = [i for i in range(n) if not waits[i]]
+    for i in ready:  # grows while it is read
+        if heads[i]:
+            h = heads[i] - 1
+            first[h], size[h], waits[h] = min(first[h], first[i]), size[h] + size[i], waits[h] - 1
+            if not waits[h]:
+                ready.append(h)
+    for i in range(n):
+        if waits[i]:
+            ring = [i]
+            while (h := heads[ring[-1]] - 1) != i:
+                ring.append(h)
+            least, total = min(first[k] for k in ring), sum(size[k] for k in ring)
+            for k in ring:
+                first[k], size[k], waits[k] = least, total, 0
+    return first, size
 
 
 def finite_features(edges: DataFrame) -> DataFrame:

@@ -396,8 +396,8 @@ def role_canon(spark, sf):
 
 @query
 def subtree_starts(spark, sf):
-    """Smallest token and number of tokens up to sixteen edges below each token."""
-    return eg.subtree_starts(layers.edges(spark, sf), 16)
+    """Smallest token and number of tokens at or below each token."""
+    return eg.subtree_starts(layers.edges(spark, sf))
 
 
 @query
