@@ -492,8 +492,8 @@ def label_prf(spark, sf):
 
 @query
 def majority_vote(spark, sf):
-    """The first three lines of a document vote by their length."""
-    answers = src.lines(docs(spark, sf)).filter("line <= 3").select("doc_id", "line", F.concat(F.lit("a"), F.length("text") % 3).alias("answer"))
+    """The lines of a document vote by their length."""
+    answers = src.lines(docs(spark, sf)).select("doc_id", "line", F.concat(F.lit("a"), F.length("text") % 3).alias("answer"))
     return score.majority(answers, ["doc_id"], "answer", "line")
 
 

@@ -36,3 +36,12 @@ def test_subtree_starts_walks_to_the_root(spark):
     rows = [(1, 1, u, h, "x") for u, h in enumerate(heads, 1)]
     made = edges.subtree_starts(spark.createDataFrame(rows, "doc_id long, unit long, u int, head int, deprel string")).collect()
     assert {r.u: (r["first"], r["size"]) for r in made} == {u: (min(v), len(v)) for u, v in want.items()}
+
+
+def test_all_lines_vote(spark):
+    votes = {}
+    for r in src.lines(spark.read.parquet(f"{SMALL}/documents.parquet")).select("doc_id", "text").collect():
+        votes.setdefault(r.doc_id, Counter())[f"a{len(r.text) % 3}"] += 1
+    got = {r.doc_id: r for r in QUERIES["majority_vote"](spark, SMALL).collect()}
+    assert {k: (r.votes, r.n) for k, r in got.items()} == {k: (max(c.values()), sum(c.values())) for k, c in votes.items()}
+    assert max(r.n for r in got.values()) > 3
