@@ -13,7 +13,7 @@ CASE_ALIASES = {
 CASES = ("nominative", "accusative", "dative", "genitive", "ablative", "locative", "vocative", "reflexive")
 #: Roles in canonical order.
 ROLE_RANK = {"": -1, "subj": 0, "obj": 1, "iobj": 2, "attr": 3, "xcomp": 4, "ccomp": 5}
-ROMAN = (("XC", 90), ("L", 50), ("XL", 40), ("X", 10), ("IX", 9), ("V", 5), ("IV", 4), ("I", 1))
+ROMAN = (("M", 1000), ("CM", 900), ("D", 500), ("CD", 400), ("C", 100), ("XC", 90), ("L", 50), ("XL", 40), ("X", 10), ("IX", 9), ("V", 5), ("IV", 4), ("I", 1))
 
 
 def all_tokens(text: Column) -> Column:
@@ -97,24 +97,24 @@ def canonical_role(role: Column) -> Column:
 
 
 def to_roman(n: Column) -> Column:
-    """Numbers from 1 to 99."""
+    """Numbers from 1 on; M is repeated beyond 3,999."""
     out, rest = F.lit(""), n
     for sign, value in ROMAN:
         times = F.floor(rest / value).cast("int")
-        out, rest = F.concat(out, F.repeat(F.lit(sign), times)), rest - times * value
+        out, rest = F.concat(out, F.repeat(F.lit(sign), times)), rest % value
     return out
 
 
 def from_roman(text: Column) -> Column:
-    """The number of a well-formed numeral up to XCIX; null for other text."""
-    worth = lambda c: F.when(c == "C", 100).when(c == "L", 50).when(c == "X", 10).when(c == "V", 5).otherwise(1)
+    """The number of a well-formed numeral; null for other text."""
+    worth = lambda c: F.when(c == "M", 1000).when(c == "D", 500).when(c == "C", 100).when(c == "L", 50).when(c == "X", 10).when(c == "V", 5).otherwise(1)
     signs = F.split(text, "")
     value = F.aggregate(
         F.reverse(signs),
         F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")),
         lambda a, c: F.struct((a["sum"] + F.when(worth(c) < a["last"], -worth(c)).otherwise(worth(c))).alias("sum"), worth(c).alias("last")),
     )["sum"]
-    return F.when(text.rlike("^(?=.)(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"), value)
+    return F.when(text.rlike("^(?=.)M*(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"), value)
 
 
 def ratio(top: Column, bottom: Column) -> Column:

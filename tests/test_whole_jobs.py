@@ -45,3 +45,11 @@ def test_all_lines_vote(spark):
     got = {r.doc_id: r for r in QUERIES["majority_vote"](spark, SMALL).collect()}
     assert {k: (r.votes, r.n) for k, r in got.items()} == {k: (max(c.values()), sum(c.values())) for k, c in votes.items()}
     assert max(r.n for r in got.values()) > 3
+
+
+def test_roman_numbers_of_long_documents(spark, tables):
+    got = {r.line: r for r in QUERIES["roman_numbers"](spark, tables([(1, "\n".join(["x"] * 450))])).collect()}
+    assert len(got) == 450 and all(r.parsed == line for line, r in got.items())
+    assert (got[100].roman, got[449].roman) == ("C", "CDXLIX")
+    back = spark.range(1, 4200).select("id", fn.from_roman(fn.to_roman(F.col("id"))).alias("back"))
+    assert back.filter("back is null or back <> id").count() == 0
