@@ -109,9 +109,10 @@ def content_hash(spark, sf):
 
 @query
 def changed_artifacts(spark, sf):
-    """Documents of odd number whose content no even one has."""
+    """Documents whose content no other one has."""
     hashed = docs(spark, sf).select("doc_id", F.sha2("text", 256).alias("sha256"))
-    return hashed.filter("doc_id % 2 = 1").join(hashed.filter("doc_id % 2 = 0").select("sha256"), "sha256", "left_anti").select("doc_id", "sha256")
+    shared = hashed.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("sha256")
+    return hashed.join(shared, "sha256", "left_anti").select("doc_id", "sha256")
 
 
 @query

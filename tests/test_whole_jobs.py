@@ -53,3 +53,8 @@ def test_roman_numbers_of_long_documents(spark, tables):
     assert (got[100].roman, got[449].roman) == ("C", "CDXLIX")
     back = spark.range(1, 4200).select("id", fn.from_roman(fn.to_roman(F.col("id"))).alias("back"))
     assert back.filter("back is null or back <> id").count() == 0
+
+
+def test_all_documents_are_checked(spark, tables):
+    got = QUERIES["changed_artifacts"](spark, tables([(1, "a"), (2, "b"), (3, "c"), (5, "c"), (4, "d"), (7, "d")])).collect()
+    assert sorted(tuple(r) for r in got) == [(1, hashlib.sha256(b"a").hexdigest()), (2, hashlib.sha256(b"b").hexdigest())]
