@@ -1,10 +1,13 @@
-"""Exact byte-pair encodings of many words at once, from the left to the right.
+"""Best encodings of all prefixes of many words at once, from the left to the right.
 
-The encoding of a prefix ends in exactly one piece: the piece that ends there and is compatible
-with the last piece of the shorter prefix. Two pieces are compatible if encoding their joined text
-gives just these two. So one pass over the symbols of a word, with the pieces that end at each
-place, finds the encoding of every prefix. An Aho-Corasick automaton lists these pieces; words are
-walked in step as rows of a matrix, so the work per symbol is a few array operations.
+An Aho-Corasick automaton reads the words; at each place its output links list the pieces that end
+there, and each of them relaxes the best score of the prefix (Viterbi): the score of the shorter
+prefix before it and its own. Words are walked in step as rows of a matrix, so the work per symbol
+is a few array operations.
+
+Unigram models need no more. In byte-pair models a piece may follow another only if encoding their
+joined text gives just these two; all other steps cost infinitely much. Then the encoding of a prefix
+ends in exactly one piece, and a row leaves the output links once it has been relaxed.
 """
 
 from __future__ import annotations
@@ -108,14 +111,17 @@ class Automaton:
 
 
 class PrefixEncoder:
-    """Last pieces and counts of the encodings of all prefixes.
+    """Last pieces, counts and scores of the encodings of all prefixes.
 
-    ``compatible(a, b)`` tells for piece numbers whether their joined text is encoded as just these;
-    a = -1 stands for the beginning.
+    ``compatible(a, b)`` tells for piece numbers whether their joined text is encoded as just these
+    (a = -1 stands for the beginning); without it any piece may follow any other. ``scores`` by piece
+    number; longer pieces win ties.
     """
 
-    def __init__(self, automaton: Automaton, compatible: Callable[[int, int], bool]):
+    def __init__(self, automaton: Automaton, compatible: Callable[[int, int], bool] | None, scores: np.ndarray | None = None):
         self.automaton, self.compatible = automaton, compatible
+        most = max(int(automaton.inner.max(initial=0)), int(automaton.final.max(initial=0))) + 1
+        self.scores = np.zeros(most, np.float32) if scores is None else np.asarray(scores, np.float32)
         self.known: dict[int, bool] = {}
 
     def fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -131,35 +137,38 @@ class PrefixEncoder:
             out[i] = r
         return out[inverse]
 
-    def _last(self, node, at: int, rows, inner, counts, kind) -> tuple[np.ndarray, np.ndarray]:
-        """The one piece of this kind that ends at prefix length ``at`` in each of the rows."""
+    def _relax(self, node, at: int, rows, inner, counts, best, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best last piece of this kind, count and score at prefix length ``at`` in each of the rows."""
         a = self.automaton
         piece_of = a.final if kind else a.inner
-        last, count = np.full(len(rows), -1), np.zeros(len(rows), np.int32)
+        last, count, top = np.full(len(rows), -1), np.zeros(len(rows), np.int32), np.full(len(rows), -np.inf, np.float32)
         todo = np.arange(len(rows))
         node = node.copy()
         while len(todo):
             piece = piece_of[node[todo]]
-            length = a.depth[node[todo]]
-            start = at - length
+            start = at - a.depth[node[todo]]
             before = np.where(start > 0, inner[start, rows[todo]], -1)
             able = (piece >= 0) & ((start == 0) | (before >= 0))
-            able[able] = self.fits(before[able], piece[able])
-            done = todo[able]
-            last[done] = piece[able]
-            count[done] = counts[start[able], rows[done]] + 1
-            todo = todo[~able]
+            if self.compatible is not None:
+                able[able] = self.fits(before[able], piece[able])
+            here, piece, start = todo[able], piece[able], start[able]
+            score = best[start, rows[here]] + self.scores[piece]
+            better = score > top[here]
+            here, start = here[better], start[better]
+            last[here], top[here], count[here] = piece[better], score[better], counts[start, rows[here]] + 1
+            if self.compatible is not None:
+                todo = todo[~able]  # no second piece can follow
             node[todo] = a.link[node[todo]]
             todo = todo[node[todo] >= 0]
-        return last, count
+        return last, count, top
 
     def run(self, matrix: np.ndarray, sizes: np.ndarray, finals: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For rows sorted by falling size: inner last pieces by prefix length, and last pieces and
         counts of every prefix taken as a whole word (as inner pieces where there are no finals)."""
         width = matrix.shape[1]
-        inner = np.full((width + 1, len(matrix)), -1, np.int64)
-        counts = np.zeros((width + 1, len(matrix)), np.int32)
-        ends = (np.full((width + 1, len(matrix)), -1, np.int64), np.zeros((width + 1, len(matrix)), np.int32)) if finals else (inner, counts)
+        shape = (width + 1, len(matrix))
+        inner, counts, best = np.full(shape, -1, np.int64), np.zeros(shape, np.int32), np.zeros(shape, np.float32)
+        ends = (np.full(shape, -1, np.int64), np.zeros(shape, np.int32)) if finals else (inner, counts)
         state = np.zeros(len(matrix), np.int64)
         a = self.automaton
         for i in range(width):
@@ -171,9 +180,11 @@ class PrefixEncoder:
             node = np.where(ended, node, a.link[node])
             ok = node >= 0
             for kind in (False, True) if finals else (False,):
-                last, count = self._last(node[ok], i + 1, rows[ok], inner, counts, kind)
+                last, count, top = self._relax(node[ok], i + 1, rows[ok], inner, counts, best, kind)
                 to = ends if kind else (inner, counts)
                 to[0][i + 1, rows[ok]], to[1][i + 1, rows[ok]] = last, count
+                if not kind:
+                    best[i + 1, rows[ok]] = top
         return inner, *ends
 
     def many(self, words: list[np.ndarray], finals: bool):

@@ -1,11 +1,17 @@
 """Exact token counts of a byte-level BPE with word ends, at every prefix.
 
 A text is cut into pre-tokens as the tokenizer does. The prefix dynamic program of ``bpe`` finds the
-token count of every prefix of every distinct pre-token once; sums over pre-tokens then answer the
-count of a whole text and how much of it fits a limit, without encoding anything again.
+token count of every prefix of every distinct pre-token once and keeps them. Laid end to end, each
+above the total of those before it, they are the token counts of all prefixes of the text; from these
+come its count, the count of any part cut off, and the longest prefix within any budget, and nothing
+is encoded again.
+
+Prefixes end at characters of the normalised text without the white space between pre-tokens; none
+ends inside an added special token.
 
 Defined results: a null text counts as empty (0 tokens, fits); repeated rows are counted one by
-one; strings of added special tokens inside a text are one token each, as is the library's default.
+one; strings of added special tokens inside a text are one token each, as is the library's default;
+only the five columns it states come out, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -25,8 +31,8 @@ from spanloom.llm.common import slices, table
 
 LIMIT = 2048
 END = "</w>"
-#: Distinct pre-tokens whose counts a worker remembers.
-REMEMBERED = 400_000
+#: Distinct pre-tokens whose counts a worker remembers, and a count that fits no budget.
+REMEMBERED, NEVER = 400_000, 2**31
 #: Texts of these characters only are cut by the pattern alone; all others by the library's own steps.
 SIMPLE = regex.compile(r"[\t\n\r\x20-\x7eÀ-ɏ]*")
 
@@ -73,7 +79,12 @@ class WordCounter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.specials = set(special)
-        self.known: dict[str, int] = {s: 1 for s in special}
+        #: Of each pre-token the counts of its prefixes, as little-endian 32-bit numbers.
+        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = {s: np.array([NEVER] * (len(s) - 1) + [1], np.uint32).tobytes() for s in self.specials}
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens in order; a special token's string is one of its own."""
@@ -90,33 +101,42 @@ class WordCounter:
         return [bytes(self.bytes[c] for c in w).decode("utf-8", "surrogateescape") for w, _ in shown]
 
     def learn(self, words: set[str]) -> None:
-        """Remember the counts of these pre-tokens."""
+        """Remember the counts of all prefixes of these pre-tokens."""
         if len(self.known) > REMEMBERED:
-            self.known = {s: 1 for s in self.specials}
+            self._forget()
         new = [w for w in words if w not in self.known]
+        self._learn(new)
+        # a pre-token of several sorts of characters may be cut otherwise where it ends early
+        for w in new:
+            if len(w) > 1 and w[0].isalpha() != w[-1].isalpha():
+                parts = [self.pattern.findall(w[: k + 1]) for k in range(len(w))]
+                self._learn([x for p in parts for x in p if x not in self.known])
+                self.known[w] = np.array([sum(self.count(x) for x in p) for p in parts], np.uint32).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
         raw = [np.frombuffer(w.encode("utf-8", "surrogateescape"), np.uint8) for w in new]
         for part, sizes, _, _, counts in self.encoder.many(raw, True):
-            for k, c in zip(part.tolist(), counts[sizes, np.arange(len(part))].tolist(), strict=True):
-                self.known[new[k]] = c
-
-    def prefix_counts(self, word: str) -> list[int]:
-        """Tokens of each prefix (by characters) of one pre-token, taken as text of its own."""
-        raw = np.frombuffer(word.encode("utf-8", "surrogateescape"), np.uint8)
-        ((_, _, _, _, counts),) = self.encoder.many([raw], True)
-        ends = np.flatnonzero(np.r_[(raw[1:] & 0xC0) != 0x80, True]) + 1
-        out = counts[ends, 0].tolist()
-        if word in ("'re", "'ve", "'ll"):
-            out[1] = 2  # the pattern takes a quote and a single letter apart here
-        return out
-
-    def fit(self, words: list[str], counts: np.ndarray, limit: int) -> tuple[int, int]:
-        """Whole pre-tokens, and characters of the next one, of the longest prefix within the limit."""
-        total = np.cumsum(counts)
-        whole = int(np.searchsorted(total, limit, side="right"))
-        if whole == len(words) or words[whole] in self.specials:
-            return whole, 0
-        room = limit - int(total[whole - 1] if whole else 0)
-        return whole, max((i + 1 for i, c in enumerate(self.prefix_counts(words[whole])[:-1]) if c <= room), default=0)
+            for row, k in enumerate(part.tolist()):
+                own = raw[k]
+                ends = np.flatnonzero((own[1:] & 0xC0) != 0x80) + 1  # after each character but the last
+                self.known[new[k]] = np.r_[counts[ends, row], counts[sizes[row], row]].astype(np.uint32).tobytes()
+
+    def count(self, word: str) -> int:
+        return int.from_bytes(self.known[word][-4:], "little")
+
+    def prefixes(self, words: list[str]) -> np.ndarray:
+        """Token counts of the text of these pre-tokens at each of its characters; all must be known."""
+        each = list(map(self.known.__getitem__, words))
+        flat = np.frombuffer(b"".join(each), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        totals = flat[np.cumsum(sizes) - 1] if len(each) else flat
+        return flat + np.repeat(np.cumsum(totals) - totals, sizes)
+
+
+def longest(prefixes: np.ndarray, limit: int) -> int:
+    """Characters of the longest prefix that has at most ``limit`` tokens."""
+    fits = np.flatnonzero(prefixes <= limit)
+    return int(fits[-1]) + 1 if len(fits) else 0
 
 
 @lru_cache(maxsize=2)
@@ -125,9 +145,9 @@ def counter(path: str) -> WordCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, n_tokens, over_limit, fit_words, fit_tail)`` per row, without a shuffle.
+    """``(doc_id, n_bytes, n_tokens, over_limit, fit_chars)`` per row, without a shuffle.
 
-    fit_words and fit_tail: whole pre-tokens, and characters of the next, that fit the limit.
+    fit_chars: characters, but for white space, of the longest prefix that fits the limit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,18 +159,17 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
                 by.learn(set().union(*words))
                 rows = []
                 for t, w in zip(texts, words, strict=True):
-                    each = np.fromiter(map(by.known.__getitem__, w), np.int64, len(w))
-                    total = int(each.sum())
-                    fits = (len(w), 0) if total <= limit else by.fit(w, each, limit)
-                    rows.append((len(t.encode("utf-8", "surrogatepass")), total, total > limit, *fits))
+                    at = by.prefixes(w)
+                    total = int(at[-1]) if len(at) else 0
+                    rows.append((len(t.encode("utf-8", "surrogatepass")), total, total > limit, len(at) if total <= limit else longest(at, limit)))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *(pa.array(c, pa.bool_() if k == 2 else pa.int64()) for k, c in enumerate(columns))],
-                    ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_words", "fit_tail"],
+                    ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
                 )
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_words long, fit_tail long")
+    return narrow.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

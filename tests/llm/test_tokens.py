@@ -27,28 +27,41 @@ def test_counts_equal_the_library(words, small):
     texts = ODD + [t for _, t in small]
     cut = [by.words(t) for t in texts]
     by.learn(set().union(*cut))
-    assert [sum(by.known[w] for w in c) for c in cut] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [int(p[-1]) if len(p) else 0 for p in map(by.prefixes, cut)] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_every_prefix(words, small):
     by, library = words
     r = random.Random(0)
     for word in [*r.sample([w for _, t in small for w in by.words(t)], 150), "'re", "'ve", "naïveté", "!!!!!!!"]:
+        by.learn({word})
         want = [len(library.encode(word[: k + 1], add_special_tokens=False).ids) for k in range(len(word))]
-        assert by.prefix_counts(word) == want, word
+        assert by.prefixes([word]).tolist() == want, word
 
 
-def test_what_fits(words, small):
+def test_every_prefix_of_a_text(words, small):
+    """The counts at all characters are those that the library gives for the text cut there."""
     by, library = words
+    for text in ["don't we're I'll 'rest ''s x", *(t for _, t in small[:12] if len(t) < 1500)]:
+        cut = by.words(text)
+        by.learn(set(cut))
+        got, places = by.prefixes(cut), [k for k, c in enumerate(text) if not c.isspace()]
+        assert len(got) == len(places)
+        want = [len(e.ids) for e in library.encode_batch([text[: k + 1] for k in places], add_special_tokens=False)]
+        assert got.tolist() == want
+
+
+def test_what_fits(words, small):
+    by, _ = words
     for _, text in small[:40]:
         cut = by.words(text)
         by.learn(set(cut))
-        n, tail = by.fit(cut, np.array([by.known[w] for w in cut]), 50)
-        assert sum(by.known[w] for w in cut[:n]) <= 50
-        if n < len(cut):
-            assert sum(by.known[w] for w in cut[: n + 1]) > 50
-            room = 50 - sum(by.known[w] for w in cut[:n])
-            assert all((c <= room) is False for c in by.prefix_counts(cut[n])[tail:-1])
+        at = by.prefixes(cut)
+        for limit in (0, 7, 50, 10**9):
+            n = tokencount.longest(at, limit)
+            assert (n == 0 or at[n - 1] <= limit) and (at[n:] > limit).all()
+    by.learn(set(cut := by.words("one <|endoftext|> two")))
+    assert tokencount.longest(by.prefixes(cut), 1) == 3 and tokencount.longest(by.prefixes(cut), 2) == 3 + len("<|endoftext|>")
 
 
 def test_count_query(spark, small, words):
