@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than ASCII white space; ``bytes.split()`` cuts at just those.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,11 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; only a session without that setting (tests) gets a
-    temporary folder of its own.
+    It is read from ``spark.checkpoint.dir``; only a local session without that setting (tests) gets
+    a temporary folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -80,6 +85,50 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> I
         at = to
 
 
+def opened(uri: str) -> tuple[files.FileSystem, str]:
+    """The file system of a URI or path, and the path in it."""
+    if "://" not in uri:
+        return files.LocalFileSystem(), re.sub("^file:", "", uri)
+    return files.FileSystem.from_uri(uri)
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, …, so that no name of its own can clash with a helper's."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``plain(docs)`` in ``rows`` under their own names."""
+    return rows.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
+
+
+def at(docs: DataFrame, name: str) -> str:
+    """What ``plain(docs)`` calls a column."""
+    return f"c{docs.columns.index(name)}"
+
+
+def replaced_column(docs: DataFrame, source: str, into: str, kind: str, made: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``docs`` with the column ``into`` (in the place of one of that name, else last) made from another
+    one, a slice of about two megabytes of text at a time; no shuffle."""
+    columns, place = docs.columns, docs.columns.index(source)
+    where = columns.index(into) if into in columns else len(columns)
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+    fields[where : where + 1] = [T.StructField(f"c{where}", T._parse_datatype_string(kind))]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            whole = pa.RecordBatch.from_arrays(whole.columns, [f"c{i}" for i in range(len(columns))])
+            text = pa.types.is_string(whole.column(place).type) or pa.types.is_large_string(whole.column(place).type)
+            for batch in slices(whole, f"c{place}") if text else [whole]:
+                held = batch.columns
+                held[where : where + 1] = [made(batch.column(place))]
+                yield pa.RecordBatch.from_arrays(held, names)
+
+    out = docs.mapInArrow(run, T.StructType(fields))
+    return out.toDF(*columns[:where], into, *columns[where + 1 :])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node, root the smallest.
 

@@ -25,12 +25,11 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs as files
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import new_folder, table
+from spanloom.llm.common import new_folder, opened, table
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes read at once, and bytes of a split.
@@ -39,12 +38,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 
-def opened(uri: str) -> tuple[files.FileSystem, str]:
-    if "://" not in uri:
-        return files.LocalFileSystem(), re.sub("^file:", "", uri)
-    return files.FileSystem.from_uri(uri)
-
-
 def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode().rstrip("=")
 
@@ -113,7 +106,11 @@ def write_warc(records: DataFrame, folder: str) -> tuple[int, int]:
 
 
 class Window:
-    """A file seen through a buffer that grows to the right and forgets on the left."""
+    """A file seen through a buffer that grows to the right and forgets on the left.
+
+    What is forgotten is only marked until it is a whole block, so that small records are not copied
+    over and over.
+    """
 
     def __init__(self, file, at: int):
         self.file, self.base, self.data, self.ended = file, at, b"", False
@@ -127,8 +124,9 @@ class Window:
         return not self.ended
 
     def forget(self, at: int) -> None:
-        self.data = self.data[at - self.base :]
-        self.base = at
+        if at - self.base >= BLOCK:
+            self.data = self.data[at - self.base :]
+            self.base = at
 
 
 def member(window: Window, at: int) -> tuple[dict[str, str], bytes, int] | None:
@@ -139,7 +137,7 @@ def member(window: Window, at: int) -> tuple[dict[str, str], bytes, int] | None:
         while not unpack.eof:
             if place >= len(window.data) and not window.more():
                 return None
-            step = 4096 if not checked else BLOCK
+            step = 4096 if not checked else 65_536
             text += unpack.decompress(window.data[place : place + step])
             place = min(place + step, len(window.data))
             if not checked and len(text) >= 7:

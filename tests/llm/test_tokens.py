@@ -114,3 +114,47 @@ def test_merge_is_leftmost_and_by_rank():
     ranks = {("a", "a"): 0, ("aa", "aa"): 1, ("b", "c"): -1}
     assert merge("aaaaa", lambda x, y: ranks.get((x, y))) == ["aaaa", "a"]
     assert merge("abca", lambda x, y: ranks.get((x, y))) == ["a", "bc", "a"]
+
+
+def unigram_model(byte_pieces: bool) -> bytes:
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.trainer_spec.model_type = 1
+    model.trainer_spec.byte_fallback = byte_pieces
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.add_dummy_prefix = True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    model.normalizer_spec.escape_whitespaces = True
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    rows += [(f"<0x{b:02X}>", -20.0, 6) for b in range(256)] if byte_pieces else []
+    # no piece of its own: z; several cuts of the same word compete by score
+    rows += [(t, -s, 1) for t, s in {"▁": 3.1, "a": 4.3, "b": 4.1, "ab": 5.2, "▁a": 5.0, "ba": 6.9, "abab": 9.8, "aba": 8.15, "▁ab": 6.05, "bz": 7.7, "bb": 8.9, "▁abz": 9.0, ".": 5.5}.items()]
+    for piece, score, kind in rows:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    return model.SerializeToString()
+
+
+@pytest.mark.parametrize("byte_pieces", [True, False])
+def test_unigram_models(tmp_path, byte_pieces):
+    """The relaxed scores give the library's best path; characters without a piece included."""
+    path = tmp_path / "unigram.model"
+    path.write_bytes(unigram_model(byte_pieces))
+    by, library = pieces.PieceCodec(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    r = random.Random(3)
+    texts = ["", " ", "abab", "zz ab", "é a", "abzab  bz.", *("".join(r.choice("aaabbbz .é") for _ in range(r.randint(1, 40))) for _ in range(300))]
+    made = by.encode(texts)
+    assert [x.tolist() for x in made] == library.encode(texts)
+
+
+def test_ids_are_returned(spark, small):
+    rows = {r.doc_id: r for r in pieces.op6_sentencepiece(spark, "/root/testdata/sf0.001").collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    assert all(rows[i].piece_ids == ids and rows[i].n_pieces == len(ids) for (i, _), ids in zip(small, library.encode([t for _, t in small]), strict=True))
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "x"), (2, None, 6, "y")], "piece_ids long, text string, c0 long, decoded string")
+    back = pieces.decoded(pieces.encoded(df, pieces.model_path()), pieces.model_path())
+    assert back.columns == ["piece_ids", "text", "c0", "decoded"]
+    assert [(r.text, r.c0, r.decoded) for r in back.orderBy("c0").collect()] == [("a b", 5, "a b"), (None, 6, "")]
