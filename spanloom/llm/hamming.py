@@ -1,34 +1,42 @@
 """Exact top-k search over 64-bit codes by incremental multi-index hashing.
 
-A code is cut into m segments. A code at distance d from a query agrees with it in some segment up
-to d // m bits, so after all segments were searched with radius r, all codes closer than m * (r + 1)
-are known. Queries whose k-th verified distance is covered are finished; the others go on with the
-next radius. Every round is a shuffle of the open queries to the parts of the index that their
-radius reaches; a part is the codes with one beginning of one segment, and large parts are split.
+A code is cut into m segments, and for each segment there is a table from segment values to codes. A
+code at distance d from a query agrees with it in some segment up to d // m bits. So the tables are
+probed with the query's segment and all masks of r bits, for r = 0, 1, 2, …; after radius r all codes
+closer than m * (r + 1) are known. Queries whose k-th verified distance is covered are finished; the
+others go on with the next radius.
+
+The tables lie in the shared folder in parts, one for each beginning of a segment (large ones split),
+and stay there: a round shuffles the open queries to the parts that their masks reach, and a task
+reads a part when it comes to its queries. A part's queries are dealt over several tasks.
 
 Equal codes are one entry that keeps the smallest ids, as no more can be among the k nearest.
 
 Defined results: neighbours are ordered by distance, then id; a query is not its own neighbour;
 rows without a vector are neither queries nor neighbours; rows repeated with one id are one row;
-where there are fewer than k others, all are returned.
+where there are fewer than k others, all are returned. Only the columns that are named come in, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import staged, table
+from spanloom.llm.common import new_folder, opened, staged, table
 
 BITS = 64
-#: Codes in a part of the index, and cells of a task's comparison at once.
-PART, CELLS = 20_000, 4_000_000
+#: Codes in a part of a table, probes of a task at once, and most bits of a segment that name a part.
+PART, CELLS, BEGIN = 200_000, 2_000_000, 16
 
 
 def sign_codes(rows: DataFrame, vector: str = "embedding", id_: str = "vec_id", seed: int = 0) -> DataFrame:
@@ -72,63 +80,82 @@ def entries(codes: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def _segment(j: int, m: int):
-    width = BITS // m
-    return F.shiftrightunsigned("code", j * width).bitwiseAND(F.lit((1 << width) - 1)) if m > 1 else F.col("code")
-
-
-def _searcher(m: int, radius: int, k: int):
-    """Search the parts of one partition: rows sorted by part, index rows before queries."""
-    width = BITS // m
-
-    def segment(codes: np.ndarray, j: int) -> np.ndarray:
-        return (codes.view(np.uint64) >> np.uint64(j * width)) & np.uint64((1 << width) - 1)
-
-    def search(part: list[pa.RecordBatch], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        index = pa.Table.from_batches(part)
-        j = int(index.column("j")[0].as_py())
-        codes = index.column("code").to_numpy()
-        ids = index.column("ids").combine_chunks()
-        order = np.argsort(segment(codes, j), kind="stable")
-        seg = segment(codes[order], j)
-        starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-        values, stops = seg[starts], np.r_[starts[1:], len(seg)]
-        offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-        queries, bounds = batch.column("code").to_numpy(), batch.column("bound").to_numpy()
-        step = max(1, CELLS // max(len(codes), 1))
-        for at in range(0, len(queries), step):
-            q, bound = queries[at : at + step], bounds[at : at + step]
-            near = np.bitwise_count(segment(q, j)[:, None] ^ values[None]) == radius
-            row, value = np.nonzero(near)
-            count = stops[value] - starts[value]
-            row = np.repeat(row, count)
-            entry = order[np.repeat(starts[value] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-            distance = np.bitwise_count((q[row] ^ codes[entry]).view(np.uint64)).astype(np.int64)
-            good = distance <= bound[row]
-            row, entry, distance = row[good], entry[good], distance[good]
-            # no more than the k nearest codes of a query leave the part
-            place = np.lexsort((flat[offsets[entry]], distance, row)) if len(row) else np.zeros(0, np.int64)
-            row, entry, distance = row[place], entry[place], distance[place]
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else place
-            nth = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
-            row, entry, distance = row[nth < k], entry[nth < k], distance[nth < k]
-            many = offsets[entry + 1] - offsets[entry]
-            take = np.repeat(offsets[entry] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[row], many)), pa.array(flat[take]), pa.array(np.repeat(distance, many))], ["query", "id", "distance"])
+def segments(n: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of each segment for n codes: about log2 n bits, so that a value names about
+    one code, and 22 at most, so that a table of all values stays small."""
+    m = min(8, max(3, round(BITS / math.log2(max(n, 2)))))
+    cuts = [BITS * j // m for j in range(m + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+@lru_cache(maxsize=64)
+def masks(width: int, weight: int) -> np.ndarray:
+    """All numbers below 2 ** width with so many bits."""
+    if not 0 < weight <= width:
+        return np.zeros(int(weight == 0), np.int64)
+    places = np.array(list(combinations(range(width), weight)), np.int64).reshape(-1, weight)
+    return (np.int64(1) << places).sum(axis=1)
+
+
+class Part:
+    """The table of one part: codes in order of the low bits of a segment, and where each value starts."""
+
+    def __init__(self, held: pa.Table, low: int, width: int):
+        self.low, self.width = low, width
+        codes, ids = held.column("code").to_numpy(), held.column("ids").combine_chunks()
+        value = self.values(codes)
+        order = np.argsort(value, kind="stable")
+        self.codes = codes[order]
+        self.starts = np.r_[0, np.cumsum(np.bincount(value, minlength=1 << width))]
+        offsets, self.flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+        self.first, self.many = offsets[:-1][order], np.diff(offsets)[order]
+
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) >> np.uint64(self.low)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
+
+    def probe(self, q: np.ndarray, bound: np.ndarray, flips: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, id and distance of the k nearest among the codes under the flipped values."""
+        probes = self.values(q)[:, None] ^ flips[None]
+        count = (self.starts[probes + 1] - self.starts[probes]).ravel()
+        hit = np.flatnonzero(count)
+        count = count[hit]
+        row = np.repeat(hit // max(len(flips), 1), count)
+        entry = np.repeat(self.starts[probes.ravel()[hit]] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        distance = np.bitwise_count((q[row] ^ self.codes[entry]).view(np.uint64)).astype(np.int64)
+        good = distance <= bound[row]
+        row, entry, distance = row[good], entry[good], distance[good]
+        many = self.many[entry]
+        ids = self.flat[np.repeat(self.first[entry] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        row, distance = np.repeat(row, many), np.repeat(distance, many)
+        order = np.lexsort((ids, distance, row))
+        row, ids, distance = row[order], ids[order], distance[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else order
+        keep = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+        return q[row[keep]], ids[keep], distance[keep]
+
+
+def _searcher(folder: str, cuts: list[tuple[int, int]], begin: int, k: int):
+    """Probe the parts for queries ``(part, j, weight, code, bound)`` that are sorted by part and weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, part = None, []
+        now, part = None, None
         for batch in batches:
-            own = batch.column("part").to_numpy()
-            tag = batch.column("tag").to_numpy()
-            cuts = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (tag[1:] != tag[:-1])]) if len(own) else []
-            for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True):
+            own, seg, weight = (batch.column(c).to_numpy() for c in ("part", "j", "weight"))
+            code, bound = batch.column("code").to_numpy(), batch.column("bound").to_numpy()
+            cuts_at = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (weight[1:] != weight[:-1])]) if len(own) else []
+            for a, b in zip(cuts_at, [*cuts_at[1:], len(own)], strict=True):
                 if own[a] != now:
-                    now, part = own[a], []
-                if tag[a] == 0:
-                    part.append(batch.slice(a, b - a))
-                elif part:
-                    yield from search(part, batch.slice(a, b - a))
+                    now = own[a]
+                    low, width = cuts[seg[a]]
+                    system, base = opened(folder)
+                    part = Part(pq.read_table(f"{base}/part={now}", columns=["code", "ids"], filesystem=system, partitioning=None), low, width - begin)
+                flips = masks(part.width, int(weight[a]))
+                if not len(flips):
+                    continue
+                step = max(1, CELLS // len(flips))
+                for at in range(a, b, step):
+                    found = part.probe(code[at : min(at + step, b)], bound[at : min(at + step, b)], flips, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query", "id", "distance"])
 
     return run
 
@@ -139,46 +166,48 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, most: int) -> DataFram
     ``most``: how many ids there are in all.
     """
     spark = index.sparkSession
-    n = max(index.count(), 2)
-    m = max(2, min(8, 1 << int(math.log2(BITS / math.log2(max(n, 256))))))
-    width, k = BITS // m, min(k, most)
-    h = min(max(0, math.ceil(math.log2(n / PART))), width - 1)
+    n = max(index.count(), 1)
+    cuts = segments(n)
+    m, narrow, k = len(cuts), min(w for _, w in cuts), min(k, most)
+    begin = min(max(0, math.ceil(math.log2(n / PART))), narrow - 1, BEGIN)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(rows: DataFrame) -> DataFrame:
-        """Rows once for each segment, with the segment's first h bits."""
-        each = [F.struct(F.lit(j).alias("j"), F.shiftrightunsigned(_segment(j, m), width - h).alias("begin")) for j in range(m)]
+        """Rows once for each segment, with the first bits of the segment."""
+        each = [F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("code", low + width - begin).bitwiseAND(F.lit((1 << begin) - 1)).alias("begin")) for j, (low, width) in enumerate(cuts)]
         return rows.select("*", F.inline(F.array(*each)))
 
-    parts = F.ceil(F.col("count") / (4 * PART)).cast("int")
-    sizes = staged(dealt(index.select("code")).groupBy("j", "begin").count().withColumn("parts", parts).drop("count"), "parts")
+    slices = F.ceil(F.col("count") / (2 * PART)).cast("int")
+    sizes = staged(dealt(index.select("code")).groupBy("j", "begin").count().select("j", "begin", slices.alias("slices")), "parts")
     name = F.xxhash64("j", "begin", "slice")
-    held = dealt(index).join(sizes, ["j", "begin"]).withColumn("slice", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int"))
-    held = staged(held.select(name.alias("part"), F.lit(0).alias("tag"), "j", "code", "ids", F.lit(0).alias("bound")), "index")
+    held = dealt(index).join(sizes, ["j", "begin"]).withColumn("slice", F.pmod(F.xxhash64("code"), F.col("slices")).cast("int"))
+    folder = new_folder(spark, "tables")
+    held.select(name.alias("part"), "code", "ids").repartition(shuffles, "part").write.partitionBy("part").parquet(folder)
+    # few parts are read by several tasks each
+    deals = max(1, math.ceil(2 * shuffles / max(sizes.agg(F.sum("slices")).first()[0] or 1, 1)))
 
     best = staged(queries.select(F.col("code").alias("query")).distinct().select("query", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("distance")), "best")
-    open_ = staged(best.select(F.col("query").alias("code"), F.lit(BITS).alias("bound")), "open")
+    left = staged(best.select(F.col("query").alias("code"), F.lit(BITS).alias("bound")), "open")
     by = Window.partitionBy("query").orderBy("distance", "id")
     done = []
-    for radius in range(width + 1):
-        masks = [x for x in range(1 << h) if x.bit_count() <= radius] if h <= 20 else None
-        reach = F.explode(F.array(*(F.lit(x).cast("long") for x in masks))) if len(masks) < 2000 else F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << h) - 1)), lambda x: F.bit_count(x) <= radius))
-        asked = dealt(open_).withColumn("mask", reach).withColumn("begin", F.col("begin").bitwiseXOR(F.col("mask")))
-        asked = asked.join(sizes, ["j", "begin"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        asked = asked.select(name.alias("part"), F.lit(1).alias("tag"), "j", "code", F.lit(None).cast("array<long>").alias("ids"), F.col("bound").cast("int").alias("bound"))
-        rows = held.union(asked).repartition(shuffles, "part").sortWithinPartitions("part", "tag")
-        found = rows.mapInArrow(_searcher(m, radius, k), "query long, id long, distance long")
-        all_ = best.join(open_.select(F.col("code").alias("query")), "query", "left_semi").union(found).filter("id is not null").distinct()
-        best = staged(all_.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).drop("n"), "best")
-        done.append(best)
+    for radius in range(max(w for _, w in cuts) + 1):
+        flips = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << begin) - 1).cast("long")), lambda x: F.bit_count(x) <= radius)
+        asked = dealt(left).withColumn("flip", F.explode(flips)).withColumn("begin", F.col("begin").bitwiseXOR(F.col("flip")))
+        asked = asked.join(sizes, ["j", "begin"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        asked = asked.select(name.alias("part"), "j", (F.lit(radius) - F.bit_count("flip")).alias("weight"), "code", F.col("bound").cast("long").alias("bound"))
+        asked = asked.repartition(shuffles, "part", F.pmod(F.xxhash64("code"), F.lit(deals))).sortWithinPartitions("part", "weight")
+        found = asked.mapInArrow(_searcher(folder, cuts, begin, k), "query long, id long, distance long")
+        known = best.join(left.select(F.col("code").alias("query")), "query", "left_semi").filter("id is not null")
+        best = staged(known.union(found).distinct().withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).drop("n"), "best")
         kth = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
-        state = open_.join(kth, open_.code == kth.query, "left")
-        covered = (F.col("n") >= k) & (F.col("last") < m * (radius + 1))
-        full = F.when(F.col("n") >= k, F.col("last")).otherwise(F.lit(BITS)).cast("int")
-        left = staged(state.filter(~F.coalesce(covered, F.lit(False))).select("code", full.alias("bound")), "open")
-        finished = best.join(left.select(F.col("code").alias("query")), "query", "left_anti") if radius < width else best
-        done[-1] = finished
-        open_ = left
+        state = left.join(kth, left.code == kth["query"], "left")
+        covered = F.coalesce((F.col("n") >= k) & (F.col("last") < m * (radius + 1)), F.lit(False))
+        bound = F.when(F.col("n") >= k, F.col("last")).otherwise(F.lit(BITS)).cast("int")
+        if radius == max(w for _, w in cuts):
+            done.append(best)
+            break
+        left = staged(state.filter(~covered).select("code", bound.alias("bound")), "open")
+        done.append(best.join(left.select(F.col("code").alias("query")), "query", "left_anti"))
         if left.isEmpty():
             break
     out = done[0]

@@ -17,7 +17,7 @@ def frame(spark, ids, codes):
     return spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, codes.view(np.int64), strict=True)], "id long, code long").repartition(3)
 
 
-@pytest.mark.parametrize("part", [40, 20_000])
+@pytest.mark.parametrize("part", [10, 40, 200_000])
 def test_copies_and_near_codes(spark, monkeypatch, part):
     monkeypatch.setattr(hamming, "PART", part)
     r = np.random.default_rng(1)
@@ -46,3 +46,19 @@ def test_query(spark):
 def test_vectors_without_values(spark):
     df = spark.createDataFrame([(1, [1.0] * 64), (2, None), (None, [1.0] * 64), (3, [-1.0] * 64), (4, []), (5, [1.0] * 8)], "vec_id long, embedding array<float>")
     assert {r.id: r.code for r in hamming.sign_codes(df).collect() if r.id != 5} == {1: -1, 3: 0}
+
+
+def test_segments_and_masks():
+    for n in (0, 1, 5, 300, 51_000, 10**6, 10**9, 10**14):
+        cuts = hamming.segments(n)
+        assert sum(w for _, w in cuts) == 64 and all(w <= 22 for _, w in cuts)
+        assert [low for low, _ in cuts] == [sum(w for _, w in cuts[:j]) for j in range(len(cuts))]
+    assert sorted(hamming.masks(5, 2).tolist()) == [x for x in range(32) if x.bit_count() == 2]
+    assert hamming.masks(3, 0).tolist() == [0] and not len(hamming.masks(3, 4))
+
+
+def test_far_codes(spark):
+    """Neighbours at any distance, up to opposite codes, are found by the last radius."""
+    ids, codes = np.arange(3), np.array([0, 2**64 - 1, 2**63 + 5], np.uint64)
+    df = frame(spark, ids, codes)
+    assert sorted(map(tuple, hamming.top_k(df, df, 2).collect())) == brute(ids, codes, ids, 2)
