@@ -2,54 +2,78 @@
 
 Detected entities get keyed replacements of the same kind: digits for digits in the same format,
 names of the same gender and script, addresses of the same shape. One entity has one surrogate in
-the whole corpus, however it is written (case, punctuation of numbers). A check over all entities
-finds surrogates that two entities share or that are somebody's real data; these are drawn again
-until there are none, so that different entities stay different.
+the whole corpus, however it is written (case, punctuation of numbers, with or without the country
+code 1). A person's name is replaced part by part; each part is also found where it stands alone in
+the same text. A check over all entities finds surrogates that two entities share or that are
+somebody's real data; these are drawn again, longer after some attempts, until there are none, so
+that different entities stay different.
 
-Defined results: null texts stay null; texts without entities are untouched and are not shuffled;
-repeated rows are replaced alike; other columns are kept whatever their names are.
+A text is searched once; only texts that look as if they held anything are joined with what was found.
+
+Defined results: null texts stay null; texts without entities are untouched; repeated rows are
+replaced alike; an empty table gives an empty table; other columns are kept whatever their names are.
 """
 
 from __future__ import annotations
 
-import hashlib
+import hmac
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import staged, table
+from spanloom.llm.common import at, drop_staged, plain, restored, staged, table
 
 KEY = "spanloom"
-ROUNDS = 40
 
-#: Given names by gender and script, honorifics, and syllables of invented surnames.
+#: Given names by gender and script, honorifics, particles, and syllables of invented surnames.
 GIVEN = {
-    ("m", "latin"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Andrew Kenneth Pierre François Jürgen Wolfgang Heinrich Carlos Javier Miguel".split(),
-    ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Margaret Sandra Ashley Emily Michelle Dorothy Françoise Brigitte Ursula Ingrid Carmen Dolores Lucía Pilar".split(),
+    ("m", "latin"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Andrew Kenneth Peter Paul George Kevin Brian Pierre François Jürgen Wolfgang Heinrich Hans Klaus Stefan Carlos Javier Miguel José Antonio Luis Ahmed Mohammed Ali Omar Hassan Giovanni Marco Luca".split(),
+    ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Margaret Sandra Ashley Emily Michelle Dorothy Anna Maria Laura Julia Emma Sophie Françoise Brigitte Ursula Ingrid Monika Petra Carmen Dolores Lucía Pilar Ana Fatima Aisha Leila Zainab Giulia Francesca Chiara Marie Camille Isabelle".split(),
     ("m", "cyrillic"): "Иван Сергей Дмитрий Алексей Николай Михаил Андрей Владимир Павел Виктор Юрий Борис".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Людмила Галина Марина Вера".split(),
 }
 HONORIFICS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sra Sr".split()
+PARTICLES = "von van der den de del della di da dos du la le al el bin ibn".split()
 SYLLABLES = {
     "latin": "bar den fel gor hal kim lan mor nes pol ras sin tor val wes zan".split(),
     "cyrillic": "бар ден фел гор хал ким лан мор нес пол рас син тор вал вес зан".split(),
 }
 
-_NAMES = "|".join(n for names in GIVEN.values() for n in names)
+ALL_GIVEN = [n for names in GIVEN.values() for n in names]
+#: A capitalised part of a name, and family names with particles before and hyphens inside.
+_PART = r"\p{Lu}(?:['’]?\p{L})+"
+_FAMILY = rf"(?:(?:{'|'.join(PARTICLES)}) )*+{_PART}(?:-{_PART})*+"
+_GIVEN = rf"(?iu:{'|'.join(ALL_GIVEN)})(?!\p{{L}})(?:-{_PART})?+"
+#: A given name with all that follows it, or an honorific with a name.
+PERSON = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_GIVEN}(?: (?=\p{{Lu}}){_GIVEN})?(?: \p{{Lu}}\.)?+ {_FAMILY}|(?:{'|'.join(HONORIFICS)})\.? (?:{_PART}(?:-{_PART})?+ )?{_FAMILY})"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Kinds in the order in which they are tried at a place. Each begins where no longer token goes on.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
-    "phone": r"(?<![\p{N}+])(?:\+\d{1,3}[ .\-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\p{N}+])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\p{N}+\-.])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
+    "token": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_\-]{20,}+|xox[abprs]-[A-Za-z0-9\-]{10,}+|eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]{8,}+){2})(?![\p{L}\p{N}])",
+    "phone": "|".join(
+        (
+            r"(?<![\p{N}+])(?:\+\d{1,3}[ .\-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
+            r"(?<![\p{N}+])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)",
+            r"(?<![\p{N}+\-.])(?:1[.\-])?\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
+            r"(?<![\p{N}+\-.])(?<!\d )(?:1 )?\d{3} \d{3} \d{4}(?![\d\-]| \d)",
+            r"(?<![\p{N}+\-.])(?<!\d )0\d{1,4}[ /\-](?:\d{6,8}|\d{3,4}[ \-]\d{3,5})(?![\d\-]| \d)",
+            r"(?<=(?i:tel|phone|call|fax|mobile|cell)[.:]? ?)\d{10}(?!\d)",
+        )
+    ),
     "ip": r"(?<![\p{N}.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\p{N}]|\.\p{N})",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:])(?=[A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{1,7}}:|::(?:{_HEX}:){{0,6}}{_HEX})(?![\p{{L}}\p{{N}}:])",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{N}\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "number": r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
-    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_NAMES})(?= \p{{Lu}}\p{{L}})|(?<=(?<!\p{{L}})(?:{_NAMES}) )\p{{Lu}}\p{{L}}++|(?<=(?<!\p{{L}})(?:{'|'.join(HONORIFICS)})\.? )\p{{Lu}}\p{{L}}++)",
+    "person": PERSON,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text needs to hold an entity at all; much cheaper to look for.
-HINT = rf"[0-9@]|(?<!\p{{L}})(?:{_NAMES}|{'|'.join(HONORIFICS)})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|{PERSON}"
+#: Letters of one part of a name.
+_TOKEN = r"\p{L}(?:['’]?\p{L})*"
 
 
 def found(text: Column) -> Column:
@@ -58,17 +82,45 @@ def found(text: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    out = F.lit("name")
-    for kind in reversed([k for k in PATTERNS if k != "name"]):
+    """The kind of a mention; what is none of the others is (a part of) a person's name."""
+    out = F.lit("person")
+    for kind in reversed([k for k in PATTERNS if k != "person"]):
         out = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
-    given = [n for names in GIVEN.values() for n in names]
-    return F.when(value.isin(given), "given").otherwise(out)
+    return F.when(value.rlike(r"^\d{10}$"), "phone").otherwise(out)
+
+
+def part_kind(token: Column) -> Column:
+    """given, name, or null for a part of a person's name that stays: honorifics, particles, initials."""
+    stays = token.isin(HONORIFICS) | ~token.rlike(r"^\p{Lu}") | (F.length(token) < 2)
+    return F.when(stays, None).when(F.lower(token).isin([n.lower() for n in ALL_GIVEN]), "given").otherwise("name")
 
 
 def canonical(kind: Column, value: Column) -> Column:
     """What makes two mentions one entity: digits of a number, letters without case else."""
-    numbers = kind.isin("phone", "ssn", "number")
-    return F.when(numbers, F.regexp_replace(value, r"\D", "")).when(kind == "iban", F.lower(F.regexp_replace(value, " ", ""))).otherwise(F.lower(value))
+    digits = F.regexp_replace(value, r"\D", "")
+    return (
+        F.when(kind == "phone", F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits))
+        .when(kind.isin("ssn", "number"), digits)
+        .when(kind == "iban", F.lower(F.regexp_replace(value, " ", "")))
+        .when(kind == "token", value)
+        .otherwise(F.lower(F.replace(value, F.lit("’"), F.lit("'"))))
+    )
+
+
+def parts_of(kind: Column, mention: Column) -> Column:
+    """``array<struct<k, kind, name>>``: the entities of a mention, of a person's name each part."""
+    tokens = F.transform(F.regexp_extract_all(mention, F.lit(_TOKEN), F.lit(0)), lambda t, k: F.struct(k.alias("k"), part_kind(t).alias("kind"), canonical(F.lit("name"), t).alias("name")))
+    one = F.array(F.struct(F.lit(0).alias("k"), kind.alias("kind"), canonical(kind, mention).alias("name")))
+    return F.when(kind == "person", F.filter(tokens, lambda x: x["kind"].isNotNull())).otherwise(one)
+
+
+def alone(mentions: Column) -> Column:
+    """A pattern for the parts of the names in ``mentions`` where they stand alone; empty if there are none."""
+    people = F.filter(mentions, lambda m: m.rlike(rf"^(?:{PERSON})$"))
+    tokens = F.flatten(F.transform(people, lambda m: F.regexp_extract_all(m, F.lit(_TOKEN), F.lit(0))))
+    own = F.array_distinct(F.filter(tokens, lambda t: part_kind(t).isNotNull() & (F.length(t) > 2)))
+    both = F.array_join(F.array_distinct(F.concat(own, F.transform(own, lambda t: F.upper(t)))), "|")
+    return F.when(F.size(own) > 0, F.concat(F.lit(r"|(?<!\p{L})(?:"), both, F.lit(r")(?!\p{L})"))).otherwise("")
 
 
 def _stream(key: str, kind: Column, name: Column, attempt: Column) -> Column:
@@ -102,11 +154,28 @@ def _shape(text: Column, stream: Column, start: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _digits(name: Column, stream: Column, keep: int) -> Column:
+def _cased(text: Column, stream: Column, keep: int) -> Column:
+    """Letters and digits after the first ``keep`` replaced by others of their case; the rest stays."""
+
+    def one(c: Column, i: Column) -> Column:
+        n = _number(stream, i)
+        other = F.when(c.rlike("[0-9]"), _pick("0123456789", n)).when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", n)).when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).otherwise(c)
+        return F.when(i < keep, c).otherwise(other)
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+def _digits(name: Column, stream: Column, keep: Column) -> Column:
     """Other digits, the first ``keep`` ones the same."""
     return F.array_join(F.transform(F.split(name, ""), lambda c, i: F.when(i < keep, c).otherwise(_pick("0123456789", _number(stream, i)))), "")
 
 
+def _more(stream: Column, attempt: Column, letters: bool) -> Column:
+    """Nothing at first; one more letter or digit after every fourth attempt, so that no kind runs out."""
+    drawn = F.translate(F.substring(stream, 65, 64), "0123456789", "ghijklmnop") if letters else F.translate(F.substring(stream, 65, 64), "abcdef", "012345")
+    return F.substring(drawn, F.lit(1), F.floor(attempt / 4).cast("int"))
+
+
 def _luhn(digits: Column) -> Column:
     """Luhn sum modulo 10."""
 
@@ -118,20 +187,36 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(F.split(F.reverse(digits), ""), worth), F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
+def permuted(key: str) -> dict[str, str]:
+    """Given names to others of the same gender and script: one cycle in an order that only the key tells."""
+    out = {}
+    for names in GIVEN.values():
+        ring = sorted((n.lower() for n in names), key=lambda n: hmac.digest(key.encode(), n.encode(), "sha256"))
+        out |= dict(zip(ring, ring[1:] + ring[:1], strict=True))
+    # a name of both lists goes where the last list sends it
+    return out
+
+
 def surrogate(key: str, kind: Column, name: Column, attempt: Column) -> Column:
     """The replacement, in canonical form, of an entity in canonical form."""
     s = _stream(key, kind, name, attempt)
+    letters, figures = _more(s, attempt, True), _more(s, attempt, False)
     local, domain = F.substring_index(name, "@", 1), F.substring_index(name, "@", -1)
     d = _stream(key, F.lit("domain"), domain, F.lit(0))
-    host = F.concat(_shape(F.regexp_replace(domain, r"(?:^|\.)[^.]+\.[^.]+$", ""), d, F.lit(1)), F.when(F.size(F.split(domain, r"\.")) > 2, ".").otherwise(""))
+    sub = F.regexp_replace(domain, r"(?:^|\.)[^.]+\.[^.]+$", "")
+    # a host of its own for every domain, under a zone that is nobody's
+    own = F.concat(_shape(F.substring_index(domain, ".", 1), d, F.lit(1)), F.substring(F.translate(F.substring(d, 65, 64), "0123456789", "ghijklmnop"), F.lit(1), F.greatest(F.lit(0), 8 - F.length(F.substring_index(domain, ".", 1)))))
+    host = F.concat(F.when(sub == "", own).otherwise(_shape(sub, d, F.lit(1))), F.lit("."))
     zone = F.concat(F.lit("example."), F.element_at(F.array(*map(F.lit, ("com", "org", "net"))), (F.pmod(_number(d, F.lit(0)), F.lit(3)) + 1).cast("int")))
     ip = F.concat_ws(".", F.pmod(_number(s, F.lit(0)), F.lit(223)) + 1, *(F.pmod(_number(s, F.lit(k)), F.lit(256)) for k in (1, 2, 3)))
-    hexes = F.array_join(F.transform(F.split(name, ""), lambda c, i: F.substring(s, (4 * i + 1).cast("int"), F.lit(1))), "")
-    drawn = _digits(name, s, 1)
+    hexes = F.array_join(F.transform(F.split(name, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(s, (4 * i + 1).cast("int"), F.lit(1)))), "")
+    wide = F.concat_ws(":", F.lit("fd00"), *(F.substring(s, 4 * k + 65, 4) for k in range(7)))
+    drawn = _digits(name, s, F.lit(1))
     # the last digit makes the Luhn sum what it was
     card = F.concat(F.substring(drawn, F.lit(1), F.length(name) - 1), F.pmod(_luhn(name) - _luhn(F.concat(F.substring(drawn, F.lit(1), F.length(name) - 1), F.lit("0"))), F.lit(10)).cast("string"))
-    phone = F.when(F.substring(name, 1, 1) == "1", _digits(name, s, 1)).otherwise(_digits(name, s, 2))
+    phone = _digits(name, s, F.when(name.startswith("0"), 1).when(F.length(name) == 10, 0).otherwise(2))
     iban = F.concat(F.substring(name, 1, 2), _shape(F.substring(name, F.lit(3), F.length(name)), s, F.lit(0)))
+    token = F.when(name.startswith("ey"), _cased(name, s, 3)).otherwise(_cased(name, s, 4))
 
     def surname(script: str) -> Column:
         part = [F.element_at(F.array(*map(F.lit, SYLLABLES[script])), (F.pmod(_number(s, F.lit(k)), F.lit(16)) + 1).cast("int")) for k in range(8)]
@@ -139,48 +224,65 @@ def surrogate(key: str, kind: Column, name: Column, attempt: Column) -> Column:
         return F.concat(*part[:3], F.when(attempt > 3, F.concat(*part[3:6])).otherwise(""), F.when(attempt > 10, F.concat(*part[6:])).otherwise(""))
 
     cyrillic = F.concat(surname("cyrillic"), F.when(name.endswith("а"), "ова").otherwise("ов"))
-    given = name
-    for (gender, script), names in GIVEN.items():
-        low = [n.lower() for n in names]
-        turn = int(hashlib.sha256(f"{key}{gender}{script}".encode()).hexdigest(), 16) % (len(low) - 1) + 1
-        shifted = {n: low[(i + turn) % len(low)] for i, n in enumerate(low)}
-        pairs = F.create_map(*(F.lit(x) for pair in shifted.items() for x in pair))
-        given = F.when(name.isin(low), F.try_element_at(pairs, name)).otherwise(given)
+    prefix = F.when(name.contains("'"), F.concat(F.substring_index(name, "'", 1), F.lit("'"))).otherwise("")
+    latin = F.concat(prefix, surname("latin"), F.when(attempt > 16, letters).otherwise(""))
+    pairs = F.create_map(*(F.lit(x) for pair in permuted(key).items() for x in pair))
     return (
-        F.when(kind == "email", F.concat(_shape(local, s, F.lit(0)), F.lit("@"), host, zone))
-        .when(kind == "ip", ip)
-        .when(kind == "secret", hexes)
-        .when(kind == "number", card)
-        .when(kind == "phone", phone)
-        .when(kind == "ssn", _digits(name, s, 0))
-        .when(kind == "iban", iban)
-        .when(kind == "given", given)
-        .when(name.rlike(r"\p{IsCyrillic}"), cyrillic)
-        .otherwise(surname("latin"))
+        F.when(kind == "email", F.concat(_shape(local, s, F.lit(0)), letters, F.lit("@"), host, zone))
+        .when(kind == "token", F.concat(token, figures))
+        .when(kind == "ip", F.when(attempt > 8, wide).otherwise(ip))
+        .when(kind == "ipv6", F.when(attempt > 2, wide).otherwise(hexes))
+        .when(kind == "secret", F.concat(hexes, figures))
+        .when(kind == "number", F.concat(card, figures))
+        .when(kind == "phone", F.concat(phone, figures))
+        .when(kind == "ssn", F.concat(_digits(name, s, F.lit(0)), figures))
+        .when(kind == "iban", F.concat(iban, figures))
+        .when(kind == "given", F.try_element_at(pairs, name))
+        .when(name.rlike(r"\p{IsCyrillic}"), F.concat(cyrillic, F.when(attempt > 16, letters).otherwise("")))
+        .otherwise(latin)
     )
 
 
-def rendered(kind: Column, mention: Column, plain: Column) -> Column:
-    """The replacement written as the mention is: same punctuation of numbers, same case."""
+def _named(token: Column, new: Column) -> Column:
+    """A part of a name written as the part that it replaces."""
+    shown = F.array_join(F.transform(F.split(new, "'"), lambda x: F.initcap(x)), "'")
+    shown = F.when(token == F.upper(token), F.upper(shown)).otherwise(shown)
+    return F.when(token.contains("’"), F.replace(shown, F.lit("'"), F.lit("’"))).otherwise(shown)
+
+
+def rendered(kind: Column, mention: Column, news: Column) -> Column:
+    """The replacement written as the mention is: same punctuation of numbers, same case. ``news``:
+    ``array<struct<k, plain>>``, of a person's name the parts that change."""
+    first = F.element_at(news, 1)["plain"]
+    coded = (kind == "phone") & F.regexp_replace(mention, r"\D", "").rlike(r"^1\d{10}$")
+    filler = F.when(coded, F.concat(F.lit("1"), first)).otherwise(first)
     state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def put(a: Column, c: Column) -> Column:
         taken = c.rlike(r"[\p{L}\p{N}]")
-        return F.struct(F.concat(a.out, F.when(taken, F.substring(plain, a.at, F.lit(1))).otherwise(c)).alias("out"), F.when(taken, a.at + 1).otherwise(a.at).alias("at"))
+        return F.struct(F.concat(a.out, F.when(taken, F.substring(filler, a.at, F.lit(1))).otherwise(c)).alias("out"), F.when(taken, a.at + 1).otherwise(a.at).alias("at"))
+
+    folded = F.aggregate(F.split(mention, ""), state, put)
+    filled = F.concat(folded.out, F.substring(filler, folded.at, F.length(filler)))
+    upper = (mention == F.upper(mention)) & (mention != F.lower(mention)) & (kind != "token")
+    numbers = F.when(kind.isin("phone", "ssn", "number", "iban"), filled).otherwise(first)
+    numbers = F.when(upper & (F.length(mention) > 1), F.upper(numbers)).otherwise(numbers)
 
-    filled = F.aggregate(F.split(mention, ""), state, put).out
-    upper = (mention == F.upper(mention)) & (mention != F.lower(mention))
-    text = F.when(kind.isin("phone", "ssn", "number", "iban"), filled).when(kind.isin("given", "name"), F.initcap(plain)).otherwise(plain)
-    return F.when(upper & (F.length(mention) > 1), F.upper(text)).otherwise(text)
+    tokens, gaps = F.regexp_extract_all(mention, F.lit(_TOKEN), F.lit(0)), F.split(mention, _TOKEN, -1)
+    by = F.map_from_entries(news)
+    name = F.transform(tokens, lambda t, k: F.coalesce(_named(t, F.try_element_at(by, k)), t))
+    person = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), F.concat(name, F.array(F.lit(""))).alias("t")), lambda x: F.concat(x["g"], x["t"])), "")
+    return F.when(kind == "person", person).otherwise(numbers)
 
 
 def distinct_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``(kind, name, plain)`` for ``entities(kind, name)``, none shared and none a real entity.
 
-    Given names are permuted among themselves and need no check.
+    Given names are permuted among themselves and need no check. Surrogates grow with the attempts, so
+    the rounds come to an end however many entities there are.
     """
     now = staged(entities.select("kind", "name").distinct().withColumn("attempt", F.lit(0)), "entities")
-    for _ in range(ROUNDS):
+    while True:
         drawn = staged(now.withColumn("plain", surrogate(key, F.col("kind"), F.col("name"), F.col("attempt"))), "surrogates")
         checked = drawn.filter("kind <> 'given'")
         shared = checked.groupBy("kind", "plain").agg(F.min("name").alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "plain", "first")
@@ -188,34 +290,43 @@ def distinct_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         real = checked.join(now.select("kind", F.col("name").alias("plain")), ["kind", "plain"], "left_semi").select("kind", "name")
         again = staged(again.union(real).distinct().withColumn("more", F.lit(1)), "again")
         if again.isEmpty():
+            drop_staged(now, again)
             return drawn.select("kind", "name", "plain")
-        now = staged(drawn.join(again, ["kind", "name"], "left").select("kind", "name", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
-    raise RuntimeError("the surrogates of some kind of entity are used up")
+        after = staged(drawn.join(again, ["kind", "name"], "left").select("kind", "name", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
+        drop_staged(now, drawn, again)
+        now = after
 
 
 def replaced(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with surrogates in the text; ``count`` names a column for the number of mentions."""
-    t = F.col(text)
-    mentions = docs.select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("mark"), F.posexplode(found(t)).alias("at", "mention"))
-    mentions = mentions.withColumn("kind", kind_of(F.col("mention")))
-    mentions = staged(mentions.withColumn("name", canonical(F.col("kind"), F.col("mention"))), "mentions")
-    named = distinct_surrogates(mentions, key)
-    put = mentions.join(named, ["kind", "name"]).select("id", "mark", F.struct("at", rendered(F.col("kind"), F.col("mention"), F.col("plain")).alias("new")).alias("put"))
+    rows, own, t = plain(docs), at(docs, text), F.col(at(docs, text))
+    hits = rows.select(F.col(at(docs, doc_id)).alias("id"), F.xxhash64(t).alias("mark"), t.alias("text"), found(t).alias("seen")).filter(F.size("seen") > 0)
+    hits = hits.withColumn("alone", alone(F.col("seen")))
+    # with names in it a text is searched again for their parts
+    seen = F.when(F.col("alone") == "", F.col("seen")).otherwise(F.regexp_extract_all(F.col("text"), F.concat(F.lit(ANY), F.col("alone")), F.lit(0)))
+    hits = staged(hits.select("id", "mark", "alone", seen.alias("seen")), "hits")
+    mentions = hits.select("id", "mark", F.posexplode("seen").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
+    parts = mentions.select("id", "mark", "at", "mention", F.col("kind").alias("sort"), F.inline(parts_of(F.col("kind"), F.col("mention"))))
+    parts = staged(parts, "parts")
+    named = distinct_surrogates(parts, key)
     # rows that stand twice put the same thing at the same place
-    lists = put.groupBy("id", "mark").agg(F.sort_array(F.array_distinct(F.collect_list("put"))).alias("__put"))
-    lists = lists.withColumnsRenamed({"id": "__id", "mark": "__mark"})
-
-    marked = docs.withColumn("__has", F.size(found(t)) > 0)
-    clean = marked.filter(F.coalesce(~F.col("__has"), F.lit(True))).drop("__has")
-    hit = marked.filter("__has").drop("__has")
-    joined = hit.join(lists, hit[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(hit[text]) == F.col("__mark")))
-    parts = F.split(t, ANY, -1)
-    new = F.concat(F.transform("__put", lambda x: x["new"]), F.array(F.lit("")))
-    changed = F.array_join(F.transform(F.arrays_zip(parts.alias("a"), new.alias("b")), lambda x: F.concat(x["a"], x["b"])), "")
-    fixed = joined.select(*((changed.alias(text) if c == text else F.col(c)) for c in docs.columns), *([F.size("__put").cast("long").alias(count)] if count else []))
-    if count:
-        clean = clean.withColumn(count, F.lit(0).cast("long"))
-    return clean.union(fixed)
+    put = parts.join(named, ["kind", "name"]).groupBy("id", "mark", "at", "mention", "sort").agg(F.sort_array(F.collect_set(F.struct("k", "plain"))).alias("news"))
+    put = put.select("id", "mark", F.struct("at", rendered(F.col("sort"), F.col("mention"), F.col("news")).alias("new")).alias("put"))
+    lists = put.groupBy("id", "mark").agg(F.sort_array(F.collect_list("put")).alias("put"))
+    lists = lists.join(hits.select(F.col("id").alias("same"), F.col("mark").alias("marked"), "alone").distinct(), F.col("id").eqNullSafe(F.col("same")) & (F.col("mark") == F.col("marked"))).select("id", "mark", "alone", "put")
+
+    likely = F.coalesce(t.rlike(HINT), F.lit(False))
+    clean = rows.filter(~likely)
+    joined = rows.filter(likely).join(lists, F.col(at(docs, doc_id)).eqNullSafe(F.col("id")) & (F.xxhash64(t) == F.col("mark")), "left")
+    pieces = F.when(F.col("alone") == "", F.split(t, ANY, -1)).otherwise(F.split(t, F.concat(F.lit(ANY), F.col("alone")), -1))
+    new = F.concat(F.transform("put", lambda x: x["new"]), F.array(F.lit("")))
+    changed = F.array_join(F.transform(F.arrays_zip(pieces.alias("a"), new.alias("b")), lambda x: F.concat(x["a"], x["b"])), "")
+    fixed = joined.withColumn(own, F.when(F.col("put").isNull(), t).otherwise(changed))
+    if not count:
+        return restored(clean.select(rows.columns).union(fixed.select(rows.columns)), docs)
+    n = F.coalesce(F.size("put"), F.lit(0)).cast("long")
+    both = clean.select(*rows.columns, F.lit(0).cast("long")).union(fixed.select(*rows.columns, F.when(F.col("put").isNull(), 0).otherwise(n).cast("long")))
+    return both.toDF(*docs.columns, count)
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
