@@ -35,8 +35,8 @@ hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(CASE WHEN base_failed OR sof
 moments AS (SELECT least(greatest(sum(k) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(k * k / n) / sum(n) AS square, count(*) AS hosts, sum(n) AS total, sum(n * n) AS squares FROM hosts),
 spread AS (SELECT mean, (square - mean * mean - mean * (1 - mean) * hosts / total) / greatest(1 - squares / (total * total), 1e-9) AS between_hosts FROM moments),
 prior AS (SELECT mean, least(greatest(CASE WHEN between_hosts > 0 THEN mean * (1 - mean) / between_hosts - 1 ELSE 1e4 END, 1), 1e4) AS size FROM spread),
-verdict AS (SELECT source, (k + mean * size) / (n + size) > 0.5 AS rejected FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rejected AND soft) AS kept
+verdict AS (SELECT source, (k + mean * size) / (n + size) AS rate, rate > least(greatest(mean + 3 * sqrt(mean * (1 - mean) / (size + 1)), 0.3), greatest(0.6, (1 + mean) / 2)) AS rejected FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept, round(rate, 6) AS host_rate, rejected AS host_rejected
 FROM j JOIN verdict ON j.source IS NOT DISTINCT FROM verdict.source""",
     "op10_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_RUN}') AS ws FROM documents),

@@ -2,7 +2,9 @@
 
 Every document is measured on its whole text. Rule failures are counted by host, the failure rate
 of each host is shrunk towards an empirical beta prior that is fitted to all hosts, and the host's
-verdict is joined back to its documents.
+verdict is joined back to its documents. A host is rejected if its shrunk rate lies three deviations
+of the prior above the prior's mean, but not below 30 %, and at any rate above 60 % (or half way from
+the mean to 1, where most documents fail); its documents go with it.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its
 own; repeated rows are measured and counted one by one; other columns are passed through untouched
@@ -17,16 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanloom.llm.common import slices, staged, table
+from spanloom.llm.common import at, plain, restored, slices, staged, table
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Soft rules: shares in percent above which a document counts as failing for its host.
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT = 10, 30
-#: A host is rejected above this shrunk failure rate.
-MAX_HOST_RATE = 0.5
+#: A host is rejected so many deviations of the prior above its mean, within these bounds.
+DEVIATIONS, SPARED, HOPELESS = 3.0, 0.3, 0.6
 
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -72,38 +75,30 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     return (len(words), len(text) - blanks, sum(raw.count(bytes([c])) for c in SYMBOLS), len(lines) - len(set(lines)), repeat_words(words), len(lines))
 
 
-def signals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one struct column ``__signals``; no shuffle."""
-    from pyspark.sql import types as T
-
-    kind = T.StructType([T.StructField(x, T.LongType()) for x in SIGNALS])
-    schema = T.StructType([*docs.schema.fields, T.StructField("__signals", kind)])
-    at, columns = docs.columns.index(text), docs.columns
+def signals(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``rows`` and one for each signal; no shuffle."""
+    narrow = rows.select(*keep, F.col(text).alias("measured"))
+    schema = T.StructType([*narrow.drop("measured").schema.fields, *(T.StructField(x, T.LongType()) for x in SIGNALS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f"c{i}" for i in range(len(columns) + 1)]
         for whole in batches:
-            whole = pa.RecordBatch.from_arrays(whole.columns, names[:-1])
-            for batch in slices(whole, names[at], 8_000_000):
-                rows = [measure(t) for t in batch.column(at).to_pylist()]
-                values = np.array(rows, np.int64).reshape(-1, len(SIGNALS)).T
-                made = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in values], list(SIGNALS))
-                yield pa.RecordBatch.from_arrays([*batch.columns, made], [*columns, "__signals"])
+            for batch in slices(whole, "measured", 8_000_000):
+                values = np.array([measure(t) for t in batch.column(len(keep)).to_pylist()], np.int64).reshape(-1, len(SIGNALS)).T
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(np.ascontiguousarray(c)) for c in values)], [*keep, *SIGNALS])
 
-    return docs.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema)
 
 
 def judged(measured: DataFrame) -> DataFrame:
-    """Adds ``__base_failed`` and ``__failed`` (base or soft rules) to measured documents."""
-    s = F.col("__signals")
-    base = (s.n_words < MIN_WORDS) | (100 * s.n_repeat_words > MAX_REPEAT_PERCENT * s.n_words)
-    soft = (100 * s.n_symbols > MAX_SYMBOL_PERCENT * s.word_chars) | (100 * s.n_dup_lines > MAX_DUP_LINE_PERCENT * s.n_lines)
-    return measured.withColumn("__base_failed", base).withColumn("__failed", base | soft)
+    """Adds ``base_failed`` and ``failed`` (base or soft rules) to measured documents."""
+    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    soft = (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars")) | (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"))
+    return measured.withColumn("base_failed", base).withColumn("failed", base | soft)
 
 
-def host_counts(judgements: DataFrame, host: str) -> DataFrame:
+def host_counts(judgements: DataFrame) -> DataFrame:
     """One row per host: documents and failures; combined before the shuffle, so a hot host is cheap."""
-    return judgements.groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("n"), F.sum(F.col("__failed").cast("long")).alias("fails"))
+    return judgements.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("fails"))
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -121,41 +116,43 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * size, (1 - mean) * size
 
 
-def host_verdicts(hosts: DataFrame, most: float = MAX_HOST_RATE) -> DataFrame:
-    """``(__host, __rate, __rejected)`` with the shrunk failure rate of every host."""
+def threshold(a: float, b: float) -> float:
+    """The shrunk rate above which a host is rejected under this prior."""
+    mean = a / (a + b)
+    deviation = (mean * (1 - mean) / (a + b + 1)) ** 0.5
+    return min(max(mean + DEVIATIONS * deviation, SPARED), max(HOPELESS, (1 + mean) / 2))
+
+
+def host_verdicts(hosts: DataFrame) -> DataFrame:
+    """``(host, host_rate, host_rejected)`` with the shrunk failure rate of every host."""
     a, b = beta_prior(hosts)
     rate = (F.col("fails") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    return hosts.select("__host", rate.alias("__rate"), (rate > most).alias("__rejected"))
+    return hosts.select("host", rate.alias("host_rate"), (rate > threshold(a, b)).alias("host_rejected"))
 
 
-def with_verdicts(judgements: DataFrame, host: str, most: float = MAX_HOST_RATE) -> DataFrame:
-    """Adds ``__rate`` and ``__kept``: a document goes if it fails the base rules, or if its host is
-    rejected and it fails a soft rule itself; clean documents of a bad host stay."""
-    hosts = staged(host_counts(judgements, host), "hosts")
-    verdicts = staged(host_verdicts(hosts, most), "verdicts")
-    kept = ~F.col("__base_failed") & ~(F.coalesce(F.col("__rejected"), F.lit(False)) & F.col("__failed"))
-    joined = judgements.join(verdicts, judgements[host].eqNullSafe(verdicts["__host"]), "left")
-    return joined.withColumn("__kept", kept).drop("__host", "__rejected")
+def with_verdicts(judgements: DataFrame) -> DataFrame:
+    """Adds ``host_rate``, ``host_rejected`` and ``kept`` to ``judgements(host, base_failed, failed, …)``."""
+    verdicts = staged(host_verdicts(staged(host_counts(judgements), "hosts")), "verdicts").withColumnRenamed("host", "own")
+    joined = judgements.join(verdicts, judgements["host"].eqNullSafe(verdicts["own"]), "left").drop("own")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def quality_report(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: its signals, the host's shrunk failure rate and both verdicts."""
+    """One row per document: its signals, both verdicts and the host's shrunk failure rate."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
-    marks = staged(judged(signals(narrow)).drop("text"), "signals")
-    s = F.col("__signals")
-    return with_verdicts(marks, "host").select(
-        "doc_id", *(s[x].alias(x) for x in SIGNALS[:-1]), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__rate").alias("host_rate")
-    )
+    marks = staged(judged(signals(narrow, "text", ["doc_id", "host"])), "signals")
+    return with_verdicts(marks).select("doc_id", *SIGNALS[:-1], "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"), "host_rejected")
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The documents that the rules keep, with the columns of ``docs``."""
-    narrow = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    verdicts = staged(host_verdicts(staged(host_counts(judged(signals(narrow)), "host"), "hosts")), "verdicts")
-    marked = judged(signals(docs, text))
-    kept = ~F.col("__base_failed") & ~(F.coalesce(F.col("__rejected"), F.lit(False)) & F.col("__failed"))
-    return marked.join(verdicts, marked[host].eqNullSafe(verdicts["__host"]), "left").filter(kept).select(*(marked[c] for c in docs.columns))
+    rows = plain(docs)
+    own, held = at(docs, host), rows.columns
+    hosts = host_counts(judged(signals(rows.withColumn("host", F.col(own)), at(docs, text), ["host"])))
+    verdicts = staged(host_verdicts(staged(hosts, "hosts")).filter("host_rejected").select("host"), "rejected")
+    good = judged(signals(rows, at(docs, text), held)).filter(~F.col("base_failed"))
+    return restored(good.join(verdicts, F.col(own).eqNullSafe(F.col("host")), "left_anti"), docs)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(table(spark, sf_dir, "documents")).drop("host_rate")
+    return quality_report(table(spark, sf_dir, "documents"))

@@ -31,14 +31,46 @@ def test_whole_table(spark, small):
         assert not (r.kept and r.base_failed)
 
 
-def test_bad_host_keeps_its_clean_documents(spark):
-    clean = "word0 word1 word2 word3 word4 word5 word6 word7 word8 word9 word10"
-    noisy = " ".join(f"w{i}###" for i in range(12))
-    rows = [(i, noisy, "bad") for i in range(50)] + [(50, clean, "bad"), (51, clean, "good"), (52, noisy, "good")] + [(i, clean + f" x{i}", "good") for i in range(60, 100)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = {r.doc_id: r.kept for r in quality.quality_report(df).collect()}
-    assert not any(kept[i] for i in range(50)) and all(kept[i] for i in (50, 51, 52))
-    assert {r.doc_id for r in quality.keep_good(df).collect()} == {i for i, k in kept.items() if k}
+CLEAN = "word0 word1 word2 word3 word4 word5 word6 word7 word8 word9 word10"
+NOISY = " ".join(f"w{i}###" for i in range(12))
+
+
+def hosts(spark):
+    rows = [(i, NOISY, "bad") for i in range(50)] + [(50, CLEAN, "bad"), (51, CLEAN, "good"), (52, NOISY, "good"), (53, CLEAN, None), (54, "short", "good")]
+    rows += [(i, CLEAN + f" x{i}", "good" if i % 2 else f"h{i % 8}") for i in range(60, 140)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_a_rejected_host_goes_with_its_documents(spark):
+    df = hosts(spark)
+    rows = {r.doc_id: r for r in quality.quality_report(df).collect()}
+    assert all(rows[i].host_rejected and not rows[i].kept and rows[i].host_rate > 0.8 for i in range(51))
+    assert rows[51].kept and rows[52].kept and rows[53].kept and not rows[54].kept and not rows[52].host_rejected
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {i for i, r in rows.items() if r.kept}
+
+
+def test_sql_with_a_rejected_host(spark, tmp_path):
+    """The SQL of the query over hosts of which one is rejected."""
+    from oracle import differences
+
+    from spanloom.llm.oracle import SQL
+
+    hosts(spark).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert differences(spark, str(tmp_path), quality.op7_quality_rules, SQL["op7_quality_rules"]) == ""
+
+
+def test_threshold_follows_the_prior():
+    assert quality.threshold(1, 99) == quality.SPARED and quality.threshold(0.1, 0.1) == 0.75 and quality.threshold(0.1, 0.9) == quality.HOPELESS
+    m, d = 0.3, (0.3 * 0.7 / 101) ** 0.5
+    assert abs(quality.threshold(30, 70) - (m + 3 * d)) < 1e-12
+
+
+def test_clashing_names(spark):
+    names = ["__signals", "__rejected", "__failed", "__base_failed", "host", "own", "failed", "n_words", "host_rate", "measured", "c0", "kept"]
+    df = hosts(spark).selectExpr("*", *(f"'v{i}' AS `{n}`" for i, n in enumerate(names)))
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and kept.count() == quality.keep_good(hosts(spark)).count()
+    assert tuple(kept.first())[3:] == tuple(f"v{i}" for i in range(len(names)))
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
@@ -50,6 +82,6 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 
 def test_shrinkage(spark):
-    hosts = spark.createDataFrame([("a", 1, 1), ("b", 1000, 900), ("c", 1000, 10), ("d", 1000, 12)], "__host string, n long, fails long")
-    rate = {r["__host"]: r["__rate"] for r in quality.host_verdicts(hosts).collect()}
+    counts = spark.createDataFrame([("a", 1, 1), ("b", 1000, 900), ("c", 1000, 10), ("d", 1000, 12)], "host string, n long, fails long")
+    rate = {r["host"]: r["host_rate"] for r in quality.host_verdicts(counts).collect()}
     assert rate["a"] < 1 and abs(rate["b"] - 0.9) < 0.01 and rate["c"] < rate["d"] < 0.02
