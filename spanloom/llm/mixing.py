@@ -8,11 +8,13 @@ one stops where the budget ends. ``place`` puts all sources on one line so that
 holds them in their weights.
 
 Which documents the last reading takes follows from three numbers per source, so texts are never
-shuffled to mix them; running sums go over blocks, and inside one block for each source.
+shuffled to mix them. Where it stops is found in three levels of running sums: over equal stretches of
+the places of a source's blocks, over the blocks of one stretch, over the documents of one block. So a
+source of any size costs a task no more than its share of each.
 
 Defined results: a null source is a source; documents without words cost nothing and are read with
 their block; a source without any word is read once; repeated rows are read alike; an empty table
-gives an empty mix.
+gives an empty mix; other columns keep their names and values whatever the names are.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WORD, staged, table
+from spanloom.llm.common import WORD, at, drop_staged, plain, restored, staged, table
 
 #: Target entropy as a share of the greatest possible one, and most readings of a source.
 ENTROPY, MAX_REPEATS = 0.9, 4.0
 #: Tokens of a block, halvings of the exponent's interval in each pass and passes.
 BLOCK_TOKENS, HALVINGS, PASSES = 100_000, 6, 5
+#: Stretches of places of which each source's blocks are summed first.
+STRETCHES = 4096
 SEED = 7
 
 
@@ -103,16 +107,28 @@ def plan(sizes: DataFrame, entropy: float | None = ENTROPY, max_repeats: float |
     dealt = staged(dealt, "dealt")
     room = F.round((F.col("__mix_readings") - F.col("__mix_full")) * F.col("tokens")).cast("long")
     blocks = dealt.groupBy("__mix_source", "block").agg(F.sum("__mix_tokens").alias("n"), F.first("place").alias("place"), F.first(room).alias("room"))
-    order = Window.partitionBy("__mix_source").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    edge = before.filter("room > 0 and before <= room and before + n > room").select(F.col("__mix_source").alias("s"), F.col("block").alias("b"), (F.col("room") - F.col("before")).alias("rest"))
-    edge = staged(edge.groupBy("s").agg(F.min_by("b", "rest").alias("b"), F.min("rest").alias("rest")), "edges")
-    inside = dealt.join(edge, dealt["__mix_source"].eqNullSafe(edge.s) & (dealt.block == edge.b))
+    blocks = staged(blocks.withColumn("stretch", F.floor(F.col("place") * STRETCHES)), "blocks")
+    wide = blocks.groupBy("__mix_source", "stretch").agg(F.sum("n").alias("n"), F.first("room").alias("room"))
+    stretch = _crossing(wide, "stretch", ["stretch"])
+    inner = blocks.join(stretch.select(F.col("s"), F.col("edge").alias("e"), "rest"), blocks["__mix_source"].eqNullSafe(F.col("s")) & (blocks.stretch == F.col("e")))
+    edge = staged(_crossing(inner.select("__mix_source", "block", "n", "place", F.col("rest").alias("room")), "block", ["place", "block"]), "edges")
+    inside = dealt.join(edge, dealt["__mix_source"].eqNullSafe(edge.s) & (dealt.block == edge.edge))
     upto = Window.partitionBy("__mix_source").orderBy("__mix_doc")
     last = inside.withColumn("used", F.sum("__mix_tokens").over(upto)).filter("used <= rest").groupBy("s").agg(F.max("__mix_doc").alias("__mix_last"))
     cut = inside.groupBy("s").agg(F.first("place").alias("__mix_stop"))
     cut = cut.join(last, cut.s.eqNullSafe(last.s), "left").select(cut.s, "__mix_stop", "__mix_last")
-    return staged(rows.join(cut, rows["__mix_source"].eqNullSafe(cut.s), "left").drop("s", "tokens"), "plan")
+    out = staged(rows.join(cut, rows["__mix_source"].eqNullSafe(cut.s), "left").drop("s", "tokens"), "plan")
+    drop_staged(dealt, blocks, edge, rows)
+    return out
+
+
+def _crossing(sums: DataFrame, what: str, order: list[str]) -> DataFrame:
+    """``(s, edge, rest)``: the part of each source in which the running sum of ``n`` passes ``room``, and
+    how much room there is in it."""
+    upto = Window.partitionBy("__mix_source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    edge = before.filter("room > 0 and before <= room and before + n > room").select(F.col("__mix_source").alias("s"), F.col(what).alias("edge"), (F.col("room") - F.col("before")).alias("rest"))
+    return edge.groupBy("s").agg(F.min_by("edge", "rest").alias("edge"), F.min("rest").alias("rest"))
 
 
 def _with_source(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -147,9 +163,12 @@ def prepared(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", te
 
 def remixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The mix as rows of ``docs``, each as often as it is read."""
-    ready = prepared(docs, source, doc_id, text)
-    sizes = staged(ready.select("__mix_source", "__mix_doc", tokens(F.col(text)).alias("__mix_tokens")), "sizes")
-    return mixed(ready, sizes, **options).select(*(F.col(c) for c in docs.columns))
+    own = at(docs, text)
+    ready = prepared(plain(docs), at(docs, source), at(docs, doc_id), own)
+    sizes = staged(ready.select("__mix_source", "__mix_doc", tokens(F.col(own)).alias("__mix_tokens")), "sizes")
+    out = restored(mixed(ready, sizes, **options), docs)
+    drop_staged(sizes)
+    return out
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,51 @@ def test_places_interleave(spark):
     assert got.groupBy("doc_id", "epoch").count().filter("count > 1").count() == 0
 
 
+@pytest.mark.parametrize("stretches", [1, 7, 4096])
+def test_which_documents_the_last_reading_takes(spark, skewed, monkeypatch, stretches):
+    """Brute force over the same order: blocks by place, then documents of the block that the budget cuts."""
+    monkeypatch.setattr(mixing, "STRETCHES", stretches)
+    ready = mixing.prepared(skewed)
+    sizes = ready.select("doc_id", "__mix_source", "__mix_doc", mixing.tokens(F.col("text")).alias("__mix_tokens"))
+    got = {(r.doc_id, r["__mix_epoch"]) for r in mixing.mixed(sizes, sizes.drop("doc_id"), entropy=0.97, max_repeats=None, block_tokens=200).collect()}
+    rows = sizes.collect()
+    total = sum(r["__mix_tokens"] for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r["__mix_source"], []).append(r)
+    p = {k: sum(r["__mix_tokens"] for r in v) / total for k, v in by.items()}
+    a = mixing.exponent(shares(skewed), 0.97, None)
+    z = sum(x**a for x in p.values())
+    want = set()
+    for k, own in by.items():
+        tokens = sum(r["__mix_tokens"] for r in own)
+        readings = p[k] ** a / z * total / tokens
+        full = math.floor(readings + 1e-9)
+        room = round((readings - full) * tokens)
+        blocks = max(math.ceil(tokens / 200), 1)
+        ids = [((r["__mix_doc"] & (2**64 - 1)) >> 1) % blocks for r in own]
+        keyed = spark.createDataFrame([(k, b) for b in sorted(set(ids))], "__mix_source string, b long")
+        place = {r.b: r.p for r in keyed.select("b", mixing._part(mixing.SEED, "__mix_source", F.col("b"), F.lit(full).cast("long")).alias("p")).collect()}
+        want |= {(r.doc_id, e) for r in own for e in range(full)}
+        used = 0
+        for b in sorted(place, key=lambda b: (place[b], b)):
+            part = sorted((r for r, i in zip(own, ids, strict=True) if i == b), key=lambda r: r["__mix_doc"])
+            for r in part:
+                used += r["__mix_tokens"]
+                if used <= room:
+                    want.add((r.doc_id, full))
+            if used > room:
+                break
+    assert got == want
+
+
+def test_clashing_mix_names(spark, skewed):
+    names = ["__mix_right", "__mix_full", "__mix_blocks", "__mix_source", "__mix_doc", "__mix_epoch", "c0", "s", "edge", "rest"]
+    df = skewed.selectExpr("*", *(f"'v{i}' AS `{n}`" for i, n in enumerate(names)))
+    out = mixing.remixed(df, entropy=0.97)
+    assert out.columns == df.columns and tuple(out.first())[3:] == tuple(f"v{i}" for i in range(len(names)))
+
+
 def test_odd_mixes(odd_docs, no_docs):
     out = mixing.remixed(odd_docs, entropy=None, max_repeats=None)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
