@@ -85,6 +85,7 @@ class WordCounter:
 
     def _forget(self) -> None:
         self.known = {s: np.array([NEVER] * (len(s) - 1) + [1], np.uint32).tobytes() for s in self.specials}
+        self.totals = dict.fromkeys(self.specials, 1)
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens in order; a special token's string is one of its own."""
@@ -116,13 +117,16 @@ class WordCounter:
     def _learn(self, new: list[str]) -> None:
         raw = [np.frombuffer(w.encode("utf-8", "surrogateescape"), np.uint8) for w in new]
         for part, sizes, _, _, counts in self.encoder.many(raw, True):
-            for row, k in enumerate(part.tolist()):
-                own = raw[k]
-                ends = np.flatnonzero((own[1:] & 0xC0) != 0x80) + 1  # after each character but the last
-                self.known[new[k]] = np.r_[counts[ends, row], counts[sizes[row], row]].astype(np.uint32).tobytes()
+            by_word = np.ascontiguousarray(counts[1:].T.astype(np.uint32))
+            for row, (k, size) in enumerate(zip(part.tolist(), sizes.tolist(), strict=True)):
+                own, word = by_word[row, :size], new[k]
+                if len(word) < size:  # only where a character ends
+                    own = own[np.r_[(raw[k][1:] & 0xC0) != 0x80, True]]
+                self.known[word] = own.tobytes()
+                self.totals[word] = int(own[-1])
 
     def count(self, word: str) -> int:
-        return int.from_bytes(self.known[word][-4:], "little")
+        return self.totals[word]
 
     def prefixes(self, words: list[str]) -> np.ndarray:
         """Token counts of the text of these pre-tokens at each of its characters; all must be known."""
@@ -159,9 +163,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
                 by.learn(set().union(*words))
                 rows = []
                 for t, w in zip(texts, words, strict=True):
-                    at = by.prefixes(w)
-                    total = int(at[-1]) if len(at) else 0
-                    rows.append((len(t.encode("utf-8", "surrogatepass")), total, total > limit, len(at) if total <= limit else longest(at, limit)))
+                    total = sum(map(by.totals.__getitem__, w))
+                    fits = sum(map(len, w)) if total <= limit else longest(by.prefixes(w), limit)
+                    rows.append((len(t.encode("utf-8", "surrogatepass")), total, total > limit, fits))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *(pa.array(c, pa.bool_() if k == 2 else pa.int64()) for k, c in enumerate(columns))],
