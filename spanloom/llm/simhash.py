@@ -8,7 +8,8 @@ once they exceed three. A key with very many fingerprints is split by the blocks
 bits, which loses no pair. Tasks send on a spanning forest of what they find, never all pairs.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any other; repeated
-rows are returned one by one; a null doc_id is no candidate for component_id unless it is alone.
+rows are returned one by one; a null doc_id is no candidate for component_id unless it is alone;
+other columns pass through ``keep_one`` whatever their names are.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import components, slices, staged, table, text_bytes
+from spanloom.llm.common import at, components, plain, restored, slices, staged, table, text_bytes
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Rows of a key above which it is split by further blocks.
@@ -100,10 +101,16 @@ class GrayIndex:
         self.size = n
         self.root_of = np.searchsorted(labels, group) if n else np.zeros(0, np.int64)
 
-    def pairs(self, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of pairs of sorted places (i < j) of one group that differ in ``radius`` bits or fewer."""
+    def pairs(self, radius: int = RADIUS, linked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of pairs of sorted places (i < j) of one group that differ in ``radius`` bits or fewer.
+
+        ``linked``: labels by sorted place; pairs with the same label are left out, and so are whole
+        nodes of which all rows have the label of the query.
+        """
         q = np.arange(self.size)
-        stack = [(0, q, self.root_of, np.zeros(self.size, np.int64))]
+        known = self._labels(linked)
+        first = q if linked is None else q[~self._all_linked(known, 0, linked, q, self.root_of)]
+        stack = [(0, first, self.root_of[first], np.zeros(len(first), np.int64))]
         while stack:
             depth, q, node, acc = stack.pop()
             level = self.levels[depth]
@@ -120,14 +127,33 @@ class GrayIndex:
                 below = self.levels[depth + 1]
                 acc = acc + np.bitwise_count((self.codes[q] ^ below["pattern"][child]) & below["added"][child])
                 keep = acc <= radius
+                if linked is not None:
+                    keep &= ~self._all_linked(known, depth + 1, linked, q, child)
                 if keep.any():
                     stack.append((depth + 1, q[keep], child[keep], acc[keep]))
             else:
                 acc = acc + np.bitwise_count((self.codes[q] ^ self.codes[child]) & self.last_added[child])
                 keep = (acc <= radius) & (q < child)
+                if linked is not None:
+                    keep &= linked[q] != linked[child]
                 if keep.any():
                     yield q[keep], child[keep]
 
+    def _labels(self, linked: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Smallest and largest label below each node, by level."""
+        out, low, high = [], linked, linked
+        for level in reversed(self.levels) if linked is not None and self.size else ():
+            low, high = np.minimum.reduceat(low, level["from"]), np.maximum.reduceat(high, level["from"])
+            out.append((low, high))
+        return out[::-1]
+
+    @staticmethod
+    def _all_linked(known, depth: int, linked: np.ndarray, q: np.ndarray, node: np.ndarray) -> np.ndarray:
+        if not known:
+            return np.zeros(len(q), bool)
+        low, high = known[depth]
+        return (low[node] == linked[q]) & (high[node] == linked[q])
+
 
 def forest(n: int, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Smallest place reachable from each place over the given pairs."""
@@ -252,11 +278,12 @@ def one_of_each(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text
     row = F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("best_id"), F.col("mark").alias("best_mark"))
     best = groups.groupBy("component").agg(F.min(row).alias("best")).select("component", "best.*")
     same = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark"))
-    gone = staged(groups.join(best, "component").filter(~same).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__gone")).distinct(), "gone")
-    left = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__gone")), "left_anti")
-    if groups.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
-        return left
-    return left.withColumn("__mark", F.xxhash64(text)).dropDuplicates([doc_id, "__mark"]).drop("__mark")
+    gone = staged(groups.join(best, "component").filter(~same).select(F.col("doc_id").alias("id"), "mark").distinct(), "gone")
+    rows, own, t = plain(docs), at(docs, doc_id), F.xxhash64(at(docs, text))
+    left = rows.join(gone, F.col(own).cast("long").eqNullSafe(F.col("id")) & (t == F.col("mark")), "left_anti")
+    if not groups.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
+        left = left.withColumn("mark", t).dropDuplicates([own, "mark"])
+    return restored(left, docs)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
