@@ -56,6 +56,41 @@ def test_small_table(spark, small):
     assert {x.doc_id for x in jaccard.keep_one(df).collect()} == kept_by_brute(docs)
 
 
+def test_hot_buckets(spark, monkeypatch):
+    """Buckets cut into blocks of which every two meet give the same pairs."""
+    r = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(k, edited(words, r, 0.06)) for k in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    nodes = jaccard.staged(jaccard.sketches(df).drop("doc_id", "mark").dropDuplicates(["node"]), "nodes")
+    members = jaccard.staged(jaccard.buckets(nodes), "members")
+    alone = nodes.limit(0).select("node", nodes.node.alias("root"))
+    whole, cut = ({tuple(x) for x in jaccard.across(members, nodes, alone, hot=hot).collect()} for hot in (1000, 7))
+    assert whole == cut and len(whole) > 100
+    assert {x.doc_id for x in jaccard.keep_one(df).collect()} == kept_by_brute(docs)
+
+
+def test_labels_leave_out_pairs():
+    r = np.random.default_rng(7)
+    codes, group, label = r.integers(0, 2**64, 400, dtype=np.uint64), r.integers(0, 4, 400), r.integers(0, 6, 400)
+    codes[::3] ^= codes[0] ^ codes[::3] & np.uint64(0xFFFFFFFFFFFFF000)
+    index = simhash.GrayIndex(group, codes)
+    linked = label[index.order]
+    found = {(int(a), int(b)) for i, j in index.pairs(22, linked) for a, b in zip(i, j, strict=True)}
+    want = {(int(a), int(b)) for i, j in index.pairs(22) for a, b in zip(i, j, strict=True) if linked[a] != linked[b]}
+    assert found == want and want
+    assert not list(index.pairs(22, np.zeros(400, int)))
+
+
+def test_clashing_names(spark):
+    names = ["__gone", "__id", "__mark", "mark", "id", "component", "c0", "c1"]
+    rows = [(1, "one two three four five six", *"abcdefgh"), (2, "one  two three four five SIX", *"abcdefgh"), (3, "other", *"abcdefgh")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for keep_one in (jaccard.keep_one, simhash.keep_one):
+        out = keep_one(df)
+        assert out.columns == df.columns and sorted(tuple(x) for x in out.collect()) == [rows[0], rows[2]]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     kept = jaccard.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
