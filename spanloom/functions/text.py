@@ -118,8 +118,8 @@ def from_roman(text: Column) -> Column:
 
 
 def ratio(top: Column, bottom: Column) -> Column:
-    """A share rounded to four places; 0 where nothing is counted."""
-    return F.when(bottom == 0, F.lit(0.0)).otherwise(F.round(top / bottom, 4))
+    """A share rounded to four places, halves to even; 0 where nothing is counted."""
+    return F.when(bottom == 0, F.lit(0.0)).otherwise(F.bround(top / bottom, 4))
 
 
 def range_filter(spec: str, column: Column) -> Column:

@@ -13,32 +13,15 @@ CLAUSES = ("root", "ccomp", "xcomp", "acl:relcl", "advcl", "parataxis")
 ROLES = {"nsubj": "subj", "obj": "obj", "iobj": "iobj", "ccomp": "ccomp", "xcomp": "xcomp", "obl": "obl"}
 
 
-def agreement(subject: DataFrame, verb: DataFrame, on: list[str]) -> DataFrame:
-    """Verdict of each subject–verb pair: undecidable, agree, or the feature that disagrees.
-
-    Features are compared in a fixed order and only where both sides state one.
-    """
-    s = subject.select(*on, *(F.col(c).alias(f"s_{c}") for c in ("gender", "number", "person", "pos")))
-    v = verb.select(*on, *(F.col(c).alias(f"v_{c}") for c in ("gender", "number", "person", "pos")))
-    differ = lambda c: (F.col(f"s_{c}") != "") & (F.col(f"v_{c}") != "") & (F.col(f"s_{c}") != F.col(f"v_{c}"))
-    silent = lambda c: (F.col(f"s_{c}") == "") | (F.col(f"v_{c}") == "")
-    verdict = (
-        F.when(~is_verb(F.col("v_pos")), "undecidable:not_verbal")
-        .when(silent("number") & silent("person") & silent("gender"), "undecidable:no_feature")
-        .when(differ("number"), "disagree:number")
-        .when(differ("person"), "disagree:person")
-        .when(differ("gender") & ~silent("gender"), "disagree:gender")
-        .otherwise("agree")
-    )
-    return s.join(v, on).select(*on, verdict.alias("verdict"))
-
-
 def with_children(edges: DataFrame) -> DataFrame:
     """Edges with what their children tell: numbers of arguments and subjects, the first preposition,
     and whether the token is a predicate: a verb that heads a clause or has an argument.
 
-    One grouping by head and one join; all of the derivation follows from its rows.
+    One grouping by head and one join; all of the derivation follows from its rows. Tokens that have
+    these columns already are returned as they are.
     """
+    if "pred" in edges.columns:
+        return edges
     rel = F.col("deprel")
     below = edges.filter((F.col("head") > 0) & rel.isin(*ROLES, "case")).groupBy(*UNIT, F.col("head").alias("u"))
     kids = below.agg(
@@ -128,12 +111,12 @@ def null_subject_repairs(violations: DataFrame) -> DataFrame:
 
 
 def supports(case: Column, role: Column) -> Column:
-    """Whether a case can carry a role."""
+    """Whether a case can carry a role; a joined case and an unknown role support nothing."""
     return (
-        F.when(role == "subj", case.isin("nominative", "vocative"))
-        .when(role == "obj", case.isin("accusative", "reflexive"))
-        .when(role.isin("iobj", "obl:a"), case.isin("dative", "reflexive"))
-        .when(role == "obl:di", case.isin("genitive", "ablative"))
-        .when(role.startswith("obl"), ~case.isin("nominative", "vocative"))
-        .otherwise(F.lit(True))
+        F.when(role == "subj", case == "nominative")
+        .when(role == "obj", case == "accusative")
+        .when(role == "iobj", case == "dative")
+        .when(role == "obl:a", case.isin("dative", "ablative", "locative"))
+        .when((role == "obl") | role.startswith("obl:"), case.isin("ablative", "locative"))
+        .otherwise(F.lit(False))
     )

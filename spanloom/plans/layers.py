@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import frames, units
 from spanloom.operators.edges import UNIT
+from spanloom.sources.staging import staged
 from spanloom.sources.text import lines, read_table
 
 #: Fixed values of the arithmetic; the SQL counterparts state the same lists.
@@ -19,6 +20,7 @@ POS = ("noun", "conjunction", "verb", "adjective", "pronoun", "preposition", "ar
 RELS = (
     "nsubj", "obj", "obl", "case", "conj", "aux", "cop", "amod", "acl:relcl", "xcomp", "ccomp", "fixed",
     "advmod", "nmod", "advcl", "expl", "mark", "attr", "obl", "nsubj", "obj", "parataxis", "orphan",
+    "cc", "det", "nummod", "appos", "nsubj:pass", "expl:impers", "iobj", "conj", "unheard",
 )
 CASES = ("nom", "acc.", "*dat*", "oblique", "expletive", "genitive+acc", "unheard", "ablative")
 
@@ -49,11 +51,19 @@ def morph(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.ascii(F.lower("word"))
     return w.select(
         "*",
-        F.when((F.col("pos") == "verb") & (F.col("h") % 17 == 0), "essere").otherwise(F.concat(F.lower("word"), F.when(F.col("pos") == "verb + pronoun", " + si").otherwise(""))).alias("lemma"),
+        F.when((F.col("pos") == "verb") & (F.col("h") % 17 == 0), "essere")
+        .when((F.col("pos") == "pronoun") & (F.col("h") % 19 == 0), "che")
+        .when((F.col("pos") == "pronoun") & (F.col("h") % 13 == 0), "ciascuno")
+        .when((F.col("pos") == "adjective") & (F.col("h") % 3 == 0), "molto")
+        .when((F.col("pos") == "preposition") & (F.col("h") % 3 == 0), "con")
+        .otherwise(F.concat(F.lower("word"), F.when(F.col("pos") == "verb + pronoun", " + si").otherwise("")))
+        .alias("lemma"),
         pick(("m.", "f.", ""), F.col("h")).alias("gender"),
         pick(("sg.", "pl."), F.length("word")).alias("number"),
         F.when(verbal | (F.col("pos") == "pronoun"), pick(("1", "2", "3", ""), a)).otherwise("").alias("person"),
-        F.when(F.col("h") % 143 == 0, "NO_NP, CONT_NEXT").when(F.col("h") % 11 == 0, "NO_NP").when(F.col("h") % 13 == 0, "CONT_NEXT").otherwise("").alias("note"),
+        F.when(F.col("h") % 143 == 0, "NO_NP, CONT_NEXT").when(F.col("h") % 11 == 0, "NO_NP").when(F.col("h") % 13 == 0, "CONT_NEXT").when(F.col("h") % 29 == 0, "AD_SENSUM").when(F.col("h") % 31 == 0, "x, impersonal").when(F.col("h") % 37 == 0, "RELCL_HEAD").otherwise("").alias("note"),
+        F.when(verbal & (F.col("h") % 2 == 0), "present").otherwise("").alias("tense"),
+        F.when(verbal & (F.col("h") % 4 == 0), "indicative").otherwise("").alias("mood"),
     )
 
 
@@ -66,9 +76,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_head.withColumn("deprel", F.when((F.col("head") == 0) & (h % 10 != 9), "root").otherwise(pick(RELS, h)))
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges with what their children tell, kept in the shared folder: what several parts of a query
+    read is derived from the documents once."""
+    return staged(frames.with_children(edges(spark, sf_dir)), "tokens")
+
+
+def spans(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None) -> DataFrame:
     """``(doc_id, line, start, end, head)``: nested, crossing and repeated spans of tokens."""
-    w = words(spark, sf_dir).withColumn("size", F.count("*").over(Window.partitionBy("doc_id", "line")))
+    w = words(spark, sf_dir) if tokens is None else tokens
+    w = w.withColumn("size", F.count("*").over(Window.partitionBy("doc_id", "line")))
     h = F.col("h")
     one = w.filter(h % 4 == 0).withColumn("end", F.least(F.col("token") + h % 5, "size"))
     two = w.filter(h % 12 == 0).withColumn("end", F.least(F.col("token") + h % 3, "size"))
@@ -76,18 +93,17 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "line", F.col("token").alias("start"), "end", (F.col("token") + h % (F.col("end") - F.col("token") + 1)).alias("head"))
 
 
-def case_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def case_rows(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None) -> DataFrame:
     """Sparse: pronouns only, with short and joined case names."""
-    return morph(spark, sf_dir).filter(F.col("pos").contains("pronoun")).select("doc_id", "unit", "line", "token", "u", "word", "pos", "h", pick(CASES, F.col("u") + F.length("word")).alias("case"))
+    return (morph(spark, sf_dir) if tokens is None else tokens).filter(F.col("pos").contains("pronoun")).select("doc_id", "unit", "line", "token", "u", "word", "pos", "h", pick(CASES, F.col("u") + F.length("word")).alias("case"))
 
 
-def frames_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames_of(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None) -> DataFrame:
     """Derived frames and given ones (``given``): the latter miss, add and rename some arguments, and
     list dependents of predicates that are no arguments."""
-    e = edges(spark, sf_dir)
-    tokens = frames.with_children(e)
+    tokens = wide(spark, sf_dir) if tokens is None else tokens
     preps = tokens.filter(F.col("prep").isNotNull()).select(*UNIT, F.col("u").alias("arg"), F.concat(F.lit("obl:"), "prep").alias("marked"))
-    wanted = frames.derived(e).join(preps, [*UNIT, "arg"], "left")
+    wanted = frames.derived(tokens).join(preps, [*UNIT, "arg"], "left")
     k = (F.col("doc_id") + F.col("unit") * 3 + F.col("pred") * 5 + F.col("arg") * 11) % 30
     row = lambda given, role, arg: F.struct(F.lit(given).alias("given"), role.alias("role"), arg.cast("int").alias("arg"))
     role, arg = F.col("role"), F.col("arg")

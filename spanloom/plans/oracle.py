@@ -23,10 +23,13 @@ each AS (SELECT doc_id, unit, line, unnest(ws) AS word, generate_subscripts(ws,
 numbered AS (SELECT *, (doc_id * 7 + line * 31 + token * 17 + length(word) * 13 + ascii(lower(word)) * 5) % 101 AS h,
     row_number() OVER (PARTITION BY doc_id, unit ORDER BY line, token) AS u, count(*) OVER (PARTITION BY doc_id, unit) AS n FROM each),
 placed AS (SELECT *, ['noun', 'conjunction', 'verb', 'adjective', 'pronoun', 'preposition', 'article', 'noun', 'adverb', 'verb + pronoun', 'pronoun + pronoun'][(h + u) % 11 + 1] AS pos FROM numbered),
-morph AS (SELECT *, CASE WHEN pos = 'verb' AND h % 17 = 0 THEN 'essere' WHEN pos = 'verb + pronoun' THEN lower(word) || ' + si' ELSE lower(word) END AS lemma, ['m.', 'f.', ''][h % 3 + 1] AS gender,
+morph AS (SELECT *, CASE WHEN pos = 'verb' AND h % 17 = 0 THEN 'essere' WHEN pos = 'pronoun' AND h % 19 = 0 THEN 'che' WHEN pos = 'pronoun' AND h % 13 = 0 THEN 'ciascuno'
+        WHEN pos = 'adjective' AND h % 3 = 0 THEN 'molto' WHEN pos = 'preposition' AND h % 3 = 0 THEN 'con' WHEN pos = 'verb + pronoun' THEN lower(word) || ' + si' ELSE lower(word) END AS lemma, ['m.', 'f.', ''][h % 3 + 1] AS gender,
     ['sg.', 'pl.'][length(word) % 2 + 1] AS number,
     CASE WHEN pos IN ('verb', 'pronoun', 'verb + pronoun') THEN ['1', '2', '3', ''][ascii(lower(word)) % 4 + 1] ELSE '' END AS person,
-    CASE WHEN h % 143 = 0 THEN 'NO_NP, CONT_NEXT' WHEN h % 11 = 0 THEN 'NO_NP' WHEN h % 13 = 0 THEN 'CONT_NEXT' ELSE '' END AS note FROM placed)"""
+    CASE WHEN h % 143 = 0 THEN 'NO_NP, CONT_NEXT' WHEN h % 11 = 0 THEN 'NO_NP' WHEN h % 13 = 0 THEN 'CONT_NEXT' WHEN h % 29 = 0 THEN 'AD_SENSUM'
+        WHEN h % 31 = 0 THEN 'x, impersonal' WHEN h % 37 = 0 THEN 'RELCL_HEAD' ELSE '' END AS note,
+    CASE WHEN pos LIKE 'verb%' AND h % 2 = 0 THEN 'present' ELSE '' END AS tense, CASE WHEN pos LIKE 'verb%' AND h % 4 = 0 THEN 'indicative' ELSE '' END AS mood FROM placed)"""
 )
 
 EDGES = (
@@ -36,7 +39,8 @@ aimed AS (SELECT *, CASE WHEN h = 100 THEN u WHEN h % 7 = 0 THEN u + 1 + h % 2 E
 headed AS (SELECT *, CASE WHEN aim < 1 OR aim > n THEN 0 ELSE aim END AS head FROM aimed),
 edges AS (SELECT *, CASE WHEN head = 0 AND h % 10 <> 9 THEN 'root'
     ELSE ['nsubj', 'obj', 'obl', 'case', 'conj', 'aux', 'cop', 'amod', 'acl:relcl', 'xcomp', 'ccomp', 'fixed',
-        'advmod', 'nmod', 'advcl', 'expl', 'mark', 'attr', 'obl', 'nsubj', 'obj', 'parataxis', 'orphan'][h % 23 + 1] END AS deprel FROM headed)"""
+        'advmod', 'nmod', 'advcl', 'expl', 'mark', 'attr', 'obl', 'nsubj', 'obj', 'parataxis', 'orphan',
+        'cc', 'det', 'nummod', 'appos', 'nsubj:pass', 'expl:impers', 'iobj', 'conj', 'unheard'][h % 32 + 1] END AS deprel FROM headed)"""
 )
 
 SPANS = """,
@@ -53,6 +57,10 @@ cases AS (SELECT doc_id, unit, line, token, u, word, pos, h,
 CANON = """(CASE "case" WHEN 'nom' THEN 'nominative' WHEN 'acc.' THEN 'accusative' WHEN '*dat*' THEN 'dative' WHEN 'oblique' THEN 'ablative'
     WHEN 'expletive' THEN 'reflexive' WHEN 'genitive+acc' THEN 'genitive+accusative' ELSE "case" END)"""
 
+ADJUDICATED = """CASE WHEN deprel = 'obl' AND "case" = 'nominative' THEN 'impossible'
+    WHEN (deprel = 'obj' AND "case" LIKE '%accusative%') OR (deprel = 'iobj' AND "case" = 'dative') OR (deprel = 'nsubj' AND "case" = 'nominative') THEN 'agree'
+    WHEN deprel IN ('obj', 'iobj', 'nsubj') AND regexp_matches("case", 'nominative|accusative|dative') THEN 'contradict' ELSE 'open' END"""
+
 FRAMES = (
     EDGES
     + """,
@@ -114,8 +122,8 @@ blocks AS (SELECT conv_id, turn, 1 AS block, 'read' AS name, n, '' AS error FROM
     UNION ALL SELECT conv_id, turn, 1, '', -1, 'unterminated' FROM turns WHERE n % 5 = 1
     UNION ALL SELECT conv_id, turn, 1, '', -1, 'not an object' FROM turns WHERE n % 5 = 2)"""
 
-PRF = """round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 4) AS precision, round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 4) AS recall,
-    round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS f1"""
+PRF = """round_even(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 4) AS precision, round_even(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 4) AS recall,
+    round_even(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS f1"""
 
 CHILDREN = """SELECT doc_id, unit, head AS u, count(*) AS n_children, count(*) FILTER (deprel = 'nsubj') AS n_subj, count(*) FILTER (deprel = 'obj') AS n_obj,
     count(*) FILTER (deprel = 'case') AS n_case, count(*) FILTER (deprel IN ('aux', 'aux:pass', 'cop')) AS n_aux FROM edges WHERE head > 0 GROUP BY ALL"""
@@ -162,9 +170,6 @@ context AS (SELECT d.*, coalesce(a.deprel, '') AS a_deprel, coalesce(a.pos, '')
 HITS = "[" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in CONDITIONS.items()) + "]"
 
 SQL: dict[str, str] = {
-    "subtree_starts": f"""WITH RECURSIVE {EDGES}, below AS (SELECT doc_id, unit, u AS top, u, 0 AS steps FROM edges
-        UNION ALL SELECT b.doc_id, b.unit, e.head, b.u, b.steps + 1 FROM below b JOIN edges e ON e.doc_id = b.doc_id AND e.unit = b.unit AND e.u = b.top WHERE e.head > 0 AND b.steps < 16)
-        SELECT doc_id, unit, top AS u, min(u) AS first, count(DISTINCT u) AS size FROM below GROUP BY ALL""",
     "pro_drop_features": f"""WITH {EDGES}, aux AS (SELECT doc_id, unit, head AS u, arg_min(person, u) AS ap, arg_min(number, u) AS an FROM edges
             WHERE deprel IN ('aux', 'aux:pass', 'cop') AND head > 0 AND person <> '' GROUP BY ALL)
         SELECT CASE WHEN person <> '' THEN person ELSE coalesce(ap, '') END AS person, CASE WHEN person <> '' THEN number ELSE coalesce(an, '') END AS number, count(*) AS n
@@ -227,10 +232,10 @@ SQL: dict[str, str] = {
             FROM ranked r JOIN packed p ON r.doc_id = p.doc_id AND r.k = p.k + 1)
         SELECT doc_id, unit, n_lines, chunk FROM packed""",
     "content_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
-    "changed_artifacts": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
+    "changed_artifacts": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING min(doc_id) = max(doc_id))",
     "range_spec": f"WITH {LINES} SELECT line, count(*) AS n, sum(length(text))::BIGINT AS chars FROM lines WHERE line = 1 OR line BETWEEN 3 AND 5 OR line >= 11 GROUP BY line",
-    "roman_numbers": f"""WITH {LINES} SELECT doc_id, line, ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][line // 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][line % 10 + 1] AS roman,
-        line AS parsed FROM lines WHERE line < 100""",
+    "roman_numbers": f"""WITH {LINES} SELECT doc_id, line, repeat('M', line // 1000) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][line // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][line // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][line % 10 + 1] AS roman,
+        line AS parsed FROM lines""",
     "apostrophe_dictionary": f"""WITH {LINES} SELECT doc_id, line, coalesce((SELECT upper(min(b.text)) FROM benchmark b WHERE b.text = lines.text), replace(text, 'th', '''')) AS text FROM lines""",
     "table_cells": f"""WITH {LINES}, cut AS (SELECT doc_id, line, string_split(regexp_replace(trim(text), '^\\||\\|$', '', 'g'), '|') AS cs FROM lines WHERE contains(text, '|'))
         SELECT doc_id, line, len(cs) AS n_cells, generate_subscripts(cs, 1) AS "column", trim(unnest(cs)) AS cell, TRY_CAST(regexp_replace(trim(unnest(cs)), '[^0-9]', '', 'g') AS INTEGER)::BIGINT AS number FROM cut""",
@@ -242,7 +247,7 @@ SQL: dict[str, str] = {
         SELECT doc_id, quote, line || CASE WHEN n = 1 THEN '' WHEN k <= 26 THEN substr('abcdefghijklmnopqrstuvwxyz', k, 1) ELSE '.' || k END AS quote_id FROM counted""",
     "quote_overlap": f"WITH {QUOTES} SELECT doc_id, quote, line, end_line FROM forest WHERE error = '' AND line <= 3 AND end_line >= 2",
     "pos_census": f"""WITH {MORPH} SELECT pos, count(*) AS n, sum(CASE WHEN pos = 'pronoun + pronoun' THEN 2 WHEN pos LIKE '%pronoun' THEN 1 ELSE 0 END)::BIGINT AS slots, count(*) FILTER (pos LIKE 'verb%') AS verbs,
-        count(*) FILTER (pos LIKE '%noun%' AND note = '') AS content FROM morph GROUP BY pos""",
+        count(*) FILTER (pos LIKE '%noun%' AND NOT contains(note, 'NO_NP') AND NOT contains(note, 'CONT_NEXT')) AS content FROM morph GROUP BY pos""",
     "case_canon": f'WITH {MORPH}{CASES} SELECT "case", {CANON} AS canonical, count(*) AS n FROM cases GROUP BY ALL',
     "case_value_census": f"WITH {MORPH}{CASES} SELECT word, value, count(*) AS n FROM (SELECT word, unnest(string_split({CANON}, '+')) AS value FROM cases) GROUP BY ALL",
     "clitic_mentions": f"WITH {MORPH} SELECT doc_id, line, token, '+si' AS mention FROM morph WHERE pos = 'verb + pronoun'",
@@ -269,16 +274,36 @@ SQL: dict[str, str] = {
         SELECT doc_id, unit, u, coord_head, aux_head, prep_head FROM (SELECT doc_id, unit, u, arg_max(place, steps) AS coord_head FROM c GROUP BY ALL)
         JOIN (SELECT doc_id, unit, u, arg_max(place, steps) AS aux_head FROM a GROUP BY ALL) USING (doc_id, unit, u)
         JOIN (SELECT doc_id, unit, u, arg_max(place, steps) AS prep_head FROM p GROUP BY ALL) USING (doc_id, unit, u)""",
-    "agreement_verdict": f"""WITH {EDGES} SELECT CASE WHEN v.pos NOT LIKE 'verb%' THEN 'undecidable:not_verbal'
-        WHEN (s.number = '' OR v.number = '') AND (s.person = '' OR v.person = '') AND (s.gender = '' OR v.gender = '') THEN 'undecidable:no_feature'
-        WHEN s.number <> '' AND v.number <> '' AND s.number <> v.number THEN 'disagree:number' WHEN s.person <> '' AND v.person <> '' AND s.person <> v.person THEN 'disagree:person'
-        WHEN s.gender <> '' AND v.gender <> '' AND s.gender <> v.gender THEN 'disagree:gender' ELSE 'agree' END AS verdict, count(*) AS n
-        FROM edges s JOIN edges v ON s.doc_id = v.doc_id AND s.unit = v.unit AND s.head = v.u WHERE s.deprel = 'nsubj' GROUP BY ALL""",
-    "case_dep_adjudication": f"""WITH {EDGES}{CASES}, each_value AS (SELECT doc_id, unit, u, unnest(string_split({CANON}, '+')) AS value FROM cases),
-        roles AS (SELECT doc_id, unit, u, CASE deprel WHEN 'nsubj' THEN 'subj' WHEN 'obj' THEN 'obj' WHEN 'iobj' THEN 'iobj' WHEN 'obl' THEN 'obl' ELSE '' END AS role FROM edges)
-        SELECT value, role, CASE WHEN role = '' THEN 'no_role' WHEN (role = 'subj' AND value IN ('nominative', 'vocative')) OR (role = 'obj' AND value IN ('accusative', 'reflexive'))
-            OR (role = 'iobj' AND value IN ('dative', 'reflexive')) OR (role = 'obl' AND value NOT IN ('nominative', 'vocative')) THEN 'agree' ELSE 'contradict' END AS verdict, count(*) AS n
-        FROM each_value JOIN roles USING (doc_id, unit, u) GROUP BY ALL""",
+    "agreement_verdict": f"""WITH RECURSIVE {EDGES}, preps AS (SELECT doc_id, unit, head AS u, arg_min(lemma, u) AS prep FROM edges WHERE deprel = 'case' AND head > 0 GROUP BY ALL),
+        up AS (SELECT doc_id, unit, u, u AS place, 0 AS steps FROM edges WHERE deprel = 'conj'
+            UNION ALL SELECT p.doc_id, p.unit, p.u, e.head, p.steps + 1 FROM up p JOIN edges e ON e.doc_id = p.doc_id AND e.unit = p.unit AND e.u = p.place WHERE p.steps < 16 AND e.deprel = 'conj' AND e.head > 0),
+        tops AS (SELECT doc_id, unit, u, arg_max(place, steps) AS top FROM up GROUP BY ALL),
+        members AS (SELECT t.doc_id, t.unit, t.top, list(CASE WHEN e.person = '' THEN '3' ELSE e.person END) AS persons FROM tops t JOIN edges e ON e.doc_id = t.doc_id AND e.unit = t.unit AND e.u = t.u WHERE t.top <> t.u GROUP BY ALL),
+        below AS (SELECT e.doc_id, e.unit, e.head AS u, count(*) FILTER (deprel IN ('nsubj', 'nsubj:pass')) AS n_nsubj, bool_or(deprel = 'cc') AS cc, bool_or(deprel IN ('nmod', 'conj', 'appos')) AS linked,
+            bool_or(deprel IN ('obl', 'nmod') AND coalesce(prep, '') = 'con') AS comitative, bool_or(deprel = 'nummod') AS numbered, bool_or(deprel IN ('det', 'amod') AND lemma = 'molto') AS measured,
+            bool_or(deprel = 'attr' AND number = 'sg.') AS attr_sg, bool_or(deprel = 'attr' AND number = 'pl.') AS attr_pl, bool_or(deprel = 'expl:impers' OR (deprel = 'expl' AND note = 'x, impersonal')) AS impersonal
+            FROM edges e LEFT JOIN preps p ON e.doc_id = p.doc_id AND e.unit = p.unit AND e.u = p.u WHERE head > 0 GROUP BY ALL),
+        pairs AS (SELECT s.pos AS sp, v.pos AS vp, s.lemma AS sl, s.number AS sn, v.number AS vn, CASE WHEN s.person = '' THEN '3' ELSE s.person END AS sper, v.person AS vper, s.note AS sno, v.note AS vno,
+            s.tense || s.mood AS st, v.tense || v.mood AS vt, m.persons, coalesce(sb.cc, false) AND coalesce(sb.linked, false) AS inner_coord, coalesce(sb.numbered, false) OR coalesce(sb.measured, false) AS quantified,
+            coalesce(vb.comitative, false) AS comitative, coalesce(vb.impersonal, false) AS impersonal, CASE v.number WHEN 'sg.' THEN coalesce(vb.attr_sg, false) WHEN 'pl.' THEN coalesce(vb.attr_pl, false) ELSE false END AS nominal, coalesce(vb.n_nsubj, 0) AS n_nsubj
+            FROM edges s JOIN edges v ON s.doc_id = v.doc_id AND s.unit = v.unit AND s.head = v.u LEFT JOIN below sb ON sb.doc_id = s.doc_id AND sb.unit = s.unit AND sb.u = s.u
+            LEFT JOIN below vb ON vb.doc_id = v.doc_id AND vb.unit = v.unit AND vb.u = v.u LEFT JOIN members m ON m.doc_id = s.doc_id AND m.unit = s.unit AND m.top = s.u WHERE s.deprel IN ('nsubj', 'nsubj:pass')),
+        judged AS (SELECT CASE WHEN vper = '' OR vp NOT LIKE '%verb%' THEN ['undecidable', 'head not finite'] WHEN (vp LIKE '%+%' AND vt = '') OR (sp LIKE '%+%' AND st = '') THEN ['undecidable', 'fused token']
+            WHEN sl IN ('che', 'chi', 'cui', 'quale') THEN ['undecidable', 'person of the antecedent'] WHEN vper <> '3' AND vn = 'pl.' AND sper <> '3' AND persons IS NULL THEN ['undecidable', 'member of a plural']
+            WHEN n_nsubj > 1 THEN ['undecidable', 'several subjects'] WHEN sno = 'AD_SENSUM' OR vno = 'AD_SENSUM' THEN ['undecidable', 'exempt']
+            WHEN sl IN ('ciascuno', 'ognuno', 'catuno', 'ambedue', 'amendue', 'uno', 'tutto') AND vn = 'pl.' THEN ['undecidable', 'distributive']
+            WHEN persons IS NOT NULL THEN CASE WHEN list_contains(list_append(persons, sper), vper) THEN ['undecidable', 'coordinated subject'] ELSE ['disagree', 'person'] END
+            WHEN sper <> vper THEN ['disagree', 'person'] WHEN sn = vn THEN ['agree', '']
+            WHEN sn = 'sg.' AND inner_coord THEN ['undecidable', 'coordination inside the subject'] WHEN sn = 'sg.' AND comitative THEN ['undecidable', 'comitative phrase']
+            WHEN sn = 'pl.' AND quantified THEN ['undecidable', 'quantified subject'] WHEN nominal THEN ['undecidable', 'predicate nominal'] WHEN sn = 'pl.' AND impersonal THEN ['undecidable', 'impersonal']
+            ELSE ['disagree', 'number'] END AS v FROM pairs) SELECT v[1] AS verdict, v[2] AS reason, count(*) AS n FROM judged GROUP BY ALL""",
+    "case_dep_adjudication": f"""WITH {EDGES}{CASES} SELECT c."case", deprel, verdict, count(*) AS n FROM (SELECT {CANON} AS "case", doc_id, unit, u FROM cases) c
+        JOIN (SELECT doc_id, unit, u, deprel FROM edges) USING (doc_id, unit, u), LATERAL (SELECT {ADJUDICATED} AS verdict) GROUP BY ALL""",
+    "agreement_rates": f"""WITH {EDGES}{CASES}, v AS (SELECT deprel, {ADJUDICATED} AS verdict FROM (SELECT {CANON} AS "case", doc_id, unit, u FROM cases) c JOIN (SELECT doc_id, unit, u, deprel FROM edges) USING (doc_id, unit, u)),
+        counts AS (SELECT deprel, count(*) FILTER (verdict = 'agree') AS agree, count(*) FILTER (verdict = 'contradict') AS contradict FROM v WHERE deprel IN ('obj', 'iobj', 'nsubj') GROUP BY deprel)
+        SELECT *, CASE WHEN agree + contradict = 0 THEN 0.0 ELSE round_even(agree / (agree + contradict), 4) END AS rate FROM counts""",
+    "case_supports": f"""WITH {FRAMES}{CASES}, held AS (SELECT {CANON} AS value, CASE WHEN role LIKE 'obl:%' AND role <> 'obl:a' THEN 'obl:x' ELSE role END AS role FROM cases c JOIN args a ON c.doc_id = a.doc_id AND c.unit = a.unit AND c.u = a.arg)
+        SELECT value, role, (value = 'nominative' AND role = 'subj') OR (value = 'accusative' AND role = 'obj') OR (value = 'dative' AND role IN ('iobj', 'obl:a')) OR (value IN ('ablative', 'locative') AND role LIKE 'obl%') AS supports, count(*) AS n FROM held GROUP BY ALL""",
     "derive_predicates": f"WITH {FRAMES} SELECT * FROM preds",
     "derive_args": f"WITH {FRAMES} SELECT * FROM args",
     "derive_frames": f"WITH {FRAMES} SELECT * FROM derived",
@@ -303,7 +328,7 @@ SQL: dict[str, str] = {
     "resume_pending": "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "label_prf": f"""WITH counts AS (SELECT lang, count(*) FILTER (quality = 0 AND toxic = 1) AS tp, count(*) FILTER (quality <> 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic <> 1) AS fn
         FROM labels JOIN documents USING (doc_id) GROUP BY lang) SELECT *, {PRF} FROM counts""",
-    "majority_vote": f"""WITH {LINES}, counts AS (SELECT doc_id, 'a' || length(text) % 3 AS answer, count(*) AS votes, min(line) AS seen FROM lines WHERE line <= 3 GROUP BY ALL),
+    "majority_vote": f"""WITH {LINES}, counts AS (SELECT doc_id, 'a' || length(text) % 3 AS answer, count(*) AS votes, min(line) AS seen FROM lines GROUP BY ALL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, seen) AS k, sum(votes) OVER (PARTITION BY doc_id)::BIGINT AS n FROM counts)
         SELECT doc_id, answer AS winner, votes, n, CASE WHEN votes = n THEN 'unanimous' WHEN votes * 2 > n THEN 'majority' ELSE 'split' END AS verdict FROM ranked WHERE k = 1""",
     "latest_submission": "SELECT conv_id, turn, role, length(text) AS chars FROM conversations QUALIFY rank() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1",

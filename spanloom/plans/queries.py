@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.functions import text as fn
+from spanloom.operators import agreement as ag
 from spanloom.operators import edges as eg
 from spanloom.operators import frames as fr
 from spanloom.operators import quotes as qt
 from spanloom.operators import rules, score, spans, units
 from spanloom.plans import layers
 from spanloom.sources import text as src
+from spanloom.sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 UNIT = list(eg.UNIT)
@@ -268,7 +270,8 @@ def span_occurrences(spark, sf):
 
 @query
 def np_role_join(spark, sf):
-    joined = spans.with_role(layers.spans(spark, sf), layers.edges(spark, sf))
+    t = layers.wide(spark, sf)
+    joined = spans.with_role(layers.spans(spark, sf, t), t)
     return joined.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start") + 1).alias("tokens"))
 
 
@@ -277,7 +280,7 @@ def np_role_join(spark, sf):
 
 @query
 def head_word_join(spark, sf):
-    return eg.with_head_word(layers.edges(spark, sf)).select(*UNIT, "u", "word", "deprel", "head", "head_word")
+    return eg.with_head_word(layers.wide(spark, sf)).select(*UNIT, "u", "word", "deprel", "head", "head_word")
 
 
 @query
@@ -297,7 +300,7 @@ def dep_cycle_check(spark, sf):
 
 @query
 def dep_violations(spark, sf):
-    return eg.structure_violations(layers.edges(spark, sf)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    return eg.structure_violations(layers.wide(spark, sf)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query
@@ -307,20 +310,32 @@ def bounded_walks(spark, sf):
 
 @query
 def agreement_verdict(spark, sf):
-    e = layers.edges(spark, sf)
-    subject = e.filter("deprel = 'nsubj' and head > 0").withColumnRenamed("u", "subject").withColumnRenamed("head", "u")
-    feats = ["gender", "number", "person", "pos"]
-    pairs = fr.agreement(subject.select(*UNIT, "u", "subject", *feats).join(e.select(*UNIT, "u"), [*UNIT, "u"]), subject.select(*UNIT, "u", "subject").join(e.select(*UNIT, "u", *feats), [*UNIT, "u"]), [*UNIT, "u", "subject"])
-    return pairs.groupBy("verdict").agg(F.count("*").alias("n"))
+    """Verdicts and reasons of all subjects."""
+    return ag.agreement(layers.wide(spark, sf)).groupBy("verdict", "reason").agg(F.count("*").alias("n"))
 
 
 @query
 def case_dep_adjudication(spark, sf):
-    """Whether the case of a pronoun can carry the role its relation gives it."""
-    role = F.when(F.col("deprel") == "nsubj", "subj").when(F.col("deprel") == "obj", "obj").when(F.col("deprel") == "iobj", "iobj").when(F.col("deprel") == "obl", "obl").otherwise("")
-    joined = layers.case_rows(spark, sf).select(*UNIT, "u", F.explode(fn.parts(fn.canonical_case(F.col("case")))).alias("value")).join(layers.edges(spark, sf).select(*UNIT, "u", role.alias("role")), [*UNIT, "u"])
-    verdict = F.when(F.col("role") == "", "no_role").when(fr.supports(F.col("value"), F.col("role")), "agree").otherwise("contradict")
-    return joined.groupBy("value", "role", verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    """Whether the case of a pronoun is what its relation calls for."""
+    t = layers.wide(spark, sf)
+    cases = layers.case_rows(spark, sf, t).select(*UNIT, "u", fn.canonical_case(F.col("case")).alias("case"))
+    return ag.adjudicated(cases, t).groupBy("case", "deprel", "verdict").agg(F.count("*").alias("n"))
+
+
+@query
+def agreement_rates(spark, sf):
+    t = layers.wide(spark, sf)
+    cases = layers.case_rows(spark, sf, t).select(*UNIT, "u", fn.canonical_case(F.col("case")).alias("case"))
+    return ag.agreement_rates(ag.adjudicated(cases, t))
+
+
+@query
+def case_supports(spark, sf):
+    """Which single cases can carry which roles."""
+    t = layers.wide(spark, sf)
+    values = layers.case_rows(spark, sf, t).select(*UNIT, "u", fn.canonical_case(F.col("case")).alias("value"))
+    roles = fr.arguments(t).select(*UNIT, F.col("arg").alias("u"), F.when(F.col("role").startswith("obl:") & (F.col("role") != "obl:a"), "obl:x").otherwise(F.col("role")).alias("role"))
+    return values.join(roles, [*UNIT, "u"]).groupBy("value", "role", fr.supports(F.col("value"), F.col("role")).alias("supports")).agg(F.count("*").alias("n"))
 
 
 # frames
@@ -333,17 +348,17 @@ def derive_predicates(spark, sf):
 
 @query
 def derive_args(spark, sf):
-    return fr.arguments(layers.edges(spark, sf))
+    return fr.arguments(layers.wide(spark, sf))
 
 
 @query
 def derive_frames(spark, sf):
-    return fr.derived(layers.edges(spark, sf))
+    return fr.derived(layers.wide(spark, sf))
 
 
 @query
 def tuple_grouping(spark, sf):
-    return fr.tuples(fr.derived(layers.edges(spark, sf)))
+    return fr.tuples(fr.derived(layers.wide(spark, sf)))
 
 
 @query
@@ -403,13 +418,13 @@ def subtree_starts(spark, sf):
 
 @query
 def pro_drop_features(spark, sf):
-    return eg.finite_features(layers.edges(spark, sf)).groupBy("person", "number").agg(F.count("*").alias("n"))
+    return eg.finite_features(layers.wide(spark, sf)).groupBy("person", "number").agg(F.count("*").alias("n"))
 
 
 @query
 def resolve_rows(spark, sf):
     """Edges that name their head by word, some of them wrongly."""
-    e = eg.with_head_word(layers.edges(spark, sf))
+    e = eg.with_head_word(layers.wide(spark, sf))
     claimed = e.select(*UNIT, "u", F.when(F.col("h") % 40 == 0, F.col("head") + 500).otherwise(F.col("head")).alias("head"), F.when(F.col("h") % 9 == 0, F.reverse("head_word")).otherwise(F.lower("head_word")).alias("head_word"))
     return eg.resolved(claimed, e.select(*UNIT, "u", "word")).groupBy("doc_id", "status").agg(F.count("*").alias("n"))
 
@@ -417,9 +432,9 @@ def resolve_rows(spark, sf):
 @query
 def membership(spark, sf):
     """Arguments of given frames that are neither a head of a span, nor a pronoun, a predicate or an argument."""
-    e = layers.edges(spark, sf)
-    frames = layers.frames_of(spark, sf).filter("given and arg > 0").select(*UNIT, "pred", F.col("arg").alias("u"))
-    heads = layers.spans(spark, sf).select("doc_id", "line", F.col("head").alias("token")).distinct().withColumn("span_head", F.lit(True))
+    e = layers.wide(spark, sf)
+    frames = layers.frames_of(spark, sf, e).filter("given and arg > 0").select(*UNIT, "pred", F.col("arg").alias("u"))
+    heads = layers.spans(spark, sf, e).select("doc_id", "line", F.col("head").alias("token")).distinct().withColumn("span_head", F.lit(True))
     member = F.col("pos").contains("pronoun") | F.col("deprel").isin(*fr.ROLES) | F.coalesce("span_head", F.lit(False))
     known = e.join(heads, ["doc_id", "line", "token"], "left").select(*UNIT, "u", member.alias("member")).join(fr.predicates(e).withColumn("is_pred", F.lit(True)), [*UNIT, "u"], "left")
     odd = frames.join(known, [*UNIT, "u"]).filter(~F.col("member") & F.col("is_pred").isNull())
@@ -430,9 +445,9 @@ def membership(spark, sf):
 
 
 def differences(spark, sf):
-    e = layers.edges(spark, sf)
-    frames = layers.frames_of(spark, sf)
-    return rules.context(fr.divergence(frames), frames, e, layers.case_rows(spark, sf))
+    e = layers.wide(spark, sf)
+    frames = staged(layers.frames_of(spark, sf, e), "frames")
+    return staged(rules.context(fr.divergence(frames), frames, e, layers.case_rows(spark, sf, e)), "differences")
 
 
 @query
@@ -468,9 +483,10 @@ def search_tokens(spark, sf):
 @query
 def read_unit(spark, sf):
     """The wide row of every token: features, head word, case and widest span."""
-    e = eg.with_head_word(layers.edges(spark, sf))
-    case = layers.case_rows(spark, sf).select(*UNIT, "u", "case")
-    wide = spans.widest_of_head(layers.spans(spark, sf)).select("doc_id", "line", F.col("head").alias("token"), "start", "end")
+    t = layers.wide(spark, sf)
+    e = eg.with_head_word(t)
+    case = layers.case_rows(spark, sf, t).select(*UNIT, "u", "case")
+    wide = spans.widest_of_head(layers.spans(spark, sf, t)).select("doc_id", "line", F.col("head").alias("token"), "start", "end")
     out = e.join(case, [*UNIT, "u"], "left").join(wide, ["doc_id", "line", "token"], "left")
     return out.select(*UNIT, "line", "token", "word", "pos", "deprel", "head_word", F.coalesce("case", F.lit("")).alias("case"), F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.lit(0)).alias("end"))
 

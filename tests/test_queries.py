@@ -7,11 +7,15 @@ from spanloom.plans.oracle import SQL
 from spanloom.plans.queries import QUERIES
 
 
+#: Too slow in SQL over whole units; tested against brute force in test_whole_jobs.
+WITHOUT_SQL = {"subtree_starts"}
+
+
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) == set(SQL) | WITHOUT_SQL
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, name):
     assert differences(spark, "/root/testdata/sf0.001", QUERIES[name], SQL[name]) == ""
 
