@@ -5,11 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Cases and their short forms.
-CASE_ALIASES = {
-    "nom": "nominative", "acc": "accusative", "dat": "dative", "gen": "genitive", "abl": "ablative", "loc": "locative", "voc": "vocative", "refl": "reflexive",
-    "subject": "nominative", "object": "accusative", "direct object": "accusative", "indirect object": "dative", "oblique": "ablative", "expletive": "reflexive", "reflex": "reflexive",
-}
+#: Cases and other names for them.
+CASE_NAMES = {
+    "nominative": "nom nominativo",
+    "accusative": "acc accusativo",
+    "dative": "dat dativo",
+    "genitive": "gen genitivo",
+    "ablative": "abl ablativo oblique partitive comitative instrumental",
+    "locative": "loc locativo",
+    "vocative": "voc vocativo",
+    "reflexive": "refl riflessivo expletive impersonal reciprocal",
+}
+CASE_ALIASES = {alias: name for name, aliases in CASE_NAMES.items() for alias in aliases.split()}
+#: Prepositions and their written forms.
+PREPOSITIONS = {
+    "senza": "sanza sanz sanz' sans",
+    "sopra": "sovra sovr' sovr sor sovresso",
+    "di": "de de' d' del dei dello della delle degli",
+    "da": "dal da' dai dallo dalla dalle dagli",
+    "a": "ad al a' ai alo allo alla alle agli ab",
+    "con": "col coi co' co collo colla",
+    "su": "sul su' sù sui sullo sulla",
+    "per": "pel pei pe'",
+    "contro": "contra contr contr'",
+    "verso": "ver ver'",
+    "in": "nel nei ne ne' n' nella nello nelle 'n inver inver' 'nver 'nver' inverso 'nverso invero",
+    "fino": "fin infin infine infino 'nfino insin insino",
+    "tra": "tr' fra intra infra",
+    "incontra": "incontr incontr' incontro 'ncontro",
+    "innanzi": "'nnanzi nnanzi",
+    "intorno": "dintorno d'intorno",
+    "lungo": "lunghesso lungh'",
+    "sotto": "sott'",
+    "appresso": "apo",
+}
+PREPOSITION_OF = {form: name for name, forms in PREPOSITIONS.items() for form in forms.split()}
+#: Column names of tables by layer, and what their headers may say.
+HEADERS = {
+    "morph": {"word": "word", "lemma": "lemma", "part of speech": "pos", "pos": "pos", "gender": "gender", "number": "number", "person": "person", "tense": "tense", "mood": "mood", "note": "note"},
+    "spans": {"line": "line", "noun phrase": "text", "phrase": "text", "np": "text", "head": "head"},
+    "edges": {"line": "line", "token": "token", "word": "word", "deprel": "deprel", "relation": "deprel", "head line": "head_line", "head token": "head_token", "head word": "head_word"},
+    "frames": {"pred line": "line", "pred token": "token", "pred word": "word", "role": "role", "arg line": "arg_line", "arg token": "arg_token", "arg word": "arg_word"},
+    "cases": {"line": "line", "word": "word", "case": "case"},
+}
 CASES = ("nominative", "accusative", "dative", "genitive", "ablative", "locative", "vocative", "reflexive")
 #: Roles in canonical order.
 ROLE_RANK = {"": -1, "subj": 0, "obj": 1, "iobj": 2, "attr": 3, "xcomp": 4, "ccomp": 5}
@@ -92,8 +130,96 @@ def valid_role(role: Column) -> Column:
     return role.isin(*[r for r in ROLE_RANK if r], "obl") | role.rlike(r"^obl:[a-zàèéìòù']+$")
 
 
+def looked_up(pairs: dict[str, str], value: Column) -> Column:
+    """What a fixed table says of a value; null where it says nothing."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair)), value)
+
+
+def normal_preposition(lemma: Column) -> Column:
+    return F.coalesce(looked_up(PREPOSITION_OF, lemma), lemma)
+
+
+def first_lemma(lemma: Column) -> Column:
+    """The first part of a joined lemma."""
+    return F.lower(F.trim(F.split(lemma, r"\+")[0]))
+
+
 def canonical_role(role: Column) -> Column:
-    return F.when(role == "attr", "xcomp").when(role == "iobj", "obl:a").otherwise(role)
+    oblique = F.concat(F.lit("obl:"), normal_preposition(F.substring(role, F.lit(5), F.length(role))))
+    return F.when(role == "attr", "xcomp").when(role == "iobj", "obl:a").when(role.rlike(r"^obl:[a-zàèéìòù']+$"), oblique).otherwise(role)
+
+
+def column_of(header: Column, layer: str) -> Column:
+    """The column that a table's header cell names; null for one to be ignored."""
+    return looked_up(HEADERS[layer], F.lower(F.trim(header)))
+
+
+def fixed_cell(column: Column, cell: Column) -> Column:
+    """A body cell without blanks, placeholders, emphasis marks and, by column, without short forms."""
+    bare = F.trim(cell)
+    starred = F.regexp_extract(bare, r"^(?:([^*]+)\*|\*\*([^*]+)\*\*)$", 0) != ""
+    return F.when(bare.isin("-", "n/a", "N/A"), "").when(starred, F.trim(F.replace(bare, F.lit("*")))).otherwise(bare)
+
+
+def nominal(pos: Column) -> Column:
+    return F.lower(pos).contains("noun")
+
+
+def can_head(pos: Column) -> Column:
+    """Whether a token can be the head of a span."""
+    return nominal(pos) | F.lower(pos).rlike("adjective|verb|adverb|numeral")
+
+
+def needs_span(pos: Column, note: Column) -> Column:
+    """Nouns that have to head a span, unless a flag exempts them."""
+    exempt = F.arrays_overlap(flags(note), F.array(F.lit("NO_NP"), F.lit("CONT_NEXT")))
+    return nominal(pos) & ~F.lower(pos).contains("pronoun") & ~exempt
+
+
+def relative_head(pos: Column, note: Column) -> Column:
+    """Whether a relative clause can hang on a token."""
+    return nominal(pos) | F.array_contains(flags(note), "RELCL_HEAD")
+
+
+def nominal_anchor(role: Column) -> Column:
+    """Roles whose argument has to be a span's head or a pronoun."""
+    return role.isin("subj", "obj", "iobj") | role.rlike(r"^obl:[a-zàèéìòù']+$")
+
+
+def snippet(text: Column, most: int = 200) -> Column:
+    """White space folded, cut after ``most`` characters."""
+    folded = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(folded) > most, F.concat(F.substring(folded, 1, most), F.lit("..."))).otherwise(folded)
+
+
+def marked_text(text: Column, marked: Column) -> Column:
+    """A line with the tokens whose numbers are in the array ``marked`` set between double stars."""
+    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
+
+    def put(a: Column, t: Column) -> Column:
+        n = a["n"] + has_alpha(t).cast("int")
+        wrapped = F.when(has_alpha(t) & F.array_contains(marked, n), F.concat(F.lit("**"), t, F.lit("**"))).otherwise(t)
+        return F.struct(F.concat(a["out"], wrapped).alias("out"), n.alias("n"))
+
+    return F.aggregate(all_tokens(text), state, put)["out"]
+
+
+def native_call(item: Column) -> Column:
+    """``struct<name, arguments, error>`` of a native tool call in JSON: under ``function`` or flat, its
+    arguments an object or a text that holds one."""
+    inner = F.get_json_object(item, "$.function")
+    own = F.coalesce(inner, item)
+    name = F.trim(F.coalesce(F.get_json_object(own, "$.name"), F.lit("")))
+    arguments = F.coalesce(F.get_json_object(own, "$.arguments"), F.lit("{}"))
+    error = F.when(name == "", "no usable name").when(F.get_json_object(arguments, "$").isNull(), "unparsable arguments").when(~arguments.rlike(r"^\s*\{"), "arguments are no object")
+    return F.struct(F.when(error.isNull(), name).alias("name"), F.when(error.isNull(), arguments).alias("arguments"), F.coalesce(error, F.lit("")).alias("error"))
+
+
+def field_notes(text: Column) -> Column:
+    """``array<struct<line, token, note>>`` of the lines ``N3: …`` and ``N3.4: …`` of an answer."""
+    pattern = r"(?m)^[ \t]*N(\d+)(?:[ \t]*\.[ \t]*(\d+))?[ \t]*[:.)][ \t]*(.+?)[ \t]*$"
+    found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(n) for k, n in ((1, "line"), (2, "token"), (3, "note"))))
+    return F.transform(found, lambda x: F.struct(x["line"].cast("int").alias("line"), x["token"].try_cast("int").alias("token"), F.substring(F.trim(F.regexp_replace(x["note"], r"\s+", " ")), 1, 300).alias("note")))
 
 
 def to_roman(n: Column) -> Column:

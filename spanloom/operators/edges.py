@@ -135,6 +135,60 @@ def finite_features(edges: DataFrame) -> DataFrame:
     return edges.join(first, [*UNIT, "u"], "left").select(*UNIT, "u", picked("person").alias("person"), picked("number").alias("number"))
 
 
+def antecedents(edges: DataFrame) -> DataFrame:
+    """``(unit keys, u, antecedent)``: the head of every relative clause."""
+    return edges.filter("deprel = 'acl:relcl' and head > 0").select(*UNIT, "u", F.col("head").alias("antecedent"))
+
+
+def conjunct_clusters(edges: DataFrame, steps: int = 16) -> DataFrame:
+    """``(unit keys, u, top)`` of all tokens in a coordination: members and the token they hang on."""
+    packed = unit_arrays(edges)
+    each = packed.select(*UNIT, "heads", "rels", F.explode(F.sequence(F.lit(1), F.size("heads"))).alias("u")).filter(F.element_at("rels", F.col("u")) == "conj")
+    members = each.select(*UNIT, "u", walk(F.col("u"), F.col("heads"), F.col("rels"), ("conj",), steps).alias("top"))
+    return members.union(members.select(*UNIT, F.col("top").alias("u"), "top")).distinct()
+
+
+def conjunct_resolves(edges: DataFrame, clauses: tuple[str, ...], steps: int = 16) -> DataFrame:
+    """``(unit keys, u, resolves)``: whether the chain of conjuncts of a token hangs on a clause head.
+
+    A token with one of the relations ``clauses`` is one; the chain goes on over heads that are
+    conjuncts themselves.
+    """
+    packed = unit_arrays(edges)
+    each = packed.select(*UNIT, "heads", "rels", F.explode(F.sequence(F.lit(1), F.size("heads"))).alias("u")).filter(F.element_at("rels", F.col("u")) == "conj")
+    state = F.struct(F.col("u").alias("at"), F.lit(False).alias("met"))
+
+    def step(a: Column, _: Column) -> Column:
+        head = F.element_at("heads", a["at"])
+        rel = F.when(head > 0, F.element_at("rels", F.greatest(head, F.lit(1)))).otherwise("")
+        on = ~a["met"] & (F.element_at("rels", a["at"]) == "conj") & (head > 0)
+        return F.struct(F.when(on, head).otherwise(a["at"]).alias("at"), (a["met"] | (on & rel.isin(*clauses))).alias("met"))
+
+    return each.select(*UNIT, "u", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, step)["met"].alias("resolves"))
+
+
+def preposition_stacks(edges: DataFrame, steps: int = WALK) -> DataFrame:
+    """``(unit keys, u, lemmas)``: forms of all prepositions below a token, also of those that hang on a
+    preposition, and of fixed parts of one."""
+    from spanloom.functions.text import normal_preposition
+
+    forms = F.transform(F.sort_array(F.collect_list(F.struct("u", F.lower("word").alias("form")))), lambda x: x["form"])
+    packed = unit_arrays(edges).join(edges.groupBy(*UNIT).agg(forms.alias("forms")), list(UNIT))
+    each = packed.select(*UNIT, "heads", "rels", "forms", F.explode(F.sequence(F.lit(1), F.size("heads"))).alias("u")).filter(F.element_at("rels", F.col("u")).isin("case", "fixed"))
+    rel = lambda at: F.element_at("rels", at)
+    head = lambda at: F.element_at("heads", at)
+
+    def step(a: Column, _: Column) -> Column:
+        at, up = a["at"], head(a["at"])
+        on = a["live"] & (up > 0) & ((rel(at) == "case") | ((rel(at) == "fixed") & (rel(F.greatest(up, F.lit(1))) == "case"))) & ~F.array_contains(a["seen"], up)
+        return F.struct(F.when(on, up).otherwise(at).alias("at"), on.alias("live"), F.when(on, F.concat(a["seen"], F.array(up))).otherwise(a["seen"]).alias("seen"))
+
+    start = F.struct(F.col("u").alias("at"), F.lit(True).alias("live"), F.array().cast("array<int>").alias("seen"))
+    above = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["seen"]
+    rows = each.select(*UNIT, normal_preposition(F.element_at("forms", F.col("u"))).alias("form"), F.explode(above).alias("u"))
+    return rows.groupBy(*UNIT, "u").agg(F.array_join(F.sort_array(F.collect_set("form")), "+").alias("lemmas"))
+
+
 def resolved(rows: DataFrame, words: DataFrame) -> DataFrame:
     """Rows that name a head by number and word: ``status`` is root, ok, no_such_token or word_differs."""
     named = words.select(*UNIT, F.col("u").alias("head"), F.col("word").alias("there"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from spanloom.functions.text import PREPOSITIONS
 from spanloom.operators.rules import CONDITIONS
 
+FORMS = "forms(form, name) AS (VALUES " + ", ".join("('" + f.replace("'", "''") + "', '" + n + "')" for n, fs in PREPOSITIONS.items() for f in fs.split()) + ")"
+
 LINES = """
 raw_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
 lines AS (SELECT doc_id, line, text FROM raw_lines WHERE trim(text) <> '')"""
@@ -63,15 +66,17 @@ ADJUDICATED = """CASE WHEN deprel = 'obl' AND "case" = 'nominative' THEN 'imposs
 
 FRAMES = (
     EDGES
+    + ", "
+    + FORMS
     + """,
 preds AS (SELECT doc_id, unit, u FROM edges WHERE pos IN ('verb', 'verb + pronoun') AND
     (deprel IN ('root', 'ccomp', 'xcomp', 'acl:relcl', 'advcl', 'parataxis')
      OR (doc_id, unit, u) IN (SELECT doc_id, unit, head FROM edges WHERE deprel IN ('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl') AND head > 0))),
 preps AS (SELECT doc_id, unit, head AS u, arg_min(lemma, u) AS prep FROM edges WHERE deprel = 'case' AND head > 0 GROUP BY ALL),
 args AS (SELECT e.doc_id, e.unit, e.head AS pred, CASE WHEN deprel = 'nsubj' THEN 'subj' WHEN deprel = 'iobj' THEN 'obl:a'
-        WHEN deprel = 'obl' AND prep IS NOT NULL THEN 'obl:' || prep ELSE deprel END AS role, e.u AS arg
+        WHEN deprel = 'obl' AND prep IS NOT NULL THEN 'obl:' || coalesce(f.name, prep) ELSE deprel END AS role, e.u AS arg
     FROM edges e JOIN preds p ON e.doc_id = p.doc_id AND e.unit = p.unit AND e.head = p.u
-    LEFT JOIN preps q ON e.doc_id = q.doc_id AND e.unit = q.unit AND e.u = q.u
+    LEFT JOIN preps q ON e.doc_id = q.doc_id AND e.unit = q.unit AND e.u = q.u LEFT JOIN forms f ON f.form = q.prep
     WHERE deprel IN ('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl')),
 dropped AS (SELECT p.doc_id, p.unit, p.u AS pred, 'subj' AS role, 0 AS arg FROM preds p JOIN edges e USING (doc_id, unit, u)
     WHERE person <> '' AND (p.doc_id, p.unit, p.u) NOT IN (SELECT doc_id, unit, pred FROM args WHERE role = 'subj')),
@@ -317,9 +322,9 @@ SQL: dict[str, str] = {
         counts AS (SELECT role, count(*) FILTER (g = 1 AND m = 1) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (m IS NULL) AS fn FROM g FULL JOIN m USING (doc_id, unit, pred, role, arg) GROUP BY role)
         SELECT *, {PRF} FROM counts""",
     "set_diff_rows": f"WITH {FRAMES} SELECT doc_id, unit, pred, role, arg FROM derived EXCEPT ALL SELECT doc_id, unit, pred, role, arg FROM given",
-    "role_canon": f"""WITH {EDGES}, each_role AS (SELECT unnest([deprel, 'obl:' || lemma, 'attr', 'iobj']) AS role FROM edges)
-        SELECT role, CASE role WHEN 'attr' THEN 'xcomp' WHEN 'iobj' THEN 'obl:a' ELSE role END AS canonical, {RANK}::BIGINT AS rank,
-            role IN ('subj', 'obj', 'iobj', 'attr', 'xcomp', 'ccomp', 'obl') OR regexp_full_match(role, 'obl:[a-zàèéìòù'']+') AS valid, count(*) AS n FROM each_role GROUP BY ALL""",
+    "role_canon": f"""WITH {EDGES}, each_role AS (SELECT unnest([deprel, 'obl:' || lemma, 'attr', 'iobj']) AS role FROM edges), {FORMS}
+        SELECT role, CASE role WHEN 'attr' THEN 'xcomp' WHEN 'iobj' THEN 'obl:a' ELSE coalesce('obl:' || f.name, role) END AS canonical, {RANK}::BIGINT AS rank,
+            role IN ('subj', 'obj', 'iobj', 'attr', 'xcomp', 'ccomp', 'obl') OR regexp_full_match(role, 'obl:[a-zàèéìòù'']+') AS valid, count(*) AS n FROM each_role LEFT JOIN forms f ON role = 'obl:' || f.form GROUP BY ALL""",
     "search_tokens": f"""WITH {EDGES} SELECT doc_id, line, token, word, lemma, deprel FROM edges WHERE doc_id <> 7 AND pos LIKE '%verb%' AND deprel = 'obl' AND person = '3' ORDER BY doc_id, line, token LIMIT 40""",
     "read_unit": f"""WITH {EDGES}{SPANS}{CASES}, wide AS (SELECT doc_id, line, head AS token, start, "end" FROM ordered QUALIFY row_number() OVER (PARTITION BY doc_id, line, head ORDER BY "end" - start DESC, ord) = 1)
         SELECT a.doc_id, a.unit, a.line, a.token, a.word, a.pos, a.deprel, coalesce(b.word, '') AS head_word, coalesce(c."case", '') AS "case", coalesce(w.start, 0) AS start, coalesce(w."end", 0) AS "end"

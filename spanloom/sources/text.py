@@ -18,6 +18,19 @@ def lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
     return each.filter(F.trim("text") != "").select(*keys, (F.col("at") + 1).alias("line"), "text")
 
 
+def line_range(scanned: DataFrame, first: int, last: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Lines ``first`` to ``last`` of the documents that reach to the last one.
+
+    A range that runs backwards or starts before 1 is an error, whatever the documents hold.
+    """
+    from pyspark.sql import Window
+
+    if not 1 <= first <= last:
+        raise ValueError(f"no range of lines: {first}-{last}")
+    reach = F.max("line").over(Window.partitionBy(*keys))
+    return scanned.withColumn("reach", reach).filter(F.col("reach").cast("int") >= last).filter(F.col("line").between(first, last)).drop("reach")
+
+
 def tokens(scanned: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``(keys, line, token, word)``."""
     return scanned.select(*keys, "line", F.posexplode(alpha_tokens(F.col("text"))).alias("at", "word")).select(*keys, "line", (F.col("at") + 1).alias("token"), "word")

@@ -3,8 +3,7 @@
 import pytest
 from oracle import differences
 
-from spanloom.plans.oracle import SQL
-from spanloom.plans.queries import QUERIES
+from spanloom.plans.catalogue import QUERIES, SQL
 
 
 #: Too slow in SQL over whole units; tested against brute force in test_whole_jobs.
