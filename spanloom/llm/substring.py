@@ -7,11 +7,14 @@ these two alone: a repeated passage has the same symbols inside, but for at most
 either end in each round. Runs of one symbol never join, which keeps that bound.
 
 * After two rounds a symbol has at most four words. A 20-word window chooses the smallest pair of
-  symbols that lies surely inside; equal windows choose equal pairs. Pairs that Spark finds only once
-  rule out all their windows.
-* After fourteen rounds two neighbouring symbols name a long passage; where such a passage was seen
-  before, all windows in it go at once.
-* The windows that are left are compared by a 96-bit hash of their words.
+  symbols that lies surely inside; equal windows choose equal pairs. A first Spark round names these
+  pairs over the whole corpus; a pair that stands only once rules out all its windows.
+* In what is left, pairs of high symbols name passages: first after fourteen rounds, then, where these
+  settled nothing, after eleven, nine and seven. A second Spark round tells which of the names stand
+  earlier too; all windows in such a passage go at once. The words of a passage verify its name by
+  96 bits of another hash.
+* Only the windows that are left, at the edges of passages and in their first places, are compared by
+  such a hash of their words in a third round.
 
 Tasks settle what they see twice themselves, so of one passage no more rows are shuffled than there
 are tasks, however often it occurs. Nothing but rows keyed by hashes or by documents is shuffled.
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import slices, staged, table, text_bytes
 
 WINDOW = 20
-FINE_ROUNDS, COARSE_ROUNDS = 2, 14
+FINE_ROUNDS, COARSE_ROUNDS, MIDDLE_ROUNDS = 2, 14, (7, 9, 11)
 #: A pair of symbols may start this far from either end of a window and is surely inside it.
 EDGE = 3
 #: Rows that a task settles among themselves at once.
@@ -86,8 +89,13 @@ class Words:
 
     def symbols(self, rounds: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and names of the symbols after so many rounds."""
+        return self.levels((rounds,))[0]
+
+    def levels(self, wanted: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Starts and names of the symbols after each of some numbers of rounds, fewest first."""
         start, name = np.arange(self.total), self.names
-        for r in range(rounds):
+        out = []
+        for r in range(max(wanted)):
             right = (mix(name + U(r + 1)) >> U(63)).astype(bool)
             doc = self.doc[start]
             join = ~right[:-1] & right[1:] & (doc[:-1] == doc[1:])
@@ -97,7 +105,9 @@ class Words:
             at = head[joined]
             fresh[joined] = both(name[at], name[at + 1])
             start, name = start[head], fresh
-        return start, name
+            if r + 1 in wanted:
+                out.append((start, name))
+        return out
 
     def windows(self) -> np.ndarray:
         """Whether a whole window starts at each word."""
@@ -144,9 +154,8 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return chosen[first].view(np.int64), at[first], np.diff(np.r_[first, len(at)]), twice
 
 
-def passages(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and widths of the pairs of high symbols that hold a window."""
-    start, _ = words.symbols(COARSE_ROUNDS)
+def passages(words: Words, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and widths of the pairs of symbols that hold a window."""
     if len(start) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     end = np.r_[start[2:], words.total]
@@ -218,7 +227,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = batch.column(0).to_numpy()
             key, at, width, twice = anchors(words)
             choices.append([key, ids[words.doc[at]], at - words.starts[words.doc[at]], width, twice])
-            start, span = passages(words)
+            start, span = passages(words, words.symbols(COARSE_ROUNDS)[0])
             long.append([*words.hashes(start, span), ids[words.doc[start]], start - words.starts[words.doc[start]], span])
             count += len(key)
             if count > HELD:
@@ -264,23 +273,56 @@ def _covered(at: np.ndarray, width: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def _open(words: Words, batch: pa.RecordBatch, known: tuple[int, ...], todo: int) -> np.ndarray:
+    """Which words of a batch start a window that the rounds so far have left open."""
+    out = np.zeros(words.total, bool)
+    for row in range(batch.num_rows):
+        n, at = int(words.sizes[row]), int(words.starts[row])
+        wanted = _covered(*_spans(batch.column(todo), row), n)
+        for column in known:
+            start, width = _spans(batch.column(column), row)
+            if len(start):
+                wanted &= ~_covered(start, width - WINDOW + 1, n)
+        out[at : at + n] = wanted
+    return out
+
+
+def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Second round, over ``(doc, text, known, todo)``: passages of open windows by pairs of high symbols,
+    the highest first and lower ones where those leave a window out."""
+    held, count = [], 0
+    for whole in batches:
+        whole = whole.filter(whole.column(3).is_valid())
+        for batch in slices(whole, "text") if whole.num_rows else ():
+            words = Words(text_bytes(batch.column(1)))
+            ids = batch.column(0).to_numpy()
+            left = _open(words, batch, (2,), 3)
+            sums, taken = np.r_[0, np.cumsum(left)], np.zeros(words.total, bool)
+            for start, _ in words.levels(MIDDLE_ROUNDS)[::-1] if left.any() else ():
+                at, width = passages(words, start)
+                windows = width - WINDOW + 1
+                fresh = np.r_[0, np.cumsum(left & ~taken)]
+                good = (sums[at + windows] - sums[at] == windows) & (fresh[at + windows] > fresh[at])
+                at, width = at[good], width[good]
+                taken |= _covered(at, width - WINDOW + 1, words.total)
+                doc = words.doc[at]
+                held.append([*words.hashes(at, width), ids[doc], at - words.starts[doc], width])
+                count += len(at)
+            if count > HELD:
+                yield from _settle(held)
+                held, count = [], 0
+    yield from _settle(held)
+
+
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Second round, over ``(doc, text, known, todo)``: hashes of the windows that are not settled."""
+    """Third round, over ``(doc, text, known, todo, more)``: hashes of the windows that are still open."""
     held, count = [], 0
     for whole in batches:
         whole = whole.filter(whole.column(3).is_valid())
         for batch in slices(whole, "text") if whole.num_rows else ():
             words = Words(text_bytes(batch.column(1)))
             ids = batch.column(0).to_numpy()
-            picked = []
-            for row in range(batch.num_rows):
-                n = int(words.sizes[row])
-                known, todo = _spans(batch.column(2), row), _spans(batch.column(3), row)
-                wanted = _covered(*todo, n)
-                if len(known[0]):
-                    wanted &= ~_covered(known[0], known[1] - WINDOW + 1, n)
-                picked.append(np.flatnonzero(wanted) + words.starts[row])
-            at = np.concatenate(picked)
+            at = np.flatnonzero(_open(words, batch, (2, 4), 3))
             doc = words.doc[at]
             held.append([*words.hashes(at, WINDOW), ids[doc], at - words.starts[doc], np.full(len(at), WINDOW)])
             count += len(at)
@@ -291,14 +333,14 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Last round, over ``(doc, text, known, more)``: what is left of each document."""
+    """Last pass, over ``(doc, text, known, more, edges)``: what is left of each document."""
     for whole in batches:
         for batch in slices(whole, "text", 8_000_000):
             rows = []
             for row, raw in enumerate(text_bytes(batch.column(1))):
                 words = raw.split()
                 n, gone = len(words), 0
-                spans = [_spans(batch.column(c), row) for c in (2, 3)]
+                spans = [_spans(batch.column(c), row) for c in (2, 3, 4)]
                 at, width = (np.concatenate(x) for x in zip(*spans, strict=True))
                 if len(at):
                     cut = _covered(at, width, n)
@@ -333,12 +375,19 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     span = F.struct("at", "width")
     known, todo = F.collect_list(F.when(F.col("seen"), span)), F.collect_list(F.when(~F.col("seen"), span))
     spans = staged(first.groupBy(F.col("doc").alias("d")).agg(known.alias("known"), todo.alias("todo")), "spans")
-    # both joins read the same shuffle of the texts
-    open_windows = base.join(spans, base.doc == spans.d, "left").select("doc", "text", "known", F.when(F.size("todo") > 0, F.col("todo")).alias("todo"))
-    second = open_windows.mapInArrow(compare, ROWS).repartition(n, "key").mapInArrow(decide, shown).filter("seen")
-    more = second.groupBy(F.col("doc").alias("e")).agg(F.collect_list(span).alias("more"))
-    last = base.join(spans.select("d", "known"), base.doc == F.col("d"), "left").join(more, base.doc == F.col("e"), "left")
-    left = last.select("doc", "text", "known", "more").mapInArrow(strip, "doc long, n_words long, n_removed long, kept binary")
+    # all joins read the same shuffle of the texts
+    todo = F.when(F.size("todo") > 0, F.col("todo")).alias("todo")
+    with_spans = base.join(spans, base.doc == spans.d, "left")
+
+    def seen(asked: DataFrame, name: str) -> DataFrame:
+        found = asked.repartition(n, "key").mapInArrow(decide, shown).filter("seen")
+        return found.groupBy(F.col("doc").alias(name[0])).agg(F.collect_list(span).alias(name))
+
+    more = seen(with_spans.select("doc", "text", "known", todo).mapInArrow(reveal, ROWS), "more")
+    with_more = with_spans.join(more, base.doc == F.col("m"), "left")
+    edges = seen(with_more.select("doc", "text", "known", todo, "more").mapInArrow(compare, ROWS), "edges")
+    last = with_more.join(edges, base.doc == F.col("e"), "left")
+    left = last.select("doc", "text", "known", "more", "edges").mapInArrow(strip, "doc long, n_words long, n_removed long, kept binary")
     if ids is None:
         return left.withColumnRenamed("doc", "doc_id")
     return left.join(ids, "doc").select("doc_id", "n_words", "n_removed", "kept")
