@@ -24,13 +24,14 @@ TOKEN = re.compile(r"[a-z]+")
 #: Elements by their part in the layout of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
-HIDDEN = frozenset("head title template noframes".split())
+HIDDEN = frozenset("head title template noframes noscript".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
 )
 
 PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 256, 64, 8
-#: Characters above which a block looks no longer to the labeller; its text is kept whole.
+#: Characters above which a block looks no longer to the labeller. The training pages have few longer
+#: blocks, so lengths beyond it would be read outside of what was fitted; the text is kept whole.
 LONG = 900
 DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
 
@@ -81,7 +82,7 @@ def blocks(page: str) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        if not raw or any(tag in HIDDEN for tag, _ in stack[:3]):
+        if not raw or any(tag in HIDDEN for tag, _ in stack):
             return
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
