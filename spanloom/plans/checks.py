@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as fn
 from spanloom.operators import edges as eg
 from spanloom.operators import frames as fr
+from spanloom.operators import score
+from spanloom.operators import spans as sp
+from spanloom.operators import validate as va
 from spanloom.plans import layers
 from spanloom.plans.queries import UNIT, docs, query
 from spanloom.sources import text as src
+from spanloom.sources.staging import staged
 
 # cells, notes, calls
 
@@ -156,3 +160,136 @@ def conjunct_resolves(spark, sf):
 @query
 def preposition_stacks(spark, sf):
     return eg.preposition_stacks(layers.wide(spark, sf))
+
+
+# validators
+
+
+def moved_frames(spark, sf, tokens):
+    """Given frames, some of whose arguments lie beyond their unit."""
+    arg = F.when((F.col("pred") + F.col("arg")) % 19 == 0, F.col("arg") + 4000).otherwise(F.col("arg"))
+    return layers.frames_of(spark, sf, tokens).filter("given").select(*UNIT, "pred", "role", arg.alias("arg"))
+
+
+def canonical_cases(spark, sf, tokens):
+    return layers.case_rows(spark, sf, tokens).withColumn("case", fn.canonical_case(F.col("case")))
+
+
+def by_kind(faults):
+    return faults.groupBy("doc_id", "kind", va.severity(F.col("kind")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query
+def morph_violations(spark, sf):
+    """Feature rows of which some are missing, misspelt or out of the vocabulary."""
+    t = layers.wide(spark, sf)
+    rows = t.filter("h % 50 <> 49").withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("token")))
+    word = F.when(F.col("h") % 41 == 0, F.reverse("word")).otherwise(F.col("word"))
+    rows = rows.select("doc_id", "line", "ord", word.alias("word"), F.when(F.col("h") % 43 == 0, "x.").otherwise(F.col("gender")).alias("gender"), "number", "person")
+    return by_kind(va.features(rows, t))
+
+
+@query
+def case_violations(spark, sf):
+    """Case rows of which some are missing, moved, misspelt or empty."""
+    t, h = layers.wide(spark, sf), F.col("h")
+    rows = canonical_cases(spark, sf, t).filter("h % 20 <> 3").select(
+        "doc_id",
+        "line",
+        F.when(h % 17 == 5, F.col("token") + 1).otherwise(F.col("token")).alias("token"),
+        F.when(h % 23 == 7, F.reverse("word")).otherwise(F.col("word")).alias("word"),
+        F.when(h % 29 == 11, "").otherwise(F.col("case")).alias("case"),
+    )
+    return by_kind(va.cases(rows, t))
+
+
+@query
+def span_soft_violations(spark, sf):
+    t = layers.wide(spark, sf)
+    return by_kind(va.spans(layers.spans(spark, sf, t), sp.clitic_mentions(t).filter("token % 3 <> 0"), t))
+
+
+@query
+def edge_violations(spark, sf):
+    """All checks of edges, some of which leave their unit."""
+    t = layers.wide(spark, sf)
+    return by_kind(va.edges(t.withColumn("head", F.when(F.col("h") % 47 == 0, F.col("n") + 5).otherwise(F.col("head")).cast("int"))))
+
+
+@query
+def clean_units(spark, sf):
+    """Tokens in units without a hard fault."""
+    t = layers.wide(spark, sf)
+    return va.clean(t, va.edges(t)).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("unit").alias("units"))
+
+
+@query
+def frame_violations(spark, sf):
+    t = layers.wide(spark, sf)
+    return by_kind(va.frames(moved_frames(spark, sf, t), t, layers.spans(spark, sf, t), tuple(fr.ROLES)))
+
+
+@query
+def candidate_checks(spark, sf):
+    t = layers.wide(spark, sf)
+    found = va.candidates(moved_frames(spark, sf, t), t, layers.spans(spark, sf, t), canonical_cases(spark, sf, t))
+    return found.groupBy("doc_id", "kind", "level").agg(F.count("*").alias("n"))
+
+
+@query
+def candidate_valid(spark, sf):
+    """Units by whether their submitted frames are valid."""
+    t = layers.wide(spark, sf)
+    rows = moved_frames(spark, sf, t)
+    errors = va.candidates(rows, t, layers.spans(spark, sf, t), canonical_cases(spark, sf, t)).filter("level = 'error'").select(*UNIT).distinct().withColumn("bad", F.lit(True))
+    units = rows.select(*UNIT).distinct().join(errors, UNIT, "left")
+    return units.groupBy("doc_id").agg(F.count("*").alias("units"), F.count_if(F.col("bad").isNull()).alias("valid"))
+
+
+@query
+def violation_classes(spark, sf):
+    """Differences by class, before and after conflicts over one slot are joined."""
+    t = layers.wide(spark, sf)
+    classed = staged(va.classes(fr.divergence(layers.frames_of(spark, sf, t)), t), "classed")
+    after = va.slot_conflicts(classed)
+    return classed.select("class", F.lit("before").alias("stage")).union(after.select("class", F.lit("after").alias("stage"))).groupBy("class", "stage").agg(F.count("*").alias("n"))
+
+
+@query
+def fix_gains(spark, sf):
+    """Units whose differences grow fewer without a new class if conflicts over a slot are joined."""
+    t = layers.wide(spark, sf)
+    classed = staged(va.classes(fr.divergence(layers.frames_of(spark, sf, t)), t), "classed")
+    return va.improved(classed, va.slot_conflicts(classed)).groupBy("doc_id", "improved").agg(F.count("*").alias("n"))
+
+
+# scores
+
+
+def sided(spark, sf):
+    rows = layers.frames_of(spark, sf)
+    given, gold = rows.filter("given").drop("given"), rows.filter("not given").drop("given")
+    return given.withColumn("submission", (F.col("pred") * 7 + F.col("arg")) % 3 + 1), gold
+
+
+@query
+def role_micro_macro(spark, sf):
+    return score.micro_macro(score.confusion(layers.frames_of(spark, sf), [*UNIT, "pred", "role", "arg"], "role").select("role", "tp", "fp", "fn"))
+
+
+@query
+def accumulated_rows(spark, sf):
+    given, _ = sided(spark, sf)
+    return score.accumulated(given, [*UNIT, "pred"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("submission").alias("submissions"))
+
+
+@query
+def predicate_first_pass(spark, sf):
+    given, gold = sided(spark, sf)
+    return score.first_passes(given, gold, [*UNIT, "pred"], ["role", "arg"]).groupBy("doc_id").agg(F.count("*").alias("preds"), F.count_if("passed").alias("passed"))
+
+
+@query
+def exact_units(spark, sf):
+    given, gold = sided(spark, sf)
+    return score.exact(given, gold, UNIT, ["pred", "role", "arg"]).groupBy("doc_id").agg(F.count("*").alias("units"), F.count_if("exact").alias("exact"))

@@ -60,6 +60,31 @@ cases AS (SELECT doc_id, unit, line, token, u, word, pos, h,
 CANON = """(CASE "case" WHEN 'nom' THEN 'nominative' WHEN 'acc.' THEN 'accusative' WHEN '*dat*' THEN 'dative' WHEN 'oblique' THEN 'ablative'
     WHEN 'expletive' THEN 'reflexive' WHEN 'genitive+acc' THEN 'genitive+accusative' ELSE "case" END)"""
 
+#: Verdicts on subjects, from the edges alone.
+AGREEMENT = """preps AS (SELECT doc_id, unit, head AS u, arg_min(lemma, u) AS prep FROM edges WHERE deprel = 'case' AND head > 0 GROUP BY ALL),
+        up AS (SELECT doc_id, unit, u, u AS place, 0 AS steps FROM edges WHERE deprel = 'conj'
+            UNION ALL SELECT p.doc_id, p.unit, p.u, e.head, p.steps + 1 FROM up p JOIN edges e ON e.doc_id = p.doc_id AND e.unit = p.unit AND e.u = p.place WHERE p.steps < 16 AND e.deprel = 'conj' AND e.head > 0),
+        tops AS (SELECT doc_id, unit, u, arg_max(place, steps) AS top FROM up GROUP BY ALL),
+        members AS (SELECT t.doc_id, t.unit, t.top, list(CASE WHEN e.person = '' THEN '3' ELSE e.person END) AS persons FROM tops t JOIN edges e ON e.doc_id = t.doc_id AND e.unit = t.unit AND e.u = t.u WHERE t.top <> t.u GROUP BY ALL),
+        below AS (SELECT e.doc_id, e.unit, e.head AS u, count(*) FILTER (deprel IN ('nsubj', 'nsubj:pass')) AS n_nsubj, bool_or(deprel = 'cc') AS cc, bool_or(deprel IN ('nmod', 'conj', 'appos')) AS linked,
+            bool_or(deprel IN ('obl', 'nmod') AND coalesce(prep, '') = 'con') AS comitative, bool_or(deprel = 'nummod') AS numbered, bool_or(deprel IN ('det', 'amod') AND lemma = 'molto') AS measured,
+            bool_or(deprel = 'attr' AND number = 'sg.') AS attr_sg, bool_or(deprel = 'attr' AND number = 'pl.') AS attr_pl, bool_or(deprel = 'expl:impers' OR (deprel = 'expl' AND note = 'x, impersonal')) AS impersonal
+            FROM edges e LEFT JOIN preps p ON e.doc_id = p.doc_id AND e.unit = p.unit AND e.u = p.u WHERE head > 0 GROUP BY ALL),
+        pairs AS (SELECT s.doc_id, s.unit, s.u, s.pos AS sp, v.pos AS vp, s.lemma AS sl, s.number AS sn, v.number AS vn, CASE WHEN s.person = '' THEN '3' ELSE s.person END AS sper, v.person AS vper, s.note AS sno, v.note AS vno,
+            s.tense || s.mood AS st, v.tense || v.mood AS vt, m.persons, coalesce(sb.cc, false) AND coalesce(sb.linked, false) AS inner_coord, coalesce(sb.numbered, false) OR coalesce(sb.measured, false) AS quantified,
+            coalesce(vb.comitative, false) AS comitative, coalesce(vb.impersonal, false) AS impersonal, CASE v.number WHEN 'sg.' THEN coalesce(vb.attr_sg, false) WHEN 'pl.' THEN coalesce(vb.attr_pl, false) ELSE false END AS nominal, coalesce(vb.n_nsubj, 0) AS n_nsubj
+            FROM edges s JOIN edges v ON s.doc_id = v.doc_id AND s.unit = v.unit AND s.head = v.u LEFT JOIN below sb ON sb.doc_id = s.doc_id AND sb.unit = s.unit AND sb.u = s.u
+            LEFT JOIN below vb ON vb.doc_id = v.doc_id AND vb.unit = v.unit AND vb.u = v.u LEFT JOIN members m ON m.doc_id = s.doc_id AND m.unit = s.unit AND m.top = s.u WHERE s.deprel IN ('nsubj', 'nsubj:pass')),
+        judged AS (SELECT doc_id, unit, u, CASE WHEN vper = '' OR vp NOT LIKE '%verb%' THEN ['undecidable', 'head not finite'] WHEN (vp LIKE '%+%' AND vt = '') OR (sp LIKE '%+%' AND st = '') THEN ['undecidable', 'fused token']
+            WHEN sl IN ('che', 'chi', 'cui', 'quale') THEN ['undecidable', 'person of the antecedent'] WHEN vper <> '3' AND vn = 'pl.' AND sper <> '3' AND persons IS NULL THEN ['undecidable', 'member of a plural']
+            WHEN n_nsubj > 1 THEN ['undecidable', 'several subjects'] WHEN sno = 'AD_SENSUM' OR vno = 'AD_SENSUM' THEN ['undecidable', 'exempt']
+            WHEN sl IN ('ciascuno', 'ognuno', 'catuno', 'ambedue', 'amendue', 'uno', 'tutto') AND vn = 'pl.' THEN ['undecidable', 'distributive']
+            WHEN persons IS NOT NULL THEN CASE WHEN list_contains(list_append(persons, sper), vper) THEN ['undecidable', 'coordinated subject'] ELSE ['disagree', 'person'] END
+            WHEN sper <> vper THEN ['disagree', 'person'] WHEN sn = vn THEN ['agree', '']
+            WHEN sn = 'sg.' AND inner_coord THEN ['undecidable', 'coordination inside the subject'] WHEN sn = 'sg.' AND comitative THEN ['undecidable', 'comitative phrase']
+            WHEN sn = 'pl.' AND quantified THEN ['undecidable', 'quantified subject'] WHEN nominal THEN ['undecidable', 'predicate nominal'] WHEN sn = 'pl.' AND impersonal THEN ['undecidable', 'impersonal']
+            ELSE ['disagree', 'number'] END AS v FROM pairs)"""
+
 ADJUDICATED = """CASE WHEN deprel = 'obl' AND "case" = 'nominative' THEN 'impossible'
     WHEN (deprel = 'obj' AND "case" LIKE '%accusative%') OR (deprel = 'iobj' AND "case" = 'dative') OR (deprel = 'nsubj' AND "case" = 'nominative') THEN 'agree'
     WHEN deprel IN ('obj', 'iobj', 'nsubj') AND regexp_matches("case", 'nominative|accusative|dative') THEN 'contradict' ELSE 'open' END"""
@@ -279,29 +304,7 @@ SQL: dict[str, str] = {
         SELECT doc_id, unit, u, coord_head, aux_head, prep_head FROM (SELECT doc_id, unit, u, arg_max(place, steps) AS coord_head FROM c GROUP BY ALL)
         JOIN (SELECT doc_id, unit, u, arg_max(place, steps) AS aux_head FROM a GROUP BY ALL) USING (doc_id, unit, u)
         JOIN (SELECT doc_id, unit, u, arg_max(place, steps) AS prep_head FROM p GROUP BY ALL) USING (doc_id, unit, u)""",
-    "agreement_verdict": f"""WITH RECURSIVE {EDGES}, preps AS (SELECT doc_id, unit, head AS u, arg_min(lemma, u) AS prep FROM edges WHERE deprel = 'case' AND head > 0 GROUP BY ALL),
-        up AS (SELECT doc_id, unit, u, u AS place, 0 AS steps FROM edges WHERE deprel = 'conj'
-            UNION ALL SELECT p.doc_id, p.unit, p.u, e.head, p.steps + 1 FROM up p JOIN edges e ON e.doc_id = p.doc_id AND e.unit = p.unit AND e.u = p.place WHERE p.steps < 16 AND e.deprel = 'conj' AND e.head > 0),
-        tops AS (SELECT doc_id, unit, u, arg_max(place, steps) AS top FROM up GROUP BY ALL),
-        members AS (SELECT t.doc_id, t.unit, t.top, list(CASE WHEN e.person = '' THEN '3' ELSE e.person END) AS persons FROM tops t JOIN edges e ON e.doc_id = t.doc_id AND e.unit = t.unit AND e.u = t.u WHERE t.top <> t.u GROUP BY ALL),
-        below AS (SELECT e.doc_id, e.unit, e.head AS u, count(*) FILTER (deprel IN ('nsubj', 'nsubj:pass')) AS n_nsubj, bool_or(deprel = 'cc') AS cc, bool_or(deprel IN ('nmod', 'conj', 'appos')) AS linked,
-            bool_or(deprel IN ('obl', 'nmod') AND coalesce(prep, '') = 'con') AS comitative, bool_or(deprel = 'nummod') AS numbered, bool_or(deprel IN ('det', 'amod') AND lemma = 'molto') AS measured,
-            bool_or(deprel = 'attr' AND number = 'sg.') AS attr_sg, bool_or(deprel = 'attr' AND number = 'pl.') AS attr_pl, bool_or(deprel = 'expl:impers' OR (deprel = 'expl' AND note = 'x, impersonal')) AS impersonal
-            FROM edges e LEFT JOIN preps p ON e.doc_id = p.doc_id AND e.unit = p.unit AND e.u = p.u WHERE head > 0 GROUP BY ALL),
-        pairs AS (SELECT s.pos AS sp, v.pos AS vp, s.lemma AS sl, s.number AS sn, v.number AS vn, CASE WHEN s.person = '' THEN '3' ELSE s.person END AS sper, v.person AS vper, s.note AS sno, v.note AS vno,
-            s.tense || s.mood AS st, v.tense || v.mood AS vt, m.persons, coalesce(sb.cc, false) AND coalesce(sb.linked, false) AS inner_coord, coalesce(sb.numbered, false) OR coalesce(sb.measured, false) AS quantified,
-            coalesce(vb.comitative, false) AS comitative, coalesce(vb.impersonal, false) AS impersonal, CASE v.number WHEN 'sg.' THEN coalesce(vb.attr_sg, false) WHEN 'pl.' THEN coalesce(vb.attr_pl, false) ELSE false END AS nominal, coalesce(vb.n_nsubj, 0) AS n_nsubj
-            FROM edges s JOIN edges v ON s.doc_id = v.doc_id AND s.unit = v.unit AND s.head = v.u LEFT JOIN below sb ON sb.doc_id = s.doc_id AND sb.unit = s.unit AND sb.u = s.u
-            LEFT JOIN below vb ON vb.doc_id = v.doc_id AND vb.unit = v.unit AND vb.u = v.u LEFT JOIN members m ON m.doc_id = s.doc_id AND m.unit = s.unit AND m.top = s.u WHERE s.deprel IN ('nsubj', 'nsubj:pass')),
-        judged AS (SELECT CASE WHEN vper = '' OR vp NOT LIKE '%verb%' THEN ['undecidable', 'head not finite'] WHEN (vp LIKE '%+%' AND vt = '') OR (sp LIKE '%+%' AND st = '') THEN ['undecidable', 'fused token']
-            WHEN sl IN ('che', 'chi', 'cui', 'quale') THEN ['undecidable', 'person of the antecedent'] WHEN vper <> '3' AND vn = 'pl.' AND sper <> '3' AND persons IS NULL THEN ['undecidable', 'member of a plural']
-            WHEN n_nsubj > 1 THEN ['undecidable', 'several subjects'] WHEN sno = 'AD_SENSUM' OR vno = 'AD_SENSUM' THEN ['undecidable', 'exempt']
-            WHEN sl IN ('ciascuno', 'ognuno', 'catuno', 'ambedue', 'amendue', 'uno', 'tutto') AND vn = 'pl.' THEN ['undecidable', 'distributive']
-            WHEN persons IS NOT NULL THEN CASE WHEN list_contains(list_append(persons, sper), vper) THEN ['undecidable', 'coordinated subject'] ELSE ['disagree', 'person'] END
-            WHEN sper <> vper THEN ['disagree', 'person'] WHEN sn = vn THEN ['agree', '']
-            WHEN sn = 'sg.' AND inner_coord THEN ['undecidable', 'coordination inside the subject'] WHEN sn = 'sg.' AND comitative THEN ['undecidable', 'comitative phrase']
-            WHEN sn = 'pl.' AND quantified THEN ['undecidable', 'quantified subject'] WHEN nominal THEN ['undecidable', 'predicate nominal'] WHEN sn = 'pl.' AND impersonal THEN ['undecidable', 'impersonal']
-            ELSE ['disagree', 'number'] END AS v FROM pairs) SELECT v[1] AS verdict, v[2] AS reason, count(*) AS n FROM judged GROUP BY ALL""",
+    "agreement_verdict": f"WITH RECURSIVE {EDGES}, {AGREEMENT} SELECT v[1] AS verdict, v[2] AS reason, count(*) AS n FROM judged GROUP BY ALL",
     "case_dep_adjudication": f"""WITH {EDGES}{CASES} SELECT c."case", deprel, verdict, count(*) AS n FROM (SELECT {CANON} AS "case", doc_id, unit, u FROM cases) c
         JOIN (SELECT doc_id, unit, u, deprel FROM edges) USING (doc_id, unit, u), LATERAL (SELECT {ADJUDICATED} AS verdict) GROUP BY ALL""",
     "agreement_rates": f"""WITH {EDGES}{CASES}, v AS (SELECT deprel, {ADJUDICATED} AS verdict FROM (SELECT {CANON} AS "case", doc_id, unit, u FROM cases) c JOIN (SELECT doc_id, unit, u, deprel FROM edges) USING (doc_id, unit, u)),

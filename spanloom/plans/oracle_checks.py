@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.plans.oracle import EDGES, FORMS, FRAMES, GROUPED, LINES, MORPH, SPANS
+from spanloom.plans.oracle import AGREEMENT, CANON, CASES, DIVERGENCE, EDGES, FORMS, FRAMES, GROUPED, LINES, MORPH, PRF, SPANS
 
 CLAUSES = "('root', 'ccomp', 'xcomp', 'acl:relcl', 'advcl', 'parataxis')"
 
@@ -42,3 +42,97 @@ SQL: dict[str, str] = {
         below AS (SELECT doc_id, unit, head AS u, u AS kid, form, 1 AS steps FROM links UNION ALL SELECT b.doc_id, b.unit, l.head, b.kid, b.form, b.steps + 1 FROM below b JOIN links l ON l.doc_id = b.doc_id AND l.unit = b.unit AND l.u = b.u WHERE b.steps < 8)
         SELECT doc_id, unit, u, string_agg(DISTINCT form, '+' ORDER BY form) AS lemmas FROM below GROUP BY ALL""",
 }
+
+ROLE_SET = "('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl')"
+SOFT = "('tag', 'head_pos', 'uncovered', 'mention', 'many_roots', 'vocabulary', 'relative_head', 'several_objects', 'agreement', 'role', 'member', 'dual_role')"
+VALID = "(role IN ('subj', 'obj', 'iobj', 'attr', 'xcomp', 'ccomp', 'obl') OR regexp_full_match(role, 'obl:[a-zàèéìòù'']+'))"
+BY_KIND = f"SELECT doc_id, kind, CASE WHEN kind IN {SOFT} THEN 'soft' ELSE 'hard' END AS severity, count(*) AS n FROM found GROUP BY ALL"
+
+
+def _edge_faults(edges: str) -> str:
+    """Faults of ``moved`` edges; edges that leave the unit end there."""
+    return f""", moved AS ({edges}), closed AS (SELECT * REPLACE (CASE WHEN head > n THEN 0 ELSE head END AS head) FROM moved),
+    up_to_root AS (SELECT doc_id, unit, u FROM closed WHERE head = 0 UNION ALL SELECT e.doc_id, e.unit, e.u FROM closed e JOIN up_to_root r ON e.doc_id = r.doc_id AND e.unit = r.unit AND e.head = r.u),
+    found AS (SELECT doc_id, unit, 'root_label' AS kind FROM moved WHERE (head = 0) <> (deprel = 'root')
+        UNION ALL SELECT doc_id, unit, 'not_in_unit' FROM moved WHERE head > n UNION ALL SELECT doc_id, unit, 'self_head' FROM moved WHERE head = u
+        UNION ALL SELECT doc_id, unit, 'vocabulary' FROM moved WHERE deprel = 'unheard'
+        UNION ALL SELECT e.doc_id, e.unit, 'relative_head' FROM moved e JOIN moved h ON e.doc_id = h.doc_id AND e.unit = h.unit AND e.head = h.u WHERE e.deprel = 'acl:relcl' AND h.pos NOT LIKE '%noun%' AND h.note <> 'RELCL_HEAD'
+        UNION ALL SELECT doc_id, unit, 'cycle' FROM closed WHERE (doc_id, unit, u) NOT IN (SELECT doc_id, unit, u FROM up_to_root)
+        UNION ALL SELECT doc_id, unit, CASE WHEN r = 0 THEN 'no_root' ELSE 'many_roots' END FROM (SELECT doc_id, unit, count(*) FILTER (head = 0) AS r FROM moved GROUP BY ALL) WHERE r <> 1
+        UNION ALL SELECT doc_id, unit, 'several_objects' FROM moved WHERE deprel = 'obj' AND head > 0 GROUP BY doc_id, unit, head HAVING count(*) > 1
+        UNION ALL SELECT doc_id, unit, 'agreement' FROM (WITH RECURSIVE edges AS (SELECT * FROM closed), {AGREEMENT} SELECT doc_id, unit FROM judged WHERE v[1] = 'disagree'))"""
+
+
+GIVEN = """, rows AS (SELECT doc_id, unit, pred, role, CASE WHEN (pred + arg) % 19 = 0 THEN arg + 4000 ELSE arg END AS arg FROM given),
+    span_heads AS (SELECT DISTINCT doc_id, line, head AS token FROM spans), places AS (SELECT e.doc_id, e.unit, e.u AS arg, e.pos, e.deprel, s.token IS NOT NULL AS held FROM edges e LEFT JOIN span_heads s USING (doc_id, line, token)),
+    sizes AS (SELECT doc_id, unit, max(u) AS n FROM edges GROUP BY ALL),
+    known AS (SELECT r.*, p.pos, p.deprel, coalesce(p.held, false) AS held, coalesce(z.n, 0) AS n FROM rows r LEFT JOIN places p USING (doc_id, unit, arg) LEFT JOIN sizes z USING (doc_id, unit))"""
+
+CANDIDATES = (
+    GIVEN
+    + f""", slots AS (SELECT doc_id, unit, pred, role, arg, count(*) AS k FROM rows GROUP BY ALL),
+    licences AS (SELECT DISTINCT doc_id, unit, u AS arg FROM cases WHERE "case" = 'genitive+acc'),
+    found AS (SELECT doc_id, unit, 'role' AS kind, 'error' AS level FROM known WHERE role <> '' AND NOT {VALID}
+        UNION ALL SELECT doc_id, unit, 'zero_marker', 'error' FROM known WHERE role = '' AND arg <> 0
+        UNION ALL SELECT doc_id, unit, 'argument', 'error' FROM known WHERE arg <> 0 AND pos IS NULL
+        UNION ALL SELECT doc_id, unit, 'anchor', 'error' FROM known WHERE pos IS NOT NULL AND {VALID} AND role NOT IN ('attr', 'xcomp', 'ccomp', 'obl') AND NOT held AND pos NOT LIKE '%pronoun%'
+        UNION ALL SELECT doc_id, unit, 'slot', 'error' FROM (SELECT *, unnest(range(1, k)) FROM slots)
+        UNION ALL SELECT doc_id, unit, 'zero_coexists', 'error' FROM slots GROUP BY doc_id, unit, pred HAVING count(*) > 1 AND bool_or(role = '')
+        UNION ALL SELECT s.doc_id, s.unit, 'dual_role', 'error' FROM slots s LEFT JOIN licences l USING (doc_id, unit, arg) WHERE s.arg <> 0 AND l.arg IS NULL GROUP BY s.doc_id, s.unit, s.pred, s.arg HAVING count(*) > 1
+        UNION ALL SELECT doc_id, unit, 'role_repeated', 'warning' FROM rows WHERE role <> '' GROUP BY doc_id, unit, pred, role HAVING count(*) > 1)"""
+)
+
+CLASSED = (
+    DIVERGENCE
+    + """, classed AS (SELECT d.*, CASE WHEN role <> '' THEN role ELSE given_role END AS slot, CASE WHEN kind = 'missing_tuple' AND p.pos NOT LIKE 'verb%' THEN 'missing_tuple_nominal'
+        WHEN kind = 'extra_tuple' AND p.pos = 'adverb' THEN 'extra_tuple_adverb' WHEN kind = 'extra_tuple' AND p.pos = 'adjective' THEN 'extra_tuple_adjective'
+        WHEN kind = 'extra_arg' AND given_role IN ('xcomp', 'attr') AND a.pos = 'adjective' THEN 'extra_arg_adjective' WHEN kind = 'missing_arg' AND a.pos = 'adverb' THEN 'missing_arg_adverb'
+        WHEN kind IN ('missing_arg', 'extra_arg') AND role || given_role = 'subj' THEN kind || '_subject' ELSE kind END AS class
+        FROM divergence d JOIN edges p ON d.doc_id = p.doc_id AND d.unit = p.unit AND d.pred = p.u LEFT JOIN edges a ON d.doc_id = a.doc_id AND d.unit = a.unit AND d.arg = a.u),
+    conflicts AS (SELECT doc_id, unit, pred, slot FROM classed WHERE slot <> '' GROUP BY ALL HAVING count(*) FILTER (kind = 'extra_arg') > 0 AND count(*) FILTER (kind = 'missing_arg') > 0),
+    ranked AS (SELECT c.*, k.slot IS NOT NULL AS clash, row_number() OVER (PARTITION BY c.doc_id, c.unit, c.pred, c.slot, c.kind ORDER BY c.class = 'extra_arg_adjective' DESC, c.arg DESC) AS r
+        FROM classed c LEFT JOIN conflicts k ON c.doc_id = k.doc_id AND c.unit = k.unit AND c.pred = k.pred AND c.slot = k.slot),
+    joined AS (SELECT doc_id, unit, CASE WHEN clash AND kind = 'extra_arg' AND r = 1 THEN 'arg_slot' ELSE class END AS class FROM ranked WHERE NOT (clash AND kind = 'missing_arg'))"""
+)
+
+SUBMITTED = ", submitted AS (SELECT *, (pred * 7 + arg) % 3 + 1 AS submission FROM given)"
+
+SQL |= {
+    "morph_violations": f"""WITH {MORPH}, rows AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY token) AS ord, CASE WHEN h % 41 = 0 THEN reverse(word) ELSE word END AS w, h % 43 = 0 AS odd FROM morph WHERE h % 50 <> 49),
+        found AS (SELECT doc_id, 'count' AS kind FROM morph GROUP BY doc_id, line HAVING count(*) FILTER (h % 50 = 49) > 0 UNION ALL SELECT doc_id, 'tag' FROM rows WHERE odd
+        UNION ALL SELECT r.doc_id, 'word' FROM rows r JOIN morph m ON r.doc_id = m.doc_id AND r.line = m.line AND r.ord = m.token WHERE r.w <> m.word) {BY_KIND}""",
+    "case_violations": f"""WITH {MORPH}{CASES}, rows AS (SELECT doc_id, line, CASE WHEN h % 17 = 5 THEN token + 1 ELSE token END AS token, CASE WHEN h % 23 = 7 THEN reverse(word) ELSE word END AS w,
+            CASE WHEN h % 29 = 11 THEN '' ELSE {CANON} END AS c FROM cases WHERE h % 20 <> 3),
+        slots AS (SELECT doc_id, line, token, word, CASE WHEN pos = 'pronoun + pronoun' THEN 2 WHEN pos LIKE '%pronoun' THEN 1 ELSE 0 END AS k FROM morph),
+        known AS (SELECT r.*, s.word, coalesce(s.k, 0) AS k, CASE WHEN c = '' THEN 0 WHEN c LIKE '%+%' THEN 2 ELSE 1 END AS v FROM rows r LEFT JOIN slots s USING (doc_id, line, token)),
+        found AS (SELECT doc_id, 'twice' AS kind FROM (SELECT doc_id, unnest(range(1, count(*))) FROM rows GROUP BY doc_id, line, token) UNION ALL SELECT doc_id, 'no_pronoun' FROM known WHERE k = 0
+        UNION ALL SELECT doc_id, 'word' FROM known WHERE k > 0 AND w <> word UNION ALL SELECT doc_id, 'slot' FROM known WHERE k > 0 AND v <> k UNION ALL SELECT doc_id, 'case' FROM known WHERE k > 0 AND c = 'unheard'
+        UNION ALL SELECT doc_id, 'empty' FROM known WHERE k > 0 AND v = 0
+        UNION ALL SELECT doc_id, 'count' FROM (SELECT doc_id, line, 1 AS need, 0 AS have FROM slots WHERE k > 0 UNION ALL SELECT doc_id, line, 0, 1 FROM rows) GROUP BY doc_id, line HAVING sum(need) <> sum(have)) {BY_KIND}""",
+    "span_soft_violations": f"""WITH {MORPH}{SPANS}, heads AS (SELECT DISTINCT doc_id, line, head AS token FROM spans), known AS (SELECT m.*, h.token IS NOT NULL AS held FROM morph m LEFT JOIN heads h USING (doc_id, line, token)),
+        found AS (SELECT doc_id, 'head_pos' AS kind FROM known WHERE held AND pos IN ('conjunction', 'preposition', 'article') UNION ALL SELECT doc_id, 'uncovered' FROM known WHERE NOT held AND pos = 'noun' AND NOT regexp_matches(note, 'NO_NP|CONT_NEXT')
+        UNION ALL SELECT doc_id, 'mention' FROM known WHERE pos = 'verb + pronoun' AND token % 3 = 0) {BY_KIND}""",
+    "edge_violations": f"WITH RECURSIVE {EDGES}{_edge_faults('SELECT * REPLACE (CASE WHEN h % 47 = 0 THEN n + 5 ELSE head END AS head) FROM edges')} {BY_KIND}",
+    "clean_units": f"""WITH RECURSIVE {EDGES}{_edge_faults('SELECT * FROM edges')} SELECT doc_id, count(*) AS n, count(DISTINCT unit) AS units FROM edges WHERE (doc_id, unit) NOT IN (SELECT doc_id, unit FROM found WHERE kind NOT IN {SOFT}) GROUP BY doc_id""",
+    "frame_violations": f"""WITH {FRAMES}{SPANS}{GIVEN}, named AS (SELECT DISTINCT doc_id, unit, pred AS arg FROM rows), judged AS (SELECT k.*, m.arg IS NOT NULL AS is_pred, row_number() OVER (PARTITION BY k.doc_id, k.unit, k.pred, k.role, k.arg) > 1 AS again
+            FROM known k LEFT JOIN named m ON k.doc_id = m.doc_id AND k.unit = m.unit AND k.arg = m.arg),
+        found AS (SELECT doc_id, 'dup' AS kind FROM judged WHERE again OR arg = pred UNION ALL SELECT doc_id, 'position' FROM judged WHERE (arg = 0 AND role NOT IN ('subj', '')) OR arg > n
+        UNION ALL SELECT doc_id, 'clausal' FROM judged WHERE role IN ('ccomp', 'xcomp') AND NOT is_pred UNION ALL SELECT doc_id, 'role' FROM judged WHERE role <> '' AND NOT {VALID}
+        UNION ALL SELECT doc_id, 'member' FROM judged WHERE role NOT IN ('', 'attr', 'xcomp', 'ccomp') AND arg > 0 AND arg <> pred AND NOT (held OR is_pred OR coalesce(pos LIKE '%pronoun%' OR deprel IN {ROLE_SET} OR (role LIKE 'obl%' AND pos = 'adverb'), false))
+        UNION ALL SELECT doc_id, 'dual_role' FROM rows WHERE arg > 0 AND arg <> pred AND role <> '' GROUP BY doc_id, unit, pred, arg HAVING count(DISTINCT role) > 1) {BY_KIND}""",
+    "candidate_checks": f"WITH {FRAMES}{SPANS}{CASES}{CANDIDATES} SELECT doc_id, kind, level, count(*) AS n FROM found GROUP BY ALL",
+    "candidate_valid": f"""WITH {FRAMES}{SPANS}{CASES}{CANDIDATES}, units AS (SELECT DISTINCT doc_id, unit FROM rows) SELECT doc_id, count(*) AS units, count(*) FILTER ((doc_id, unit) NOT IN (SELECT doc_id, unit FROM found WHERE level = 'error')) AS valid FROM units GROUP BY doc_id""",
+    "violation_classes": f"WITH {CLASSED} SELECT class, 'before' AS stage, count(*) AS n FROM classed GROUP BY ALL UNION ALL SELECT class, 'after', count(*) FROM joined GROUP BY ALL",
+    "fix_gains": f"""WITH {CLASSED}, counts AS (SELECT doc_id, unit, class, sum(b) AS b, sum(a) AS a FROM (SELECT doc_id, unit, class, 1 AS b, 0 AS a FROM classed UNION ALL SELECT doc_id, unit, class, 0, 1 FROM joined) GROUP BY ALL),
+        verdicts AS (SELECT doc_id, unit, sum(a) < sum(b) AND count(*) FILTER (b = 0 AND a > 0) = 0 AS improved FROM counts GROUP BY ALL) SELECT doc_id, improved, count(*) AS n FROM verdicts GROUP BY ALL""",
+    "role_micro_macro": f"""WITH {FRAMES}, g AS (SELECT DISTINCT *, 1 AS g FROM derived), m AS (SELECT DISTINCT *, 1 AS m FROM given),
+        counts AS (SELECT role, count(*) FILTER (g = 1 AND m = 1) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (m IS NULL) AS fn FROM g FULL JOIN m USING (doc_id, unit, pred, role, arg) GROUP BY role),
+        each_role AS (SELECT *, {PRF} FROM counts), sums AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round_even(avg(f1), 4) AS macro_f1 FROM each_role) SELECT tp, fp, fn, macro_f1, {PRF} FROM sums""",
+    "accumulated_rows": f"""WITH {FRAMES}{SUBMITTED}, last AS (SELECT doc_id, unit, pred, max(submission) AS submission FROM submitted GROUP BY ALL) SELECT doc_id, count(*) AS n, sum(submission)::BIGINT AS submissions FROM submitted JOIN last USING (doc_id, unit, pred, submission) GROUP BY doc_id""",
+    "predicate_first_pass": f"""WITH {FRAMES}{SUBMITTED}, first AS (SELECT doc_id, unit, pred, min(submission) AS submission FROM submitted GROUP BY ALL),
+        mine AS (SELECT doc_id, unit, pred, string_agg(DISTINCT role || '=' || arg, ' ' ORDER BY role || '=' || arg) AS rows FROM submitted JOIN first USING (doc_id, unit, pred, submission) GROUP BY ALL),
+        gold AS (SELECT doc_id, unit, pred, string_agg(DISTINCT role || '=' || arg, ' ' ORDER BY role || '=' || arg) AS rows FROM derived GROUP BY ALL)
+        SELECT g.doc_id, count(*) AS preds, count(*) FILTER (g.rows = m.rows) AS passed FROM gold g LEFT JOIN mine m USING (doc_id, unit, pred) GROUP BY ALL""",
+    "exact_units": f"""WITH {FRAMES}, odd AS (SELECT doc_id, unit FROM (SELECT DISTINCT * FROM given) g FULL JOIN (SELECT DISTINCT *, 1 AS d FROM derived) d USING (doc_id, unit, pred, role, arg) WHERE d IS NULL OR g.doc_id IS NULL),
+        units AS (SELECT doc_id, unit FROM given UNION SELECT doc_id, unit FROM derived) SELECT doc_id, count(*) AS units, count(*) FILTER ((doc_id, unit) NOT IN (SELECT * FROM odd)) AS exact FROM units GROUP BY doc_id""",
+}
