@@ -47,14 +47,15 @@ def walk(start: Column, heads: Column, rels: Column, over: tuple[str, ...], step
 
 
 def walks(edges: DataFrame) -> DataFrame:
-    """Ends of the coordination, function-word and preposition walks of every token, and its host: the
-    end of the function-word walk from its head."""
+    """Ends of the coordination, function-word and preposition walks of every token; its host: the end of
+    the function-word walk from its head; and the top of its chain of conjuncts."""
     packed = unit_arrays(edges)
     each = packed.select(*UNIT, "heads", "rels", F.explode(F.sequence(F.lit(1), F.size("heads"))).alias("u"))
     ends = {"coord_head": COORDINATED, "aux_head": FUNCTION, "prep_head": PREPOSITION}
     head = F.element_at("heads", F.col("u"))
     host = F.when(head > 0, walk(F.greatest(head, F.lit(1)), F.col("heads"), F.col("rels"), FUNCTION)).otherwise(0)
-    return each.select(*UNIT, "u", *(walk(F.col("u"), F.col("heads"), F.col("rels"), over).alias(n) for n, over in ends.items()), host.alias("host"))
+    top = walk(F.col("u"), F.col("heads"), F.col("rels"), ("conj",), 16)
+    return each.select(*UNIT, "u", *(walk(F.col("u"), F.col("heads"), F.col("rels"), over).alias(n) for n, over in ends.items()), host.alias("host"), top.alias("top"))
 
 
 def reaches_root(edges: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import checks, oracle, oracle_checks
+from spanloom.plans import checks, oracle, oracle_checks, oracle_rules
 from spanloom.plans.queries import QUERIES
 
 __all__ = ["QUERIES", "SQL", "checks"]
 
-SQL: dict[str, str] = oracle.SQL | oracle_checks.SQL
+SQL: dict[str, str] = oracle.SQL | oracle_checks.SQL | oracle_rules.SQL

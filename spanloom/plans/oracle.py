@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from spanloom.functions.text import PREPOSITIONS
-from spanloom.operators.rules import CONDITIONS
 
 FORMS = "forms(form, name) AS (VALUES " + ", ".join("('" + f.replace("'", "''") + "', '" + n + "')" for n, fs in PREPOSITIONS.items() for f in fs.split()) + ")"
 
@@ -164,41 +163,14 @@ rooted AS (SELECT doc_id, unit, u FROM edges WHERE head = 0
     UNION ALL SELECT e.doc_id, e.unit, e.u FROM edges e JOIN rooted r ON e.doc_id = r.doc_id AND e.unit = r.unit AND e.head = r.u)"""
 
 
-def _walk(name: str, over: str) -> str:
+def climb(name: str, over: str, most: int = 8) -> str:
+    """Walks up along some relations: every place on the way with the number of steps."""
     return f""",
 {name} AS (SELECT doc_id, unit, u, u AS place, 0 AS steps FROM edges
     UNION ALL SELECT w.doc_id, w.unit, w.u, e.head, w.steps + 1 FROM {name} w JOIN edges e ON e.doc_id = w.doc_id AND e.unit = w.unit AND e.u = w.place
-    WHERE w.steps < 8 AND e.deprel IN ({over}) AND e.head > 0)"""
+    WHERE w.steps < {most} AND e.deprel IN ({over}) AND e.head > 0)"""
 
 
-CONTEXT = (
-    DIVERGENCE
-    + CASES
-    + _walk("a", "'aux', 'aux:pass', 'cop'")
-    + """,
-ends AS (SELECT doc_id, unit, u, arg_max(place, steps) AS aux_head FROM a GROUP BY ALL),
-bundles AS (SELECT doc_id, unit, head AS u, '|' || coalesce(string_agg(lemma, '|' ORDER BY lemma) FILTER (deprel = 'case'), '') || '|' AS cases,
-    '|' || coalesce(string_agg(lemma, '|' ORDER BY lemma) FILTER (deprel = 'mark'), '') || '|' AS marks,
-    count(*) FILTER (deprel = 'case') AS n_case, count(*) FILTER (deprel = 'cop') AS n_cop, count(*) FILTER (deprel IN ('obl', 'ccomp', 'xcomp', 'advcl')) AS n_complement, count(*) FILTER (deprel = 'orphan') AS n_orphan
-    FROM edges WHERE head > 0 GROUP BY ALL),
-wide AS (SELECT e.doc_id, e.unit, e.u, e.pos, e.lemma, e.deprel, e.head, CASE WHEN e.head = 0 THEN 0 ELSE h.aux_head END AS host, x.aux_head,
-    coalesce(b.cases, '||') AS cases, coalesce(b.marks, '||') AS marks, coalesce(b.n_case, 0) AS n_case, coalesce(b.n_cop, 0) AS n_cop, coalesce(b.n_complement, 0) AS n_complement, coalesce(b.n_orphan, 0) AS n_orphan,
-    '|' || coalesce(replace(CANON, '+', '|'), '') || '|' AS slots, (e.doc_id, e.unit, e.u) IN (SELECT doc_id, unit, u FROM preds) AS is_pred
-    FROM edges e JOIN ends x USING (doc_id, unit, u) LEFT JOIN ends h ON e.doc_id = h.doc_id AND e.unit = h.unit AND e.head = h.u
-    LEFT JOIN bundles b ON e.doc_id = b.doc_id AND e.unit = b.unit AND e.u = b.u LEFT JOIN cases c ON e.doc_id = c.doc_id AND e.unit = c.unit AND e.u = c.u),
-sides AS (SELECT doc_id, unit, pred, bool_and(role = '') AS derived_empty, count(*) FILTER (role = 'subj') AS n_subj FROM derived GROUP BY ALL),
-named AS (SELECT DISTINCT doc_id, unit, pred FROM given),
-context AS (SELECT d.*, coalesce(a.deprel, '') AS a_deprel, coalesce(a.pos, '') AS a_pos, coalesce(a.lemma, '') AS a_lemma, coalesce(a.cases, '||') AS a_cases, coalesce(a.marks, '||') AS a_marks,
-    coalesce(a.n_case, 0) AS a_n_case, coalesce(a.slots, '||') AS a_slots, coalesce(a.n_orphan, 0) AS a_n_orphan, coalesce(a.head = d.pred OR a.host = d.pred, false) AS hosted,
-    p.deprel AS p_deprel, p.pos AS p_pos, p.lemma AS p_lemma, p.n_cop AS p_n_cop, p.n_complement AS p_n_complement, p.aux_head <> d.pred AND coalesce(q.is_pred, false) AS p_aux_pred,
-    coalesce(s.derived_empty, false) AS derived_empty, coalesce(s.n_subj, 0) AS n_subj, n.pred IS NOT NULL AS arg_given
-    FROM divergence d LEFT JOIN wide a ON d.doc_id = a.doc_id AND d.unit = a.unit AND d.arg = a.u JOIN wide p ON d.doc_id = p.doc_id AND d.unit = p.unit AND d.pred = p.u
-    LEFT JOIN wide q ON d.doc_id = q.doc_id AND d.unit = q.unit AND p.aux_head = q.u LEFT JOIN sides s ON d.doc_id = s.doc_id AND d.unit = s.unit AND d.pred = s.pred
-    LEFT JOIN named n ON d.doc_id = n.doc_id AND d.unit = n.unit AND d.arg = n.pred)""".replace("CANON", CANON)
-)
-
-HITS = "[" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in CONDITIONS.items()) + "]"
-
 SQL: dict[str, str] = {
     "pro_drop_features": f"""WITH {EDGES}, aux AS (SELECT doc_id, unit, head AS u, arg_min(person, u) AS ap, arg_min(number, u) AS an FROM edges
             WHERE deprel IN ('aux', 'aux:pass', 'cop') AND head > 0 AND person <> '' GROUP BY ALL)
@@ -228,12 +200,6 @@ SQL: dict[str, str] = {
     "violation_totals": f"""WITH {DIVERGENCE} SELECT kind, count(*) AS n, count(*) FILTER (arg = 0) AS n_empty FROM divergence GROUP BY kind
         UNION ALL SELECT 'TOTAL', count(*), count(*) FILTER (arg = 0) FROM divergence""",
     "call_round_trip": "SELECT conv_id, turn, role AS name, true AS same FROM conversations",
-    "rule_census": f"""WITH RECURSIVE {CONTEXT}, hits AS (SELECT list_filter({HITS}, lambda x: x IS NOT NULL) AS rs FROM context),
-        counts AS (SELECT unnest(rs) AS rule_id, len(rs) = 1 AS sole FROM hits)
-        SELECT rule_id, count(counts.rule_id) AS hits, count(*) FILTER (sole) AS sole FROM (SELECT unnest({list(CONDITIONS)}) AS rule_id) LEFT JOIN counts USING (rule_id) GROUP BY rule_id""",
-    "residual_violations": f"""WITH RECURSIVE {CONTEXT} SELECT doc_id, unit, pred, arg, kind, role, given_role FROM context WHERE len(list_filter({HITS}, lambda x: x IS NOT NULL)) = 0""",
-    "rule_ablation": f"""WITH RECURSIVE {CONTEXT}, hits AS (SELECT kind, list_filter({HITS}, lambda x: x IS NOT NULL) AS rs FROM context),
-        off AS (SELECT unnest({['', *CONDITIONS]}) AS disabled) SELECT disabled, kind, count(*) AS n FROM hits, off WHERE len(list_filter(rs, lambda x: x <> disabled)) = 0 GROUP BY ALL""",
     "lines_scan": f"WITH {LINES} SELECT doc_id, line, text FROM lines",
     "tokens_alpha": f"WITH {MORPH} SELECT doc_id, line, token, word FROM numbered",
     "tokens_full_elision": f"""WITH {LINES} SELECT doc_id, token, count(*) AS n FROM
@@ -300,7 +266,7 @@ SQL: dict[str, str] = {
         UNION ALL SELECT doc_id, 'self_head' FROM edges WHERE head = u
         UNION ALL SELECT e.doc_id, 'cycle' FROM edges e LEFT JOIN rooted r ON e.doc_id = r.doc_id AND e.unit = r.unit AND e.u = r.u WHERE r.u IS NULL
         UNION ALL SELECT doc_id, 'double_obj' FROM ({CHILDREN}) WHERE n_obj > 1) SELECT doc_id, kind, count(*) AS n FROM found GROUP BY ALL""",
-    "bounded_walks": f"""WITH RECURSIVE {EDGES}{_walk("c", "'conj', 'appos', 'flat', 'compound'")}{_walk("a", "'aux', 'aux:pass', 'cop'")}{_walk("p", "'fixed', 'case'")}
+    "bounded_walks": f"""WITH RECURSIVE {EDGES}{climb("c", "'conj', 'appos', 'flat', 'compound'")}{climb("a", "'aux', 'aux:pass', 'cop'")}{climb("p", "'fixed', 'case'")}
         SELECT doc_id, unit, u, coord_head, aux_head, prep_head FROM (SELECT doc_id, unit, u, arg_max(place, steps) AS coord_head FROM c GROUP BY ALL)
         JOIN (SELECT doc_id, unit, u, arg_max(place, steps) AS aux_head FROM a GROUP BY ALL) USING (doc_id, unit, u)
         JOIN (SELECT doc_id, unit, u, arg_max(place, steps) AS prep_head FROM p GROUP BY ALL) USING (doc_id, unit, u)""",

@@ -305,7 +305,7 @@ def dep_violations(spark, sf):
 
 @query
 def bounded_walks(spark, sf):
-    return eg.walks(layers.edges(spark, sf)).drop("host")
+    return eg.walks(layers.edges(spark, sf)).drop("host", "top")
 
 
 @query
