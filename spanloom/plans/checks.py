@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as fn
 from spanloom.operators import edges as eg
 from spanloom.operators import frames as fr
-from spanloom.operators import score
+from spanloom.operators import score, search
 from spanloom.operators import spans as sp
 from spanloom.operators import validate as va
 from spanloom.plans import layers
 from spanloom.plans.queries import UNIT, docs, query
 from spanloom.sources import text as src
-from spanloom.sources.staging import staged
+from spanloom.sources.staging import shared_folder, staged
 
 # cells, notes, calls
 
@@ -138,6 +140,47 @@ def first_uses(spark, sf):
     return t.groupBy(F.lower("word").alias("word")).agg(F.min(F.struct("doc_id", "line", "token")).alias("p"), F.count("*").alias("n")).select("word", "p.*", "n")
 
 
+@query
+def search_corpus(spark, sf):
+    """Pronouns with a dative slot as objects, outside one document."""
+    t = layers.wide(spark, sf)
+    context = t.join(canonical_cases(spark, sf, t).select(*UNIT, "u", "case"), [*UNIT, "u"], "left")
+    found = search.search(context, {"pos": "Pronoun", "deprel": "obj", "case": "dative"}, 50, without=3)
+    return found.select("doc_id", "line", "token", "word", "case")
+
+
+# layers as files
+
+
+def _shelved(rows):
+    return rows.withColumn("shelf", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+
+
+@query
+def span_layer_files(spark, sf):
+    """Spans written as tab-separated files, with a mark for lines without any, and read back."""
+    t = layers.wide(spark, sf)
+    rows = src.with_sentinels(layers.spans(spark, sf, t), src.lines(docs(spark, sf)), "start")
+    path = f"{shared_folder(spark)}/spans-{uuid.uuid4().hex}"
+    src.write_layer(_shelved(rows.select("doc_id", "line", "start", "end", "head")), path, ["doc_id", "line", "start", F.desc("end")], ["shelf"])
+    back, done = src.without_sentinels(src.read_layer(spark, f"{path}/shelf=*/*.csv", ["doc_id", "line", "start", "end", "head"]), "start")
+    sizes = back.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end").cast("long") - F.col("start").cast("long")).alias("width"))
+    lines = done.groupBy("doc_id").agg(F.count("*").alias("lines"))
+    out = lines.join(sizes, "doc_id", "left").na.fill(0)
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "lines", "n", "width")
+
+
+@query
+def morph_layer_files(spark, sf):
+    """Feature rows written without token numbers; these follow from the order in the files."""
+    t = layers.morph(spark, sf)
+    path = f"{shared_folder(spark)}/morph-{uuid.uuid4().hex}"
+    src.write_layer(_shelved(t.select("doc_id", "line", "word", "pos", "note", "token")).drop("pos"), path, ["doc_id", "line", "token"], ["shelf"])
+    back = src.read_layer(spark, f"{path}/shelf=*/*.csv", ["doc_id", "line", "word", "note", "written"])
+    numbered = src.numbered_tokens(back, ("doc_id", "line"))
+    return numbered.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"), F.count_if(F.col("token") == F.col("written").cast("int")).alias("same"), F.count_if(F.col("note") == "").alias("bare"))
+
+
 # chains of edges
 
 

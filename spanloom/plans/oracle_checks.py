@@ -136,3 +136,11 @@ SQL |= {
     "exact_units": f"""WITH {FRAMES}, odd AS (SELECT doc_id, unit FROM (SELECT DISTINCT * FROM given) g FULL JOIN (SELECT DISTINCT *, 1 AS d FROM derived) d USING (doc_id, unit, pred, role, arg) WHERE d IS NULL OR g.doc_id IS NULL),
         units AS (SELECT doc_id, unit FROM given UNION SELECT doc_id, unit FROM derived) SELECT doc_id, count(*) AS units, count(*) FILTER ((doc_id, unit) NOT IN (SELECT * FROM odd)) AS exact FROM units GROUP BY doc_id""",
 }
+
+SQL |= {
+    "search_corpus": f"""WITH {EDGES}{CASES} SELECT e.doc_id, e.line, e.token, e.word, {CANON.replace('"case"', 'c."case"')} AS "case" FROM edges e JOIN cases c USING (doc_id, unit, u)
+        WHERE e.doc_id <> 3 AND e.deprel = 'obj' AND c."case" = '*dat*' ORDER BY e.doc_id, e.line, e.token LIMIT 50""",
+    "span_layer_files": f"""WITH {MORPH}{SPANS}, sizes AS (SELECT doc_id, count(*) AS n, sum("end" - start)::BIGINT AS width FROM spans GROUP BY doc_id)
+        SELECT doc_id, count(*) AS lines, coalesce(any_value(n), 0) AS n, coalesce(any_value(width), 0) AS width FROM lines LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    "morph_layer_files": f"WITH {MORPH} SELECT doc_id, count(*) AS n, count(*) AS same, count(*) FILTER (note = '') AS bare FROM morph GROUP BY doc_id",
+}

@@ -95,11 +95,53 @@ def read_layer(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return rows.select("path", "row", *(F.coalesce(F.get(cells, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)))
 
 
+def numbered_tokens(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Feature rows of a layer with their token number: the place in file order among the rows of a line."""
+    from pyspark.sql import Window
+
+    return rows.withColumn("token", F.row_number().over(Window.partitionBy(*keys).orderBy("row")))
+
+
 def write_layer(rows: DataFrame, path: str, order: list[str | Column], keys: list[str]) -> None:
     """A tab-separated layer with a header, one folder per key, rows in order."""
     rows.repartition(*keys).sortWithinPartitions(*keys, *order).write.partitionBy(*keys).option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").mode("overwrite").csv(path)
 
 
+def with_sentinels(rows: DataFrame, lines_: DataFrame, mark: str, keys: tuple[str, ...] = ("doc_id", "line")) -> DataFrame:
+    """``rows`` and, for every line that has none, one row with 0 in ``mark`` and nothing else: the line
+    was processed and holds nothing."""
+    empty = lines_.select(*keys).distinct().join(rows.select(*keys).distinct(), list(keys), "left_anti")
+    blank = [F.col(f.name) if f.name in keys else F.lit("" if f.dataType.simpleString() == "string" else 0).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    return rows.unionByName(empty.select(*blank)) if mark in rows.columns else rows
+
+
+def without_sentinels(rows: DataFrame, mark: str, keys: tuple[str, ...] = ("doc_id", "line")) -> tuple[DataFrame, DataFrame]:
+    """The rows of a layer, and all lines that were processed, also those that hold nothing."""
+    return rows.filter(F.col(mark).cast("int") != 0), rows.select(*keys).distinct()
+
+
+def parsed_reference(spec: str) -> tuple[str, int, int | None, int | None]:
+    """``group n``, ``group n:a`` or ``group n:a-b`` as (group, document, first line, last line)."""
+    import re
+
+    found = re.fullmatch(r"\s*(\w+)\s+(\d+)(?::(\d+)(?:-(\d+))?)?\s*", spec)
+    if not found:
+        raise ValueError(f"not a reference: {spec!r}")
+    group, number, first, last = found.groups()
+    first = int(first) if first else None
+    last = int(last) if last else first
+    if first is not None and not 1 <= first <= last:
+        raise ValueError(f"no range of lines: {spec!r}")
+    return group, int(number), first, last
+
+
+def referred(scanned: DataFrame, spec: str) -> DataFrame:
+    """The lines ``(group, doc_no, line, text)`` that a reference names."""
+    group, number, first, last = parsed_reference(spec)
+    rows = scanned.filter((F.col("group") == group) & (F.col("doc_no") == number))
+    return rows if first is None else line_range(rows, first, last, ("group", "doc_no"))
+
+
 def sections(scanned: DataFrame, is_header: Column, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Lines under headers: the header line before each line and the place below it; lines before the
     first header go. One window per document."""
@@ -112,7 +154,7 @@ def sections(scanned: DataFrame, is_header: Column, keys: tuple[str, ...] = ("do
     return marked.select(*keys, "line", "text", F.col("header.at").alias("header_line"), F.col("header.title").alias("title")).withColumn("place", place)
 
 
-def read_votes(spark: SparkSession, path: str) -> DataFrame:
+def read_votes(spark: SparkSession, path: str, runs: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Answers as JSON lines: one row per id, one column per run."""
     rows = spark.read.schema("id string, run int, answer string").json(path).filter("id is not null")
-    return rows.groupBy("id").pivot("run").agg(F.first("answer"))
+    return rows.groupBy("id").pivot("run", list(runs)).agg(F.first("answer"))

@@ -126,3 +126,22 @@ def test_ranges_of_lines(spark):
     for bad in ((0, 2), (3, 2)):
         with pytest.raises(ValueError):
             src.line_range(rows, *bad)
+
+
+def test_references(spark):
+    assert src.parsed_reference("one 3") == ("one", 3, None, None) and src.parsed_reference(" one 3:2-4") == ("one", 3, 2, 4) and src.parsed_reference("one 3:2") == ("one", 3, 2, 2)
+    for bad in ("one", "3:1", "one 3:4-2", "one 3:0", "one 3:1-"):
+        with pytest.raises(ValueError):
+            src.parsed_reference(bad)
+    rows = spark.createDataFrame([("one", 3, i, "x") for i in range(1, 6)] + [("two", 3, 1, "y")], "group string, doc_no int, line int, text string")
+    assert [r.line for r in src.referred(rows, "one 3:2-3").orderBy("line").collect()] == [2, 3] and src.referred(rows, "one 3").count() == 5
+
+
+def test_search_refuses(spark):
+    from spanloom.operators.search import search
+
+    df = spark.createDataFrame([(1, 1, 1, "w")], "doc_id long, line int, token int, word string")
+    assert search(df, {"word": "w,"}, 5).count() == 1 and search(df, {"word": "w"}, 5, without=1).count() == 0
+    for query, limit in (({"colour": "x"}, 5), ({}, 5), ({"word": "w"}, 0)):
+        with pytest.raises(ValueError):
+            search(df, query, limit)
