@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import alpha_tokens
+
 #: Opening marks and their closing ones.
 MARKS = {"«": "»", "“": "”", "‘": "’"}
 
@@ -46,17 +48,76 @@ def overlapping(quotes: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("
 
 
 def ids(quotes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds ``quote_id``: the line, with a letter (after ``z``: a number) where several quotes open in it."""
+    """Adds ``quote_id``: the line, with a letter (after ``Z``: a number) where several quotes open in it."""
     by = Window.partitionBy(*keys, "line")
     k = F.row_number().over(by.orderBy("col"))
-    letter = F.when(k <= 26, F.chr(F.lit(96) + k)).otherwise(F.concat(F.lit("."), k.cast("string")))
+    letter = F.when(k <= 26, F.chr(F.lit(64) + k)).otherwise(k.cast("string"))
     return quotes.withColumn("quote_id", F.concat(F.col("line").cast("string"), F.when(F.count("*").over(by) > 1, letter).otherwise("")))
 
 
-def as_xml(quotes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(keys, xml)``: well-formed quotes of a document as nested ``q`` elements in text order."""
-    good = quotes.filter("error = ''")
-    head = F.concat(F.lit('<q line="'), F.concat_ws("-", "line", F.when(F.col("end_line") != F.col("line"), F.col("end_line"))), F.lit('" col="'), F.concat_ws("-", "col", "end_col"), F.lit('">'))
-    tags = good.select(*keys, F.inline(F.array(F.struct(F.col("line").alias("l"), F.col("col").alias("c"), head.alias("tag")), F.struct(F.col("end_line").alias("l"), F.col("end_col").alias("c"), F.lit("</q>").alias("tag")))))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l", "c", "tag"))), lambda x: x["tag"]), "")
+def heads(quotes: DataFrame, docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Adds ``head``: where several quotes open in a line, as many of their first words as tell them apart
+    (``?`` without any word); else empty. One grouping by line."""
+    lines = docs.select(*keys, F.posexplode(F.split(text, "\n")).alias("at", "line_text")).select(*keys, (F.col("at") + 1).alias("line"), "line_text")
+    several = quotes.withColumn("n", F.count("*").over(Window.partitionBy(*keys, "line"))).filter("n > 1").select(*keys, "line", "col")
+    words = alpha_tokens(F.substring("line_text", F.col("col") + 2, F.length("line_text")))
+    groups = several.join(lines, [*keys, "line"]).groupBy(*keys, "line").agg(F.collect_list(F.struct("col", words.alias("words"))).alias("group"))
+    shown = lambda x, w: F.array_join(F.slice(x["words"], 1, w), " ")
+    widest = F.greatest(F.array_max(F.transform("group", lambda x: F.size(x["words"]))), F.lit(1))
+    apart = F.filter(F.sequence(F.lit(1), widest), lambda w: F.size(F.array_distinct(F.transform("group", lambda x: shown(x, w)))) == F.size("group"))
+    width = F.coalesce(F.get(apart, F.lit(0)), widest + 1)
+    each = groups.withColumn("width", width).select(*keys, "line", "width", F.inline("group"))
+    named = each.select(*keys, "line", "col", F.when(F.size("words") == 0, "?").otherwise(F.array_join(F.slice("words", F.lit(1), F.col("width")), " ")).alias("head"))
+    return quotes.join(named, [*keys, "line", "col"], "left").withColumn("head", F.coalesce("head", F.lit("")))
+
+
+def escaped(text: Column) -> Column:
+    for sign, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot")):
+        text = F.replace(text, F.lit(sign), F.lit(f"&{name};"))
+    return text
+
+
+def as_xml(named: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(keys, xml)`` from quotes with ids and heads: the well-formed quotes of a document as nested ``q``
+    elements, one tag a line and indented; quotes without quotes in them close themselves."""
+    good = named.filter("error = ''")
+    follows = F.lead(F.struct("line", "col")).over(Window.partitionBy(*keys).orderBy("line", "col"))
+    leaf = F.coalesce(follows > F.struct(F.col("end_line"), F.col("end_col")), F.lit(True))
+    pairs = F.create_map(*(F.lit(x) for pair in MARKS.items() for x in pair))
+    indent = F.repeat(F.lit("  "), F.col("depth"))
+    attributes = {
+        "id": F.col("quote_id"),
+        "line": F.concat_ws("-", "line", F.when(F.col("end_line") != F.col("line"), F.col("end_line"))),
+        "col": F.concat_ws("-", "col", "end_col"),
+        "marker": F.concat("mark", F.element_at(pairs, F.col("mark"))),
+        "head": F.when(F.col("head") != "", F.col("head")),
+    }
+    shown = F.concat(*(F.when(v.isNotNull(), F.concat(F.lit(f' {k}="'), escaped(v), F.lit('"'))).otherwise("") for k, v in attributes.items()))
+    placed = good.withColumn("leaf", leaf)
+    begin = F.struct(F.col("line").alias("l"), F.col("col").alias("c"), F.concat(indent, F.lit("<q"), shown, F.when(F.col("leaf"), "/>").otherwise(">")).alias("tag"))
+    end = F.struct(F.col("end_line").alias("l"), F.col("end_col").alias("c"), F.when(~F.col("leaf"), F.concat(indent, F.lit("</q>"))).alias("tag"))
+    tags = placed.select(*keys, F.inline(F.array(begin, end))).filter("tag is not null")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l", "c", "tag"))), lambda x: x["tag"]), "\n")
     return tags.groupBy(*keys).agg(joined.alias("xml"))
+
+
+def from_xml(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Quotes of nested ``q`` elements: ``(keys, quote_id, line, end_line, col, end_col, marker, head, depth)``."""
+    tags = rows.select(*keys, F.posexplode(F.regexp_extract_all("xml", F.lit("</?q\\b[^>]*>"), F.lit(0))).alias("at", "tag"))
+    begins, stays = ~F.col("tag").startswith("</"), F.col("tag").endswith("/>")
+    upto = Window.partitionBy(*keys).orderBy("at")
+    level = F.sum(F.when(~begins, -1).when(stays, 0).otherwise(1)).over(upto)
+    opened = tags.withColumn("depth", (level + F.when(stays, 1).otherwise(0)).cast("int")).filter(begins)
+
+    def cell(name: str) -> Column:
+        value = F.regexp_extract("tag", rf' {name}="([^"]*)"', 1)
+        for sign, short in (('"', "quot"), (">", "gt"), ("<", "lt"), ("&", "amp")):
+            value = F.replace(value, F.lit(f"&{short};"), F.lit(sign))
+        return value
+
+    def ends(name: str) -> tuple[Column, Column]:
+        value = cell(name)
+        return F.substring_index(value, "-", 1).cast("int"), F.substring_index(value, "-", -1).cast("int")
+
+    (line, end_line), (col, end_col) = ends("line"), ends("col")
+    return opened.select(*keys, cell("id").alias("quote_id"), line.alias("line"), end_line.alias("end_line"), col.alias("col"), end_col.alias("end_col"), cell("marker").alias("marker"), cell("head").alias("head"), "depth")

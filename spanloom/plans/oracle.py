@@ -183,8 +183,6 @@ SQL: dict[str, str] = {
     "membership": f"""WITH {FRAMES}{SPANS} SELECT g.doc_id, count(*) AS n FROM given g JOIN edges e ON g.doc_id = e.doc_id AND g.unit = e.unit AND g.arg = e.u WHERE g.arg > 0 AND e.pos NOT LIKE '%pronoun%'
         AND e.deprel NOT IN ('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl') AND (e.doc_id, e.unit, e.u) NOT IN (SELECT doc_id, unit, u FROM preds)
         AND (e.doc_id, e.line, e.token) NOT IN (SELECT doc_id, line, head FROM spans) GROUP BY ALL""",
-    "quote_xml": f"""WITH {QUOTES}, tags AS (SELECT doc_id, line AS l, col AS c, '<q line="' || line || CASE WHEN end_line <> line THEN '-' || end_line ELSE '' END || '" col="' || col || '-' || end_col || '">' AS tag
-        FROM forest WHERE error = '' UNION ALL SELECT doc_id, end_line, end_col, '</q>' FROM forest WHERE error = '') SELECT doc_id, string_agg(tag, '' ORDER BY l, c) AS xml FROM tags GROUP BY doc_id""",
     "section_lines": f"""WITH {LINES}, marked AS (SELECT *, length(text) < 40 AS is_header, max(CASE WHEN length(text) < 40 THEN line END) OVER (PARTITION BY doc_id ORDER BY line) AS header_line FROM lines)
         SELECT m.doc_id, m.line, m.header_line, h.text AS title, row_number() OVER (PARTITION BY m.doc_id, m.header_line ORDER BY m.line) AS place
         FROM marked m JOIN lines h ON m.doc_id = h.doc_id AND m.header_line = h.line WHERE NOT m.is_header""",
@@ -240,7 +238,7 @@ SQL: dict[str, str] = {
             OR surface = word || '''' OR surface = '''' || word THEN 'same' ELSE 'other' END AS verdict, count(*) AS n FROM surfaces JOIN numbered USING (doc_id, line, token) GROUP BY ALL""",
     "quote_forest": f"WITH {QUOTES} SELECT * FROM forest",
     "quote_ids": f"""WITH {QUOTES}, counted AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY col) AS k, count(*) OVER (PARTITION BY doc_id, line) AS n FROM forest)
-        SELECT doc_id, quote, line || CASE WHEN n = 1 THEN '' WHEN k <= 26 THEN substr('abcdefghijklmnopqrstuvwxyz', k, 1) ELSE '.' || k END AS quote_id FROM counted""",
+        SELECT doc_id, quote, line || CASE WHEN n = 1 THEN '' WHEN k <= 26 THEN chr((64 + k)::INTEGER) ELSE k::VARCHAR END AS quote_id FROM counted""",
     "quote_overlap": f"WITH {QUOTES} SELECT doc_id, quote, line, end_line FROM forest WHERE error = '' AND line <= 3 AND end_line >= 2",
     "pos_census": f"""WITH {MORPH} SELECT pos, count(*) AS n, sum(CASE WHEN pos = 'pronoun + pronoun' THEN 2 WHEN pos LIKE '%pronoun' THEN 1 ELSE 0 END)::BIGINT AS slots, count(*) FILTER (pos LIKE 'verb%') AS verbs,
         count(*) FILTER (pos LIKE '%noun%' AND NOT contains(note, 'NO_NP') AND NOT contains(note, 'CONT_NEXT')) AS content FROM morph GROUP BY pos""",

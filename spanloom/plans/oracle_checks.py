@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.plans.oracle import AGREEMENT, CANON, CASES, DIVERGENCE, EDGES, FORMS, FRAMES, GROUPED, LINES, MORPH, PRF, SPANS
+from spanloom.plans.oracle import AGREEMENT, CANON, CASES, DIVERGENCE, EDGES, FORMS, FRAMES, GROUPED, LINES, MORPH, PRF, QUOTES, SPANS
 
 CLAUSES = "('root', 'ccomp', 'xcomp', 'acl:relcl', 'advcl', 'parataxis')"
 
@@ -144,3 +144,24 @@ SQL |= {
         SELECT doc_id, count(*) AS lines, coalesce(any_value(n), 0) AS n, coalesce(any_value(width), 0) AS width FROM lines LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
     "morph_layer_files": f"WITH {MORPH} SELECT doc_id, count(*) AS n, count(*) AS same, count(*) FILTER (note = '') AS bare FROM morph GROUP BY doc_id",
 }
+
+NAMED_QUOTES = (
+    QUOTES
+    + """, counted AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY col) AS k, count(*) OVER (PARTITION BY doc_id, line) AS n FROM forest),
+    worded AS (SELECT c.*, regexp_extract_all(substr(r.text, c.col + 2), '''?\\p{L}+''?') AS ws FROM counted c JOIN raw_lines r ON c.doc_id = r.doc_id AND c.line = r.line),
+    widths AS (SELECT doc_id, line, w FROM (SELECT doc_id, line, unnest(range(1, greatest(max(len(ws)) OVER (PARTITION BY doc_id, line), 1) + 1)) AS w, n, ws FROM worded WHERE n > 1)
+        GROUP BY doc_id, line, w HAVING count(DISTINCT array_to_string(ws[1:w], ' ')) = any_value(n)),
+    least AS (SELECT doc_id, line, min(w) AS w FROM widths GROUP BY ALL),
+    named AS (SELECT q.*, q.line || CASE WHEN n = 1 THEN '' WHEN k <= 26 THEN chr((64 + k)::INTEGER) ELSE k::VARCHAR END AS quote_id,
+        CASE WHEN n = 1 THEN '' WHEN len(ws) = 0 THEN '?' ELSE array_to_string(ws[1:coalesce(l.w, 1000000)], ' ') END AS head FROM worded q LEFT JOIN least l ON q.doc_id = l.doc_id AND q.line = l.line)"""
+)
+MARKER = "mark || CASE mark WHEN '«' THEN '»' WHEN '“' THEN '”' ELSE '’' END"
+
+SQL |= {
+    "quote_heads": f"WITH {NAMED_QUOTES} SELECT doc_id, quote, quote_id, head FROM named",
+    "quote_xml_scan": f"WITH {NAMED_QUOTES} SELECT doc_id, quote_id, line, end_line, col, end_col, {MARKER} AS marker, head, (SELECT count(*) FROM named o WHERE o.error = '' AND o.doc_id = i.doc_id AND (o.line, o.col) <= (i.line, i.col) AND (o.end_line, o.end_col) >= (i.end_line, i.end_col)) AS depth FROM named i WHERE error = ''",
+    "quote_xml": f"""WITH {NAMED_QUOTES}, good AS (SELECT *, coalesce((lead(line) OVER w, lead(col) OVER w) > (end_line, end_col), true) OR lead(line) OVER w IS NULL AS leaf FROM named WHERE error = '' WINDOW w AS (PARTITION BY doc_id ORDER BY line, col)),
+        tags AS (SELECT doc_id, line AS l, col AS c, repeat('  ', depth) || '<q id="' || quote_id || '" line="' || line || CASE WHEN end_line <> line THEN '-' || end_line ELSE '' END || '" col="' || col || '-' || end_col || '" marker="' || {MARKER} || '"'
+            || CASE WHEN head = '' THEN '' ELSE ' head="' || head || '"' END || CASE WHEN leaf THEN '/>' ELSE '>' END AS tag FROM good UNION ALL SELECT doc_id, end_line, end_col, repeat('  ', depth) || '</q>' FROM good WHERE NOT leaf)
+        SELECT doc_id, string_agg(tag, chr(10) ORDER BY l, c) AS xml FROM tags GROUP BY doc_id""",
+}

@@ -182,7 +182,24 @@ def quote_overlap(spark, sf):
 
 @query
 def quote_xml(spark, sf):
-    return qt.as_xml(qt.forest(qt.marks(quoted(spark, sf))))
+    return qt.as_xml(named_quotes(spark, sf))
+
+
+@query
+def quote_heads(spark, sf):
+    """Quotes with ids, and first words where several open in one line."""
+    return named_quotes(spark, sf).select("doc_id", "quote", "quote_id", "head")
+
+
+@query
+def quote_xml_scan(spark, sf):
+    """Quotes written as nested elements and read back."""
+    return qt.from_xml(qt.as_xml(named_quotes(spark, sf)))
+
+
+def named_quotes(spark, sf):
+    texts = quoted(spark, sf)
+    return qt.heads(qt.ids(qt.forest(qt.marks(texts))), texts)
 
 
 @query

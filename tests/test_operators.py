@@ -70,7 +70,7 @@ def test_quotes(spark):
     assert [x for x in got if x[0] == 1] == [(1, 1, 1, 2, 2, 4, 1, ""), (1, 2, 1, 5, 2, 1, 2, ""), (1, 3, 2, 8, None, None, 1, "unclosed")]
     assert [x[-1] for x in got if x[0] == 2] == ["mismatch"]
     ids = values(quotes.ids(quotes.forest(quotes.marks(df))).filter("doc_id = 1"), "quote", "quote_id")
-    assert ids == [(1, "1a"), (2, "1b"), (3, "2")]
+    assert ids == [(1, "1A"), (2, "1B"), (3, "2")]
 
 
 def test_nesting_of_crossing_spans(spark):
