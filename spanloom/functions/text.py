@@ -40,6 +40,12 @@ PREPOSITIONS = {
     "appresso": "apo",
 }
 PREPOSITION_OF = {form: name for name, forms in PREPOSITIONS.items() for form in forms.split()}
+#: Short forms of cells by column.
+SHORT = {
+    "number": {"singular": "sg.", "plural": "pl."},
+    "gender": {"masculine": "m.", "feminine": "f.", "neuter": "n."},
+    "person": {"first": "1", "1st": "1", "second": "2", "2nd": "2", "third": "3", "3rd": "3"},
+}
 #: Column names of tables by layer, and what their headers may say.
 HEADERS = {
     "morph": {"word": "word", "lemma": "lemma", "part of speech": "pos", "pos": "pos", "gender": "gender", "number": "number", "person": "person", "tense": "tense", "mood": "mood", "note": "note"},
@@ -155,10 +161,13 @@ def column_of(header: Column, layer: str) -> Column:
 
 
 def fixed_cell(column: Column, cell: Column) -> Column:
-    """A body cell without blanks, placeholders, emphasis marks and, by column, without short forms."""
+    """A body cell without blanks, placeholders and emphasis marks; by column in its short form."""
     bare = F.trim(cell)
     starred = F.regexp_extract(bare, r"^(?:([^*]+)\*|\*\*([^*]+)\*\*)$", 0) != ""
-    return F.when(bare.isin("-", "n/a", "N/A"), "").when(starred, F.trim(F.replace(bare, F.lit("*")))).otherwise(bare)
+    short = F.lit(None).cast("string")
+    for name, pairs in SHORT.items():
+        short = F.when(column == name, looked_up(pairs, F.lower(bare))).otherwise(short)
+    return F.when(bare.isin("-", "n/a", "N/A"), "").when(short.isNotNull(), short).when(starred, F.trim(F.replace(bare, F.lit("*")))).otherwise(bare)
 
 
 def nominal(pos: Column) -> Column:
@@ -215,6 +224,27 @@ def native_call(item: Column) -> Column:
     return F.struct(F.when(error.isNull(), name).alias("name"), F.when(error.isNull(), arguments).alias("arguments"), F.coalesce(error, F.lit("")).alias("error"))
 
 
+def first_table(text: Column) -> Column:
+    """``array<array<string>>``: header, separator and body of the first pipe table of a text.
+
+    Short rows are filled up and blank cells beyond the header's go; null where there is no table of three
+    rows, a separator cell is none, or a row holds more than the header.
+    """
+    lines = F.split(text, "\n")
+    piped = lambda xs: F.transform(xs, lambda x: x.startswith("|"))
+    start = F.array_position(piped(lines), True)
+    tail = F.slice(lines, F.greatest(start, F.lit(1)).cast("int"), F.size(lines))
+    stop = F.array_position(piped(tail), False)
+    rows = F.when(start > 0, F.slice(tail, 1, F.when(stop > 0, stop - 1).otherwise(F.size(tail)).cast("int"))).otherwise(F.array().cast("array<string>"))
+    cells = F.transform(rows, lambda r: F.transform(F.slice(F.split(r, r"\|"), F.lit(2), F.greatest(F.size(F.split(r, r"\|")) - 2, F.lit(0))), lambda c: F.trim(c)))
+    width = F.size(F.get(cells, F.lit(0)))
+    fits = F.forall(cells, lambda c: F.forall(F.slice(c, width + 1, F.greatest(F.size(c), F.lit(1))), lambda x: x == ""))
+    even = F.transform(cells, lambda c: F.slice(F.concat(c, F.array_repeat(F.lit(""), width)), F.lit(1), width))
+    separator = F.get(even, F.lit(1))
+    good = (F.size(rows) >= 3) & fits & F.forall(separator, lambda c: c.contains("---"))
+    return F.when(good, F.transform(even, lambda c, i: F.when(i == 1, F.transform(c, lambda x: F.regexp_replace(x, "-+", "---"))).otherwise(c)))
+
+
 def field_notes(text: Column) -> Column:
     """``array<struct<line, token, note>>`` of the lines ``N3: …`` and ``N3.4: …`` of an answer."""
     pattern = r"(?m)^[ \t]*N(\d+)(?:[ \t]*\.[ \t]*(\d+))?[ \t]*[:.)][ \t]*(.+?)[ \t]*$"

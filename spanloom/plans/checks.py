@@ -53,6 +53,25 @@ def header_columns(spark, sf):
     return each.select("cell", "x.*").groupBy("cell", "layer", F.coalesce("column", F.lit("")).alias("column")).agg(F.count("*").alias("n"))
 
 
+@query
+def short_cells(spark, sf):
+    """Cells of feature columns in words of several cases, in their short form."""
+    words = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(v).alias("cell")) for c, v in (("number", "Plural"), ("gender", " feminine "), ("person", "3rd"), ("person", "plural"), ("note", "first"))))
+    each = docs(spark, sf).select("lang", F.inline(words))
+    return each.groupBy("lang", "column", "cell", fn.fixed_cell(F.col("column"), F.col("cell")).alias("fixed")).agg(F.count("*").alias("n"))
+
+
+@query
+def first_tables(spark, sf):
+    """Turns as answers with two pipe tables of which the first may be short of cells or broken."""
+    n = F.length("text")
+    bar = F.when(n % 4 == 0, "|---|").when(n % 4 == 1, "|--|---|").otherwise("|---|:-----:|")
+    one = F.when(n % 3 == 0, "| x |").when(n % 3 == 1, "| x | y | |").otherwise("| x | y | z |")
+    answer = F.concat_ws("\n", F.lit("so:"), F.lit("| A | B |"), bar, one, F.concat(F.lit("| "), n, F.lit(" | w |")), F.lit("end"), F.lit("| C |"), F.lit("|---|"), F.lit("| c |"))
+    rows = src.read_table(spark, sf, "conversations").select("conv_id", "turn", fn.first_table(answer).alias("t"))
+    return rows.select("conv_id", "turn", F.coalesce(F.array_join(F.transform("t", lambda r: F.array_join(r, ",")), ";"), F.lit("none")).alias("cells"))
+
+
 @query
 def marked_lines(spark, sf):
     """Lines with every token of even length between double stars."""

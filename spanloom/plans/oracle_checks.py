@@ -165,3 +165,10 @@ SQL |= {
             || CASE WHEN head = '' THEN '' ELSE ' head="' || head || '"' END || CASE WHEN leaf THEN '/>' ELSE '>' END AS tag FROM good UNION ALL SELECT doc_id, end_line, end_col, repeat('  ', depth) || '</q>' FROM good WHERE NOT leaf)
         SELECT doc_id, string_agg(tag, chr(10) ORDER BY l, c) AS xml FROM tags GROUP BY doc_id""",
 }
+
+SQL |= {
+    "short_cells": """WITH c("column", cell, fixed) AS (VALUES ('number', 'Plural', 'pl.'), ('gender', ' feminine ', 'f.'), ('person', '3rd', '3'), ('person', 'plural', 'plural'), ('note', 'first', 'first'))
+        SELECT lang, "column", cell, fixed, count(*) AS n FROM documents CROSS JOIN c GROUP BY ALL""",
+    "first_tables": """SELECT conv_id, turn, CASE WHEN n % 4 < 2 OR n % 3 = 2 THEN 'none' ELSE 'A,B;---,:---:;' || CASE n % 3 WHEN 0 THEN 'x,' ELSE 'x,y' END || ';' || n || ',w' END AS cells
+        FROM (SELECT conv_id, turn, length(text) AS n FROM conversations)""",
+}
