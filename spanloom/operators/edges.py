@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 UNIT = ("doc_id", "unit")
 #: Steps of a walk.
 WALK = 8
+ARGUMENTS = ("nsubj", "nsubj:pass", "csubj", "csubj:pass", "obj", "iobj", "attr", "xcomp", "ccomp", "obl", "obl:agent")
 COORDINATED, FUNCTION, PREPOSITION = ("conj", "appos", "flat", "compound"), ("aux", "aux:pass", "cop"), ("fixed", "case")
 
 
@@ -58,6 +59,38 @@ def walks(edges: DataFrame) -> DataFrame:
     return each.select(*UNIT, "u", *(walk(F.col("u"), F.col("heads"), F.col("rels"), over).alias(n) for n, over in ends.items()), host.alias("host"), top.alias("top"))
 
 
+def guarded_walks(edges: DataFrame) -> DataFrame:
+    """``(unit keys, u, coord_head, nominal)``: walks that stop where the tree says so.
+
+    The coordination walk ends where a conjunct that is no verb hangs on a verb that is no argument; the
+    preposition walk leaves a lone preposition, one without a fixed part, where it is. Both end before a
+    place that they have seen.
+    """
+    from spanloom.functions.text import is_verb
+
+    fixed = edges.filter("deprel = 'fixed' and head > 0").select(*UNIT, F.col("head").alias("u")).distinct().withColumn("stacked", F.lit(True))
+    known = edges.join(fixed, [*UNIT, "u"], "left")
+    fields = F.struct("u", "head", "deprel", is_verb(F.col("pos")).alias("verb"), F.coalesce("stacked", F.lit(False)).alias("stacked"))
+    packed = known.groupBy(*UNIT).agg(F.sort_array(F.collect_list(fields)).alias("rows"))
+    each = packed.select(*UNIT, "rows", F.explode(F.sequence(F.lit(1), F.size("rows"))).alias("u"))
+    row = lambda at: F.element_at("rows", at)
+
+    def walked(over: tuple[str, ...], stops) -> Column:
+        def step(a: Column, _: Column) -> Column:
+            here, head = row(a["at"]), row(a["at"])["head"]
+            on = a["live"] & here["deprel"].isin(*over) & (head > 0) & ~F.array_contains(a["seen"], head)
+            on = on & ~stops(here, row(F.greatest(head, F.lit(1))))
+            return F.struct(F.when(on, head).otherwise(a["at"]).alias("at"), on.alias("live"), F.when(on, F.concat(a["seen"], F.array(head))).otherwise(a["seen"]).alias("seen"))
+
+        start = F.struct(F.col("u").alias("at"), F.lit(True).alias("live"), F.array(F.col("u")).alias("seen"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step)["at"]
+
+    coord = walked(COORDINATED, lambda here, head: (here["deprel"] == "conj") & ~here["verb"] & head["verb"] & ~head["deprel"].isin(*ARGUMENTS))
+    moves = (row(F.col("u"))["deprel"] == "fixed") | ((row(F.col("u"))["deprel"] == "case") & row(F.col("u"))["stacked"])
+    nominal = F.when(moves, walked(PREPOSITION, lambda here, head: F.lit(False))).otherwise(F.col("u"))
+    return each.select(*UNIT, "u", coord.alias("coord_head"), nominal.alias("nominal"))
+
+
 def reaches_root(edges: DataFrame) -> DataFrame:
     """``(unit keys, u, rooted)``: whether following heads ends at a root.
 

@@ -110,6 +110,22 @@ def null_subject_repairs(violations: DataFrame) -> DataFrame:
     return found.filter("n = 1 and voids = 1").select(*UNIT, "pred", "arg")
 
 
+def repairs(violations: DataFrame, verdicts: DataFrame, stacks: DataFrame) -> DataFrame:
+    """Rewrites of given rows that the tree makes certain: ``(unit keys, pred, kind, arg, role)``.
+
+    null_subject: an empty subject becomes the one missing subject, if ``verdicts`` say that it agrees;
+    role_label: a bare oblique takes its preposition; prep_stack: an oblique takes the other preposition of
+    one stack (``stacks``: the forms below each token).
+    """
+    agreed = verdicts.filter("verdict = 'agree'").select(*UNIT, F.col("head").alias("pred"), F.col("subject").alias("arg"))
+    empty = null_subject_repairs(violations).join(agreed, [*UNIT, "pred", "arg"]).select(*UNIT, "pred", F.lit("null_subject").alias("kind"), "arg", F.lit("subj").alias("role"))
+    below = stacks.select(*UNIT, F.col("u").alias("arg"), F.split("lemmas", r"\+").alias("stack"))
+    labels = violations.filter("kind = 'role_mismatch' and role like 'obl:%'").join(below, [*UNIT, "arg"], "left")
+    named = lambda c: F.array_contains(F.coalesce("stack", F.array().cast("array<string>")), F.substring(F.col(c), F.lit(5), F.length(c)))
+    kind = F.when(F.col("given_role") == "obl", "role_label").when(F.col("given_role").startswith("obl:") & named("role") & named("given_role"), "prep_stack")
+    return empty.union(labels.select(*UNIT, "pred", kind.alias("kind"), "arg", "role").filter("kind is not null"))
+
+
 def supports(case: Column, role: Column) -> Column:
     """Whether a case can carry a role; a joined case and an unknown role support nothing."""
     return (

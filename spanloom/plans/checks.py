@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as fn
+from spanloom.operators import agreement as ag
 from spanloom.operators import edges as eg
 from spanloom.operators import frames as fr
 from spanloom.operators import score, search
@@ -224,6 +225,19 @@ def preposition_stacks(spark, sf):
     return eg.preposition_stacks(layers.wide(spark, sf))
 
 
+@query
+def guarded_walks(spark, sf):
+    return eg.guarded_walks(layers.wide(spark, sf)).filter("coord_head <> u or nominal <> u")
+
+
+@query
+def frame_repairs(spark, sf):
+    """Rewrites that the tree makes certain."""
+    t = layers.wide(spark, sf)
+    found = staged(fr.divergence(layers.frames_of(spark, sf, t)), "differences")
+    return fr.repairs(found, ag.agreement(t), eg.preposition_stacks(t))
+
+
 # validators
 
 

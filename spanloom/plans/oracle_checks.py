@@ -172,3 +172,23 @@ SQL |= {
     "first_tables": """SELECT conv_id, turn, CASE WHEN n % 4 < 2 OR n % 3 = 2 THEN 'none' ELSE 'A,B;---,:---:;' || CASE n % 3 WHEN 0 THEN 'x,' ELSE 'x,y' END || ';' || n || ',w' END AS cells
         FROM (SELECT conv_id, turn, length(text) AS n FROM conversations)""",
 }
+
+STACKS = SQL["preposition_stacks"].split("links AS", 1)[1].rsplit("SELECT doc_id, unit, u,", 1)[0]
+
+SQL |= {
+    "guarded_walks": f"""WITH RECURSIVE {EDGES}, v AS (SELECT *, pos LIKE 'verb%' AS verb FROM edges),
+        co AS (SELECT doc_id, unit, u, u AS place, [u] AS path FROM v UNION ALL SELECT w.doc_id, w.unit, w.u, h.u, list_append(w.path, h.u) FROM co w JOIN v e ON e.doc_id = w.doc_id AND e.unit = w.unit AND e.u = w.place
+            JOIN v h ON h.doc_id = e.doc_id AND h.unit = e.unit AND h.u = e.head WHERE len(w.path) < 9 AND e.deprel IN ('conj', 'appos', 'flat', 'compound') AND NOT list_contains(w.path, h.u)
+            AND NOT (e.deprel = 'conj' AND NOT e.verb AND h.verb AND h.deprel NOT IN ('nsubj', 'nsubj:pass', 'obj', 'iobj', 'attr', 'xcomp', 'ccomp', 'obl'))),
+        pr AS (SELECT doc_id, unit, u, u AS place, [u] AS path FROM v WHERE deprel = 'fixed' OR (deprel = 'case' AND (doc_id, unit, u) IN (SELECT doc_id, unit, head FROM edges WHERE deprel = 'fixed'))
+            UNION ALL SELECT w.doc_id, w.unit, w.u, e.head, list_append(w.path, e.head) FROM pr w JOIN v e ON e.doc_id = w.doc_id AND e.unit = w.unit AND e.u = w.place
+            WHERE len(w.path) < 9 AND e.deprel IN ('fixed', 'case') AND e.head > 0 AND NOT list_contains(w.path, e.head)),
+        c AS (SELECT doc_id, unit, u, arg_max(place, len(path)) AS coord_head FROM co GROUP BY ALL), p AS (SELECT doc_id, unit, u, arg_max(place, len(path)) AS nominal FROM pr GROUP BY ALL)
+        SELECT doc_id, unit, u, coord_head, coalesce(nominal, u) AS nominal FROM c LEFT JOIN p USING (doc_id, unit, u) WHERE coord_head <> u OR coalesce(nominal, u) <> u""",
+    "frame_repairs": f"""WITH RECURSIVE {DIVERGENCE}, verdicts AS (SELECT * FROM (WITH RECURSIVE {AGREEMENT} SELECT doc_id, unit, u, v FROM judged)), links AS{STACKS}, stacks AS (SELECT doc_id, unit, u AS arg, list(DISTINCT form) AS fs FROM below_case GROUP BY ALL),
+        empty AS (SELECT doc_id, unit, pred, min(arg) FILTER (kind = 'missing_arg' AND role = 'subj' AND arg > 0) AS arg FROM divergence GROUP BY ALL
+            HAVING count(*) FILTER (kind = 'missing_arg' AND role = 'subj' AND arg > 0) = 1 AND count(*) FILTER (kind = 'extra_arg' AND given_role = 'subj' AND arg = 0) = 1)
+        SELECT e.doc_id, e.unit, e.pred, 'null_subject' AS kind, e.arg, 'subj' AS role FROM empty e JOIN verdicts j ON e.doc_id = j.doc_id AND e.unit = j.unit AND e.arg = j.u JOIN edges s ON s.doc_id = j.doc_id AND s.unit = j.unit AND s.u = j.u AND s.head = e.pred WHERE j.v[1] = 'agree'
+        UNION ALL SELECT doc_id, unit, pred, CASE WHEN given_role = 'obl' THEN 'role_label' ELSE 'prep_stack' END, arg, role FROM divergence LEFT JOIN stacks USING (doc_id, unit, arg) WHERE kind = 'role_mismatch' AND role LIKE 'obl:%'
+            AND (given_role = 'obl' OR (given_role LIKE 'obl:%' AND list_contains(fs, role[5:]) AND list_contains(fs, given_role[5:])))""".replace("below AS (SELECT doc_id, unit, head AS u, u AS kid", "below_case AS (SELECT doc_id, unit, head AS u, u AS kid").replace("FROM below b JOIN links l", "FROM below_case b JOIN links l"),
+}
