@@ -62,10 +62,12 @@ def heads(quotes: DataFrame, docs: DataFrame, text: str = "text", keys: tuple[st
     several = quotes.withColumn("n", F.count("*").over(Window.partitionBy(*keys, "line"))).filter("n > 1").select(*keys, "line", "col")
     words = alpha_tokens(F.substring("line_text", F.col("col") + 2, F.length("line_text")))
     groups = several.join(lines, [*keys, "line"]).groupBy(*keys, "line").agg(F.collect_list(F.struct("col", words.alias("words"))).alias("group"))
-    shown = lambda x, w: F.array_join(F.slice(x["words"], 1, w), " ")
-    widest = F.greatest(F.array_max(F.transform("group", lambda x: F.size(x["words"]))), F.lit(1))
-    apart = F.filter(F.sequence(F.lit(1), widest), lambda w: F.size(F.array_distinct(F.transform("group", lambda x: shown(x, w)))) == F.size("group"))
-    width = F.coalesce(F.get(apart, F.lit(0)), widest + 1)
+    # neighbours in order of their words tell how many words keep any two apart; 0: they are the same
+    ranked = F.array_sort(F.transform("group", lambda x: x["words"]))
+    few = F.size("group") - 1
+    parts = F.zip_with(F.slice(ranked, F.lit(1), few), F.slice(ranked, F.lit(2), few), lambda a, b: F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True))
+    widest = F.array_max(F.transform("group", lambda x: F.size(x["words"])))
+    width = F.when(F.array_min(parts) == 0, widest + 1).otherwise(F.array_max(parts)).cast("int")
     each = groups.withColumn("width", width).select(*keys, "line", "width", F.inline("group"))
     named = each.select(*keys, "line", "col", F.when(F.size("words") == 0, "?").otherwise(F.array_join(F.slice("words", F.lit(1), F.col("width")), " ")).alias("head"))
     return quotes.join(named, [*keys, "line", "col"], "left").withColumn("head", F.coalesce("head", F.lit("")))

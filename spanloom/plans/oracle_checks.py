@@ -149,11 +149,10 @@ NAMED_QUOTES = (
     QUOTES
     + """, counted AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY col) AS k, count(*) OVER (PARTITION BY doc_id, line) AS n FROM forest),
     worded AS (SELECT c.*, regexp_extract_all(substr(r.text, c.col + 2), '''?\\p{L}+''?') AS ws FROM counted c JOIN raw_lines r ON c.doc_id = r.doc_id AND c.line = r.line),
-    widths AS (SELECT doc_id, line, w FROM (SELECT doc_id, line, unnest(range(1, greatest(max(len(ws)) OVER (PARTITION BY doc_id, line), 1) + 1)) AS w, n, ws FROM worded WHERE n > 1)
-        GROUP BY doc_id, line, w HAVING count(DISTINCT array_to_string(ws[1:w], ' ')) = any_value(n)),
-    least AS (SELECT doc_id, line, min(w) AS w FROM widths GROUP BY ALL),
+    apart AS (SELECT a.doc_id, a.line, coalesce(list_position(list_transform(list_zip(a.ws, b.ws), lambda x: x[1] IS DISTINCT FROM x[2]), true), 0) AS p FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND a.line = b.line AND a.k < b.k),
+    least AS (SELECT doc_id, line, CASE WHEN min(p) = 0 THEN 1000000 ELSE max(p) END AS w FROM apart GROUP BY ALL),
     named AS (SELECT q.*, q.line || CASE WHEN n = 1 THEN '' WHEN k <= 26 THEN chr((64 + k)::INTEGER) ELSE k::VARCHAR END AS quote_id,
-        CASE WHEN n = 1 THEN '' WHEN len(ws) = 0 THEN '?' ELSE array_to_string(ws[1:coalesce(l.w, 1000000)], ' ') END AS head FROM worded q LEFT JOIN least l ON q.doc_id = l.doc_id AND q.line = l.line)"""
+        CASE WHEN n = 1 THEN '' WHEN len(ws) = 0 THEN '?' ELSE array_to_string(ws[1:l.w], ' ') END AS head FROM worded q LEFT JOIN least l ON q.doc_id = l.doc_id AND q.line = l.line)"""
 )
 MARKER = "mark || CASE mark WHEN '«' THEN '»' WHEN '“' THEN '”' ELSE '’' END"
 

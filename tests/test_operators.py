@@ -120,13 +120,6 @@ def test_divergence_and_repair(spark):
     assert values(frames.null_subject_repairs(found), "pred", "arg") == [(2, 1)]
 
 
-def test_agreement(spark):
-    columns = "k int, gender string, number string, person string, pos string"
-    subject = spark.createDataFrame([(1, "", "sg.", "3", "noun"), (2, "", "sg.", "1", "noun"), (3, "", "pl.", "", "noun"), (4, "m.", "", "", "noun"), (5, "", "", "", "noun"), (6, "m.", "sg.", "3", "noun")], columns)
-    verb = spark.createDataFrame([(1, "", "sg.", "3", "verb"), (2, "", "sg.", "3", "verb"), (3, "", "sg.", "3", "verb"), (4, "f.", "sg.", "3", "verb"), (5, "f.", "sg.", "3", "verb"), (6, "f.", "sg.", "3", "adverb")], columns)
-    assert [v for _, v in values(frames.agreement(subject, verb, ["k"]), "k", "verdict")] == ["agree", "disagree:person", "disagree:number", "disagree:gender", "undecidable:no_feature", "undecidable:not_verbal"]
-
-
 def test_votes(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "a"), (2, 1, "b"), (2, 2, "a"), (2, 3, "a"), (3, 1, "c"), (3, 2, "b"), (3, 3, "a")], "id int, run int, answer string")
     got = values(score.majority(df, ["id"], "answer", "run"), "id", "winner", "verdict")
