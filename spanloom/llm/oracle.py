@@ -48,4 +48,21 @@ gone AS (SELECT DISTINCT doc_id, i + j AS i FROM later, (SELECT unnest(range(20)
 kept AS (SELECT doc_id, count(*) AS n_words, count(gone.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos.i) FILTER (gone.i IS NULL), '') AS left_over
     FROM pos LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op12_phrase_collocations": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+piece AS (SELECT row, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS p, unnest(range(length(text) + 1)) AS nr FROM d),
+cut AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece WHERE p IS NOT NULL),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang),
+runs AS (SELECT lang, m, unnest(list_transform(range(1, greatest(len(w) - m + 2, 1)), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase FROM cut, (SELECT unnest([1, 2, 3, 4]) AS m)),
+f AS (SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM runs GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT * FROM f WHERE m > 1),
+cuts AS (SELECT lang, phrase, f AS a, w, m, unnest(range(1, m)) AS k FROM cand),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, ((2000000 * c.a::HUGEINT) // (x.f + y.f))::BIGINT AS score FROM cuts c
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 :], ' ')),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, f AS b, unnest(flatten(list_transform(range(2, m), lambda s: list_transform(range(1, m - s + 2), lambda i: array_to_string(w[i : i + s - 1], ' '))))) AS phrase FROM cand WHERE m > 2),
+longer AS (SELECT lang, phrase, max(b) AS b FROM inside GROUP BY lang, phrase),
+stay AS (SELECT w.* FROM weakest w LEFT JOIN longer o USING (lang, phrase) WHERE o.b IS NULL OR 100 * o.b::HUGEINT < 80 * w.a::HUGEINT)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM stay JOIN sizes USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) <= 2000""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spanloom.llm.collocations import op12_phrase_collocations
 from spanloom.llm.extract import op3_html_extraction
 from spanloom.llm.hamming import op2_top_k_search
 from spanloom.llm.mixing import op4_source_mixing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = dict(SQL)
