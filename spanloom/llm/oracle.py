@@ -48,6 +48,17 @@ gone AS (SELECT DISTINCT doc_id, i + j AS i FROM later, (SELECT unnest(range(20)
 kept AS (SELECT doc_id, count(*) AS n_words, count(gone.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos.i) FILTER (gone.i IS NULL), '') AS left_over
     FROM pos LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_ranked_search": r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+tok AS (SELECT row, unnest(ts) AS term FROM d),
+totals AS (SELECT count(*)::HUGEINT AS big_n, sum(len(ts))::HUGEINT AS big_l FROM d WHERE len(ts) > 0),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+tf AS (SELECT row, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY row, term),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+m AS (SELECT row, doc_id, 100 - 25 + (25 * len(ts) * big_n) // big_l AS m FROM d, totals WHERE len(ts) > 0),
+s AS (SELECT item_id, row, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (row) GROUP BY item_id, row),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s JOIN m USING (row) WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20""",
     "op12_phrase_collocations": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 piece AS (SELECT row, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS p, unnest(range(length(text) + 1)) AS nr FROM d),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from spanloom.llm.collocations import op12_phrase_collocations
 from spanloom.llm.extract import op3_html_extraction
 from spanloom.llm.hamming import op2_top_k_search
+from spanloom.llm.maxscore import op11_ranked_search
 from spanloom.llm.mixing import op4_source_mixing
 from spanloom.llm.oracle import SQL
 from spanloom.llm.pieces import op6_sentencepiece
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_ranked_search": op11_ranked_search,
     "op12_phrase_collocations": op12_phrase_collocations,
 }
 
