@@ -14,6 +14,7 @@ from spanloom.llm.quality import op7_quality_rules
 from spanloom.llm.simhash import op8_simhash
 from spanloom.llm.substring import op10_substring_dedup
 from spanloom.llm.tokencount import op9_token_counts
+from spanloom.llm.toxicity import op13_toxicity
 from spanloom.llm.warc import op1_warc
 
 QUERIES = {
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_ranked_search": op11_ranked_search,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = dict(SQL)
