@@ -72,7 +72,7 @@ def phrase_names(names: np.ndarray, n: int) -> np.ndarray:
 
 def marked(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     """Which names the map of survivors holds."""
-    place = names & np.uint64(MAP_BITS - 1)
+    place = names & np.uint64(8 * len(bits) - 1)
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
