@@ -49,8 +49,9 @@ def conjuncts(tokens: DataFrame) -> DataFrame:
     return tops.filter("top <> u").join(tokens.select(*UNIT, "u", "person"), [*UNIT, "u"])
 
 
-def agreement(edges: DataFrame) -> DataFrame:
-    """``(unit keys, subject, head, verdict, reason)`` of every subject with a head.
+def agreement(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``(unit keys, subject, head, verdict, reason)`` of every subject with a head, or of the given
+    ``pairs(unit keys, subject, head)``.
 
     The verdict is agree, disagree or undecidable; the branches are tried in a fixed order. A nominal
     without a person is third person; a coordination has the persons of all its members and no number.
@@ -60,6 +61,9 @@ def agreement(edges: DataFrame) -> DataFrame:
     known = tokens.select(*UNIT, "u", "head", "deprel", "pos", "lemma", "number", "person", "note", "tense", "mood").join(_below(tokens), [*UNIT, "u"], "left")
     side = lambda x: known.select(*UNIT, *(F.col(c).alias(f"{x}_{c}") for c in known.columns if c not in UNIT))
     subjects = side("s").filter(F.col("s_deprel").isin("nsubj", "nsubj:pass") & (F.col("s_head") > 0))
+    if pairs is not None:
+        asked = pairs.select(*UNIT, F.col("subject").alias("s_u"), F.col("head").alias("s_head"))
+        subjects = side("s").drop("s_head").join(asked, [*UNIT, "s_u"])
     heads = side("v").withColumnRenamed("v_u", "s_head").drop("v_head", "v_deprel")
     rows = subjects.join(heads, [*UNIT, "s_head"]).join(members.withColumnRenamed("u", "s_u"), [*UNIT, "s_u"], "left")
 

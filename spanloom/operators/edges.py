@@ -6,11 +6,14 @@ run over the unit's array of heads, so they need one grouping and no join per st
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNIT = ("doc_id", "unit")
 #: Steps of a walk.
@@ -59,36 +62,77 @@ def walks(edges: DataFrame) -> DataFrame:
     return each.select(*UNIT, "u", *(walk(F.col("u"), F.col("heads"), F.col("rels"), over).alias(n) for n, over in ends.items()), host.alias("host"), top.alias("top"))
 
 
+def by_unit(tokens: DataFrame, keys: tuple[str, ...], new: list[T.StructField], found: Callable[[dict[str, pa.Array], np.ndarray, int], dict[str, pa.Array]]) -> DataFrame:
+    """Tokens with new columns that depend on their whole unit; columns that begin with ``_`` go.
+
+    Units are grouped once. ``found`` gets the columns of all tokens of a batch, ordered by unit and u,
+    where each token's unit begins, and the length of the longest one: whole arrays, no loop over units.
+    """
+    held = [c for c in tokens.columns if c not in (*keys, "u")]
+    packed = tokens.groupBy(*keys).agg(F.collect_list(F.struct("u", *held)).alias("rows"))
+    shown = [f for f in tokens.schema.fields if f.name in held and not f.name.startswith("_")]
+    out = T.StructType([*(tokens.schema[k] for k in keys), tokens.schema["u"], *shown, *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            size = lists.value_lengths().to_numpy()
+            base = np.repeat(np.cumsum(size) - size, size)
+            rows = lists.flatten()
+            rows = rows.take(pa.array(np.argsort(base + rows.field("u").to_numpy())))
+            columns = {f.name: rows.field(i) for i, f in enumerate(rows.type)}
+            own = [batch.column(i).take(pa.array(np.repeat(np.arange(len(size)), size))) for i in range(len(keys))]
+            made = found(columns, base, int(size.max(initial=1)))
+            yield pa.RecordBatch.from_arrays([*own, columns["u"], *(columns[f.name] for f in shown), *(made[f.name] for f in new)], out.names)
+
+    return packed.mapInArrow(run, out)
+
+
+def climbed(above: np.ndarray, may: Callable[[np.ndarray], np.ndarray], steps: int = WALK) -> np.ndarray:
+    """Where bounded walks from all tokens end that leave a place only if ``may`` and never come back to one."""
+    at, live, seen = np.arange(len(above)), np.ones(len(above), bool), [np.arange(len(above))]
+    for _ in range(steps):
+        to = above[at]
+        live = live & (to >= 0) & may(at)
+        for s in seen:
+            live = live & (to != s)
+        at = np.where(live, to, at)
+        seen.append(at)
+    return at
+
+
 def guarded_walks(edges: DataFrame) -> DataFrame:
-    """``(unit keys, u, coord_head, nominal)``: walks that stop where the tree says so.
+    """``(unit keys, u, coord_head, nominal, coord_any, aux_place)``: walks that stop where the tree says so.
 
-    The coordination walk ends where a conjunct that is no verb hangs on a verb that is no argument; the
-    preposition walk leaves a lone preposition, one without a fixed part, where it is. Both end before a
-    place that they have seen.
+    The coordination walk ends where a conjunct that is no verb hangs on a verb that is no argument
+    (``coord_any`` does not); the preposition walk leaves a lone preposition, one without a fixed part,
+    where it is; ``aux_place`` is the end of the walk over function words. All end before a place that they
+    have seen.
     """
     from spanloom.functions.text import is_verb
 
-    fixed = edges.filter("deprel = 'fixed' and head > 0").select(*UNIT, F.col("head").alias("u")).distinct().withColumn("stacked", F.lit(True))
-    known = edges.join(fixed, [*UNIT, "u"], "left")
-    fields = F.struct("u", "head", "deprel", is_verb(F.col("pos")).alias("verb"), F.coalesce("stacked", F.lit(False)).alias("stacked"))
-    packed = known.groupBy(*UNIT).agg(F.sort_array(F.collect_list(fields)).alias("rows"))
-    each = packed.select(*UNIT, "rows", F.explode(F.sequence(F.lit(1), F.size("rows"))).alias("u"))
-    row = lambda at: F.element_at("rows", at)
-
-    def walked(over: tuple[str, ...], stops) -> Column:
-        def step(a: Column, _: Column) -> Column:
-            here, head = row(a["at"]), row(a["at"])["head"]
-            on = a["live"] & here["deprel"].isin(*over) & (head > 0) & ~F.array_contains(a["seen"], head)
-            on = on & ~stops(here, row(F.greatest(head, F.lit(1))))
-            return F.struct(F.when(on, head).otherwise(a["at"]).alias("at"), on.alias("live"), F.when(on, F.concat(a["seen"], F.array(head))).otherwise(a["seen"]).alias("seen"))
-
-        start = F.struct(F.col("u").alias("at"), F.lit(True).alias("live"), F.array(F.col("u")).alias("seen"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step)["at"]
-
-    coord = walked(COORDINATED, lambda here, head: (here["deprel"] == "conj") & ~here["verb"] & head["verb"] & ~head["deprel"].isin(*ARGUMENTS))
-    moves = (row(F.col("u"))["deprel"] == "fixed") | ((row(F.col("u"))["deprel"] == "case") & row(F.col("u"))["stacked"])
-    nominal = F.when(moves, walked(PREPOSITION, lambda here, head: F.lit(False))).otherwise(F.col("u"))
-    return each.select(*UNIT, "u", coord.alias("coord_head"), nominal.alias("nominal"))
+    def found(columns: dict[str, pa.Array], base: np.ndarray, longest: int) -> dict[str, pa.Array]:
+        head = columns["head"].to_numpy().astype(np.int64)
+        above = np.where(head > 0, base + head - 1, -1)
+        h = np.maximum(above, 0)
+        rel, verb = columns["deprel"], columns["verb"].to_numpy(zero_copy_only=False)
+        among = lambda names: pc.is_in(rel, pa.array(names)).to_numpy(zero_copy_only=False)
+        leaves = among(["conj"]) & ~verb & verb[h] & ~among(ARGUMENTS)[h] & (above >= 0)
+        coordinated, prepositional, fixed = among(COORDINATED), among(PREPOSITION), among(["fixed"])
+        stacked = np.zeros(len(head), bool)
+        stacked[above[fixed & (above >= 0)]] = True
+        moves = fixed | (among(["case"]) & stacked)
+        ends = {
+            "coord_head": climbed(above, lambda at: (coordinated & ~leaves)[at]),
+            "nominal": np.where(moves, climbed(above, lambda at: prepositional[at]), np.arange(len(head))),
+            "coord_any": climbed(above, lambda at: coordinated[at]),
+            "aux_place": climbed(above, lambda at, f=among(FUNCTION): f[at]),
+        }
+        return {name: pa.array((end - base + 1).astype(np.int32)) for name, end in ends.items()}
+
+    known = edges.select(*UNIT, "u", "head", "deprel", is_verb(F.col("pos")).alias("verb"))
+    new = [T.StructField(n, T.IntegerType()) for n in ("coord_head", "nominal", "coord_any", "aux_place")]
+    return by_unit(known, UNIT, new, found).drop("head", "deprel", "verb")
 
 
 def reaches_root(edges: DataFrame) -> DataFrame:

@@ -5,57 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import canonical_role, is_verb, role_rank
+from spanloom.functions.text import canonical_role, role_rank
+from spanloom.operators import derivation
+from spanloom.operators.derivation import CLAUSES, ROLES
 from spanloom.operators.edges import UNIT
 
-#: Relations of clause heads, and roles of argument relations.
-CLAUSES = ("root", "ccomp", "xcomp", "acl:relcl", "advcl", "parataxis")
-ROLES = {"nsubj": "subj", "obj": "obj", "iobj": "iobj", "ccomp": "ccomp", "xcomp": "xcomp", "obl": "obl"}
+__all__ = ["CLAUSES", "ROLES"]
 
 
 def with_children(edges: DataFrame) -> DataFrame:
-    """Edges with what their children tell: numbers of arguments and subjects, the first preposition,
-    and whether the token is a predicate: a verb that heads a clause or has an argument.
-
-    One grouping by head and one join; all of the derivation follows from its rows. Tokens that have
-    these columns already are returned as they are.
-    """
-    if "pred" in edges.columns:
-        return edges
-    rel = F.col("deprel")
-    below = edges.filter((F.col("head") > 0) & rel.isin(*ROLES, "case")).groupBy(*UNIT, F.col("head").alias("u"))
-    kids = below.agg(
-        F.count_if(rel.isin(*ROLES)).alias("n_args"), F.count_if(rel == "nsubj").alias("n_subj"), F.min_by(F.when(rel == "case", F.col("lemma")), F.when(rel == "case", F.col("u"))).alias("prep")
-    )
-    joined = edges.join(kids, [*UNIT, "u"], "left").na.fill(0, ["n_args", "n_subj"])
-    return joined.withColumn("pred", is_verb(F.col("pos")) & (rel.isin(*CLAUSES) | (F.col("n_args") > 0)))
+    """Edges with what their children tell and whether a token is a predicate (``derivation.with_facts``)."""
+    return derivation.with_facts(edges)
 
 
 def predicates(edges: DataFrame) -> DataFrame:
-    """Clause heads, and verbs that have an argument of their own."""
+    """Heads of clauses, conjuncts that hang on them, verbs with an argument of their own."""
     return with_children(edges).filter("pred").select(*UNIT, "u")
 
 
-def _arguments(tokens: DataFrame) -> DataFrame:
-    role = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
-    args = tokens.filter(F.col("deprel").isin(*ROLES) & (F.col("head") > 0))
-    full = F.when((F.col("deprel") == "obl") & F.col("prep").isNotNull(), F.concat(F.lit("obl:"), "prep")).otherwise(F.element_at(role, F.col("deprel")))
-    rows = args.select(*UNIT, F.col("head").alias("pred"), canonical_role(full).alias("role"), F.col("u").alias("arg"))
-    return rows.join(tokens.filter("pred").select(*UNIT, F.col("u").alias("pred")), [*UNIT, "pred"], "left_semi")
-
-
 def arguments(edges: DataFrame) -> DataFrame:
-    """``(unit keys, pred, role, arg)``: arguments of predicates; an oblique takes its preposition."""
-    return _arguments(with_children(edges))
+    """``(unit keys, pred, role, arg)``: children of predicates that are arguments, with canonical roles."""
+    own = with_children(edges).filter(F.col("deprel").isin(*ROLES) & F.col("head_pred"))
+    return own.select(*UNIT, F.col("head").alias("pred"), canonical_role(derivation.role_of()).alias("role"), F.col("u").alias("arg"))
 
 
-def derived(edges: DataFrame) -> DataFrame:
-    """All frames: arguments, an empty subject (arg 0) for finite predicates without one, and an empty
-    row for predicates with nothing at all."""
-    tokens = with_children(edges)
-    dropped = (F.col("person") != "") & (F.col("n_subj") == 0)
-    own = tokens.filter("pred").filter(dropped | (F.col("n_args") == 0))
-    return _arguments(tokens).union(own.select(*UNIT, F.col("u").alias("pred"), F.when(dropped, "subj").otherwise("").alias("role"), F.lit(0).alias("arg")))
+def derived(edges: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """All frames (``derivation.frames``) with canonical roles."""
+    return derivation.frames(edges, cases).withColumn("role", canonical_role(F.col("role")))
 
 
 def sided(given: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -227,7 +227,8 @@ def preposition_stacks(spark, sf):
 
 @query
 def guarded_walks(spark, sf):
-    return eg.guarded_walks(layers.wide(spark, sf)).filter("coord_head <> u or nominal <> u")
+    walks = eg.guarded_walks(layers.wide(spark, sf)).select(*UNIT, "u", "coord_head", "nominal")
+    return walks.filter("coord_head <> u or nominal <> u")
 
 
 @query

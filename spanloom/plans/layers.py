@@ -21,6 +21,7 @@ RELS = (
     "nsubj", "obj", "obl", "case", "conj", "aux", "cop", "amod", "acl:relcl", "xcomp", "ccomp", "fixed",
     "advmod", "nmod", "advcl", "expl", "mark", "attr", "obl", "nsubj", "obj", "parataxis", "orphan",
     "cc", "det", "nummod", "appos", "nsubj:pass", "expl:impers", "iobj", "conj", "unheard",
+    "csubj", "acl", "obl:agent", "orphan", "aux:pass", "csubj:pass", "conj",
 )
 CASES = ("nom", "acc.", "*dat*", "oblique", "expletive", "genitive+acc", "unheard", "ablative")
 
@@ -103,7 +104,7 @@ def frames_of(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None)
     list dependents of predicates that are no arguments."""
     tokens = wide(spark, sf_dir) if tokens is None else tokens
     preps = tokens.filter(F.col("prep").isNotNull()).select(*UNIT, F.col("u").alias("arg"), F.concat(F.lit("obl:"), "prep").alias("marked"))
-    wanted = frames.derived(tokens).join(preps, [*UNIT, "arg"], "left")
+    wanted = frames.derived(tokens, case_rows(spark, sf_dir, tokens)).join(preps, [*UNIT, "arg"], "left")
     k = (F.col("doc_id") + F.col("unit") * 3 + F.col("pred") * 5 + F.col("arg") * 11) % 30
     row = lambda given, role, arg: F.struct(F.lit(given).alias("given"), role.alias("role"), arg.cast("int").alias("arg"))
     role, arg = F.col("role"), F.col("arg")

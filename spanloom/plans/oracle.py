@@ -42,7 +42,8 @@ headed AS (SELECT *, CASE WHEN aim < 1 OR aim > n THEN 0 ELSE aim END AS head FR
 edges AS (SELECT *, CASE WHEN head = 0 AND h % 10 <> 9 THEN 'root'
     ELSE ['nsubj', 'obj', 'obl', 'case', 'conj', 'aux', 'cop', 'amod', 'acl:relcl', 'xcomp', 'ccomp', 'fixed',
         'advmod', 'nmod', 'advcl', 'expl', 'mark', 'attr', 'obl', 'nsubj', 'obj', 'parataxis', 'orphan',
-        'cc', 'det', 'nummod', 'appos', 'nsubj:pass', 'expl:impers', 'iobj', 'conj', 'unheard'][h % 32 + 1] END AS deprel FROM headed)"""
+        'cc', 'det', 'nummod', 'appos', 'nsubj:pass', 'expl:impers', 'iobj', 'conj', 'unheard',
+        'csubj', 'acl', 'obl:agent', 'orphan', 'aux:pass', 'csubj:pass', 'conj'][h % 39 + 1] END AS deprel FROM headed)"""
 )
 
 SPANS = """,
@@ -88,24 +89,66 @@ ADJUDICATED = """CASE WHEN deprel = 'obl' AND "case" = 'nominative' THEN 'imposs
     WHEN (deprel = 'obj' AND "case" LIKE '%accusative%') OR (deprel = 'iobj' AND "case" = 'dative') OR (deprel = 'nsubj' AND "case" = 'nominative') THEN 'agree'
     WHEN deprel IN ('obj', 'iobj', 'nsubj') AND regexp_matches("case", 'nominative|accusative|dative') THEN 'contradict' ELSE 'open' END"""
 
+#: Fixed values of the derivation.
+ARGS = "('nsubj', 'nsubj:pass', 'csubj', 'csubj:pass', 'obj', 'iobj', 'attr', 'xcomp', 'ccomp', 'obl', 'obl:agent')"
+SUBJ = "('nsubj', 'nsubj:pass', 'csubj', 'csubj:pass')"
+FUNC = "('aux', 'aux:pass', 'cop')"
+HEADS = "('root', 'ccomp', 'xcomp', 'csubj', 'csubj:pass', 'advcl', 'acl', 'acl:relcl', 'parataxis')"
+RANK = "(CASE role WHEN '' THEN -1 WHEN 'subj' THEN 0 WHEN 'obj' THEN 1 WHEN 'iobj' THEN 2 WHEN 'attr' THEN 3 WHEN 'xcomp' THEN 4 WHEN 'ccomp' THEN 5 ELSE 6 END)"
+
 FRAMES = (
     EDGES
+    + CASES
     + ", "
     + FORMS
     + """,
-preds AS (SELECT doc_id, unit, u FROM edges WHERE pos IN ('verb', 'verb + pronoun') AND
-    (deprel IN ('root', 'ccomp', 'xcomp', 'acl:relcl', 'advcl', 'parataxis')
-     OR (doc_id, unit, u) IN (SELECT doc_id, unit, head FROM edges WHERE deprel IN ('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl') AND head > 0))),
+kid AS (SELECT doc_id, unit, head AS u, count(*) FILTER (deprel IN ARGS) AS n_args, min(u) FILTER (deprel IN SUBJ) AS subj, bool_or(deprel = 'mark') AS marked, bool_or(deprel IN FUNC) AS aux,
+    bool_or(deprel IN FUNC AND person <> '') AS aux_person, bool_or(deprel = 'orphan') AS gapped, bool_or(deprel = 'case') AS cased, arg_min(lemma, {'t': token, 'u': u}) FILTER (deprel = 'case') AS first_case, list(DISTINCT deprel) AS rels
+    FROM edges WHERE head > 0 GROUP BY ALL),
+node AS (SELECT e.*, coalesce(n_args, 0) AS n_args, subj, coalesce(marked, false) AS marked, coalesce(aux, false) AS aux, coalesce(aux_person, false) AS aux_person, coalesce(gapped, false) AS gapped, coalesce(cased, false) AS cased,
+    coalesce(rels, []) AS rels, pos LIKE '%conjunction%' AS connective, pos LIKE 'verb%' AS verb,
+    CASE WHEN deprel IN SUBJ THEN 'subj' WHEN deprel NOT LIKE 'obl%' THEN deprel WHEN coalesce(trim(split_part(first_case, '+', 1)), '') = '' THEN 'obl' ELSE 'obl:' || coalesce(f.name, lower(trim(split_part(first_case, '+', 1)))) END AS role
+    FROM edges e LEFT JOIN kid k ON e.doc_id = k.doc_id AND e.unit = k.unit AND e.u = k.u LEFT JOIN forms f ON f.form = lower(trim(split_part(first_case, '+', 1)))),
+clauses AS (SELECT * FROM node WHERE deprel IN HEADS AND NOT (connective AND n_args = 0) AND NOT (gapped AND NOT verb)),
+conj_above AS (SELECT doc_id, unit, u, head AS place FROM edges WHERE deprel = 'conj' AND head > 0
+    UNION SELECT a.doc_id, a.unit, a.u, e.head FROM conj_above a JOIN edges e ON e.doc_id = a.doc_id AND e.unit = a.unit AND e.u = a.place WHERE e.deprel = 'conj' AND e.head > 0),
+on_clause AS (SELECT DISTINCT a.doc_id, a.unit, a.u FROM conj_above a JOIN edges e ON e.doc_id = a.doc_id AND e.unit = a.unit AND e.u = a.place WHERE e.deprel IN HEADS),
+sure_preds AS (SELECT doc_id, unit, u FROM clauses UNION SELECT doc_id, unit, u FROM node JOIN on_clause USING (doc_id, unit, u) WHERE NOT connective AND NOT gapped AND (verb OR n_args > 0 OR aux)
+    UNION SELECT doc_id, unit, u FROM node WHERE verb AND deprel NOT IN FUNC AND n_args > 0),
+on_chain AS (SELECT doc_id, unit, u FROM on_clause UNION SELECT a.doc_id, a.unit, a.u FROM conj_above a JOIN sure_preds t ON t.doc_id = a.doc_id AND t.unit = a.unit AND t.u = a.place),
+preds AS (SELECT doc_id, unit, u FROM sure_preds UNION SELECT doc_id, unit, u FROM node JOIN on_chain USING (doc_id, unit, u) WHERE deprel = 'conj' AND verb AND person <> '' AND NOT connective AND NOT gapped),
+p AS (SELECT node.* FROM node JOIN preds USING (doc_id, unit, u)),
+brother AS (SELECT doc_id, unit, head AS u, min(u) AS near FROM node WHERE deprel = 'conj' AND subj IS NOT NULL GROUP BY ALL),
+sought AS (SELECT doc_id, unit, u, head AS place FROM p WHERE deprel = 'conj' AND verb AND NOT marked AND subj IS NULL AND head > 0
+    UNION SELECT s.doc_id, s.unit, s.u, n.head FROM sought s JOIN node n ON n.doc_id = s.doc_id AND n.unit = s.unit AND n.u = s.place LEFT JOIN brother b ON b.doc_id = s.doc_id AND b.unit = s.unit AND b.u = s.place
+        WHERE coalesce(b.near >= s.u, true) AND n.subj IS NULL AND n.deprel = 'conj' AND NOT n.marked AND n.head > 0),
+inherited AS (SELECT s.doc_id, s.unit, s.u, n.subj AS arg FROM sought s JOIN node n ON n.doc_id = s.doc_id AND n.unit = s.unit AND n.u = s.place LEFT JOIN brother b ON b.doc_id = s.doc_id AND b.unit = s.unit AND b.u = s.place
+    WHERE n.subj IS NOT NULL AND coalesce(b.near >= s.u, true)),
+own_args AS (SELECT c.doc_id, c.unit, c.head AS pred, c.role, c.u AS arg FROM node c JOIN p ON p.doc_id = c.doc_id AND p.unit = c.unit AND p.u = c.head WHERE c.deprel IN ARGS),
+stranded AS (SELECT c.doc_id, c.unit, p.u AS pred, c.role, c.u AS arg FROM node c JOIN edges x ON x.doc_id = c.doc_id AND x.unit = c.unit AND x.u = c.head JOIN p ON p.doc_id = x.doc_id AND p.unit = x.unit AND p.u = x.head
+    WHERE x.deprel IN FUNC AND c.deprel IN ARGS AND c.deprel NOT IN SUBJ AND NOT list_contains(p.rels, c.deprel)),
+own_subjects AS (SELECT p.doc_id, p.unit, p.u AS pred, 'subj' AS role, coalesce(i.arg, 0) AS arg FROM p LEFT JOIN inherited i USING (doc_id, unit, u) WHERE p.subj IS NULL AND (i.arg IS NOT NULL OR p.person <> '' OR p.aux_person)),
+plain_rows AS (SELECT * FROM own_args UNION ALL SELECT * FROM stranded UNION ALL SELECT * FROM own_subjects),
+gapping AS (SELECT c.doc_id, c.unit, c.u AS conjunct, c.head AS pred, c.cased AS shared FROM node c JOIN preds p ON p.doc_id = c.doc_id AND p.unit = c.unit AND p.u = c.head WHERE c.deprel = 'conj' AND c.gapped),
+open_slots AS (SELECT g.doc_id, g.unit, g.pred, g.conjunct, s.role, row_number() OVER (PARTITION BY g.doc_id, g.unit, g.pred, g.conjunct ORDER BY s.first = 0, s.rank, s.first) AS place FROM gapping g JOIN
+    (SELECT doc_id, unit, pred, role, min(arg) AS first, min(RANKED) AS rank FROM plain_rows GROUP BY ALL) s USING (doc_id, unit, pred) WHERE NOT (g.shared AND s.role = 'subj')),
+remnant AS (SELECT g.doc_id, g.unit, g.pred, g.conjunct, n.u AS arg, row_number() OVER (PARTITION BY g.doc_id, g.unit, g.pred, g.conjunct ORDER BY n.u <> g.conjunct, n.u) AS nth,
+    CASE WHEN n.cased THEN CASE WHEN n.case_role LIKE 'obl:%' THEN n.case_role ELSE 'obl' END END AS label, CASE k.c WHEN 'nominative' THEN 'subj' WHEN 'accusative' THEN 'obj' WHEN 'dative' THEN 'iobj' END AS core
+    FROM gapping g JOIN (SELECT n.*, CASE WHEN coalesce(trim(split_part(q.first_case, '+', 1)), '') = '' THEN 'obl' ELSE 'obl:' || coalesce(f.name, lower(trim(split_part(q.first_case, '+', 1)))) END AS case_role
+        FROM node n LEFT JOIN kid q ON n.doc_id = q.doc_id AND n.unit = q.unit AND n.u = q.u LEFT JOIN forms f ON f.form = lower(trim(split_part(q.first_case, '+', 1)))) n
+        ON n.doc_id = g.doc_id AND n.unit = g.unit AND (n.u = g.conjunct OR (n.deprel = 'orphan' AND n.head = g.conjunct))
+    LEFT JOIN (SELECT doc_id, unit, u, CANONICAL AS c FROM cases) k ON k.doc_id = n.doc_id AND k.unit = n.unit AND k.u = n.u),
+by_label AS (SELECT r.doc_id, r.unit, r.pred, r.conjunct, r.label AS role, arg_min(r.arg, r.nth) AS arg FROM remnant r JOIN open_slots s ON s.doc_id = r.doc_id AND s.unit = r.unit AND s.pred = r.pred AND s.conjunct = r.conjunct AND s.role = r.label GROUP BY ALL),
+by_case AS (SELECT r.doc_id, r.unit, r.pred, r.conjunct, r.core AS role, arg_min(r.arg, r.nth) AS arg FROM remnant r JOIN open_slots s ON s.doc_id = r.doc_id AND s.unit = r.unit AND s.pred = r.pred AND s.conjunct = r.conjunct AND s.role = r.core
+    WHERE (r.doc_id, r.unit, r.pred, r.conjunct, r.arg) NOT IN (SELECT doc_id, unit, pred, conjunct, arg FROM by_label) GROUP BY ALL),
+claimed AS (SELECT * FROM by_label UNION ALL SELECT * FROM by_case),
+queued AS (SELECT doc_id, unit, pred, conjunct, arg, row_number() OVER (PARTITION BY doc_id, unit, pred, conjunct ORDER BY nth) AS k FROM remnant WHERE (doc_id, unit, pred, conjunct, arg) NOT IN (SELECT doc_id, unit, pred, conjunct, arg FROM claimed)),
+left_slots AS (SELECT doc_id, unit, pred, conjunct, role, row_number() OVER (PARTITION BY doc_id, unit, pred, conjunct ORDER BY place) AS k FROM open_slots WHERE (doc_id, unit, pred, conjunct, role) NOT IN (SELECT doc_id, unit, pred, conjunct, role FROM claimed)),
+filled AS (SELECT * FROM plain_rows UNION ALL SELECT doc_id, unit, pred, role, arg FROM claimed UNION ALL SELECT doc_id, unit, pred, role, arg FROM queued JOIN left_slots USING (doc_id, unit, pred, conjunct, k)),
+raw_frames AS (SELECT * FROM filled UNION ALL SELECT doc_id, unit, u, '', 0 FROM preds WHERE (doc_id, unit, u) NOT IN (SELECT doc_id, unit, pred FROM filled)),
+args AS (SELECT doc_id, unit, pred, CASE role WHEN 'iobj' THEN 'obl:a' WHEN 'attr' THEN 'xcomp' ELSE role END AS role, arg FROM own_args),
+derived AS (SELECT doc_id, unit, pred, CASE role WHEN 'iobj' THEN 'obl:a' WHEN 'attr' THEN 'xcomp' ELSE role END AS role, arg FROM raw_frames),
 preps AS (SELECT doc_id, unit, head AS u, arg_min(lemma, u) AS prep FROM edges WHERE deprel = 'case' AND head > 0 GROUP BY ALL),
-args AS (SELECT e.doc_id, e.unit, e.head AS pred, CASE WHEN deprel = 'nsubj' THEN 'subj' WHEN deprel = 'iobj' THEN 'obl:a'
-        WHEN deprel = 'obl' AND prep IS NOT NULL THEN 'obl:' || coalesce(f.name, prep) ELSE deprel END AS role, e.u AS arg
-    FROM edges e JOIN preds p ON e.doc_id = p.doc_id AND e.unit = p.unit AND e.head = p.u
-    LEFT JOIN preps q ON e.doc_id = q.doc_id AND e.unit = q.unit AND e.u = q.u LEFT JOIN forms f ON f.form = q.prep
-    WHERE deprel IN ('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl')),
-dropped AS (SELECT p.doc_id, p.unit, p.u AS pred, 'subj' AS role, 0 AS arg FROM preds p JOIN edges e USING (doc_id, unit, u)
-    WHERE person <> '' AND (p.doc_id, p.unit, p.u) NOT IN (SELECT doc_id, unit, pred FROM args WHERE role = 'subj')),
-filled AS (SELECT * FROM args UNION ALL SELECT * FROM dropped),
-derived AS (SELECT * FROM filled UNION ALL SELECT doc_id, unit, u, '', 0 FROM preds WHERE (doc_id, unit, u) NOT IN (SELECT doc_id, unit, pred FROM filled)),
 marked AS (SELECT *, (doc_id + unit * 3 + pred * 5 + arg * 11) % 30 AS k FROM derived),
 given AS (SELECT m.doc_id, m.unit, pred, CASE WHEN role = 'obj' AND k = 7 THEN 'iobj' WHEN role IN ('obj', 'obl') AND k = 8 THEN 'xcomp' WHEN role = 'obj' AND k = 14 THEN 'ccomp'
             WHEN role = 'ccomp' AND k = 15 THEN 'xcomp' WHEN role = 'obl' AND k = 16 THEN 'obl:a' WHEN role = 'subj' AND k = 17 THEN 'obj'
@@ -114,11 +157,11 @@ given AS (SELECT m.doc_id, m.unit, pred, CASE WHEN role = 'obj' AND k = 7 THEN '
     UNION ALL SELECT doc_id, unit, pred, 'obl', arg FROM marked WHERE k = 12 AND arg > 0
     UNION ALL SELECT e.doc_id, e.unit, e.head, CASE WHEN prep IS NOT NULL AND e.h % 2 = 0 THEN 'obl:' || prep ELSE ['obl', 'xcomp', 'obl:a', 'iobj'][(e.h + e.u) % 4 + 1] END, e.u
         FROM edges e JOIN preds p ON e.doc_id = p.doc_id AND e.unit = p.unit AND e.head = p.u LEFT JOIN preps q ON e.doc_id = q.doc_id AND e.unit = q.unit AND e.u = q.u
-        WHERE e.deprel NOT IN ('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl') AND e.u % 3 = 0
+        WHERE e.deprel NOT IN ('nsubj', 'nsubj:pass', 'csubj', 'csubj:pass', 'obj', 'iobj', 'attr', 'xcomp', 'ccomp', 'obl', 'obl:agent') AND e.u % 3 = 0
     UNION ALL SELECT e.doc_id, e.unit, e.u, 'subj', 0 FROM edges e WHERE e.h % 9 = 0 AND (doc_id, unit, u) NOT IN (SELECT doc_id, unit, u FROM preds))"""
-)
-
-RANK = "(CASE role WHEN '' THEN -1 WHEN 'subj' THEN 0 WHEN 'obj' THEN 1 WHEN 'iobj' THEN 2 WHEN 'attr' THEN 3 WHEN 'xcomp' THEN 4 WHEN 'ccomp' THEN 5 ELSE 6 END)"
+).replace("RANKED", RANK).replace("CANONICAL", CANON)
+for _name, _list in (("IN ARGS", ARGS), ("IN SUBJ", SUBJ), ("IN FUNC", FUNC), ("IN HEADS", HEADS)):
+    FRAMES = FRAMES.replace(_name, "IN " + _list)
 
 DIVERGENCE = (
     FRAMES
@@ -180,8 +223,8 @@ SQL: dict[str, str] = {
         claimed AS (SELECT doc_id, unit, CASE WHEN h % 40 = 0 THEN head + 500 ELSE head END AS head, CASE WHEN h % 9 = 0 THEN reverse(head_word) ELSE lower(head_word) END AS head_word FROM worded)
         SELECT c.doc_id, CASE WHEN c.head = 0 THEN 'root' WHEN e.word IS NULL THEN 'no_such_token' WHEN lower(e.word) = lower(c.head_word) THEN 'ok' ELSE 'word_differs' END AS status, count(*) AS n
         FROM claimed c LEFT JOIN edges e ON c.doc_id = e.doc_id AND c.unit = e.unit AND c.head = e.u GROUP BY ALL""",
-    "membership": f"""WITH {FRAMES}{SPANS} SELECT g.doc_id, count(*) AS n FROM given g JOIN edges e ON g.doc_id = e.doc_id AND g.unit = e.unit AND g.arg = e.u WHERE g.arg > 0 AND e.pos NOT LIKE '%pronoun%'
-        AND e.deprel NOT IN ('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl') AND (e.doc_id, e.unit, e.u) NOT IN (SELECT doc_id, unit, u FROM preds)
+    "membership": f"""WITH RECURSIVE {FRAMES}{SPANS} SELECT g.doc_id, count(*) AS n FROM given g JOIN edges e ON g.doc_id = e.doc_id AND g.unit = e.unit AND g.arg = e.u WHERE g.arg > 0 AND e.pos NOT LIKE '%pronoun%'
+        AND e.deprel NOT IN ('nsubj', 'nsubj:pass', 'csubj', 'csubj:pass', 'obj', 'iobj', 'attr', 'xcomp', 'ccomp', 'obl', 'obl:agent') AND (e.doc_id, e.unit, e.u) NOT IN (SELECT doc_id, unit, u FROM preds)
         AND (e.doc_id, e.line, e.token) NOT IN (SELECT doc_id, line, head FROM spans) GROUP BY ALL""",
     "section_lines": f"""WITH {LINES}, marked AS (SELECT *, length(text) < 40 AS is_header, max(CASE WHEN length(text) < 40 THEN line END) OVER (PARTITION BY doc_id ORDER BY line) AS header_line FROM lines)
         SELECT m.doc_id, m.line, m.header_line, h.text AS title, row_number() OVER (PARTITION BY m.doc_id, m.header_line ORDER BY m.line) AS place
@@ -195,7 +238,7 @@ SQL: dict[str, str] = {
     "span_occurrences": f"""WITH {MORPH}{SPANS}, worded AS (SELECT o.doc_id, o.line, o.ord, o.start, string_agg(n.word, ' ' ORDER BY n.token) AS words FROM ordered o JOIN numbered n
             ON o.doc_id = n.doc_id AND o.line = n.line AND n.token BETWEEN o.start AND o."end" GROUP BY ALL)
         SELECT doc_id, line, ord, words, row_number() OVER (PARTITION BY doc_id, line, words ORDER BY start, ord) AS occurrence FROM worded""",
-    "violation_totals": f"""WITH {DIVERGENCE} SELECT kind, count(*) AS n, count(*) FILTER (arg = 0) AS n_empty FROM divergence GROUP BY kind
+    "violation_totals": f"""WITH RECURSIVE {DIVERGENCE} SELECT kind, count(*) AS n, count(*) FILTER (arg = 0) AS n_empty FROM divergence GROUP BY kind
         UNION ALL SELECT 'TOTAL', count(*), count(*) FILTER (arg = 0) FROM divergence""",
     "call_round_trip": "SELECT conv_id, turn, role AS name, true AS same FROM conversations",
     "lines_scan": f"WITH {LINES} SELECT doc_id, line, text FROM lines",
@@ -274,21 +317,32 @@ SQL: dict[str, str] = {
     "agreement_rates": f"""WITH {EDGES}{CASES}, v AS (SELECT deprel, {ADJUDICATED} AS verdict FROM (SELECT {CANON} AS "case", doc_id, unit, u FROM cases) c JOIN (SELECT doc_id, unit, u, deprel FROM edges) USING (doc_id, unit, u)),
         counts AS (SELECT deprel, count(*) FILTER (verdict = 'agree') AS agree, count(*) FILTER (verdict = 'contradict') AS contradict FROM v WHERE deprel IN ('obj', 'iobj', 'nsubj') GROUP BY deprel)
         SELECT *, CASE WHEN agree + contradict = 0 THEN 0.0 ELSE round_even(agree / (agree + contradict), 4) END AS rate FROM counts""",
-    "case_supports": f"""WITH {FRAMES}{CASES}, held AS (SELECT {CANON} AS value, CASE WHEN role LIKE 'obl:%' AND role <> 'obl:a' THEN 'obl:x' ELSE role END AS role FROM cases c JOIN args a ON c.doc_id = a.doc_id AND c.unit = a.unit AND c.u = a.arg)
+    "case_supports": f"""WITH RECURSIVE {FRAMES}, held AS (SELECT {CANON} AS value, CASE WHEN role LIKE 'obl:%' AND role <> 'obl:a' THEN 'obl:x' ELSE role END AS role FROM cases c JOIN args a ON c.doc_id = a.doc_id AND c.unit = a.unit AND c.u = a.arg)
         SELECT value, role, (value = 'nominative' AND role = 'subj') OR (value = 'accusative' AND role = 'obj') OR (value = 'dative' AND role IN ('iobj', 'obl:a')) OR (value IN ('ablative', 'locative') AND role LIKE 'obl%') AS supports, count(*) AS n FROM held GROUP BY ALL""",
-    "derive_predicates": f"WITH {FRAMES} SELECT * FROM preds",
-    "derive_args": f"WITH {FRAMES} SELECT * FROM args",
-    "derive_frames": f"WITH {FRAMES} SELECT * FROM derived",
-    "tuple_grouping": f"""WITH {FRAMES} SELECT doc_id, unit, pred, coalesce(string_agg(role || '=' || arg, ' ' ORDER BY {RANK}, arg, role) FILTER (role <> ''), '') AS args FROM derived GROUP BY ALL""",
-    "divergence_classes": f"WITH {DIVERGENCE} SELECT * FROM divergence",
-    "violation_stats": f"WITH {DIVERGENCE} SELECT kind, role, given_role, count(*) AS n, count(*) FILTER (arg = 0) AS n_empty FROM divergence GROUP BY ALL",
-    "null_subject_repair": f"""WITH {DIVERGENCE} SELECT doc_id, unit, pred, min(arg) FILTER (kind = 'missing_arg' AND role = 'subj' AND arg > 0) AS arg FROM divergence GROUP BY ALL
+    "derive_predicates": f"WITH RECURSIVE {FRAMES} SELECT * FROM preds",
+    "derive_args": f"WITH RECURSIVE {FRAMES} SELECT * FROM args",
+    "derive_frames": f"WITH RECURSIVE {FRAMES} SELECT * FROM derived",
+    "control_subjects": f"""WITH RECURSIVE {FRAMES}, silent AS (SELECT doc_id, unit, pred AS u FROM raw_frames GROUP BY ALL HAVING NOT bool_or(role = 'subj')),
+        ends AS (SELECT doc_id, unit, pred AS u, bool_or(arg = 0) AS void FROM raw_frames WHERE role = 'subj' GROUP BY ALL),
+        steps AS (SELECT s.doc_id, s.unit, s.u, e.head AS place, e.deprel LIKE 'acl%' AS hangs, 1 AS k, [s.u] AS seen FROM silent s JOIN edges e USING (doc_id, unit, u) WHERE e.head > 0 AND e.head <> s.u
+            UNION ALL SELECT s.doc_id, s.unit, s.u, e.head, e.deprel LIKE 'acl%', s.k + 1, list_append(s.seen, s.place) FROM steps s JOIN edges e ON e.doc_id = s.doc_id AND e.unit = s.unit AND e.u = s.place
+                WHERE s.k < 8 AND e.head > 0 AND e.head <> s.place AND NOT list_contains(s.seen, e.head) AND (s.doc_id, s.unit, s.place) NOT IN (SELECT doc_id, unit, u FROM ends)),
+        pronoun AS (SELECT r.doc_id, r.unit, c.head AS place, r.u FROM edges r JOIN edges c ON c.doc_id = r.doc_id AND c.unit = r.unit AND c.u = r.head WHERE r.deprel IN {SUBJ} AND rtrim(lower(r.word), ) IN ('che', 'ch', 'cui', 'chi') AND c.deprel = 'acl:relcl')
+        SELECT s.doc_id, s.unit, s.u, f.arg AS candidate, false AS open FROM steps s JOIN raw_frames f ON f.doc_id = s.doc_id AND f.unit = s.unit AND f.pred = s.place WHERE f.arg > 0 AND (f.role IN ('subj', 'obj', 'iobj') OR f.role LIKE 'obl%')
+        UNION SELECT doc_id, unit, u, place, false FROM steps WHERE hangs UNION SELECT s.doc_id, s.unit, s.u, p.u, false FROM steps s JOIN pronoun p ON p.doc_id = s.doc_id AND p.unit = s.unit AND p.place = s.place WHERE hangs
+        UNION SELECT s.doc_id, s.unit, s.u, place, false FROM steps s JOIN edges e ON e.doc_id = s.doc_id AND e.unit = s.unit AND e.u = s.place WHERE e.pos IN ('verb + pronoun', 'pronoun + pronoun')
+        UNION SELECT s.doc_id, s.unit, s.u, NULL, true FROM steps s JOIN ends e ON e.doc_id = s.doc_id AND e.unit = s.unit AND e.u = s.place WHERE void""",
+    "frame_derivation": f"WITH RECURSIVE {FRAMES} SELECT * FROM raw_frames",
+    "tuple_grouping": f"""WITH RECURSIVE {FRAMES} SELECT doc_id, unit, pred, coalesce(string_agg(role || '=' || arg, ' ' ORDER BY {RANK}, arg, role) FILTER (role <> ''), '') AS args FROM derived GROUP BY ALL""",
+    "divergence_classes": f"WITH RECURSIVE {DIVERGENCE} SELECT * FROM divergence",
+    "violation_stats": f"WITH RECURSIVE {DIVERGENCE} SELECT kind, role, given_role, count(*) AS n, count(*) FILTER (arg = 0) AS n_empty FROM divergence GROUP BY ALL",
+    "null_subject_repair": f"""WITH RECURSIVE {DIVERGENCE} SELECT doc_id, unit, pred, min(arg) FILTER (kind = 'missing_arg' AND role = 'subj' AND arg > 0) AS arg FROM divergence GROUP BY ALL
         HAVING count(*) FILTER (kind = 'missing_arg' AND role = 'subj' AND arg > 0) = 1 AND count(*) FILTER (kind = 'extra_arg' AND given_role = 'subj' AND arg = 0) = 1""",
-    "dual_role": f"WITH {FRAMES} SELECT doc_id, unit, pred, arg, count(DISTINCT role) AS n_roles FROM given WHERE arg > 0 GROUP BY ALL HAVING count(DISTINCT role) > 1",
-    "role_prf": f"""WITH {FRAMES}, g AS (SELECT DISTINCT *, 1 AS g FROM derived), m AS (SELECT DISTINCT *, 1 AS m FROM given),
+    "dual_role": f"WITH RECURSIVE {FRAMES} SELECT doc_id, unit, pred, arg, count(DISTINCT role) AS n_roles FROM given WHERE arg > 0 GROUP BY ALL HAVING count(DISTINCT role) > 1",
+    "role_prf": f"""WITH RECURSIVE {FRAMES}, g AS (SELECT DISTINCT *, 1 AS g FROM derived), m AS (SELECT DISTINCT *, 1 AS m FROM given),
         counts AS (SELECT role, count(*) FILTER (g = 1 AND m = 1) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (m IS NULL) AS fn FROM g FULL JOIN m USING (doc_id, unit, pred, role, arg) GROUP BY role)
         SELECT *, {PRF} FROM counts""",
-    "set_diff_rows": f"WITH {FRAMES} SELECT doc_id, unit, pred, role, arg FROM derived EXCEPT ALL SELECT doc_id, unit, pred, role, arg FROM given",
+    "set_diff_rows": f"WITH RECURSIVE {FRAMES} SELECT doc_id, unit, pred, role, arg FROM derived EXCEPT ALL SELECT doc_id, unit, pred, role, arg FROM given",
     "role_canon": f"""WITH {EDGES}, each_role AS (SELECT unnest([deprel, 'obl:' || lemma, 'attr', 'iobj']) AS role FROM edges), {FORMS}
         SELECT role, CASE role WHEN 'attr' THEN 'xcomp' WHEN 'iobj' THEN 'obl:a' ELSE coalesce('obl:' || f.name, role) END AS canonical, {RANK}::BIGINT AS rank,
             role IN ('subj', 'obj', 'iobj', 'attr', 'xcomp', 'ccomp', 'obl') OR regexp_full_match(role, 'obl:[a-zàèéìòù'']+') AS valid, count(*) AS n FROM each_role LEFT JOIN forms f ON role = 'obl:' || f.form GROUP BY ALL""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans.oracle import AGREEMENT, CANON, CASES, DIVERGENCE, EDGES, FORMS, FRAMES, GROUPED, LINES, MORPH, PRF, QUOTES, SPANS
+from spanloom.plans.oracle import AGREEMENT, ARGS, CANON, CASES, DIVERGENCE, EDGES, FORMS, FRAMES, GROUPED, HEADS, LINES, MORPH, PRF, QUOTES, SPANS
 
-CLAUSES = "('root', 'ccomp', 'xcomp', 'acl:relcl', 'advcl', 'parataxis')"
+CLAUSES = HEADS
 
 SQL: dict[str, str] = {
     "pos_predicates": f"""WITH {MORPH} SELECT pos, note, count(*) AS n, count(*) FILTER (regexp_matches(pos, 'noun')) AS nominal, count(*) FILTER (regexp_matches(pos, 'noun|adjective|verb')) AS can_head,
@@ -24,8 +24,8 @@ SQL: dict[str, str] = {
     "token_json": f"""WITH {MORPH} SELECT doc_id, '{{"line":' || line || ',"token":' || token || ',"word":"' || word || '"}}' AS json FROM numbered""",
     "selected_lines": f"""WITH {LINES} SELECT doc_id, line, md5(text) AS text FROM lines WHERE line BETWEEN 2 AND 4 AND doc_id IN (SELECT doc_id FROM lines GROUP BY doc_id HAVING max(line) >= 4)""",
     "unit_membership": f"""WITH {GROUPED}, bounds AS (SELECT doc_id, unit, min(line) AS first_line, max(line) AS last_line FROM grouped GROUP BY ALL) SELECT l.doc_id, l.line, b.unit, b.first_line, b.last_line FROM lines l JOIN bounds b ON l.doc_id = b.doc_id AND l.line BETWEEN b.first_line AND b.last_line""",
-    "predicate_ordinals": f"""WITH {FRAMES} SELECT doc_id, line, token, row_number() OVER (PARTITION BY doc_id, line ORDER BY token) AS ordinal FROM edges JOIN preds USING (doc_id, unit, u)""",
-    "member_positions": f"""WITH {FRAMES}{SPANS} SELECT doc_id, count(*) AS n FROM (SELECT doc_id, line, head AS token FROM spans UNION SELECT doc_id, line, token FROM edges WHERE pos LIKE '%pronoun%' OR deprel IN ('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl')
+    "predicate_ordinals": f"""WITH RECURSIVE {FRAMES} SELECT doc_id, line, token, row_number() OVER (PARTITION BY doc_id, line ORDER BY token) AS ordinal FROM edges JOIN preds USING (doc_id, unit, u)""",
+    "member_positions": f"""WITH RECURSIVE {FRAMES}{SPANS} SELECT doc_id, count(*) AS n FROM (SELECT doc_id, line, head AS token FROM spans UNION SELECT doc_id, line, token FROM edges WHERE pos LIKE '%pronoun%' OR deprel IN {ARGS}
         OR (doc_id, unit, u) IN (SELECT doc_id, unit, u FROM preds)) GROUP BY doc_id""",
     "first_uses": f"""WITH {MORPH}, ranked AS (SELECT lower(word) AS word, doc_id, line, token, row_number() OVER (PARTITION BY lower(word) ORDER BY doc_id, line, token) AS k, count(*) OVER (PARTITION BY lower(word)) AS n FROM numbered) SELECT word, doc_id, line, token, n FROM ranked WHERE k = 1""",
     "relative_antecedents": f"""WITH {EDGES} SELECT h.pos, count(*) AS n FROM edges e JOIN edges h ON e.doc_id = h.doc_id AND e.unit = h.unit AND e.head = h.u WHERE e.deprel = 'acl:relcl' GROUP BY ALL""",
@@ -43,7 +43,7 @@ SQL: dict[str, str] = {
         SELECT doc_id, unit, u, string_agg(DISTINCT form, '+' ORDER BY form) AS lemmas FROM below GROUP BY ALL""",
 }
 
-ROLE_SET = "('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl')"
+ROLE_SET = ARGS
 SOFT = "('tag', 'head_pos', 'uncovered', 'mention', 'many_roots', 'vocabulary', 'relative_head', 'several_objects', 'agreement', 'role', 'member', 'dual_role')"
 VALID = "(role IN ('subj', 'obj', 'iobj', 'attr', 'xcomp', 'ccomp', 'obl') OR regexp_full_match(role, 'obl:[a-zàèéìòù'']+'))"
 BY_KIND = f"SELECT doc_id, kind, CASE WHEN kind IN {SOFT} THEN 'soft' ELSE 'hard' END AS severity, count(*) AS n FROM found GROUP BY ALL"
@@ -114,26 +114,26 @@ SQL |= {
         UNION ALL SELECT doc_id, 'mention' FROM known WHERE pos = 'verb + pronoun' AND token % 3 = 0) {BY_KIND}""",
     "edge_violations": f"WITH RECURSIVE {EDGES}{_edge_faults('SELECT * REPLACE (CASE WHEN h % 47 = 0 THEN n + 5 ELSE head END AS head) FROM edges')} {BY_KIND}",
     "clean_units": f"""WITH RECURSIVE {EDGES}{_edge_faults('SELECT * FROM edges')} SELECT doc_id, count(*) AS n, count(DISTINCT unit) AS units FROM edges WHERE (doc_id, unit) NOT IN (SELECT doc_id, unit FROM found WHERE kind NOT IN {SOFT}) GROUP BY doc_id""",
-    "frame_violations": f"""WITH {FRAMES}{SPANS}{GIVEN}, named AS (SELECT DISTINCT doc_id, unit, pred AS arg FROM rows), judged AS (SELECT k.*, m.arg IS NOT NULL AS is_pred, row_number() OVER (PARTITION BY k.doc_id, k.unit, k.pred, k.role, k.arg) > 1 AS again
+    "frame_violations": f"""WITH RECURSIVE {FRAMES}{SPANS}{GIVEN}, named AS (SELECT DISTINCT doc_id, unit, pred AS arg FROM rows), judged AS (SELECT k.*, m.arg IS NOT NULL AS is_pred, row_number() OVER (PARTITION BY k.doc_id, k.unit, k.pred, k.role, k.arg) > 1 AS again
             FROM known k LEFT JOIN named m ON k.doc_id = m.doc_id AND k.unit = m.unit AND k.arg = m.arg),
         found AS (SELECT doc_id, 'dup' AS kind FROM judged WHERE again OR arg = pred UNION ALL SELECT doc_id, 'position' FROM judged WHERE (arg = 0 AND role NOT IN ('subj', '')) OR arg > n
         UNION ALL SELECT doc_id, 'clausal' FROM judged WHERE role IN ('ccomp', 'xcomp') AND NOT is_pred UNION ALL SELECT doc_id, 'role' FROM judged WHERE role <> '' AND NOT {VALID}
         UNION ALL SELECT doc_id, 'member' FROM judged WHERE role NOT IN ('', 'attr', 'xcomp', 'ccomp') AND arg > 0 AND arg <> pred AND NOT (held OR is_pred OR coalesce(pos LIKE '%pronoun%' OR deprel IN {ROLE_SET} OR (role LIKE 'obl%' AND pos = 'adverb'), false))
         UNION ALL SELECT doc_id, 'dual_role' FROM rows WHERE arg > 0 AND arg <> pred AND role <> '' GROUP BY doc_id, unit, pred, arg HAVING count(DISTINCT role) > 1) {BY_KIND}""",
-    "candidate_checks": f"WITH {FRAMES}{SPANS}{CASES}{CANDIDATES} SELECT doc_id, kind, level, count(*) AS n FROM found GROUP BY ALL",
-    "candidate_valid": f"""WITH {FRAMES}{SPANS}{CASES}{CANDIDATES}, units AS (SELECT DISTINCT doc_id, unit FROM rows) SELECT doc_id, count(*) AS units, count(*) FILTER ((doc_id, unit) NOT IN (SELECT doc_id, unit FROM found WHERE level = 'error')) AS valid FROM units GROUP BY doc_id""",
-    "violation_classes": f"WITH {CLASSED} SELECT class, 'before' AS stage, count(*) AS n FROM classed GROUP BY ALL UNION ALL SELECT class, 'after', count(*) FROM joined GROUP BY ALL",
-    "fix_gains": f"""WITH {CLASSED}, counts AS (SELECT doc_id, unit, class, sum(b) AS b, sum(a) AS a FROM (SELECT doc_id, unit, class, 1 AS b, 0 AS a FROM classed UNION ALL SELECT doc_id, unit, class, 0, 1 FROM joined) GROUP BY ALL),
+    "candidate_checks": f"WITH RECURSIVE {FRAMES}{SPANS}{CANDIDATES} SELECT doc_id, kind, level, count(*) AS n FROM found GROUP BY ALL",
+    "candidate_valid": f"""WITH RECURSIVE {FRAMES}{SPANS}{CANDIDATES}, units AS (SELECT DISTINCT doc_id, unit FROM rows) SELECT doc_id, count(*) AS units, count(*) FILTER ((doc_id, unit) NOT IN (SELECT doc_id, unit FROM found WHERE level = 'error')) AS valid FROM units GROUP BY doc_id""",
+    "violation_classes": f"WITH RECURSIVE {CLASSED} SELECT class, 'before' AS stage, count(*) AS n FROM classed GROUP BY ALL UNION ALL SELECT class, 'after', count(*) FROM joined GROUP BY ALL",
+    "fix_gains": f"""WITH RECURSIVE {CLASSED}, counts AS (SELECT doc_id, unit, class, sum(b) AS b, sum(a) AS a FROM (SELECT doc_id, unit, class, 1 AS b, 0 AS a FROM classed UNION ALL SELECT doc_id, unit, class, 0, 1 FROM joined) GROUP BY ALL),
         verdicts AS (SELECT doc_id, unit, sum(a) < sum(b) AND count(*) FILTER (b = 0 AND a > 0) = 0 AS improved FROM counts GROUP BY ALL) SELECT doc_id, improved, count(*) AS n FROM verdicts GROUP BY ALL""",
-    "role_micro_macro": f"""WITH {FRAMES}, g AS (SELECT DISTINCT *, 1 AS g FROM derived), m AS (SELECT DISTINCT *, 1 AS m FROM given),
+    "role_micro_macro": f"""WITH RECURSIVE {FRAMES}, g AS (SELECT DISTINCT *, 1 AS g FROM derived), m AS (SELECT DISTINCT *, 1 AS m FROM given),
         counts AS (SELECT role, count(*) FILTER (g = 1 AND m = 1) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (m IS NULL) AS fn FROM g FULL JOIN m USING (doc_id, unit, pred, role, arg) GROUP BY role),
         each_role AS (SELECT *, {PRF} FROM counts), sums AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round_even(avg(f1), 4) AS macro_f1 FROM each_role) SELECT tp, fp, fn, macro_f1, {PRF} FROM sums""",
-    "accumulated_rows": f"""WITH {FRAMES}{SUBMITTED}, last AS (SELECT doc_id, unit, pred, max(submission) AS submission FROM submitted GROUP BY ALL) SELECT doc_id, count(*) AS n, sum(submission)::BIGINT AS submissions FROM submitted JOIN last USING (doc_id, unit, pred, submission) GROUP BY doc_id""",
-    "predicate_first_pass": f"""WITH {FRAMES}{SUBMITTED}, first AS (SELECT doc_id, unit, pred, min(submission) AS submission FROM submitted GROUP BY ALL),
+    "accumulated_rows": f"""WITH RECURSIVE {FRAMES}{SUBMITTED}, last AS (SELECT doc_id, unit, pred, max(submission) AS submission FROM submitted GROUP BY ALL) SELECT doc_id, count(*) AS n, sum(submission)::BIGINT AS submissions FROM submitted JOIN last USING (doc_id, unit, pred, submission) GROUP BY doc_id""",
+    "predicate_first_pass": f"""WITH RECURSIVE {FRAMES}{SUBMITTED}, first AS (SELECT doc_id, unit, pred, min(submission) AS submission FROM submitted GROUP BY ALL),
         mine AS (SELECT doc_id, unit, pred, string_agg(DISTINCT role || '=' || arg, ' ' ORDER BY role || '=' || arg) AS rows FROM submitted JOIN first USING (doc_id, unit, pred, submission) GROUP BY ALL),
         gold AS (SELECT doc_id, unit, pred, string_agg(DISTINCT role || '=' || arg, ' ' ORDER BY role || '=' || arg) AS rows FROM derived GROUP BY ALL)
         SELECT g.doc_id, count(*) AS preds, count(*) FILTER (g.rows = m.rows) AS passed FROM gold g LEFT JOIN mine m USING (doc_id, unit, pred) GROUP BY ALL""",
-    "exact_units": f"""WITH {FRAMES}, odd AS (SELECT doc_id, unit FROM (SELECT DISTINCT * FROM given) g FULL JOIN (SELECT DISTINCT *, 1 AS d FROM derived) d USING (doc_id, unit, pred, role, arg) WHERE d IS NULL OR g.doc_id IS NULL),
+    "exact_units": f"""WITH RECURSIVE {FRAMES}, odd AS (SELECT doc_id, unit FROM (SELECT DISTINCT * FROM given) g FULL JOIN (SELECT DISTINCT *, 1 AS d FROM derived) d USING (doc_id, unit, pred, role, arg) WHERE d IS NULL OR g.doc_id IS NULL),
         units AS (SELECT doc_id, unit FROM given UNION SELECT doc_id, unit FROM derived) SELECT doc_id, count(*) AS units, count(*) FILTER ((doc_id, unit) NOT IN (SELECT * FROM odd)) AS exact FROM units GROUP BY doc_id""",
 }
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from spanloom.plans.oracle import CANON, CASES, DIVERGENCE, climb
+from spanloom.plans.oracle import ARGS, CANON, DIVERGENCE, climb
 
 CONTEXT = (
     DIVERGENCE
-    + CASES
     + climb("a", "'aux', 'aux:pass', 'cop'", 8)
     + climb("c", "'conj', 'appos', 'flat', 'compound'", 8)
     + climb("j", "'conj'", 16)
@@ -15,7 +14,7 @@ aux_ends AS (SELECT doc_id, unit, u, arg_max(place, steps) AS aux FROM a GROUP B
 tops AS (SELECT doc_id, unit, u, arg_max(place, steps) AS top FROM j GROUP BY ALL),
 kids AS (SELECT doc_id, unit, head AS u, list(lemma) FILTER (deprel = 'case') AS preps, list(lemma) FILTER (deprel IN ('case', 'mark')) AS marks, count(*) FILTER (deprel = 'case') AS n_case, count(*) FILTER (deprel = 'cop') AS n_cop,
     count(*) FILTER (deprel IN ('det', 'amod')) AS n_det, count(*) FILTER (deprel IN ('obl', 'ccomp', 'xcomp', 'advcl')) AS n_comp, count(*) FILTER (deprel = 'orphan') AS n_orphan,
-    count(*) FILTER (deprel IN ('nsubj', 'obj', 'iobj', 'ccomp', 'xcomp', 'obl')) AS n_args FROM edges WHERE head > 0 GROUP BY ALL),
+    count(*) FILTER (deprel IN ARGSLIST) AS n_args FROM edges WHERE head > 0 GROUP BY ALL),
 tok AS (SELECT e.doc_id, e.unit, e.u, e.pos, e.lemma, e.deprel, e.head, x.aux, coalesce(h.aux, 0) AS host, o.coord, t.top, k.preps, k.marks, coalesce(k.n_case, 0) AS n_case, coalesce(k.n_cop, 0) AS n_cop, coalesce(k.n_det, 0) AS n_det,
     coalesce(k.n_comp, 0) AS n_comp, coalesce(k.n_orphan, 0) AS n_orphan, coalesce(k.n_args, 0) AS n_args, string_split(CANON, '+') AS slots, p.u IS NOT NULL AS is_pred
     FROM edges e JOIN aux_ends x USING (doc_id, unit, u) JOIN coord_ends o USING (doc_id, unit, u) JOIN tops t USING (doc_id, unit, u) LEFT JOIN aux_ends h ON e.doc_id = h.doc_id AND e.unit = h.unit AND e.head = h.u
@@ -36,7 +35,7 @@ ctx AS (SELECT v.doc_id, v.unit, v.pred, v.arg, v.kind, v.role, v.given_role AS
     LEFT JOIN tok x ON p.doc_id = x.doc_id AND p.unit = x.unit AND p.aux = x.u LEFT JOIN tok t ON p.doc_id = t.doc_id AND p.unit = t.unit AND p.top = t.u
     LEFT JOIN dl ON v.doc_id = dl.doc_id AND v.unit = dl.unit AND v.pred = dl.pred LEFT JOIN gl ON v.doc_id = gl.doc_id AND v.unit = gl.unit AND v.pred = gl.pred LEFT JOIN void ON v.doc_id = void.doc_id AND v.unit = void.unit AND v.pred = void.pred
     LEFT JOIN cited ON v.doc_id = cited.doc_id AND v.unit = cited.unit AND v.pred = cited.pred LEFT JOIN near ON v.doc_id = near.doc_id AND v.unit = near.unit AND v.pred = near.pred AND v.arg = near.arg
-    LEFT JOIN gp ON v.doc_id = gp.doc_id AND v.unit = gp.unit AND v.arg = gp.pred)""".replace("CANON", CANON.replace('"case"', 'c."case"'))
+    LEFT JOIN gp ON v.doc_id = gp.doc_id AND v.unit = gp.unit AND v.arg = gp.pred)""".replace("ARGSLIST", ARGS).replace("CANON", CANON.replace('"case"', 'c."case"'))
 )
 
 #: By kind of difference: what makes it acceptable. ``X`` is the preposition of a given oblique.

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from spanloom.functions import text as fn
 from spanloom.operators import agreement as ag
+from spanloom.operators import cascade, derivation
 from spanloom.operators import edges as eg
 from spanloom.operators import frames as fr
 from spanloom.operators import quotes as qt
@@ -370,12 +371,42 @@ def derive_args(spark, sf):
 
 @query
 def derive_frames(spark, sf):
-    return fr.derived(layers.wide(spark, sf))
+    t = layers.wide(spark, sf)
+    return fr.derived(t, layers.case_rows(spark, sf, t))
+
+
+@query
+def frame_derivation(spark, sf):
+    """Frames with the roles of the derivation, before they are made canonical."""
+    t = layers.wide(spark, sf)
+    return derivation.frames(t, layers.case_rows(spark, sf, t))
+
+
+@query
+def control_subjects(spark, sf):
+    """Candidates for the subject of every predicate that has none."""
+    t = layers.wide(spark, sf)
+    frames = staged(derivation.frames(t, layers.case_rows(spark, sf, t)), "frames")
+    silent = frames.groupBy(*UNIT, F.col("pred").alias("u")).agg(F.bool_or(F.col("role") == "subj").alias("has")).filter("NOT has")
+    return cascade.control_subjects(t, frames, silent)
+
+
+@query
+def cascade_differences(spark, sf):
+    """Where given and derived frames differ after authority over subjects and the cascade of names."""
+    tokens = layers.wide(spark, sf)
+    rows = staged(layers.frames_of(spark, sf, tokens), "frames")
+    t = cascade.facts(tokens)
+    raw = staged(derivation.frames(tokens, layers.case_rows(spark, sf, tokens)), "raw")
+    held = layers.spans(spark, sf, tokens)
+    left = staged(cascade.authority(rows.filter("given"), raw, t, held), "left")
+    return cascade.compared(cascade.cascade(left, t, held))
 
 
 @query
 def tuple_grouping(spark, sf):
-    return fr.tuples(fr.derived(layers.wide(spark, sf)))
+    t = layers.wide(spark, sf)
+    return fr.tuples(fr.derived(t, layers.case_rows(spark, sf, t)))
 
 
 @query
