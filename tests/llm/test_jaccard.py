@@ -65,7 +65,7 @@ def test_hot_buckets(spark, monkeypatch):
     nodes = jaccard.staged(jaccard.sketches(df).drop("doc_id", "mark").dropDuplicates(["node"]), "nodes")
     members = jaccard.staged(jaccard.buckets(nodes), "members")
     alone = nodes.limit(0).select("node", nodes.node.alias("root"))
-    whole, cut = ({tuple(x) for x in jaccard.across(members, nodes, alone, hot=hot).collect()} for hot in (1000, 7))
+    whole, cut = ({(x.a, x.b) for x in jaccard.across(members, nodes, alone, hot=hot).collect()} for hot in (1000, 7))
     assert whole == cut and len(whole) > 100
     assert {x.doc_id for x in jaccard.keep_one(df).collect()} == kept_by_brute(docs)
 
@@ -97,3 +97,24 @@ def test_odd_rows(spark, odd_docs, no_docs):
     ids = [x.doc_id for x in kept.collect()]
     assert ids.count(0) == 1 and ids.count(2) == 1 and ids.count(3) == 1 and None in ids and not {1, 4, 7} & set(ids)
     assert jaccard.keep_one(no_docs).collect() == []
+
+
+def test_sets_are_sent_once_to_a_group(spark):
+    """Pairs of one bucket in blocks: every pair is there, with both sets, and few sets are sent."""
+    pairs = [(7, a, b) for a in range(60) for b in range(a + 1, 60)] + [(k, 1000 + k, 2000 + k) for k in range(30)]
+    df = spark.createDataFrame(pairs, "bucket long, a long, b long")
+    for block, sets in ((256, 4096), (10, 20)):
+        asked, needed = jaccard.dealt(df, block, sets)
+        asked, needed = [tuple(x) for x in asked.collect()], [tuple(x) for x in needed.collect()]
+        assert sorted((a, b) for _, a, b in asked) == sorted((a, b) for _, a, b in pairs)
+        assert len(set(needed)) == len(needed) and {(g, x) for g, a, b in asked for x in (a, b)} == set(needed)
+        assert len(needed) < len(pairs) / 2
+
+
+def test_templates(spark):
+    """Texts of one template on both sides of the threshold: the components are those of brute force."""
+    r = np.random.default_rng(9)
+    words = [f"t{i}" for i in range(150)]
+    docs = [(k, edited(words, r, (0.01, 0.02, 0.03, 0.035)[k % 4])) for k in range(160)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in jaccard.keep_one(df).collect()} == kept_by_brute(docs)
