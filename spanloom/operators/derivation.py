@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from spanloom.functions.text import canonical_case, first_lemma, is_verb, normal_preposition, role_rank
 from spanloom.operators.edges import FUNCTION, UNIT, by_unit
+from spanloom.sources.staging import staged
 
 #: Relations of clause heads, subjects, and roles of argument relations.
 CLAUSES = ("root", "ccomp", "xcomp", "csubj", "csubj:pass", "advcl", "acl", "acl:relcl", "parataxis")
@@ -90,7 +91,7 @@ def with_facts(tokens: DataFrame, keys: tuple[str, ...] = UNIT, on: On = always)
     bare, word = F.col("n_args") == 0, F.lower("pos").contains("conjunction")
     clause = rel.isin(*CLAUSES) & ~(word & bare & on("BN")) & ~(F.col("gapped") & ~verb & on("AN"))
     member = (rel == "conj") & ~word & ~F.col("gapped")
-    t = _children(tokens, keys).withColumns({
+    t = (tokens if "aux_bits" in tokens.columns else _children(tokens, keys)).withColumns({
         "_clause": rel.isin(*CLAUSES),
         "_sure": clause | (verb & ~rel.isin(*FUNCTION) & ~bare),
         "_first": member & ~(~verb & bare & ~F.col("has_aux") & on("CA")),
@@ -233,3 +234,17 @@ def frames(tokens: DataFrame, cases: DataFrame | None = None, keys: tuple[str, .
     rows = t.select(*keys, F.inline(F.filter(each, lambda x: x.isNotNull())))
     gapped = t.filter(F.col("gapped") & (rel == "conj") & F.col("head_pred")).select(*keys, F.col("head").alias("pred")).distinct()
     return rows.union(remnants(t, rows.join(gapped, [*keys, "pred"], "left_semi"), cases, keys, on))
+
+
+def census(tokens: DataFrame, cases: DataFrame | None = None, keys: tuple[str, ...] = UNIT) -> DataFrame:
+    """``(rule, n_more, n_fewer)``: how many rows of frames appear, and go, if a rule is off.
+
+    All variants are derived in one pass, keyed by the rule that is off; without a rule is the base.
+    """
+    told = staged(_children(tokens, keys).drop("lemma", "token", "prep"), "children")  # the same for all variants
+    variants = told.withColumn("off", F.explode(F.array(F.lit(""), *map(F.lit, RULES))))
+    rows = frames(variants, cases, (*keys, "off"), lambda r: F.col("off") != r)
+    sides = rows.groupBy(*keys, "pred", "role", "arg").agg(F.collect_set("off").alias("there"))
+    each = sides.select(F.array_contains("there", "").alias("base"), "there", F.explode(F.array(*map(F.lit, RULES))).alias("rule"))
+    without = F.array_contains("there", F.col("rule"))
+    return each.groupBy("rule").agg(F.count_if(without & ~F.col("base")).alias("n_more"), F.count_if(~without & F.col("base")).alias("n_fewer"))

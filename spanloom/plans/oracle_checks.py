@@ -7,6 +7,10 @@ from spanloom.plans.oracle import AGREEMENT, ARGS, CANON, CASES, DIVERGENCE, EDG
 CLAUSES = HEADS
 
 SQL: dict[str, str] = {
+    "table_merge": f"""WITH {LINES}, t AS (SELECT doc_id, line, length(text) AS n, min(line) OVER (PARTITION BY doc_id) AS first FROM lines),
+        rows AS (SELECT doc_id, line, 0 AS k, '| line | size |' AS text FROM t WHERE line = first UNION ALL SELECT doc_id, line, 1, '|---|---|' FROM t WHERE line = first
+            UNION ALL SELECT doc_id, line, 2, '' FROM t WHERE line <> first AND (doc_id + n) % 4 <> 0 AND n % 5 = 0 UNION ALL SELECT doc_id, line, 3, '| ' || line || ' | ' || n || ' |' FROM t)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) AS place, text FROM rows""",
     "pos_predicates": f"""WITH {MORPH} SELECT pos, note, count(*) AS n, count(*) FILTER (regexp_matches(pos, 'noun')) AS nominal, count(*) FILTER (regexp_matches(pos, 'noun|adjective|verb')) AS can_head,
         count(*) FILTER (pos = 'noun' AND note NOT LIKE '%NO_NP%' AND note <> 'CONT_NEXT') AS needs_span, count(*) FILTER (pos LIKE '%noun%' OR note = 'RELCL_HEAD') AS relative_head FROM morph GROUP BY ALL""",
     "preposition_forms": f"""WITH {MORPH}, {FORMS}, firsts AS (SELECT lower(trim(split_part(lemma, '+', 1))) AS lemma FROM morph) SELECT lemma, name AS normal, count(*) AS n FROM firsts JOIN forms ON lemma = form GROUP BY ALL""",
@@ -178,7 +182,7 @@ SQL |= {
     "guarded_walks": f"""WITH RECURSIVE {EDGES}, v AS (SELECT *, pos LIKE 'verb%' AS verb FROM edges),
         co AS (SELECT doc_id, unit, u, u AS place, [u] AS path FROM v UNION ALL SELECT w.doc_id, w.unit, w.u, h.u, list_append(w.path, h.u) FROM co w JOIN v e ON e.doc_id = w.doc_id AND e.unit = w.unit AND e.u = w.place
             JOIN v h ON h.doc_id = e.doc_id AND h.unit = e.unit AND h.u = e.head WHERE len(w.path) < 9 AND e.deprel IN ('conj', 'appos', 'flat', 'compound') AND NOT list_contains(w.path, h.u)
-            AND NOT (e.deprel = 'conj' AND NOT e.verb AND h.verb AND h.deprel NOT IN ('nsubj', 'nsubj:pass', 'obj', 'iobj', 'attr', 'xcomp', 'ccomp', 'obl'))),
+            AND NOT (e.deprel = 'conj' AND NOT e.verb AND h.verb AND h.deprel NOT IN {ARGS})),
         pr AS (SELECT doc_id, unit, u, u AS place, [u] AS path FROM v WHERE deprel = 'fixed' OR (deprel = 'case' AND (doc_id, unit, u) IN (SELECT doc_id, unit, head FROM edges WHERE deprel = 'fixed'))
             UNION ALL SELECT w.doc_id, w.unit, w.u, e.head, list_append(w.path, e.head) FROM pr w JOIN v e ON e.doc_id = w.doc_id AND e.unit = w.unit AND e.u = w.place
             WHERE len(w.path) < 9 AND e.deprel IN ('fixed', 'case') AND e.head > 0 AND NOT list_contains(w.path, e.head)),

@@ -26,4 +26,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back; its lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_in = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_in)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
