@@ -7,8 +7,9 @@ from spanloom.plans.catalogue import QUERIES, SQL
 
 
 #: Too slow in SQL over whole units, or greedy in order; tested against brute force in test_whole_jobs,
-#: test_cascade, test_align, test_derivation and test_repair.
-WITHOUT_SQL = {"subtree_starts", "cascade_differences", "feature_alignment", "span_claims", "repeated_spans", "annex_alignment", "derivation_census", "repair_fixpoint"}
+#: test_cascade, test_align, test_derivation, test_repair
+#: and test_submit.
+WITHOUT_SQL = {"subtree_starts", "cascade_differences", "feature_alignment", "span_claims", "repeated_spans", "annex_alignment", "derivation_census", "repair_fixpoint", "candidate_verdicts"}
 
 
 def test_every_query_has_its_sql():
