@@ -56,17 +56,26 @@ def test_small_table(spark, small):
     assert {x.doc_id for x in jaccard.keep_one(df).collect()} == kept_by_brute(docs)
 
 
-def test_hot_buckets(spark, monkeypatch):
-    """Buckets cut into blocks of which every two meet give the same pairs."""
+def test_families_in_blocks(spark):
+    """Families cut into blocks that meet pairwise give the same components, each set is there once a task."""
     r = np.random.default_rng(6)
     words = [f"w{i}" for i in range(60)]
     docs = [(k, edited(words, r, 0.06)) for k in range(80)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    nodes = jaccard.staged(jaccard.sketches(df).drop("doc_id", "mark").dropDuplicates(["node"]), "nodes")
+    made = jaccard.staged(jaccard.sketches(df), "made")
+    nodes = made.drop("doc_id", "mark").dropDuplicates(["node"])
     members = jaccard.staged(jaccard.buckets(nodes), "members")
     alone = nodes.limit(0).select("node", nodes.node.alias("root"))
-    whole, cut = ({(x.a, x.b) for x in jaccard.across(members, nodes, alone, hot=hot).collect()} for hot in (1000, 7))
-    assert whole == cut and len(whole) > 100
+    want = None
+    for size in (1_000_000, 500):
+        related = jaccard.staged(jaccard.families(members, nodes, alone, size), "related")
+        assert related.count() == related.select("task", "node").distinct().count()
+        tasks = related.select("task").distinct().count()
+        assert (tasks > 10) == (size == 500)
+        links = jaccard.family_links(related, jaccard.shingle_sets(related, df, made))
+        roots = {x.node: x.root for x in jaccard.components(links).collect()}
+        want = want or roots
+        assert roots == want and len(set(roots.values())) < len(roots)
     assert {x.doc_id for x in jaccard.keep_one(df).collect()} == kept_by_brute(docs)
 
 
