@@ -56,7 +56,7 @@ def fixpoint(given: DataFrame, wanted: DataFrame, judge: Callable[[DataFrame, Da
         verdict = staged(chosen.join(gains, list(UNIT), "left").withColumn("kept", F.coalesce("improved", F.lit(False))).withColumn("round", F.lit(turn)).drop("improved"), "verdict")
         good = verdict.filter("kept").select(*UNIT)
         rows = staged(trial.join(good, list(UNIT), "left_semi").union(rows_open.join(good, list(UNIT), "left_anti")), "round")
-        tried = staged(verdict if tried is None else tried.union(verdict), "tried")
+        tried = staged(verdict if tried is None else tried.unionByName(verdict), "tried")
         dropped(before, chosen, rows_open, trial, after, verdict)
     if tried is None:
         return given.limit(0).select(*UNIT, "pred", F.lit("").alias("kind"), "role", "arg", F.lit(False).alias("kept"), F.lit(0).alias("round"))
