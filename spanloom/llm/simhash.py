@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import at, components, plain, restored, slices, staged, table, text_bytes
@@ -269,6 +269,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Bits of the map of ``sifted``: at most 262,144 words of it are broadcast.
+SIEVE = 1 << 24
+
+
+def sifted(rows: DataFrame, mark: Column, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false only where ``mark`` is none of ``wanted(mark)``.
+
+    A bitmap of fixed size, so whole texts that are not asked for need not be shuffled to a join.
+    """
+    place = lambda c: c.bitwiseAND(SIEVE - 1)
+    bit = F.expr("shiftleft(1L, CAST(mark & 63 AS INT))")
+    words = staged(wanted.select(F.shiftright(place(F.col("mark")), 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "sieve")
+    joined = rows.withColumn("word", F.shiftright(place(mark), 6)).withColumn("turn", mark.bitwiseAND(63).cast("int")).join(F.broadcast(words), "word", "left")
+    return joined.withColumn("maybe", F.coalesce(F.getbit("bits", F.col("turn")) == 1, F.lit(False))).drop("word", "turn", "bits")
+
+
 def one_of_each(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component in ``groups(doc_id, mark, component)``, the one with the smallest id; columns of ``docs``.
 
@@ -280,7 +296,9 @@ def one_of_each(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text
     same = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark"))
     gone = staged(groups.join(best, "component").filter(~same).select(F.col("doc_id").alias("id"), "mark").distinct(), "gone")
     rows, own, t = plain(docs), at(docs, doc_id), F.xxhash64(at(docs, text))
-    left = rows.join(gone, F.col(own).cast("long").eqNullSafe(F.col("id")) & (t == F.col("mark")), "left_anti")
+    seen = sifted(rows, t, gone)
+    held = seen.filter("maybe").join(gone, F.col(own).cast("long").eqNullSafe(F.col("id")) & (t == F.col("mark")), "left_anti")
+    left = seen.filter("NOT maybe").union(held).drop("maybe")
     if not groups.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
         left = left.withColumn("mark", t).dropDuplicates([own, "mark"])
     return restored(left, docs)
