@@ -23,8 +23,8 @@ TOKEN = re.compile(r"[a-z]+")
 
 #: Elements by their part in the layout of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style".split())
-HIDDEN = frozenset("head title template noframes noscript".split())
+RAW = frozenset("script style textarea iframe".split())
+HIDDEN = frozenset("head title template noframes noscript select datalist object audio video canvas svg".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
 )
@@ -48,7 +48,7 @@ def element_tokens(tag: str, attributes: str) -> tuple[str, ...]:
     for name, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         value = next((v for v in values if v), "").lower()
         if name.lower() == "style":
-            if "display:none" in value.replace(" ", ""):
+            if re.search(r"display:none|visibility:hidden", re.sub(r"\s", "", value)):
                 out.append("c:hidden")
         elif name.lower() in ("hidden", "aria-hidden"):
             if value != "false":

@@ -4,7 +4,9 @@ Detected entities get keyed replacements of the same kind: digits for digits in
 names of the same gender and script, addresses of the same shape. One entity has one surrogate in
 the whole corpus, however it is written (case, punctuation of numbers, with or without the country
 code 1). A person's name is replaced part by part; each part is also found where it stands alone in
-the same text. A check over all entities finds surrogates that two entities share or that are
+the same text, with either apostrophe, in capitals or not. Parts that are names of months or days stay
+where a date is told, particles and other short common words stay. Names of scripts without capitals are
+known by honorifics and given names. A check over all entities finds surrogates that two entities share or that are
 somebody's real data; these are drawn again, longer after some attempts, until there are none, so
 that different entities stay different.
 
@@ -25,27 +27,61 @@ from spanloom.llm.common import at, drop_staged, plain, restored, staged, table
 
 KEY = "spanloom"
 
-#: Given names by gender and script, honorifics, particles, and syllables of invented surnames.
+#: Given names by gender and script, honorifics before and after a name, particles, family
+#: names and honorifics of scripts without capitals, names of months and days, short words that are no names
+#: alone, and sixteen syllables of invented surnames by script.
 GIVEN = {
     ("m", "latin"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Andrew Kenneth Peter Paul George Kevin Brian Pierre François Jürgen Wolfgang Heinrich Hans Klaus Stefan Carlos Javier Miguel José Antonio Luis Ahmed Mohammed Ali Omar Hassan Giovanni Marco Luca".split(),
     ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Margaret Sandra Ashley Emily Michelle Dorothy Anna Maria Laura Julia Emma Sophie Françoise Brigitte Ursula Ingrid Monika Petra Carmen Dolores Lucía Pilar Ana Fatima Aisha Leila Zainab Giulia Francesca Chiara Marie Camille Isabelle".split(),
     ("m", "cyrillic"): "Иван Сергей Дмитрий Алексей Николай Михаил Андрей Владимир Павел Виктор Юрий Борис".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Людмила Галина Марина Вера".split(),
+    ("m", "greek"): "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης Παναγιώτης Βασίλης Αντώνης".split(),
+    ("f", "greek"): "Μαρία Ελένη Κατερίνα Βασιλική Σοφία Άννα Γεωργία Δήμητρα".split(),
+    ("m", "arabic"): "محمد أحمد علي حسن حسين عمر خالد يوسف إبراهيم محمود".split(),
+    ("f", "arabic"): "فاطمة عائشة مريم زينب ليلى سارة خديجة هدى".split(),
 }
-HONORIFICS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sra Sr".split()
+HONORIFICS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sra Sr Κύριος Κυρία Господин Госпожа".split()
+HONORIFICS_ARABIC = "السيد السيدة الدكتور الدكتورة الأستاذ الأستاذة".split()
+HONORIFICS_HAN = "先生 女士 小姐 博士 教授".split()
+FAMILY_HAN = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
 PARTICLES = "von van der den de del della di da dos du la le al el bin ibn".split()
+CALENDAR = "January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
+SHORT_WORDS = "am an as at be by do go he if in is it me my no of oh ok on or so to up us we".split()
 SYLLABLES = {
     "latin": "bar den fel gor hal kim lan mor nes pol ras sin tor val wes zan".split(),
     "cyrillic": "бар ден фел гор хал ким лан мор нес пол рас син тор вал вес зан".split(),
+    "greek": "βαρ δεν φελ γορ χαλ κιμ λαν μορ νεσ πολ ρασ σιν τορ θελ ξεν ζαν".split(),
+    "armenian": "բար դեն ֆել գոր հալ կիմ լան մոր նես պոլ րաս սին տոր վալ թես զան".split(),
+    "hebrew": "בר דן פל גר הל קם לן מר נס פל רס סן טר ול שז זן".split(),
+    "arabic": "بار دان فال غور هال كيم لان مور نيس بول راس سين تور وال شيز زان".split(),
+    "devanagari": "बार देन फेल गोर हाल किम लान मोर नेस पोल रास सिन तोर वाल शेस जान".split(),
+    "hangul": "김 이 박 최 정 강 조 윤 장 임 한 오 서 신 권 황".split(),
+    "hiragana": "あか いけ うえ おか かわ きし くら さと しま たけ なか にし のむ はし まつ やま".split(),
+    "katakana": "アカ イケ ウエ オカ カワ キシ クラ サト シマ タケ ナカ ニシ ノム ハシ マツ ヤマ".split(),
+    "han": "王李张刘陈杨赵黄周吴徐孙林何高郭",
 }
+#: Endings of invented surnames: of the script, for names with that ending, for all others.
+ENDINGS = {"cyrillic": ("а", "ова", "ов"), "greek": ("ς", "όπουλος", "οπούλου"), "armenian": ("", "յան", "յան")}
 
 ALL_GIVEN = [n for names in GIVEN.values() for n in names]
+_ARABIC_GIVEN = "|".join(n for (_, script), names in GIVEN.items() if script == "arabic" for n in names)
+_AFTER_HAN = "|".join(HONORIFICS_HAN)
+#: A letter with its marks.
+_LETTER = r"\p{L}\p{M}*"
 #: A capitalised part of a name, and family names with particles before and hyphens inside.
-_PART = r"\p{Lu}(?:['’]?\p{L})+"
+_PART = rf"\p{{Lu}}\p{{M}}*(?:['’]?{_LETTER})+"
 _FAMILY = rf"(?:(?:{'|'.join(PARTICLES)}) )*+{_PART}(?:-{_PART})*+"
-_GIVEN = rf"(?iu:{'|'.join(ALL_GIVEN)})(?!\p{{L}})(?:-{_PART})?+"
+_GIVEN = rf"(?iu:{'|'.join(n for (_, script), names in GIVEN.items() if script != 'arabic' for n in names)})(?![\p{{L}}\p{{M}}])(?:-{_PART})?+"
+#: A name of a script without capitals after an honorific: two or three Han signs, else a word.
+_UNCASED = r"(?:\p{IsHan}{2,3}|(?:(?!\p{IsHan})\p{Lo}\p{M}*)+)"
 #: A given name with all that follows it, or an honorific with a name.
-PERSON = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_GIVEN}(?: (?=\p{{Lu}}){_GIVEN})?(?: \p{{Lu}}\.)?+ {_FAMILY}|(?:{'|'.join(HONORIFICS)})\.? (?:{_PART}(?:-{_PART})?+ )?{_FAMILY})"
+_CASED = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_GIVEN}(?: (?=\p{{Lu}}){_GIVEN})?(?: \p{{Lu}}\.)?+ {_FAMILY}|(?:{'|'.join(HONORIFICS)})\.? (?:(?:{_PART}(?:-{_PART})?+ )?{_FAMILY}|{_UNCASED}))"
+#: Two Arabic given names or one with a name of origin; after an honorific one is enough.
+_ORIGIN = rf"(?:{_ARABIC_GIVEN}|ال\p{{IsArabic}}+ي)(?!\p{{L}})"
+_ARABIC = rf"(?<!\p{{L}})(?=\p{{IsArabic}})(?:(?:{'|'.join(HONORIFICS_ARABIC)}) (?:{_ARABIC_GIVEN})(?!\p{{L}})(?: {_ORIGIN})*+|(?:{_ARABIC_GIVEN})(?: {_ORIGIN})++)"
+#: A Chinese family name, at most two more signs, and the honorific.
+_HAN = rf"[{FAMILY_HAN}]\p{{IsHan}}{{0,2}}?(?:{_AFTER_HAN})"
+PERSON = rf"(?:{_CASED}|{_ARABIC}|{_HAN})"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Kinds in the order in which they are tried at a place. Each begins where no longer token goes on.
 PATTERNS = {
@@ -73,7 +109,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text needs to hold an entity at all; much cheaper to look for.
 HINT = rf"[0-9@]|{PERSON}"
 #: Letters of one part of a name.
-_TOKEN = r"\p{L}(?:['’]?\p{L})*"
+_TOKEN = rf"(?:{_AFTER_HAN})|\p{{IsHan}}+?(?={_AFTER_HAN}|\P{{IsHan}}|\z)|(?!\p{{IsHan}}){_LETTER}(?:['’]?(?!\p{{IsHan}}){_LETTER})*"
 
 
 def found(text: Column) -> Column:
@@ -91,7 +127,8 @@ def kind_of(value: Column) -> Column:
 
 def part_kind(token: Column) -> Column:
     """given, name, or null for a part of a person's name that stays: honorifics, particles, initials."""
-    stays = token.isin(HONORIFICS) | ~token.rlike(r"^\p{Lu}") | (F.length(token) < 2)
+    titles = [*HONORIFICS, *HONORIFICS_ARABIC, *HONORIFICS_HAN]
+    stays = token.isin(titles) | ~token.rlike(r"^(?:\p{Lu}\p{M}*.|\p{Lo})")
     return F.when(stays, None).when(F.lower(token).isin([n.lower() for n in ALL_GIVEN]), "given").otherwise("name")
 
 
@@ -114,13 +151,34 @@ def parts_of(kind: Column, mention: Column) -> Column:
     return F.when(kind == "person", F.filter(tokens, lambda x: x["kind"].isNotNull())).otherwise(one)
 
 
+def _title(name: Column) -> Column:
+    """Each part between apostrophes with a capital first."""
+    return F.array_join(F.transform(F.split(F.lower(name), "'"), lambda x: F.initcap(x)), "'")
+
+
 def alone(mentions: Column) -> Column:
-    """A pattern for the parts of the names in ``mentions`` where they stand alone; empty if there are none."""
+    """A pattern for the parts of the names in ``mentions`` where they stand alone; empty if there are none.
+
+    A part is sought as written, in capitals and with one capital, with either apostrophe. Names of months
+    and days are left where a date is told, and a single sign of a script without capitals is no name alone.
+    """
     people = F.filter(mentions, lambda m: m.rlike(rf"^(?:{PERSON})$"))
     tokens = F.flatten(F.transform(people, lambda m: F.regexp_extract_all(m, F.lit(_TOKEN), F.lit(0))))
-    own = F.array_distinct(F.filter(tokens, lambda t: part_kind(t).isNotNull() & (F.length(t) > 2)))
-    both = F.array_join(F.array_distinct(F.concat(own, F.transform(own, lambda t: F.upper(t)))), "|")
-    return F.when(F.size(own) > 0, F.concat(F.lit(r"|(?<!\p{L})(?:"), both, F.lit(r")(?!\p{L})"))).otherwise("")
+    common = [*PARTICLES, *SHORT_WORDS]
+    own = F.filter(tokens, lambda t: part_kind(t).isNotNull() & (F.length(t) > 1) & ~F.lower(t).isin(common))
+    plain_ = F.transform(own, lambda t: F.replace(t, F.lit("’"), F.lit("'")))
+    spelt = F.array_distinct(F.flatten(F.transform(plain_, lambda t: F.array(t, F.upper(t), _title(t)))))
+    # longer parts first, as of two that begin alike the first one is taken
+    spelt = F.transform(F.reverse(F.array_sort(F.transform(spelt, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))), lambda x: x["t"])
+    before = r"(?<!(?:\b(?i:in|of|on|since|until|till|by|last|next|this|early|late|mid|during|from|to|every)|\d|\d(?:st|nd|rd|th))[ \-])"
+
+    def one(t: Column) -> Column:
+        words = F.replace(t, F.lit("'"), F.lit("['’]"))
+        dated = F.concat(F.lit(rf"{before}(?<!\p{{L}})"), words, F.lit(r"(?![\p{L}\p{M}])(?!,? \d)"))
+        bounded = F.concat(F.lit(r"(?<!\p{L})"), words, F.lit(r"(?![\p{L}\p{M}])"))
+        return F.when(F.lower(t).isin([x.lower() for x in CALENDAR]), dated).when(t.rlike(r"\p{IsHan}|\p{IsHangul}|\p{IsHiragana}|\p{IsKatakana}"), words).otherwise(bounded)
+
+    return F.when(F.size(spelt) > 0, F.concat(F.lit("|"), F.array_join(F.transform(spelt, one), "|"))).otherwise("")
 
 
 def _stream(key: str, kind: Column, name: Column, attempt: Column) -> Column:
@@ -218,14 +276,22 @@ def surrogate(key: str, kind: Column, name: Column, attempt: Column) -> Column:
     iban = F.concat(F.substring(name, 1, 2), _shape(F.substring(name, F.lit(3), F.length(name)), s, F.lit(0)))
     token = F.when(name.startswith("ey"), _cased(name, s, 3)).otherwise(_cased(name, s, 4))
 
-    def surname(script: str) -> Column:
-        part = [F.element_at(F.array(*map(F.lit, SYLLABLES[script])), (F.pmod(_number(s, F.lit(k)), F.lit(16)) + 1).cast("int")) for k in range(8)]
-        # longer ones are drawn only after many collisions, so that there is always room
-        return F.concat(*part[:3], F.when(attempt > 3, F.concat(*part[3:6])).otherwise(""), F.when(attempt > 10, F.concat(*part[6:])).otherwise(""))
-
-    cyrillic = F.concat(surname("cyrillic"), F.when(name.endswith("а"), "ова").otherwise("ов"))
+    def per_script(make, other):
+        out = other
+        for script in reversed([x for x in SYLLABLES if x != "latin"]):
+            out = F.when(name.rlike(rf"\p{{Is{script.capitalize()}}}"), make(script)).otherwise(out)
+        return out
+
+    syllables = per_script(lambda x: F.array(*map(F.lit, SYLLABLES[x])), F.array(*map(F.lit, SYLLABLES["latin"])))
+    # longer ones are drawn only after many collisions, so that there is always room
+    many = F.when(attempt > 10, 8).when(attempt > 3, 6).otherwise(3)
+    part = F.array_join(F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.element_at(syllables, (F.pmod(_number(s, k), F.lit(16)) + 1).cast("int"))), "")
+    tail = per_script(lambda x: F.translate(F.substring(F.substring(s, 65, 64), F.lit(1), F.floor(attempt / 4).cast("int")), "0123456789abcdef", "".join(y[0] for y in SYLLABLES[x])), letters)
+    ending = F.lit("")
+    for script, (end, like, other) in ENDINGS.items():
+        ending = F.when(name.rlike(rf"\p{{Is{script.capitalize()}}}"), F.when(name.endswith(end), like).otherwise(other)).otherwise(ending)
     prefix = F.when(name.contains("'"), F.concat(F.substring_index(name, "'", 1), F.lit("'"))).otherwise("")
-    latin = F.concat(prefix, surname("latin"), F.when(attempt > 16, letters).otherwise(""))
+    invented = F.concat(prefix, part, F.when(attempt > 16, tail).otherwise(""), ending)
     pairs = F.create_map(*(F.lit(x) for pair in permuted(key).items() for x in pair))
     return (
         F.when(kind == "email", F.concat(_shape(local, s, F.lit(0)), letters, F.lit("@"), host, zone))
@@ -238,15 +304,13 @@ def surrogate(key: str, kind: Column, name: Column, attempt: Column) -> Column:
         .when(kind == "ssn", F.concat(_digits(name, s, F.lit(0)), figures))
         .when(kind == "iban", F.concat(iban, figures))
         .when(kind == "given", F.try_element_at(pairs, name))
-        .when(name.rlike(r"\p{IsCyrillic}"), F.concat(cyrillic, F.when(attempt > 16, letters).otherwise("")))
-        .otherwise(latin)
+        .otherwise(invented)
     )
 
 
 def _named(token: Column, new: Column) -> Column:
     """A part of a name written as the part that it replaces."""
-    shown = F.array_join(F.transform(F.split(new, "'"), lambda x: F.initcap(x)), "'")
-    shown = F.when(token == F.upper(token), F.upper(shown)).otherwise(shown)
+    shown = F.when(token == F.upper(token), F.upper(new)).otherwise(_title(new))
     return F.when(token.contains("’"), F.replace(shown, F.lit("'"), F.lit("’"))).otherwise(shown)
 
 

@@ -18,6 +18,8 @@ from spanloom.llm import blocks, extract, train_blocks
         ("<script>x", []),
         ("<div><div><div><div><template><p>no</p></template>yes", ["yes"]),
         ("<p>a<noscript>b</noscript>c", ["a", "c"]),
+        ("<p>a</p><textarea>draft <b>x</textarea><iframe>old</iframe><p>b<object>o</object>", ["a", "b"]),
+        ("<form><select><option>one<option>two</select></form><p>a<video>v</video>", ["a"]),
         ("<p>a&nbsp;&nbsp;b&#233;&copy</p>", ["a bé©"]),
         ("<p>f<b>oo</b>\n bar<br>baz</p>", ["foo bar baz"]),
     ],
@@ -88,3 +90,19 @@ def test_odd_pages(spark):
     got = sorted(((r.page_id, len(r.text)) for r in extract.extracted(df).collect()), key=repr)
     assert got == [(1, 0), (2, 0), (2, 0), (None, 319_999)]
     assert extract.extracted(df.limit(0)).collect() == []
+
+
+def test_clashing_names(spark):
+    """A column of the new one's name is replaced, others stay whatever they are called."""
+    page = "<article><p>" + PROSE * 3 + "</p></article>"
+    df = spark.createDataFrame([(1, "old", page, 2, 3, 4), (2, None, None, 5, 6, 7)], "page_id long, text string, html string, c0 long, main_text long, URL long")
+    out = extract.extracted(df)
+    assert out.columns == ["page_id", "c0", "main_text", "URL", "text"]
+    got = {r.page_id: tuple(r)[1:] for r in out.collect()}
+    assert got == {1: (2, 3, 4, (PROSE * 3).strip()), 2: (5, 6, 7, "")}
+    doubled = df.select("page_id", "html", "c0", df.URL.alias("c0"))
+    assert sorted(tuple(r) for r in extract.extracted(doubled).collect())[1] == (2, 5, 7, "")
+
+
+def test_hidden_by_style():
+    assert blocks.element_tokens("div", ' style="visibility : hidden"') == ("t:div", "c:hidden")

@@ -194,6 +194,15 @@ FOUND = {
     "Mary-Jane Watson": r"(?!Mary)\w+-(?!Jane)\w+ (?!Watson)\w+",
     "Ahmed Hassan, Maria Gonzalez": r"(?!Ahmed)\w+ (?!Hassan)\w+, (?!Maria)\w+ (?!Gonzalez)\w+",
     "Hans von der Berg": r"(?!Hans)\w+ von der (?!Berg)\w+",
+    "Mr. John O'Brien and Peter O’Brien; O'Brien, O’BRIEN": r"Mr\. (?!John)\w+ (O'(?!Brien)(\w+)) and (?!Peter)\w+ O’\2; \1, O’(?!BRIEN)[A-Z]+",
+    "JOHN SMITH came. Smith went.": r"(?!JOHN)[A-Z]+ (?!SMITH)[A-Z]+ came\. (?!Smith)[A-Z][a-z]+ went\.",
+    "Paul May came in May, on 3 May and May 4, 2020. Then May left.": r"(?!Paul)\w+ (?!May)(\w+) came in May, on 3 May and May 4, 2020\. Then \1 left\.",
+    "Mr Li saw Maria Wu. Wu is Li.": r"Mr (?!Li)(\w+) saw (?!Maria)\w+ (?!Wu)(\w+)\. \2 is \1\.",
+    "Mr Παπαδόπουλος, Μαρία Παπαδοπούλου": r"Mr (?!Παπαδ)[α-ωΑ-Ωό]+όπουλος, (?!Μαρία)[Ά-ώ]+ (?!Παπαδ)[Ά-ώ]+οπούλου",
+    "我见王伟先生。王伟说好，李女士": r"我见(?!王伟)([王李张刘陈杨赵黄周吴徐孙林何高郭]{3})先生。\1说好，(?!李女)[王李张刘陈杨赵黄周吴徐孙林何高郭]{3}女士",
+    "السيد محمد المصري": r"السيد (?!محمد)[ء-ي]+ (?!المصري)[ء-ي]+",
+    "Dr 김민수, Mr כהן, Dr 山田": r"Dr (?!김민수)[가-힣]{3}, Mr (?!כהן)[א-ת]+, Dr (?!山田)[王李张刘陈杨赵黄周吴徐孙林何高郭]{3}",
+    "Mr Պետրոսյան": r"Mr (?!Պետ)[Ա-և]+յան",
     "a 1-523-555-1055 b +1 (523) 555-1055 c 523 555 1055": r"a 1-(?!523-555-1055)(\d{3})-(\d{3})-(\d{4}) b \+1 \(\1\) \2-\3 c \1 \2 \3",
     "tel 5235551055 and 020 7946 0958 or 030 1234567": r"tel (?!5235551055)\d{10} and (?!020 7946)0\d\d \d{4} \d{4} or 0\d\d (?!1234567)\d{7}",
     "ip 2001:db8::8a2e:370:7334.": r"ip (?!2001)[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}\.",
