@@ -76,11 +76,12 @@ _GIVEN = rf"(?iu:{'|'.join(n for (_, script), names in GIVEN.items() if script !
 _UNCASED = r"(?:\p{IsHan}{2,3}|(?:(?!\p{IsHan})\p{Lo}\p{M}*)+)"
 #: A given name with all that follows it, or an honorific with a name.
 _CASED = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_GIVEN}(?: (?=\p{{Lu}}){_GIVEN})?(?: \p{{Lu}}\.)?+ {_FAMILY}|(?:{'|'.join(HONORIFICS)})\.? (?:(?:{_PART}(?:-{_PART})?+ )?{_FAMILY}|{_UNCASED}))"
+#: Ranges of letters stand before what is looked up by script, as they are tried at every place of a text.
 #: Two Arabic given names or one with a name of origin; after an honorific one is enough.
 _ORIGIN = rf"(?:{_ARABIC_GIVEN}|ال\p{{IsArabic}}+ي)(?!\p{{L}})"
-_ARABIC = rf"(?<!\p{{L}})(?=\p{{IsArabic}})(?:(?:{'|'.join(HONORIFICS_ARABIC)}) (?:{_ARABIC_GIVEN})(?!\p{{L}})(?: {_ORIGIN})*+|(?:{_ARABIC_GIVEN})(?: {_ORIGIN})++)"
+_ARABIC = rf"(?=[ؠ-ي])(?<!\p{{L}})(?:(?:{'|'.join(HONORIFICS_ARABIC)}) (?:{_ARABIC_GIVEN})(?!\p{{L}})(?: {_ORIGIN})*+|(?:{_ARABIC_GIVEN})(?: {_ORIGIN})++)"
 #: A Chinese family name, at most two more signs, and the honorific.
-_HAN = rf"[{FAMILY_HAN}]\p{{IsHan}}{{0,2}}?(?:{_AFTER_HAN})"
+_HAN = rf"(?=[一-鿿])[{FAMILY_HAN}]\p{{IsHan}}{{0,2}}?(?:{_AFTER_HAN})"
 PERSON = rf"(?:{_CASED}|{_ARABIC}|{_HAN})"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Kinds in the order in which they are tried at a place. Each begins where no longer token goes on.
@@ -171,14 +172,19 @@ def alone(mentions: Column) -> Column:
     # longer parts first, as of two that begin alike the first one is taken
     spelt = F.transform(F.reverse(F.array_sort(F.transform(spelt, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))), lambda x: x["t"])
     before = r"(?<!(?:\b(?i:in|of|on|since|until|till|by|last|next|this|early|late|mid|during|from|to|every)|\d|\d(?:st|nd|rd|th))[ \-])"
-
-    def one(t: Column) -> Column:
-        words = F.replace(t, F.lit("'"), F.lit("['’]"))
-        dated = F.concat(F.lit(rf"{before}(?<!\p{{L}})"), words, F.lit(r"(?![\p{L}\p{M}])(?!,? \d)"))
-        bounded = F.concat(F.lit(r"(?<!\p{L})"), words, F.lit(r"(?![\p{L}\p{M}])"))
-        return F.when(F.lower(t).isin([x.lower() for x in CALENDAR]), dated).when(t.rlike(r"\p{IsHan}|\p{IsHangul}|\p{IsHiragana}|\p{IsKatakana}"), words).otherwise(bounded)
-
-    return F.when(F.size(spelt) > 0, F.concat(F.lit("|"), F.array_join(F.transform(spelt, one), "|"))).otherwise("")
+    dated = lambda t: F.lower(t).isin([x.lower() for x in CALENDAR])
+    unbounded = lambda t: t.rlike(r"\p{IsHan}|\p{IsHangul}|\p{IsHiragana}|\p{IsKatakana}")
+
+    def group(words: Column, start: str, end: str) -> Column:
+        """One alternative for all words, so that what must stand around them is tried once at a place."""
+        spelling = F.transform(words, lambda t: F.replace(t, F.lit("'"), F.lit("['’]")))
+        return F.when(F.size(words) > 0, F.concat(F.lit("|" + start + "(?:"), F.array_join(spelling, "|"), F.lit(")" + end))).otherwise("")
+
+    return F.concat(
+        group(F.filter(spelt, lambda t: ~dated(t) & ~unbounded(t)), r"(?=[\p{Lu}\p{Lo}])(?<!\p{L})", r"(?![\p{L}\p{M}])"),
+        group(F.filter(spelt, dated), rf"(?=\p{{Lu}}){before}(?<!\p{{L}})", r"(?![\p{L}\p{M}])(?!,? \d)"),
+        group(F.filter(spelt, unbounded), r"(?=\p{Lo})", ""),
+    )
 
 
 def _stream(key: str, kind: Column, name: Column, attempt: Column) -> Column:
