@@ -53,3 +53,10 @@ def test_children_beyond_the_unit_do_not_count(spark):
     got = {r.u: r for r in derivation._children(df, edges.UNIT).collect()}
     assert (got[1].has_case, got[1].prep, got[1].n_args, got[1].first_subj, got[1].conj_subj) == (True, None, 0, 0, 2147483647)
     assert sum(r.n_args for r in got.values()) == 0
+
+
+@pytest.mark.parametrize("name", ["head_word_join", "dep_children", "dep_multi_obj", "derive_args", "derive_predicates", "subtree_starts", "bounded_walks"])
+def test_edge_queries_shuffle_texts_only(spark, name):
+    from spanloom.plans.queries import QUERIES
+
+    assert shuffles(QUERIES[name](spark, SMALL)) == 1
