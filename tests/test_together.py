@@ -60,3 +60,13 @@ def test_edge_queries_shuffle_texts_only(spark, name):
     from spanloom.plans.queries import QUERIES
 
     assert shuffles(QUERIES[name](spark, SMALL)) == 1
+
+
+def test_lines_go_on_in_the_next_file_of_a_layer(spark, tmp_path):
+    rows = [("a", d, 1, t, f"w{t}") for d in (1, 2) for t in range(1, 24)]
+    df = spark.createDataFrame(rows, "shelf string, doc_id long, line int, token int, word string")
+    src.write_layer(df, str(tmp_path / "layer"), ["doc_id", "line", "token"], ["shelf"], most=2)
+    files = list((tmp_path / "layer").glob("shelf=*/*.csv"))
+    assert len(files) >= 23 and all(len(f.read_text().splitlines()) <= 3 for f in files)
+    back = src.numbered_tokens(src.read_layer(spark, str(tmp_path / "layer/*/*.csv"), ["doc_id", "line", "token_", "word"]), ("doc_id", "line"))
+    assert sorted((int(r.doc_id), r.token, r.word) for r in back.collect()) == [(d, t, w) for _, d, _, t, w in rows]
