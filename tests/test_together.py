@@ -70,3 +70,39 @@ def test_lines_go_on_in_the_next_file_of_a_layer(spark, tmp_path):
     assert len(files) >= 23 and all(len(f.read_text().splitlines()) <= 3 for f in files)
     back = src.numbered_tokens(src.read_layer(spark, str(tmp_path / "layer/*/*.csv"), ["doc_id", "line", "token_", "word"]), ("doc_id", "line"))
     assert sorted((int(r.doc_id), r.token, r.word) for r in back.collect()) == [(d, t, w) for _, d, _, t, w in rows]
+
+
+def test_parts_of_long_groups(spark):
+    """Groups of up to 20,000 lines, cut as a plain loop does; arrays that grew at each step took minutes."""
+    import random
+    import time
+
+    draw = random.Random(3)
+    flags = [[draw.random() < p for _ in range(n)] for n, p in ((1, 0.0), (12, 0.5), (13, 0.0), (200, 0.05), (20000, 0.1))]
+    rows = [(d, 1, k, "x;" if soft else "x") for d, group in enumerate(flags) for k, soft in enumerate(group)]
+    df = spark.createDataFrame(rows, "doc_id long, unit int, line int, text string").repartition(3)
+    began = time.time()
+    got = {(r.doc_id, r.line): r.part for r in units.split_long(df).collect()}
+    assert time.time() - began < 60
+    for d, group in enumerate(flags):
+        at, part, want = 0, 1, []
+        while len(group) - at > 12:
+            taken = max((k + 1 for k in range(12) if group[at + k]), default=12)
+            want += [part] * taken
+            at, part = at + taken, part + 1
+        want += [part] * (len(group) - at)
+        assert [got[d, k] for k in range(len(group))] == want
+
+
+def test_marks_in_long_lines(spark):
+    import time
+
+    from spanloom.functions import text as fn
+
+    lines = ["'tis a b' c!", "", " -- ", "é'l x"]
+    got = spark.createDataFrame([(t,) for t in lines], "t string").select(fn.marked_text(F.col("t"), F.array(F.lit(1), F.lit(3)))).collect()
+    assert [r[0] for r in got] == ["**'tis** a **b'** c!", "", " -- ", "**é'**l **x**"]
+    numbers = F.transform(fn.alpha_tokens(F.col("t")), lambda _, k: k + 1)
+    began = time.time()
+    long = spark.createDataFrame([("ab, " * 5000,)], "t string").select(fn.marked_text(F.col("t"), numbers)).first()[0]
+    assert long == "**ab**, " * 5000 and time.time() - began < 30
