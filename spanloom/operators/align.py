@@ -1,14 +1,20 @@
 """Tables that a model wrote, brought back to the lines, tokens and positions that they speak of.
 
 The rows of one chunk depend on each other in order, so each aligner is a fold over the rows of a chunk
-(one grouping by chunk, native expressions); chunks are independent. Rows of different words never compete
+(one grouping by chunk, then native expressions or a small walk in Python, in time in proportion to the chunk);
+chunks are independent. Rows of different words never compete
 for an occurrence, so spans are folded per chunk and phrase.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions.text import alpha_tokens, canonical_case, has_alpha, loose_equal
 
@@ -20,6 +26,56 @@ def _packed(rows: DataFrame, keys: list[str], order: str, fields: list[str], nam
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias(name))
 
 
+def _walked(packed: DataFrame, left: str, right: str, into: str, kind: str, walk: Callable[[list[dict], list[dict]], list]) -> DataFrame:
+    """``packed`` with the column ``into``: what ``walk`` makes of the two lists of each chunk, few chunks at a time."""
+    out = T.StructType([*packed.schema.fields, T.StructField(into, T._parse_datatype_string(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                made = [walk(a, b) for a, b in zip(batch.column(left).to_pylist(), batch.column(right).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, to_arrow)], out.names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    to_arrow = to_arrow_type(out[into].dataType)
+    return packed.mapInArrow(run, out)
+
+
+def placed_rows(lines: list[dict], rows: list[dict]) -> list[dict]:
+    """The walk of ``feature_rows`` over one chunk: ``row``, the number ``ln`` of its line, its place in it."""
+    letters = lambda t: any(map(str.isalpha, t))
+    texts, n = [x["text"] for x in lines], len(lines)
+    ln, start, wait, used, rest, out = 1, 0, [], False, n == 1, []
+    for r in rows:
+        row, word = r["row"], r["word"]
+        if rest:
+            out.append((row, ln))
+            continue
+        here = texts[ln - 1].find(word, start)
+        beyond = texts[ln].find(word) if here < 0 and ln < n else -1
+        if here < 0 and beyond < 0:
+            wait.append(row)
+            continue
+        if beyond < 0:
+            out += [(w, ln) for w in wait]
+        else:
+            if not used:
+                out += [(w, ln) for w in wait]
+            elif wait and letters(texts[ln][:beyond]):
+                out.append((wait[-1], ln + 1))
+            ln, rest = ln + 1, ln + 1 == n
+        out.append((row, ln))
+        start, wait = max(here, beyond) + len(word), []
+        used = not letters(texts[ln - 1][start:])
+    found, seen = [], dict.fromkeys(range(1, n + 1), 0)
+    for row, ln in out:
+        seen[ln] += 1
+        found.append({"row": row, "ln": ln, "place": seen[ln]})
+    return found
+
+
 def feature_rows(lines: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, line, place, row)``: the rows of a chunk's table by the line that each belongs to.
 
@@ -31,42 +87,47 @@ def feature_rows(lines: DataFrame, table: DataFrame, keys: list[str]) -> DataFra
     """
     texts = _packed(lines, keys, "line", ["text"], "lines")
     rows = _packed(table.filter(has_alpha(F.col("word"))), keys, "row", ["word"], "rows")
-    both = texts.join(rows, keys).withColumn("n", F.size("lines"))
-    text = lambda ln: F.element_at("lines", ln)["text"]
-    find = lambda word, ln, start: F.call_function("locate", word, text(ln), start)
-    item = lambda row, ln: F.array(F.struct(row.cast("int").alias("row"), ln.cast("int").alias("ln")))
-    each = lambda rows_, ln: F.transform(rows_, lambda r: F.struct(r.cast("int").alias("row"), ln.cast("int").alias("ln")))
-    none = F.array().cast("array<int>")
+    done = _walked(texts.join(rows, keys), "lines", "rows", "out", "array<struct<row:int,ln:int,place:int>>", placed_rows)
+    numbers = F.transform("lines", lambda x: x["line"])
+    out = done.select(*keys, numbers.alias("numbers"), F.explode("out").alias("x"))
+    return out.select(*keys, F.element_at("numbers", F.col("x.ln")).alias("line"), F.col("x.place").alias("place"), F.col("x.row").alias("row"))
 
-    def step(a: Column, r: Column) -> Column:
-        here = find(r["word"], a["ln"], a["start"])
-        beyond = F.when((here == 0) & (a["ln"] < F.col("n")), find(r["word"], F.least(a["ln"] + 1, F.col("n")), F.lit(1))).otherwise(0)
-        move = beyond > 0
-        ln = F.when(move, a["ln"] + 1).otherwise(a["ln"])
-        end = F.when(move, beyond).otherwise(here) + F.length(r["word"])
-        letters = has_alpha(F.substring(text(ln), F.lit(1), beyond - 1))
-        salvaged = F.when(a["used"], F.when(letters & (F.size(a["wait"]) > 0), each(F.slice(a["wait"], F.greatest(F.size(a["wait"]), F.lit(1)), F.lit(1)), ln)).otherwise(each(none, ln))).otherwise(each(a["wait"], a["ln"]))
-        taken = F.when(move, salvaged).otherwise(each(a["wait"], ln))
-        found = move | (here > 0)
-        rest = a["rest"] | (move & (ln == F.col("n")))
-        state = lambda **k: F.struct(*(v.alias(n) for n, v in k.items()))
-        met = state(ln=ln, start=end, wait=none, used=~has_alpha(F.substring(text(ln), end, F.length(text(ln)))), out=F.concat(a["out"], taken, item(r["row"], ln)), rest=rest)
-        missed = state(ln=a["ln"], start=a["start"], wait=F.concat(a["wait"], F.array(r["row"].cast("int"))), used=a["used"], out=a["out"], rest=a["rest"])
-        last = state(ln=a["ln"], start=a["start"], wait=a["wait"], used=a["used"], out=F.concat(a["out"], item(r["row"], a["ln"])), rest=a["rest"])
-        return F.when(a["rest"], last).when(found, met).otherwise(missed)
-
-    start = F.struct(F.lit(1).alias("ln"), F.lit(1).alias("start"), none.alias("wait"), F.lit(False).alias("used"), F.array().cast("array<struct<row:int,ln:int>>").alias("out"), (F.col("n") == 1).alias("rest"))
-    done = both.select(*keys, "lines", F.aggregate("rows", start, step)["out"].alias("out"))
-    out = done.select(*keys, "lines", F.posexplode("out").alias("at", "x")).select(*keys, F.element_at("lines", F.col("x.ln"))["line"].alias("line"), "at", F.col("x.row").alias("row"))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "line").orderBy("at"))).select(*keys, "line", "place", "row")
+
+def bare_cell(word: Column) -> tuple[Column, Column]:
+    """A cell without emphasis, and that in lower case without final punctuation."""
+    left = F.trim(F.regexp_replace(F.trim(word), r"^\*+|\*+$", ""))
+    return left, F.lower(F.regexp_replace(left, PUNCTUATION, ""))
 
 
 def names_token(word: Column, token: Column) -> Column:
     """Whether a cell names a token: equal but for emphasis, case and final punctuation, or its clitic end."""
-    left = F.trim(F.regexp_replace(F.trim(word), r"^\*+|\*+$", ""))
-    bare = lambda c: F.lower(F.regexp_replace(c, PUNCTUATION, ""))
-    l, r = bare(left), bare(F.trim(token))  # noqa: E741
-    return (left == token) | (l == r) | ((F.length(l) >= SHORTEST) & (F.length(l) < F.length(r)) & r.endswith(l))
+    left, bare = bare_cell(word)
+    whole = F.lower(F.regexp_replace(F.trim(token), PUNCTUATION, ""))
+    return (left == token) | (bare == whole) | ((F.length(bare) >= SHORTEST) & (F.length(bare) < F.length(whole)) & whole.endswith(bare))
+
+
+def next_rows(want: list[dict], rows: list[dict]) -> list[int | None]:
+    """The place (from 1) of the row that each position takes: the first after the last one taken that names it
+    (``names_token``).
+
+    Rows are found by their spelling: a token is looked up whole and by its ends of such lengths as rows have.
+    """
+    exact, bare = {}, {}
+    for i, r in enumerate(rows):
+        exact.setdefault(r["left"], []).append(i)
+        bare.setdefault(r["bare"], []).append(i)
+    lengths = sorted({len(b) for b in bare if len(b) >= SHORTEST})
+    numbers = [r["row"] for r in rows]
+    after, out = 0, []
+    for t in want:
+        word, end = t["word"], t["bare"]
+        keys = [] if word is None else [exact.get(word), bare.get(end), *(bare.get(end[len(end) - n :]) for n in lengths if n < len(end))]
+        hits = [p[k] for p in keys if p and (k := bisect_right(p, after - 1)) < len(p)]
+        at = min(hits, default=None)
+        out.append(None if at is None else at + 1)
+        if at is not None:
+            after = bisect_right(numbers, numbers[at])
+    return out
 
 
 def annex_rows(targets: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,19 +136,16 @@ def annex_rows(targets: DataFrame, table: DataFrame, keys: list[str]) -> DataFra
     A walk forward over ``table(keys, row, word, case)``: a position takes the first row after the last one
     taken; rows that name nothing expected are passed over. A position without a row has an empty case.
     """
-    want = _packed(targets, keys, "at", ["word"], "want")
-    rows = _packed(table.filter(F.trim("word") != ""), keys, "row", ["word", "case"], "rows")
+    left, bare = bare_cell(F.col("word"))
+    token = F.lower(F.regexp_replace(F.trim("word"), PUNCTUATION, ""))
+    want = _packed(targets.withColumn("bare", token), keys, "at", ["word", "bare"], "want")
+    named = table.filter(F.trim("word") != "").withColumns({"left": left, "bare": bare})
+    rows = _packed(named, keys, "row", ["word", "case", "left", "bare"], "rows")
     both = want.join(rows, keys, "left").withColumn("rows", F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)))
-
-    def step(a: Column, t: Column) -> Column:
-        left = F.filter("rows", lambda r: (r["row"] > a["row"]) & names_token(r["word"], t["word"]))
-        hit = F.try_element_at(left, F.lit(1))
-        found = F.struct(t["at"].alias("at"), t["word"].alias("word"), F.coalesce(canonical_case(hit["case"]), F.lit("")).alias("case"), hit["row"].cast("long").alias("row"))
-        return F.struct(F.coalesce(hit["row"].cast("long"), a["row"]).alias("row"), F.concat(a["out"], F.array(found)).alias("out"))
-
-    kind = f"array<struct<at:{targets.schema['at'].dataType.simpleString()},word:string,case:string,row:bigint>>"
-    start = F.struct(F.lit(-1).cast("long").alias("row"), F.array().cast(kind).alias("out"))
-    return both.select(*keys, F.inline(F.aggregate("want", start, step)["out"]))
+    done = _walked(both, "want", "rows", "hits", "array<int>", next_rows)
+    each = done.select(*keys, "rows", F.inline(F.arrays_zip("want", "hits")))
+    hit = F.when(F.col("hits").isNotNull(), F.try_element_at("rows", "hits"))
+    return each.select(*keys, F.col("want.at").alias("at"), F.col("want.word").alias("word"), F.coalesce(canonical_case(hit["case"]), F.lit("")).alias("case"), hit["row"].cast("long").alias("row"))
 
 
 def _runs(tokens: DataFrame, needles: DataFrame, keys: list[str]) -> DataFrame:
