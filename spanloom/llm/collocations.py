@@ -38,6 +38,8 @@ LONGEST, LEAST, ABSORBED, TOP = 4, 30, 80, 2000
 MAP_BITS, COUNTERS = 1 << 26, 500_000
 #: Names that a task holds before it hands them on, and bytes of text looked at at once.
 HELD, SLICE = 2_000_000, 8_000_000
+#: Most names in a row that is shuffled (4 kB of them).
+PACK = 512
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + BREAKS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(BREAKS))
 _BREAK = b"\xff"  # in no UTF-8 text
@@ -217,6 +219,38 @@ def _whole(ids: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(whole)
 
 
+def packed(counted: DataFrame) -> DataFrame:
+    """``(part, names, counts)`` of ``counted(part, name, c)``: the numbers of a partition as bytes, many to a row,
+    so that a shuffle carries little more than the names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            part, names, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(part, kind="stable")
+            part, names, counts = part[order], names[order], counts[order]
+            begins = np.concatenate(([True], part[1:] != part[:-1]))
+            nth = np.arange(len(part)) - np.maximum.accumulate(np.where(begins, np.arange(len(part)), 0))
+            first = np.flatnonzero(nth % PACK == 0)
+            ends = np.append(first[1:], len(part))
+            bytes_of = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), bytes_of(names), bytes_of(counts)], ["part", "names", "counts"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(k).to_numpy() for k in range(3)])
+                size += batch.num_rows
+            if size > HELD // 2:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return counted.select("part", "name", "c").mapInArrow(run, "part int, names binary, counts binary")
+
+
 def frequent_names(counted: DataFrame, least: int, counters: int = COUNTERS) -> DataFrame:
     """Names that may reach ``least``: one Misra-Gries summary for each hash partition of ``counted(name, c)``.
 
@@ -232,15 +266,12 @@ def frequent_names(counted: DataFrame, least: int, counters: int = COUNTERS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summaries: dict[int, Summary] = {}
         for batch in batches:
-            where = batch.column(0).to_numpy()
-            names, counts = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            for p in np.unique(where).tolist():
-                mine = where == p
-                summaries.setdefault(p, Summary(room[p])).add(names[mine], counts[mine])
+            for p, names, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                summaries.setdefault(p, Summary(room[p])).add(np.frombuffer(names, np.uint64), np.frombuffer(counts, np.int64))
         for s in summaries.values():
             yield pa.RecordBatch.from_arrays([pa.array(s.survivors(least).view(np.int64))], ["name"])
 
-    return counted.select(part.alias("part"), "name", "c").repartition(parts, "part").mapInArrow(run, "name long")
+    return packed(counted.select(part.alias("part"), "name", "c")).repartition(parts, "part").mapInArrow(run, "name long")
 
 
 def survivor_map(names: DataFrame) -> bytes:

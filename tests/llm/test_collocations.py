@@ -80,3 +80,10 @@ def test_a_full_map_loses_nothing(spark, monkeypatch):
     df = spark.createDataFrame(texts, "lang string, text string")
     monkeypatch.setattr(co, "MAP_BITS", 1 << 16)
     assert found(df, least=20) == brute(texts, 20, 80, 2000)
+
+
+def test_names_are_shuffled_packed(spark):
+    """A row holds the names of many phrases, so their number is that of partitions, not of names."""
+    counted = spark.range(20_000, numPartitions=2).select((F.col("id") % 7).cast("int").alias("part"), F.xxhash64("id").alias("name"), F.lit(3).cast("long").alias("c"))
+    rows = co.packed(counted).collect()
+    assert len(rows) <= 7 * 2 * (1 + 10_000 // 7 // co.PACK) and sum(len(r.names) for r in rows) == sum(len(r.counts) for r in rows) == 160_000
