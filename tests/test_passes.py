@@ -76,3 +76,18 @@ def test_many_spans_in_a_line(spark):
         outer = [p for p, a, b, _ in got if p < o and a <= s and e <= b and (a, b) != (s, e)]
         assert parent == max(outer, default=0)
     assert spans.nested(df).filter("line = 2 AND parent = 0").count() == 30_000
+
+
+def test_texts_are_dealt_in_bounded_parts(spark, tmp_path):
+    """Large parts of texts are split whatever the number of shuffle partitions is."""
+    spark.read.parquet(f"{SMALL}/documents.parquet").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    held = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        parts = layers.words(spark, str(tmp_path)).select(F.spark_partition_id().alias("part")).distinct().count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert parts > 1
