@@ -91,3 +91,18 @@ def test_texts_are_dealt_in_bounded_parts(spark, tmp_path):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert parts > 1
+
+
+def test_pronouns_are_counted_in_their_document(spark, tmp_path):
+    df = queries.QUERIES["coverage_left_join"](spark, SMALL)
+    assert shuffles(df) == 1 and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    rng = random.Random(9)
+    line = lambda: " ".join(rng.choice(["era", "l'", "...", "a.", "vita,", "12", ""]) for _ in range(rng.randint(0, 9)))
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 12)))) for i in [1, 2, 3, 4, 4, 5, 5, 5, 8, None, None]] + [(6, None), (7, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cases = {}
+    for r in layers.case_rows(spark, str(tmp_path)).collect():
+        cases[r.doc_id, r.line] = cases.get((r.doc_id, r.line), 0) + 1
+    lines = [(i, n) for i, t in rows for n, x in enumerate((t or "").split("\n"), 1) if x.strip(" ")]
+    got = [tuple(r) for r in queries.QUERIES["coverage_left_join"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[1:])) == sorted(((i, n, cases.get((i, n), 0)) for i, n in lines), key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
