@@ -8,8 +8,8 @@ probability 3e-6, a closer one with less), and in each bucket the Gray index fin
 these, pairs whose sizes rule 0.8 out go, and those whose 256 one-bit minima differ in more than 50
 places, five deviations above the mean at 0.8. The rest is verified on the sets themselves.
 
-A bucket's nodes are first compared with its smallest one. What this links is one label in the index,
-which drops whole nodes of that label, so a large group of copies is not paired in full.
+The Gray index is first searched for the smallest node of each bucket among the others. What this links is one
+label in the index, which drops whole nodes of that label, so a large group of copies is not paired in full.
 
 What is left are buckets with nodes of several labels. Nodes that such buckets connect are one family, which
 one task gets, with each set once; families of very many shingles are cut into blocks that meet pairwise where
@@ -166,13 +166,38 @@ def family_links(found: DataFrame, sets: DataFrame, least: float = LEAST, radius
     return found.join(sets, "node").groupBy("group").applyInArrow(check, "a long, b long")
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
-    """Those of ``pairs(bucket, a, b)`` that sizes, fingerprints and one-bit minima do not rule out."""
-    sides = {x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "fp", *_BITS))) for x in "ab"}
-    joined = pairs.join(sides["a"], "a").join(sides["b"], "b")
-    differ = lambda c: F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
-    fits = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * least
-    return joined.filter(fits & (differ("fp") <= radius) & (sum((differ(b) for b in _BITS[1:]), differ(_BITS[0])) <= MOST_BITS)).select("bucket", "a", "b")
+def led(members: DataFrame, nodes: DataFrame, least: float = LEAST, radius: int = RADIUS, hot: int = simhash.HOT_KEY) -> DataFrame:
+    """``(bucket, a, b)``: of ``members(node, first)`` the pairs of a smallest node and one that shares a bucket with it
+    which the Gray index finds within ``radius`` bits and neither sizes nor one-bit minima rule out.
+
+    The nodes of one first are a group of the index, those of a first with more than ``hot`` several; the first is in each.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        get = lambda c: t.column(c).to_numpy()
+        index = simhash.GrayIndex(np.unique(get("key"), return_inverse=True)[1], get("fp").view(np.uint64))
+        order = index.order
+        node, n = get("node")[order], get("n")[order]
+        bits = np.stack([get(b)[order] for b in _BITS], axis=1).view(np.uint64)
+        for i, j in index.pairs(radius, asked=node == get("first")[order]):
+            fit = np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * least
+            i, j = i[fit], j[fit]
+            fit = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= MOST_BITS
+            a, b = pa.array(node[i[fit]]), pa.array(node[j[fit]])
+            yield pa.RecordBatch.from_arrays([a, a, b], ["bucket", "a", "b"])
+
+    near = staged(members.select("first", "node").distinct(), "near")
+    large = staged(near.groupBy("first").agg(F.count("*").alias("m")).filter(F.col("m") > hot), "large")
+    parts = F.lit(1) if large.isEmpty() else F.coalesce(F.ceil(F.col("m") / hot).cast("int"), F.lit(1))
+    sized = near if large.isEmpty() else near.join(large, "first", "left")
+    block = F.explode(F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))))
+    rows = sized.select("first", "node", block.alias("block")).select(F.xxhash64("first", "block").alias("key"), "first", "node")
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.join(nodes.select("node", "n", "fp", *_BITS), "node").repartition(tasks, "key").mapInArrow(search, "bucket long, a long, b long")
 
 
 def dealt(pairs: DataFrame, block: int = BLOCK, sets: int = SETS) -> tuple[DataFrame, DataFrame]:
@@ -242,8 +267,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     marks = made.select("doc_id", "mark", "node")
     nodes = staged(made.drop("doc_id", "mark").dropDuplicates(["node"]), "nodes")
     members = staged(buckets(nodes), "buckets")
-    firsts = members.filter("node <> first").select(F.col("first").alias("bucket"), F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(verified(staged(likely(firsts, nodes, least), "pairs"), docs, marks, text, least, width), "links")
+    links = staged(verified(staged(led(members, nodes, least), "pairs"), docs, marks, text, least, width), "links")
     roots = staged(components(links), "roots")
     related = staged(families(members, nodes, roots), "related")
     links = links.union(staged(family_links(related, shingle_sets(related, docs, marks, text, width), least), "links"))

@@ -101,13 +101,14 @@ class GrayIndex:
         self.size = n
         self.root_of = np.searchsorted(labels, group) if n else np.zeros(0, np.int64)
 
-    def pairs(self, radius: int = RADIUS, linked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, radius: int = RADIUS, linked: np.ndarray | None = None, asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of pairs of sorted places (i < j) of one group that differ in ``radius`` bits or fewer.
 
         ``linked``: labels by sorted place; pairs with the same label are left out, and so are whole
-        nodes of which all rows have the label of the query.
+        nodes of which all rows have the label of the query. ``asked``: flags by sorted place; only
+        these are searched for, and j is any other place.
         """
-        q = np.arange(self.size)
+        q = np.arange(self.size) if asked is None else np.flatnonzero(asked)
         known = self._labels(linked)
         first = q if linked is None else q[~self._all_linked(known, 0, linked, q, self.root_of)]
         stack = [(0, first, self.root_of[first], np.zeros(len(first), np.int64))]
@@ -133,7 +134,7 @@ class GrayIndex:
                     stack.append((depth + 1, q[keep], child[keep], acc[keep]))
             else:
                 acc = acc + np.bitwise_count((self.codes[q] ^ self.codes[child]) & self.last_added[child])
-                keep = (acc <= radius) & (q < child)
+                keep = (acc <= radius) & (q < child if asked is None else q != child)
                 if linked is not None:
                     keep &= linked[q] != linked[child]
                 if keep.any():

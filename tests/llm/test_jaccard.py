@@ -91,6 +91,27 @@ def test_labels_leave_out_pairs():
     assert not list(index.pairs(22, np.zeros(400, int)))
 
 
+def test_smallest_nodes_are_searched_for(spark):
+    """The Gray index finds what comparing each smallest node with all nodes of its buckets does, also in blocks."""
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(80)]
+    texts = [edited(words, r, s) for s in r.choice([0.01, 0.03, 0.08], 120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    nodes = jaccard.staged(jaccard.sketches(df).drop("doc_id", "mark").dropDuplicates(["node"]), "nodes")
+    members = jaccard.staged(jaccard.buckets(nodes), "members")
+    known = {x.node: x for x in nodes.collect()}
+    differ = lambda a, b, *cs: sum(((a[c] ^ b[c]) & (2**64 - 1)).bit_count() for c in cs)
+    want = set()
+    for first, node in {(x["first"], x.node) for x in members.collect()}:
+        a, b = known[first], known[node]
+        if first != node and min(a.n, b.n) >= max(a.n, b.n) * 0.8 and differ(a, b, "fp") <= 22 and differ(a, b, "b0", "b1", "b2", "b3") <= 50:
+            want.add((first, first, node))
+    assert want
+    for hot in (50_000, 7):
+        got = [tuple(x) for x in jaccard.led(members, nodes, hot=hot).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_clashing_names(spark):
     names = ["__gone", "__id", "__mark", "mark", "id", "component", "c0", "c1"]
     rows = [(1, "one two three four five six", *"abcdefgh"), (2, "one  two three four five SIX", *"abcdefgh"), (3, "other", *"abcdefgh")]
