@@ -13,7 +13,7 @@ from spanloom.sources import staging
 
 SMALL = "/root/testdata/sf0.001"
 #: Queries that read each text once.
-ONCE = ["candidate_checks", "candidate_valid", "control_subjects", "exact_units", "fix_gains", "frame_repairs", "frame_violations", "morph_violations", "preposition_forms", "read_unit", "resolve_rows", "clean_units"]
+ONCE = ["candidate_checks", "candidate_valid", "control_subjects", "exact_units", "fix_gains", "frame_repairs", "frame_violations", "morph_violations", "preposition_forms", "read_unit", "resolve_rows", "clean_units", "preposition_stacks"]
 
 
 @pytest.mark.parametrize("name", ONCE)
