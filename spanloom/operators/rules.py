@@ -179,8 +179,7 @@ def ablation(rows: DataFrame) -> DataFrame:
 
     A difference is open without a rule if that rule alone accepts it; open ones stay open.
     """
-    hits = with_hits(rows)
-    always = hits.filter(F.size("hits") == 0).groupBy("kind").agg(F.count("*").alias("n"))
-    by = F.explode(F.array(*map(F.lit, ["", *CONDITIONS])))
-    sole = hits.filter(F.size("hits") == 1).select("kind", F.element_at("hits", F.lit(1)).alias("disabled")).groupBy("disabled", "kind").agg(F.count("*").alias("n"))
-    return always.select(by.alias("disabled"), "kind", "n").union(sole).groupBy("disabled", "kind").agg(F.sum("n").alias("n"))
+    first = F.coalesce(F.try_element_at("hits", F.lit(1)), F.lit(""))
+    tally = with_hits(rows).filter(F.size("hits") < 2).groupBy("kind", first.alias("sole")).agg(F.count("*").alias("n"))
+    off = F.when(F.col("sole") == "", F.array(*map(F.lit, ["", *CONDITIONS]))).otherwise(F.array("sole"))
+    return tally.select(F.explode(off).alias("disabled"), "kind", "n").groupBy("disabled", "kind").agg(F.sum("n").alias("n"))
