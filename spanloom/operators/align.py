@@ -8,6 +8,7 @@ for an occurrence, so spans are folded per chunk and phrase.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -99,6 +100,17 @@ def bare_cell(word: Column) -> tuple[Column, Column]:
     return left, F.lower(F.regexp_replace(left, PUNCTUATION, ""))
 
 
+def bare_text(word: str) -> tuple[str, str]:
+    """``bare_cell`` of one cell."""
+    left = re.sub(r"^\*+|\*+$", "", word.strip(" ")).strip(" ")
+    return left, re.sub(PUNCTUATION, "", left).lower()
+
+
+def bare_token(word: str) -> str:
+    """A token in lower case without final punctuation."""
+    return re.sub(PUNCTUATION, "", word.strip(" ")).lower()
+
+
 def names_token(word: Column, token: Column) -> Column:
     """Whether a cell names a token: equal but for emphasis, case and final punctuation, or its clitic end."""
     left, bare = bare_cell(word)
