@@ -169,9 +169,9 @@ def judged(rows: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
 def census(rows: DataFrame) -> DataFrame:
     """``(rule_id, hits, sole)`` of every rule, also of those that accept nothing."""
     each = with_hits(rows).select(F.explode("hits").alias("rule_id"), (F.size("hits") == 1).alias("sole"))
-    counts = each.groupBy("rule_id").agg(F.count("*").alias("hits"), F.count_if("sole").alias("sole"))
-    catalogue = rows.sparkSession.createDataFrame([(r,) for r in CONDITIONS], "rule_id string")
-    return catalogue.join(counts, "rule_id", "left").na.fill(0)
+    catalogue = F.explode(F.array(*map(F.lit, CONDITIONS)))
+    none = rows.sparkSession.range(1).select(catalogue.alias("rule_id"), F.lit(None).cast("boolean").alias("sole"))
+    return each.union(none).groupBy("rule_id").agg(F.count("sole").alias("hits"), F.count_if("sole").alias("sole"))
 
 
 def ablation(rows: DataFrame) -> DataFrame:
