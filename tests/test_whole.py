@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import agreement, batches, cascade, derivation, edges, frames, score, validate
 from spanloom.plans import layers, whole
-from spanloom.plans.queries import QUERIES, UNIT
+from spanloom.plans.catalogue import QUERIES
+from spanloom.plans.queries import UNIT
 from spanloom.sources import staging
 
 SMALL = "/root/testdata/sf0.001"
@@ -112,3 +113,14 @@ def test_walks_are_the_same(spark, tokens, odd):
     assert rows_of(QUERIES["agreement_verdict"](spark, odd), "verdict", "reason", "n") == rows_of(want, "verdict", "reason", "n")
     want = validate.clean(tokens, validate.edges(tokens)).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("unit").alias("units"))
     assert rows_of(QUERIES["clean_units"](spark, odd), "doc_id", "n", "units") == rows_of(want, "doc_id", "n", "units")
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark, tmp_path):
+    """Two rows with the same id, one after the other, are submitted as two documents."""
+    rows = list(spark.read.parquet(f"{SMALL}/documents.parquet").limit(6).select("doc_id", "text").toLocalIterator())
+    apart, twice = str(tmp_path / "apart"), str(tmp_path / "twice")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{apart}/documents.parquet")
+    spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string").coalesce(1).write.parquet(f"{twice}/documents.parquet")
+    columns = ("doc_id", "first_line", "valid", "n_errors", "n_warnings")
+    once = rows_of(QUERIES["candidate_verdicts"](spark, apart), *columns)
+    assert rows_of(QUERIES["candidate_verdicts"](spark, twice), *columns) == sorted(once * 2)
